@@ -18,7 +18,7 @@ def counts_by(df: DataFrame, *keys: str) -> DataFrame:
 
 def availability(df: DataFrame, rows: Sequence[str], column: str, values: Sequence[str]) -> DataFrame:
     """Row keys x known column values with counts, 0 where nothing exists."""
-    table = df.groupBy(*rows).pivot(column, list(values)).agg(F.count("*"))
+    table = df.groupBy(*rows).pivot(column, list(values)).agg(F.count(F.lit(1)))
     return table.fillna(0, subset=list(values))
 
 
