@@ -97,7 +97,7 @@ def window_grid(
     )
 
 
-def fill_gaps(grid: DataFrame, aggregated: DataFrame, series: Sequence[str], fills: Mapping[str, object]) -> DataFrame:
+def fill_gaps(grid: DataFrame, aggregated: DataFrame, series: Sequence[str], fills: Mapping[str, float]) -> DataFrame:
     """Left join on the grid; ``fills`` gives the value of an empty window per column (absent = null).
 
     Only windows without any row are filled: a null computed from rows stays null.
@@ -106,15 +106,13 @@ def fill_gaps(grid: DataFrame, aggregated: DataFrame, series: Sequence[str], fil
     marked = aggregated.withColumn("_hit", F.lit(True))
     joined = grid.join(marked, keys, "left")
     out = []
-    for name in aggregated.columns:
-        if name in fills and name not in keys:
-            kind = aggregated.schema[name].dataType
-            out.append(
-                F.when(F.col("_hit"), F.col(f"`{name}`")).otherwise(F.lit(fills[name]).cast(kind)).alias(name)
-            )
+    for field in aggregated.schema.fields:
+        name = f"`{field.name}`"
+        if field.name in fills and field.name not in keys:
+            out.append(f"IF(_hit, {name}, CAST({fills[field.name]} AS {field.dataType.simpleString()})) AS {name}")
         else:
-            out.append(F.col(f"`{name}`"))
-    return joined.select(*out)
+            out.append(name)
+    return joined.selectExpr(*out)
 
 
 def with_win_start(df: DataFrame) -> DataFrame:
@@ -130,7 +128,7 @@ def window_agg(
     aggs: Sequence[Column],
     series: Sequence[str] = (),
     origin: Origin = "epoch",
-    fills: Mapping[str, object] | None = None,
+    fills: Mapping[str, float] | None = None,
     keep_gaps: bool = True,
 ) -> DataFrame:
     """Any aggregates per (series, window), optionally with the empty windows."""

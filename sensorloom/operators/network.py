@@ -14,9 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from sensorloom.functions.numeric import ratio
 from sensorloom.functions.timeparts import width_micros
 from sensorloom.operators.buckets import Origin, assign_windows, fill_gaps, window_grid
 
@@ -54,175 +53,144 @@ INTERVAL_FEATURES = [
 NO_UDP_DIVISOR = 0.1
 
 
+def _over(keys: Sequence[str], tail: str = "") -> str:
+    return f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} {tail})"
+
+
+def _aliased(expressions: dict[str, str]) -> list[Column]:
+    return [F.expr(e).alias(name) for name, e in expressions.items()]
+
+
 def _length_features(packets: DataFrame, keys: list[str], tcp: str, udp: str) -> DataFrame:
     # Combined by length first: the median's value->count map then holds distinct lengths only
     # and a crowded window is reduced before the shuffle.
     by_length = packets.groupBy(*keys, "length").agg(
-        F.count("*").alias("n"),
+        F.expr("count(*) AS n"),
         F.count_if(F.col("protocol") == tcp).alias("tcp"),
         F.count_if(F.col("protocol") == udp).alias("udp"),
     )
-    known = F.when(F.col("length").isNotNull(), F.col("n")).otherwise(F.lit(0))
-    grouped = by_length.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        F.sum(known).alias("nl"),
-        F.coalesce(F.sum(F.col("length") * F.col("n")), F.lit(0.0)).alias("total"),
-        F.percentile(F.col("length"), F.lit(0.5), F.greatest(known, F.lit(0))).alias("median"),
-        F.min("length").alias("lo"),
-        F.max("length").alias("hi"),
-        F.sum("tcp").alias("tcp"),
-        F.sum("udp").alias("udp"),
+    grouped = by_length.groupBy(*keys).agg(*_aliased({
+        "n": "sum(n)",
+        "nl": "sum(IF(length IS NULL, 0L, n))",
+        "total": "coalesce(sum(length * n), 0D)",
+        "median": "percentile(length, 0.5, IF(length IS NULL, 0L, n))",
+        "lo": "min(length)",
+        "hi": "max(length)",
+        "tcp": "sum(tcp)",
+        "udp": "sum(udp)",
         # Lengths are at most a few 10^4, so the raw second moment keeps enough digits.
-        F.sum(F.col("length") * F.col("length") * F.col("n")).alias("sq"),
-    )
-    mean = ratio(F.col("total"), F.col("nl"))
-    centred = F.greatest(F.col("sq") - F.col("total") * mean, F.lit(0.0))
-    divisor = F.when(F.col("udp") > 0, F.col("udp").cast("double")).otherwise(F.lit(NO_UDP_DIVISOR))
-    return grouped.select(
-        *keys,
-        F.col("n").alias("(OLD) PacketCount"),
-        F.col("total").alias("(OLD) TotalLength"),
-        mean.alias("(OLD) AverageLength"),
-        F.col("median").alias("(OLD) MedianLength"),
-        F.col("lo").alias("(OLD) MinLength"),
-        F.col("hi").alias("(OLD) MaxLength"),
-        F.when(F.col("nl") > 1, centred / (F.col("nl") - 1)).alias("(OLD) VarianceLength"),
-        F.col("tcp").alias("TcpPacketCount"),
-        F.col("udp").alias("UdpPacketCount"),
-        (F.col("tcp") / divisor).alias("TcpUdpProtocolRatio"),
-    )
+        "sq": "sum(length * length * n)",
+    }))
+    return grouped.select(*keys, *_aliased({
+        "(OLD) PacketCount": "n",
+        "(OLD) TotalLength": "total",
+        "(OLD) AverageLength": "try_divide(total, nl)",
+        "(OLD) MedianLength": "median",
+        "(OLD) MinLength": "lo",
+        "(OLD) MaxLength": "hi",
+        "(OLD) VarianceLength": "IF(nl > 1, greatest(sq - total * try_divide(total, nl), 0D) / (nl - 1), NULL)",
+        "TcpPacketCount": "tcp",
+        "UdpPacketCount": "udp",
+        "TcpUdpProtocolRatio": f"tcp / IF(udp > 0, CAST(udp AS DOUBLE), {NO_UDP_DIVISOR}D)",
+    }))
 
 
 def _distinct_features(packets: DataFrame, keys: list[str]) -> DataFrame:
-    return packets.groupBy(*keys).agg(
-        F.countDistinct("source_port").alias("(OLD) DifferentSourcePorts"),
-        F.countDistinct("dest_port").alias("(OLD) DifferentDestPorts"),
-        F.countDistinct("dest_ip").alias("DifferentDestIPs"),
-    )
+    return packets.groupBy(*keys).agg(*_aliased({
+        "(OLD) DifferentSourcePorts": "count(DISTINCT source_port)",
+        "(OLD) DifferentDestPorts": "count(DISTINCT dest_port)",
+        "DifferentDestIPs": "count(DISTINCT dest_ip)",
+    }))
 
 
-def _edge(column: str, missing: Column) -> Column:
-    """Up to three timestamps of a slice edge, each repeated for its packets (at most three)."""
-    repeated = F.array_repeat(F.col("ts_us"), F.least(F.col("n"), F.lit(3)).cast("int"))
-    return F.flatten(F.collect_list(F.when(missing, repeated))).alias(column)
+def _bandwidth(length: str, seconds: str) -> str:
+    """Length over interval; infinite becomes 0, 0/0 and a missing interval stay null."""
+    return f"CASE WHEN {seconds} = 0 THEN IF({length} = 0, NULL, 0D) ELSE try_divide({length}, {seconds}) END"
 
 
-def _merged(prefix: str) -> tuple[Column, Column]:
-    """Total count and weighted sum of a slice: its inner part, its zero intervals and its edge value."""
-    edge = F.col(f"{prefix}_edge")
-    count = F.col(f"{prefix}_n") + F.col(f"{prefix}_zeros") + F.when(edge.isNotNull(), 1).otherwise(0)
-    total = F.coalesce(F.col(f"{prefix}_mean") * F.col(f"{prefix}_n"), F.lit(0.0)) + F.coalesce(edge, F.lit(0.0))
-    return count, total
+def _instants(packets: DataFrame, keys: list[str], slice_us: int) -> DataFrame:
+    """One row per (window, slice, instant).
 
+    Packets after the first one at an instant have interval 0 and bandwidth 0 (null when empty).
+    """
+    sliced = packets.withColumn("slice", F.expr(f"CAST(floor((ts_us - win_us) / {slice_us}) AS INT)"))
+    return sliced.groupBy(*keys, "slice", "ts_us").agg(*_aliased({
+        "n": "count(*)",
+        "first_len": "min_by(length, seq)",
+        "zero_bw": "count_if(length > 0) - IF(min_by(length, seq) > 0, 1, 0)",
+    }))
 
-def _bandwidth(length: Column, seconds: Column) -> Column:
-    """Length over interval; infinite becomes 0 and 0/0 stays null."""
-    return (
-        F.when(seconds.isNull() | length.isNull(), F.lit(None).cast("double"))
-        .when((seconds == 0) & (length == 0), F.lit(None).cast("double"))
-        .when(seconds == 0, F.lit(0.0))
-        .otherwise(F.try_divide(length, seconds))
-    )
+
+def _slices(instants: DataFrame, keys: list[str]) -> DataFrame:
+    """Differences inside a slice, reduced to one row per slice with its two edges."""
+    inside = _over([*keys, "slice"], "ORDER BY ts_us")
+    rows = instants.select(*keys, "slice", "ts_us", "n", "first_len", "zero_bw", *_aliased({
+        "dt": f"(ts_us - lag(ts_us) {inside}) / 1e6D",
+        "is_head": f"lag(ts_us, 3) {inside} IS NULL",
+        "is_tail": f"lead(ts_us, 3) {inside} IS NULL",
+    })).withColumn("bw", F.expr(_bandwidth("first_len", "dt")))
+    aggs = {
+        "first_us": "min(ts_us)",
+        "last_us": "max(ts_us)",
+        "edge_len": "max(IF(dt IS NULL, first_len, NULL))",
+        "packets": "sum(n)",
+        "dt_zeros": "sum(n - 1)",
+        "bw_zeros": "sum(zero_bw)",
+        # Up to three instants of either end, each repeated for its packets (at most three).
+        "head": "flatten(collect_list(IF(is_head, array_repeat(ts_us, CAST(least(n, 3) AS INT)), NULL)))",
+        "tail": "flatten(collect_list(IF(is_tail, array_repeat(ts_us, CAST(least(n, 3) AS INT)), NULL)))",
+    }
+    for p in ("dt", "bw"):
+        aggs |= {f"{p}_n": f"count({p})", f"{p}_mean": f"avg({p})", f"{p}_var": f"var_pop({p})",
+                 f"{p}_lo": f"min({p})", f"{p}_hi": f"max({p})"}
+    return rows.groupBy(*keys, "slice").agg(*_aliased(aggs))
 
 
 def interval_features(packets: DataFrame, keys: list[str], width_us: int) -> DataFrame:
     """Interval, derivative and bandwidth statistics per (series, window)."""
-    slice_us = max(1, -(-width_us // SLICES))
-    moments = packets.withColumn("slice", F.floor((F.col("ts_us") - F.col("win_us")) / F.lit(slice_us)).cast("int"))
-    first_len = F.min_by("length", "seq")
-    instants = moments.groupBy(*keys, "slice", "ts_us").agg(
-        F.count("*").alias("n"),
-        first_len.alias("first_len"),
-        # Packets after the first one at the same instant: interval 0, bandwidth 0 (null when empty).
-        (F.count_if(F.col("length") > 0) - F.when(first_len > 0, 1).otherwise(0)).alias("zero_bw"),
-    )
-    inside = Window.partitionBy(*keys, "slice").orderBy("ts_us")
-    dt = (F.col("ts_us") - F.lag("ts_us").over(inside)) / F.lit(1_000_000.0)
-    rows = instants.select(
-        *keys, "slice", "ts_us", "n", "first_len", "zero_bw",
-        dt.alias("dt"),
-        F.lag("ts_us", 3).over(inside).isNull().alias("is_head"),
-        F.lead("ts_us", 3).over(inside).isNull().alias("is_tail"),
-        F.lag("ts_us").over(inside).isNull().alias("is_first"),
-    ).withColumn("bw", _bandwidth(F.col("first_len").cast("double"), F.col("dt")))
-    slices = rows.groupBy(*keys, "slice").agg(
-        F.min("ts_us").alias("first_us"),
-        F.max("ts_us").alias("last_us"),
-        F.max(F.when(F.col("is_first"), F.col("first_len"))).alias("edge_len"),
-        F.sum("n").alias("packets"),
-        F.count("dt").alias("dt_n"),
-        F.avg("dt").alias("dt_mean"),
-        F.var_pop("dt").alias("dt_var"),
-        F.min("dt").alias("dt_lo"),
-        F.max("dt").alias("dt_hi"),
-        F.sum(F.col("n") - 1).alias("dt_zeros"),
-        F.count("bw").alias("bw_n"),
-        F.avg("bw").alias("bw_mean"),
-        F.var_pop("bw").alias("bw_var"),
-        F.min("bw").alias("bw_lo"),
-        F.max("bw").alias("bw_hi"),
-        F.sum("zero_bw").alias("bw_zeros"),
-        _edge("head", F.col("is_head")),
-        _edge("tail", F.col("is_tail")),
-    )
+    slices = _slices(_instants(packets, keys, max(1, -(-width_us // SLICES))), keys)
     # From here on a window has at most SLICES rows.
-    ordered = Window.partitionBy(*keys).orderBy("slice")
-    whole = Window.partitionBy(*keys)
-    edge_dt = (F.col("first_us") - F.lag("last_us").over(ordered)) / F.lit(1_000_000.0)
-    stitched = slices.withColumn("dt_edge", edge_dt).withColumn(
-        "bw_edge", _bandwidth(F.col("edge_len").cast("double"), F.col("dt_edge"))
-    )
-    for p in ("dt", "bw"):
-        count, total = _merged(p)
-        stitched = stitched.withColumn(f"{p}_all", F.sum(count).over(whole)).withColumn(
-            f"{p}_centre", ratio(F.sum(total).over(whole), F.sum(count).over(whole))
-        )
-    aggs = [F.flatten(F.collect_list("head")).alias("head"), F.flatten(F.collect_list("tail")).alias("tail"),
-            F.sum("packets").alias("packets")]
+    whole = _over(keys)
+    stitched = slices.withColumn("dt_edge", F.expr(f"(first_us - lag(last_us) {_over(keys, 'ORDER BY slice')}) / 1e6D"))
+    stitched = stitched.withColumn("bw_edge", F.expr(_bandwidth("edge_len", "dt_edge")))
+    aggs = {"head": "array_sort(flatten(collect_list(head)))", "tail": "array_sort(flatten(collect_list(tail)))",
+            "packets": "sum(packets)"}
+    centres = {}
     for p in ("dt", "bw"):
-        centre, edge = F.col(f"{p}_centre"), F.col(f"{p}_edge")
-        shift = F.coalesce(F.col(f"{p}_mean") - centre, F.lit(0.0))
-        spread = (
-            F.coalesce(F.col(f"{p}_var"), F.lit(0.0)) * F.col(f"{p}_n")
-            + F.col(f"{p}_n") * shift * shift
-            + F.col(f"{p}_zeros") * centre * centre
-            + F.coalesce((edge - centre) * (edge - centre), F.lit(0.0))
-        )
-        zero = F.when(F.col(f"{p}_zeros") > 0, F.lit(0.0))
-        aggs += [
-            F.max(f"{p}_all").alias(f"{p}_all"),
-            F.max(centre).alias(f"{p}_mean"),
-            F.sum(spread).alias(f"{p}_ss"),
-            F.min(F.least(F.col(f"{p}_lo"), edge, zero)).alias(f"{p}_lo"),
-            F.max(F.greatest(F.col(f"{p}_hi"), edge, zero)).alias(f"{p}_hi"),
-        ]
-    merged = stitched.groupBy(*keys).agg(*aggs)
-    head, tail, n = F.array_sort("head"), F.array_sort("tail"), F.col("packets")
-    merged = merged.withColumn("h", head).withColumn("t", tail)
-
-    def at(array: str, i: int) -> Column:
-        return F.try_element_at(F.col(array), F.lit(i)) / F.lit(1_000_000.0)
-
-    first_interval, second_interval = at("h", 2) - at("h", 1), at("h", 3) - at("h", 2)
-    last_interval, before_last = at("t", -1) - at("t", -2), at("t", -2) - at("t", -3)
+        count = f"({p}_n + {p}_zeros + IF({p}_edge IS NULL, 0, 1))"
+        total = f"(coalesce({p}_mean * {p}_n, 0D) + coalesce({p}_edge, 0D))"
+        centres |= {f"{p}_all": f"sum({count}) {whole}", f"{p}_centre": f"try_divide(sum({total}) {whole}, sum({count}) {whole})"}
+        zero = f"IF({p}_zeros > 0, 0D, NULL)"
+        aggs |= {
+            f"{p}_all": f"max({p}_all)",
+            f"{p}_mean": f"max({p}_centre)",
+            # Squared deviations from the common mean: inner values, zero intervals, edge value.
+            f"{p}_ss": f"sum(coalesce(({p}_var + pow({p}_mean - {p}_centre, 2)) * {p}_n, 0D) + {p}_zeros * {p}_centre * {p}_centre"
+                       f" + coalesce(pow({p}_edge - {p}_centre, 2), 0D))",
+            f"{p}_lo": f"min(least({p}_lo, {p}_edge, {zero}))",
+            f"{p}_hi": f"max(greatest({p}_hi, {p}_edge, {zero}))",
+        }
+    merged = stitched.select("*", *_aliased(centres)).groupBy(*keys).agg(*_aliased(aggs))
+
+    def gap(array: str, i: int, j: int) -> str:
+        return f"((try_element_at({array}, {j}) - try_element_at({array}, {i})) / 1e6D)"
+
+    first, second = gap("head", 1, 2), gap("head", 2, 3)
+    last, before_last = gap("tail", -2, -1), gap("tail", -3, -2)
     # The mean of consecutive differences telescopes to its two ends.
-    first_derivative = F.when(n >= 3, (last_interval - first_interval) / (n - 2))
-    second_derivative = F.when(
-        n >= 4, ((last_interval - before_last) - (second_interval - first_interval)) / (n - 3)
-    )
-    return merged.select(
-        *keys,
-        F.col("dt_mean").alias("MeanInterPacketInterval"),
-        F.when(F.col("dt_all") > 1, F.col("dt_ss") / (F.col("dt_all") - 1)).alias("VarianceInterPacketInterval"),
-        F.col("dt_lo").alias("MinInterPacketInterval"),
-        F.col("dt_hi").alias("MaxInterPacketInterval"),
-        first_derivative.alias("FirstDerivativeInterPacketInterval"),
-        second_derivative.alias("SecondDerivativeInterPacketInterval"),
-        F.col("bw_mean").alias("AverageBandwidth"),
-        F.when(F.col("bw_all") > 1, F.col("bw_ss") / (F.col("bw_all") - 1)).alias("VarianceBandwidth"),
-        F.col("bw_lo").alias("MinBandwidth"),
-        F.col("bw_hi").alias("MaxBandwidth"),
-    )
+    return merged.select(*keys, *_aliased({
+        "MeanInterPacketInterval": "dt_mean",
+        "VarianceInterPacketInterval": "IF(dt_all > 1, dt_ss / (dt_all - 1), NULL)",
+        "MinInterPacketInterval": "dt_lo",
+        "MaxInterPacketInterval": "dt_hi",
+        "FirstDerivativeInterPacketInterval": f"IF(packets >= 3, ({last} - {first}) / (packets - 2), NULL)",
+        "SecondDerivativeInterPacketInterval":
+            f"IF(packets >= 4, (({last} - {before_last}) - ({second} - {first})) / (packets - 3), NULL)",
+        "AverageBandwidth": "bw_mean",
+        "VarianceBandwidth": "IF(bw_all > 1, bw_ss / (bw_all - 1), NULL)",
+        "MinBandwidth": "bw_lo",
+        "MaxBandwidth": "bw_hi",
+    }))
 
 
 def network_features(

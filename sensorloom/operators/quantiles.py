@@ -10,66 +10,91 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 SKETCH_ACCURACY = 10_000
 
 
-def exact_quantiles(
-    long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = SKETCH_ACCURACY
+def _ranked(
+    long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int, by: Sequence[str] = ()
 ) -> DataFrame:
-    """(keys..., n, q0, q1, ...): one column per probability, nulls and NaN ignored."""
-    x = F.col(value).cast("double")
-    rows = long.select(*keys, x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    margin = 2.0 / accuracy
-    lows = [max(0.0, p - margin) for p in probs]
-    highs = [min(1.0, p + margin) for p in probs]
-    sketch = F.percentile_approx("x", F.array(*[F.lit(p) for p in lows + highs]), F.lit(accuracy))
-    brackets = rows.groupBy(*keys).agg(sketch.alias("b"), F.count("*").alias("n"))
+    """Short table (keys, by, v, mn, mx, c, n, start, upto): rows in value order with their rank range.
+
+    ``v`` is set for a value inside a bracket; other rows stand for a whole zone between two
+    brackets and for its smallest and largest value only.
+    """
+    rows = long.select(*keys, *by, F.col(value).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
+    margin, m = 2.0 / accuracy, len(probs)
+    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    sketch = f"percentile_approx(x, array({', '.join(f'{e!r}D' for e in ends)}), {accuracy})"
+    brackets = rows.groupBy(*keys).agg(F.expr(sketch).alias("b"), F.expr("count(*)").alias("n"))
     if keys:
         tagged = rows.join(brackets, list(keys))
     else:
         whole = brackets.select(F.struct("b", "n")).scalar()
-        tagged = rows.withColumn("_s", whole).select("x", F.col("_s.b").alias("b"), F.col("_s.n").alias("n"))
-    m = len(probs)
-    inside = F.lit(False)
-    zone = F.lit(0)
-    for i in range(m):
-        lo, hi = F.col("b")[i], F.col("b")[m + i]
-        inside = inside | ((F.col("x") >= lo) & (F.col("x") <= hi))
-        zone = zone + F.when(F.col("x") > hi, 1).otherwise(0)
+        tagged = rows.withColumn("_s", whole).selectExpr(*by, "x", "_s.b AS b", "_s.n AS n")
+    inside = " OR ".join(f"x BETWEEN b[{i}] AND b[{m + i}]" for i in range(m))
+    zone = " + ".join(f"IF(x > b[{m + i}], 1, 0)" for i in range(m))
     short = (
-        tagged.select(*keys, "n", "x", F.when(inside, F.col("x")).alias("v"), F.when(~inside, zone).alias("z"))
-        .groupBy(*keys, "v", "z")
-        .agg(F.count("*").alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"), F.max("n").alias("n"))
+        tagged.select(*keys, *by, "n", "x", F.expr(f"IF({inside}, x, NULL) AS v"), F.expr(f"IF({inside}, NULL, {zone}) AS z"))
+        .groupBy(*keys, *by, "v", "z")
+        .agg(F.expr("count(*) AS c"), F.expr("min(x) AS mn"), F.expr("max(x) AS mx"), F.expr("max(n) AS n"))
+    )
+    part = ", ".join(f"`{k}`" for k in keys) or "0"
+    if not by:
+        upto = F.expr(f"sum(c) OVER (PARTITION BY {part} ORDER BY mn)")
+        return short.withColumn("upto", upto).withColumn("start", F.expr("upto - c"))
+    # Rows of one zone overlap across ``by``; only the zone as a whole has a rank range.
+    cell = f"OVER (PARTITION BY {part}, v, z)"
+    zoned = short.select(
+        *keys, *by, "v", "z", "c", "n", F.expr(f"sum(c) {cell} AS zc"), F.expr(f"min(mn) {cell} AS mn"), F.expr(f"max(mx) {cell} AS mx")
     )
-    order = Window.partitionBy(*keys).orderBy("mn") if keys else Window.partitionBy(F.lit(0)).orderBy("mn")
-    ranked = short.withColumn("upto", F.sum("c").over(order)).withColumn("start", F.col("upto") - F.col("c"))
-
-    def order_statistic(index: Column) -> Column:
-        # A zone row stands for many values; only its two ends are known order statistics.
-        at = (index >= F.col("start")) & (index < F.col("upto"))
-        known = (
-            F.when(F.col("v").isNotNull(), F.col("v"))
-            .when(index == F.col("start"), F.col("mn"))
-            .when(index == F.col("upto") - 1, F.col("mx"))
-            .otherwise(F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+    upto = F.expr(f"sum(c) OVER (PARTITION BY {part} ORDER BY mn RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    return zoned.withColumn("upto", upto).withColumn("start", F.expr("upto - zc"))
+
+
+def _edge(p: float, window: str = "") -> str:
+    """Interpolated quantile: the order statistics at the two neighbouring ranks.
+
+    A zone row stands for many values, only its two ends are known; the brackets contain
+    every wanted rank, so anything else is an error.
+    """
+    position = f"((n - 1) * {float(p)!r}D)"
+
+    def at(rank: str) -> str:
+        return (
+            f"max(CASE WHEN {rank} < start OR {rank} >= upto THEN NULL WHEN v IS NOT NULL THEN v WHEN {rank} = start THEN mn "
+            f"WHEN {rank} = upto - 1 THEN mx ELSE raise_error('quantile rank outside its bracket') END) {window}"
         )
-        return F.max(F.when(at, known))
-
-    aggs = []
-    for i, p in enumerate(probs):
-        position = (F.col("n") - 1) * F.lit(float(p))
-        low = F.floor(position)
-        aggs.append(order_statistic(low).alias(f"lo{i}"))
-        aggs.append(order_statistic(F.least(low + 1, F.col("n") - 1)).alias(f"hi{i}"))
-    found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
-    out = []
-    for i, p in enumerate(probs):
-        position = (F.col("n") - 1) * F.lit(float(p))
-        share = position - F.floor(position)
-        out.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * share).alias(f"q{i}"))
-    return found.select(*keys, "n", *out)
+
+    low = f"floor({position})"
+    share = f"max({position} - {low}) {window}"
+    lo, hi = at(low), at(f"least({low} + 1, n - 1)")
+    return f"({lo} + ({hi} - {lo}) * {share})"
+
+
+def exact_quantiles(
+    long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = SKETCH_ACCURACY
+) -> DataFrame:
+    """(keys..., n, q0, q1, ...): one column per probability, nulls and NaN ignored."""
+    ranked = _ranked(long, keys, value, probs, accuracy)
+    return ranked.groupBy(*keys).agg(F.expr("max(n) AS n"), *[F.expr(f"{_edge(p)} AS q{i}") for i, p in enumerate(probs)])
+
+
+def quantile_bin_counts(
+    long: DataFrame, keys: Sequence[str], value: str, by: Sequence[str], bins: int, accuracy: int = SKETCH_ACCURACY
+) -> DataFrame:
+    """(keys..., by..., bin, n): rows per quantile bin, bin = number of inner edges below the value.
+
+    All rows of a zone lie between the same two edges, so the short table already holds the
+    counts and the data is not read again for them.
+    """
+    probs = [i / bins for i in range(1, bins)]
+    ranked = _ranked(long, keys, value, probs, accuracy, by)
+    window = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)})"
+    with_edges = ranked.withColumn("edges", F.expr(f"array({', '.join(_edge(p, window) for p in probs)})"))
+    index = " + ".join(f"IF(mn > edges[{i}], 1, 0)" for i in range(len(probs)))
+    return with_edges.groupBy(*keys, *by, F.expr(f"{index} AS bin")).agg(F.expr("sum(c) AS n"))
 
 
 def melt(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:

@@ -12,10 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.numeric import ratio
-from sensorloom.operators.cleaning import drop_low_variance, quoted
+from sensorloom.operators.cleaning import drop_iqr_outliers, quoted
 from sensorloom.operators.neighbors import neighbour_information
-from sensorloom.operators.quantiles import feature_quantiles, melt
-from sensorloom.operators.scaling import minmax_columns
+from sensorloom.operators.quantiles import melt, quantile_bin_counts
 
 SCORES = ["chi2", "f_classif", "mutual_info_classif"]
 
@@ -82,19 +81,8 @@ def bin_counts(df: DataFrame, label: str, features: Sequence[str], bins: int = 1
 
     bin = number of inner edges below the value, so equal edges simply leave bins empty.
     """
-    probs = [i / bins for i in range(1, bins)]
-    edges = feature_quantiles(df, features, probs)
-    lists = edges.select("feature", F.array(*[F.col(f"q{i}") for i in range(len(probs))]).alias("e"))
-    edge_map = lists.agg(F.map_from_entries(F.collect_list(F.struct("feature", "e")))).scalar()
-    long = melt(df.withColumn("_label", quoted(label)), ["_label"], features).withColumn("_e", edge_map[F.col("feature")])
-    index = F.lit(0)
-    for i in range(len(probs)):
-        index = index + F.when(F.col("x") > F.col("_e")[i], 1).otherwise(0)
-    return (
-        long.filter(F.col("x").isNotNull())
-        .groupBy("feature", F.col("_label").alias("label"), index.alias("bin"))
-        .agg(F.count("*").alias("n"))
-    )
+    long = melt(df.withColumn("_label", quoted(label)), ["_label"], features)
+    return quantile_bin_counts(long, ["feature"], "x", ["_label"], bins).withColumnRenamed("_label", "label")
 
 
 def binned_information(counts: DataFrame) -> DataFrame:
@@ -109,18 +97,15 @@ def binned_information(counts: DataFrame) -> DataFrame:
 
 
 def one_vs_rest_information(counts: DataFrame) -> DataFrame:
-    """(feature, label, mutual_info_classif) of every label against all others, from the same counts."""
-    feature = Window.partitionBy("feature")
-    per_bin = counts.withColumn("n_all", F.sum("n").over(feature)).withColumn(
-        "n_bin", F.sum("n").over(Window.partitionBy("feature", "bin"))
-    )
-    labels = counts.select("feature", "label").distinct()
-    # Also bins without a row of the label contribute through "rest": labels x bins rows per feature.
-    bins = per_bin.select("feature", "bin", "n_bin", "n_all").distinct()
-    full = (
-        bins.join(labels, "feature")
-        .join(counts, ["feature", "bin", "label"], "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)))
+    """(feature, label, mutual_info_classif) of every label against all others, from the same counts.
+
+    Bins without a row of the label still contribute through "rest": there the term depends on
+    the bin's size only, so all of them together follow from the sizes of the bins that do
+    hold the label.
+    """
+    joint = (
+        counts.withColumn("n_all", F.sum("n").over(Window.partitionBy("feature")))
+        .withColumn("n_bin", F.sum("n").over(Window.partitionBy("feature", "bin")))
         .withColumn("n_label", F.sum("n").over(Window.partitionBy("feature", "label")))
     )
 
@@ -128,7 +113,13 @@ def one_vs_rest_information(counts: DataFrame) -> DataFrame:
         return F.when(n > 0, n / F.col("n_all") * F.log(n * F.col("n_all") / (F.col("n_bin") * n_class))).otherwise(0.0)
 
     both = term(F.col("n"), F.col("n_label")) + term(F.col("n_bin") - F.col("n"), F.col("n_all") - F.col("n_label"))
-    return full.groupBy("feature", "label").agg(F.greatest(F.sum(both), F.lit(0.0)).alias("mutual_info_classif"))
+    sums = joint.groupBy("feature", "label").agg(
+        F.sum(both).alias("present"), F.sum("n_bin").alias("covered"),
+        F.max("n_all").alias("n_all"), F.max("n_label").alias("n_label"),
+    )
+    open_share = (F.col("n_all") - F.col("covered")) / F.col("n_all")
+    absent = F.when(open_share > 0, open_share * F.log(F.col("n_all") / (F.col("n_all") - F.col("n_label")))).otherwise(0.0)
+    return sums.select("feature", "label", F.greatest(F.col("present") + absent, F.lit(0.0)).alias("mutual_info_classif"))
 
 
 def feature_scores(
@@ -155,6 +146,20 @@ def information_gain(df: DataFrame, label: str, features: Sequence[str], bins: i
     return binned_information(bin_counts(df, label, features, bins)).orderBy(F.desc("mutual_info_classif"), "feature")
 
 
+def unit_scaled_moments(moments: DataFrame) -> DataFrame:
+    """Moments of the min-max-scaled features without reading the data again: scaling is linear.
+
+    Constant features are left out.
+    """
+    feature = Window.partitionBy("feature")
+    ends = moments.withColumn("a", F.min("lo").over(feature)).withColumn("w", F.max("hi").over(feature) - F.col("a"))
+    return ends.filter("w > 0").select(
+        "feature", "label", "n", ((F.col("s") - F.col("n") * F.col("a")) / F.col("w")).alias("s"),
+        ((F.col("mean") - F.col("a")) / F.col("w")).alias("mean"), (F.col("var") / (F.col("w") * F.col("w"))).alias("var"),
+        ((F.col("lo") - F.col("a")) / F.col("w")).alias("lo"), ((F.col("hi") - F.col("a")) / F.col("w")).alias("hi"),
+    )
+
+
 def rank_features(
     df: DataFrame,
     label: str,
@@ -163,8 +168,16 @@ def rank_features(
     drop_outliers: bool = False,
     bins: int = 10,
 ) -> DataFrame:
-    """One source's ranking job (F8): scale, drop constant columns, score every label."""
-    rows = minmax_columns(df, features, drop_outliers) if scale else df
-    kept = drop_low_variance(rows, features)
-    remaining = [f for f in features if f in kept.columns]
-    return feature_scores_by_label(kept, label, remaining, bins)
+    """One source's ranking job (F8): outlier filter, min-max scaling, constant columns dropped, every label scored.
+
+    Scaling is applied to the moments; quantile bins do not change under it.
+    """
+    rows = drop_iqr_outliers(df, features) if drop_outliers else df
+    moments = class_moments(rows, label, features)
+    if scale:
+        moments = unit_scaled_moments(moments)
+    else:
+        spread = F.max("hi").over(Window.partitionBy("feature")) - F.min("lo").over(Window.partitionBy("feature"))
+        moments = moments.withColumn("_spread", spread).filter("_spread > 0").drop("_spread")
+    information = one_vs_rest_information(bin_counts(rows, label, features, bins))
+    return one_vs_rest_scores(moments).join(information, ["feature", "label"])

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from sensorloom.operators.cleaning import quoted
 from sensorloom.operators.network import INTERVAL_FEATURES, LENGTH_FEATURES, network_features
 from sensorloom.operators.ranking import filter_score_table, selected_features, top_per_label
 from sensorloom.operators.scoring import rank_features
 from sensorloom.operators.fusion import union_sources
+from sensorloom.session import materialise
 
 # Widths of the network ablation, in seconds.
 ABLATION_WIDTHS = [20, 40, 60, 120, 240, 480, 960]
@@ -36,7 +38,8 @@ def network_width_ablation(
     parts = []
     for width in widths:
         table = network_features(packets, ts, width, [label], "start", columns, tcp, udp)
-        rows = table.dropna("any", subset=[f"`{n}`" for n in names])
+        # The window table is small against the packets and the ranking reads it several times.
+        rows = materialise(table.select(label, *[quoted(n) for n in names])).dropna("any")
         parts.append(rank_features(rows, label, names).withColumn("width_s", F.lit(int(width))))
     return union_sources(parts)
 

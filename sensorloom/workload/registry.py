@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sensorloom.session import ensure_checkpoint_dir
 
@@ -44,11 +44,10 @@ class Tables:
 
 def rounded(df: DataFrame, digits: int, columns: Sequence[str]) -> DataFrame:
     """Rounds float results for comparison; NaN becomes null, -0.0 becomes 0.0."""
-    out = []
-    for c in df.columns:
-        x = F.col(f"`{c}`")
-        out.append(clean(x, digits).alias(c) if c in columns else x)
-    return df.select(*out)
+    return df.selectExpr(*[
+        f"IF(isnan(`{c}`), NULL, round(CAST(`{c}` AS DOUBLE) * {TIE_SHIFT}D, {digits}) + 0D) AS `{c}`" if c in columns else f"`{c}`"
+        for c in df.columns
+    ])
 
 
 # A mean of few decimals often ends exactly on ...5; this factor moves such ties off the edge
@@ -56,11 +55,6 @@ def rounded(df: DataFrame, digits: int, columns: Sequence[str]) -> DataFrame:
 TIE_SHIFT = 1.00000000001
 
 
-def clean(x: Column, digits: int) -> Column:
-    x = x.cast("double")
-    return F.when(~F.isnan(x), F.round(x * F.lit(TIE_SHIFT), digits) + F.lit(0.0))
-
-
 def r(expression: str, digits: int = 6) -> str:
-    """SQL side of ``clean``."""
+    """SQL side of ``rounded``."""
     return f"(round(({expression})::DOUBLE * {TIE_SHIFT}::DOUBLE, {digits}) + 0.0)"

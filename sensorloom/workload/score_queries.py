@@ -8,6 +8,7 @@ from sensorloom.operators import ranking, reports, reshape, scoring
 from sensorloom.operators.neighbors import neighbour_information
 from sensorloom.operators.network import INTERVAL_FEATURES, LENGTH_FEATURES
 from sensorloom.plans.feature_selection import ablation_top, network_width_ablation, select_univariate
+from sensorloom.session import materialise
 from sensorloom.workload.registry import query, r, rounded
 from sensorloom.workload.time_queries import PACKET_COLUMNS, packets
 
@@ -54,6 +55,11 @@ def shown(df):
 
 
 def label_scores(t):
+    """The score table as the ranking job writes it; later steps read it several times."""
+    return materialise(scoring.feature_scores_by_label(t.lineitem, LABEL, FEATURES))
+
+
+def fresh_scores(t):
     return scoring.feature_scores_by_label(t.lineitem, LABEL, FEATURES)
 
 
@@ -79,7 +85,7 @@ def feature_scores(t):
 @query("feature_scores_by_label", f"WITH {SCORES_SQL} SELECT feature, label, {SCORE_OUT} FROM scores")
 def feature_scores_by_label(t):
     """every label against the rest."""
-    return shown(label_scores(t))
+    return shown(fresh_scores(t))
 
 
 @query("information_gain", f"WITH {LONG_SQL}, {bins_sql()} SELECT feature, {r('mutual_info_classif', 9)} AS mutual_info_classif FROM mi ORDER BY mi.mutual_info_classif DESC")
