@@ -33,5 +33,7 @@ def digamma(m: Column) -> Column:
     for i in range(8):
         shift = shift + F.lit(1.0) / (m + F.lit(float(i)))
     inv2 = F.lit(1.0) / (z * z)
-    tail = inv2 * (F.lit(1 / 12) - inv2 * (F.lit(1 / 120) - inv2 * (F.lit(1 / 252) - inv2 * F.lit(1 / 240))))
+    tail = F.lit(0.0)
+    for term in (1 / 132, 1 / 240, 1 / 252, 1 / 120, 1 / 12):
+        tail = inv2 * (F.lit(term) - tail)
     return F.log(z) - F.lit(0.5) / z - tail - shift

@@ -12,9 +12,13 @@ from sensorloom.functions.numeric import hash_order
 from sensorloom.operators.quantiles import feature_quantiles
 
 
+def escaped(name: str) -> str:
+    """A column name as SQL text; names may hold dots, colons, spaces or line breaks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    """Column reference for names with dots, colons, spaces or line breaks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(escaped(name))
 
 
 def to_numeric(df: DataFrame, exclude: Sequence[str] = (), lenient: bool = False) -> DataFrame:
@@ -52,9 +56,19 @@ def nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.isnan(quoted(c)), None).otherwise(quoted(c)) for c in columns})
 
 
-def drop_any_null(df: DataFrame) -> DataFrame:
-    """Drops a row with any null or NaN."""
-    return df.dropna("any")
+def drop_any_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Drops a row with any null or NaN in the given columns, or in all.
+
+    One condition per column: the built-in form puts all columns into one condition, and the
+    optimizer then derives a variant of it for every subset of renamed columns.
+    """
+    names = df.columns if columns is None else list(columns)
+    floats = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")}
+    tests = []
+    for name in names:
+        q = escaped(name)
+        tests.append(f"{q} IS NOT NULL" + (f" AND NOT isnan({q})" if name in floats else ""))
+    return df.filter(" AND ".join(tests)) if tests else df
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.ml.classification import (
     LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, PCAModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from sensorloom.operators.cleaning import drop_any_null
 from sensorloom.operators.membership import in_both
 from sensorloom.operators.ranking import top_weights
 from sensorloom.operators.reports import confusion, macro_metrics
 from sensorloom.operators.scaling import minmax_columns
 from sensorloom.operators.shards import hash_split
+from sensorloom.session import materialise
 
 # Epochs and hidden layers of the training set-up.
 MAX_EPOCHS = 150
@@ -24,11 +26,8 @@ HIDDEN_LAYERS = (30, 30)
 
 def assembled(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     """Adds the feature vector; rows with a null feature are dropped."""
-    # The assembler cannot address names with dots, so positions serve as names.
-    short = {f: f"_f{i}" for i, f in enumerate(features)}
-    staged = df.withColumns({s: F.col(f"`{f}`").cast("double") for f, s in short.items()})
-    vectors = VectorAssembler(inputCols=list(short.values()), outputCol=out, handleInvalid="skip").transform(staged)
-    return vectors.drop(*short.values())
+    known = drop_any_null(df, features)
+    return known.withColumn(out, array_to_vector(F.array(*[F.col(f"`{f}`").cast("double") for f in features])))
 
 
 def embedded(df: DataFrame, column: str, out: str = "features") -> DataFrame:
@@ -132,8 +131,9 @@ def cross_device_evaluation(
     }
     out = None
     for name, rows in variants.items():
-        scaled = hash_split(minmax_columns(rows.dropna("any", subset=[*shared, label]), shared), key)
-        vectors = assembled(scaled, shared)
+        scaled = hash_split(minmax_columns(drop_any_null(rows, [*shared, label]), shared), key)
+        # The scaled training table is stored, as every iteration and the evaluation read it.
+        vectors = assembled(materialise(scaled.select(*[F.col(f"`{f}`") for f in shared], label, "split")), shared)
         model = fit_linear(vectors.filter("split = 'train'"), label, max_iter)
         result = evaluate(model, vectors.filter("split = 'test'"), classes, label).withColumn("variant", F.lit(name))
         out = result if out is None else out.unionByName(result)

@@ -78,23 +78,29 @@ def neighbour_information(
     )
     lined = points.select(*inner, "x", "c", F.lit(True).alias("own")).unionByName(borrowed)
 
-    # 2. Distance to the k-th neighbour of the same class: merge up to k values to each side.
+    # 2. The k-th neighbour of the same class: up to k values to each side, by distance.
     order = Window.partitionBy(*inner).orderBy("x")
     sides = []
     for i in range(1, k + 1):
         for shift in (F.lag, F.lead):
-            gap = F.abs(shift("x", i).over(order) - F.col("x"))
-            # The same gap repeated for the copies of that value.
-            sides.append(F.array_repeat(gap, F.least(shift("c", i).over(order), F.lit(k)).cast("int")))
-    copies = F.array_repeat(F.lit(0.0), F.least(F.col("c") - 1, F.lit(k)).cast("int"))
-    gathered = F.filter(F.flatten(F.array_compact(F.array(copies, *sides))), lambda d: d.isNotNull())
+            other = shift("x", i).over(order)
+            # Repeated for the copies of that value.
+            near = F.struct(F.abs(other - F.col("x")).alias("gap"), other.alias("at"))
+            sides.append(F.array_repeat(near, F.least(shift("c", i).over(order), F.lit(k)).cast("int")))
+    itself = F.struct(F.lit(0.0).alias("gap"), F.col("x").alias("at"))
+    copies = F.array_repeat(itself, F.least(F.col("c") - 1, F.lit(k)).cast("int"))
+    gathered = F.filter(F.flatten(F.array_compact(F.array(copies, *sides))), lambda d: d["at"].isNotNull())
     wanted = F.least(F.lit(k).cast("long"), F.col("n_class") - 1)
     radii = (
-        lined.withColumn("_gaps", F.array_sort(gathered))
+        lined.withColumn("_near", F.array_sort(gathered))
         .filter("own")
         .join(classes, ["feature", "label"])
         .withColumn("k_used", wanted)
-        .withColumn("radius", F.element_at("_gaps", wanted.cast("int")))
+        .withColumn("_kth", F.element_at("_near", wanted.cast("int")))
+        .withColumn("radius", F.col("_kth.gap"))
+        # On its own side the k-th neighbour's value is the exact end, a sum could miss it by one bit.
+        .withColumn("upper", F.when(F.col("_kth.at") > F.col("x"), F.col("_kth.at")).otherwise(F.col("x") + F.col("radius")))
+        .withColumn("lower", F.when(F.col("_kth.at") < F.col("x"), F.col("_kth.at")).otherwise(F.col("x") - F.col("radius")))
     )
 
     # 3. Points of all classes inside the radius: running counts at both interval ends.
@@ -113,11 +119,11 @@ def neighbour_information(
         F.explode(
             F.array(
                 F.struct(
-                    (F.col("x") + F.col("radius")).alias("at"),
+                    F.col("upper").alias("at"),
                     F.when(open_end, 0).otherwise(2).alias("rank"), F.lit(1).alias("sign"),
                 ),
                 F.struct(
-                    (F.col("x") - F.col("radius")).alias("at"),
+                    F.col("lower").alias("at"),
                     F.when(open_end, 2).otherwise(0).alias("rank"), F.lit(-1).alias("sign"),
                 ),
             )

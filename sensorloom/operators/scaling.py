@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sensorloom.operators.cleaning import drop_iqr_outliers, quoted
+from sensorloom.operators.cleaning import drop_iqr_outliers, escaped, quoted
 
 
 def unit_scaled(x: Column, lo: Column, hi: Column) -> Column:
@@ -30,19 +30,20 @@ def minmax_columns(
     fitted = rows if fit_on is None else rows.filter(fit_on)
     ends = []
     for i, c in enumerate(columns):
-        ends += [F.min(quoted(c).cast("double")).alias(f"lo{i}"), F.max(quoted(c).cast("double")).alias(f"hi{i}")]
-    limits = fitted.agg(*ends).select(F.struct("*")).scalar()
+        x = f"CAST({escaped(c)} AS DOUBLE)"
+        ends += [f"min({x}) AS lo{i}", f"max({x}) AS hi{i}"]
+    limits = fitted.agg(*[F.expr(e) for e in ends]).select(F.struct("*")).scalar()
     position = {c: i for i, c in enumerate(columns)}
-    staged = rows.withColumn("_limits", limits)
     out = []
     for c in df.columns:
+        q = escaped(c)
         if c in position:
-            i = position[c]
-            scaled = unit_scaled(quoted(c).cast("double"), F.col(f"_limits.lo{i}"), F.col(f"_limits.hi{i}"))
-            out.append(scaled.alias(c))
+            lo, hi = f"_limits.lo{position[c]}", f"_limits.hi{position[c]}"
+            scaled = f"coalesce(try_divide(CAST({q} AS DOUBLE) - {lo}, {hi} - {lo}), 0D)"
+            out.append(f"IF({q} IS NULL, NULL, {scaled}) AS {q}")
         else:
-            out.append(quoted(c))
-    return staged.select(*out)
+            out.append(q)
+    return rows.withColumn("_limits", limits).selectExpr(*out)
 
 
 def minmax_by_group(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:

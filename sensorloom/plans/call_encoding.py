@@ -10,9 +10,9 @@ from sensorloom.operators.text import extract_calls, pair_tokens, term_counts, t
 from sensorloom.sources.archives import read_archives
 
 
-def call_documents(archives: DataFrame, tasks: int | None = None) -> DataFrame:
+def call_documents(archives: DataFrame) -> DataFrame:
     """(file_path, entry, timestamp, calls, label, device): one document per log."""
-    texts = read_archives(archives, tasks).filter(F.col("content").isNotNull())
+    texts = read_archives(archives).filter(F.col("content").isNotNull())
     calls = extract_calls(texts, "content").drop("content", "error")
     return calls.join(archives.select("file_path", "file_name", "label", "device"), "file_path")
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.operators.cleaning import quoted
+from sensorloom.operators.cleaning import drop_any_null, quoted
 from sensorloom.operators.network import INTERVAL_FEATURES, LENGTH_FEATURES, network_features
 from sensorloom.operators.ranking import filter_score_table, selected_features, top_per_label
 from sensorloom.operators.scoring import rank_features
@@ -39,7 +39,7 @@ def network_width_ablation(
     for width in widths:
         table = network_features(packets, ts, width, [label], "start", columns, tcp, udp)
         # The window table is small against the packets and the ranking reads it several times.
-        rows = materialise(table.select(label, *[quoted(n) for n in names])).dropna("any")
+        rows = drop_any_null(materialise(table.select(label, *[quoted(n) for n in names])))
         parts.append(rank_features(rows, label, names).withColumn("width_s", F.lit(int(width))))
     return union_sources(parts)
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.operators.cleaning import quoted, shuffled, to_numeric
+from sensorloom.operators.cleaning import drop_any_null, quoted, shuffled, to_numeric
 from sensorloom.operators.membership import encode_labels
 from sensorloom.operators.models import MAX_EPOCHS, assembled, evaluate, fit_linear
 from sensorloom.operators.scaling import minmax_columns
@@ -28,8 +28,8 @@ def clean_training_set(
     missing = sorted(set(selected) - set(fused.columns))
     if strict and missing:
         raise ValueError(f"selected features are missing: {missing}")
-    rows = fused.dropna("any") if dropna_scope == "all" else fused
-    rows = rows.select(*[quoted(k) for k in key], *[quoted(c) for c in present], label).dropna("any")
+    rows = drop_any_null(fused) if dropna_scope == "all" else fused
+    rows = drop_any_null(rows.select(*[quoted(k) for k in key], *[quoted(c) for c in present], label))
     encoded = encode_labels(rows, labels, label)
     scaled = minmax_columns(to_numeric(encoded, key), present)
     return shuffled(scaled, list(key) or present, seed) if seed is not None else scaled

@@ -13,8 +13,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sensorloom.session import materialise
+
 # Entries read by one open of an archive.
 ENTRY_RANGE = 64
+# Unpacked bytes one task should read.
+TASK_BYTES = 256 * 1024 * 1024
 ENTRIES_SCHEMA = "file_path string, entry string, entry_no int, entry_bytes long, error string"
 TEXT_SCHEMA = "file_path string, entry string, content string, error string"
 
@@ -62,8 +66,13 @@ def _read_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def archive_entries(archives: DataFrame) -> DataFrame:
-    """(file_path, entry, entry_no, entry_bytes, error) without reading contents."""
-    return archives.select("file_path").distinct().mapInPandas(_list_entries, ENTRIES_SCHEMA)
+    """(file_path, entry, entry_no, entry_bytes, error) without reading contents.
+
+    The number of partitions is explicit: the rows are tiny, and adaptive execution would put
+    all archives into one task.
+    """
+    tasks = archives.sparkSession.sparkContext.defaultParallelism * 4
+    return archives.select("file_path").repartition(tasks, "file_path").mapInPandas(_list_entries, ENTRIES_SCHEMA)
 
 
 def archive_timestamps(archives: DataFrame) -> DataFrame:
@@ -77,11 +86,14 @@ def entry_stem(column: str):
     return F.regexp_replace(F.regexp_extract(column, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
-def read_archives(archives: DataFrame, tasks: int | None = None) -> DataFrame:
-    """(file_path, entry, timestamp, content, error), one row per log entry."""
-    entries = archive_entries(archives).filter(F.col("entry").isNotNull())
-    spread = entries.withColumn("_range", F.floor(F.col("entry_no") / F.lit(ENTRY_RANGE)))
-    keys = ["file_path", "_range"]
-    placed = spread.repartition(tasks, *keys) if tasks else spread.repartition(*keys)
-    texts = placed.sortWithinPartitions("file_path", "entry_no").select("file_path", "entry").mapInPandas(_read_entries, TEXT_SCHEMA)
-    return texts.withColumn("timestamp", entry_stem("entry"))
+def read_archives(archives: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(file_path, entry, timestamp, content, error), one row per log entry.
+
+    The entry list is stored, its sizes give the number of tasks.
+    """
+    entries = materialise(archive_entries(archives).filter(F.col("entry").isNotNull()))
+    total = entries.agg(F.sum("entry_bytes")).first()[0] or 0
+    tasks = max(archives.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    placed = entries.withColumn("_range", F.floor(F.col("entry_no") / F.lit(ENTRY_RANGE))).repartition(tasks, "file_path", "_range")
+    ordered = placed.sortWithinPartitions("file_path", "entry_no").select("file_path", "entry")
+    return ordered.mapInPandas(_read_entries, TEXT_SCHEMA).withColumn("timestamp", entry_stem("entry"))

@@ -17,10 +17,9 @@ CALL_FIELDS = ["syscall", "calls", "total", "min", "avg", "max", "stddev"]
 
 def read_logs(spark: SparkSession, root: str) -> DataFrame:
     """(file_path, timestamp, content) of every .log file below root; the stem is the timestamp."""
-    files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.log").text(root)
-    )
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.log")
+    # A scan without the text column would count lines, not files.
+    files = files.filter(F.col("value").isNotNull())
     return files.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.regexp_replace(F.col("_metadata.file_name"), r"(?<=.)\.[^.]*$", "").alias("timestamp"),
@@ -31,13 +30,15 @@ def read_logs(spark: SparkSession, root: str) -> DataFrame:
 def _process(paragraph: Column) -> Column:
     head = F.substring_index(paragraph, RULE, 1)
     body = F.when(F.instr(paragraph, RULE) > 0, F.substr(paragraph, F.instr(paragraph, RULE) + F.lit(len(RULE)))).otherwise("")
-    columns = [F.regexp_extract_all(body, F.lit(ROW_PATTERN), F.lit(i + 1)).alias(c) for i, c in enumerate(CALL_FIELDS)]
-    calls = F.transform(
-        F.arrays_zip(*columns),
-        lambda r: F.struct(*[
-            r[c].alias(c) if c == "syscall" else r[c].cast("long" if c == "calls" else "double").alias(c) for c in CALL_FIELDS
-        ]),
-    )
+    # One regex pass finds the rows; their fields are separated by blanks.
+    rows = F.transform(F.regexp_extract_all(body, F.lit(ROW_PATTERN), F.lit(0)), lambda m: F.split(F.trim(F.translate(m, "\n\t", "  ")), r"\s+"))
+
+    def field(r: Column, i: int) -> Column:
+        c = CALL_FIELDS[i]
+        text = F.rtrim(r[i], F.lit("%")) if c == "stddev" else r[i]
+        return (text if c == "syscall" else text.cast("long" if c == "calls" else "double")).alias(c)
+
+    calls = F.transform(rows, lambda r: F.struct(*[field(r, i) for i in range(len(CALL_FIELDS))]))
     return F.struct(
         F.regexp_extract(head, HEADER_PATTERN, 1).alias("service_name"),
         F.regexp_extract(head, HEADER_PATTERN, 2).alias("pid"),

@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from sensorloom.operators.cleaning import quoted
 from sensorloom.operators.fusion import union_sources
+from sensorloom.operators.timestamps import TIMESTAMP_COLUMNS, timestamp_column
 from sensorloom.sources.catalog import header_inventory
 
 TEXT_COLUMNS = {"Protocol", "SourceIP", "DestIP", "file_path", "action"}
@@ -45,12 +46,11 @@ def _plain(column: str):
 def _scan(spark: SparkSession, columns: Sequence[str], files: Sequence[str], text_columns: Sequence[str]) -> DataFrame:
     schema = StructType([StructField(c, StringType()) for c in columns])
     raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(list(files))
-    kept = [c for c in columns if c != "index"]
-    times = {"timestamp", "time", "Time"}
-    values = [
-        quoted(c) if c in text_columns or c in times else quoted(c).try_cast("double").alias(c) for c in kept
-    ]
+    kept = [c for c in columns if c != "index" and c not in TIMESTAMP_COLUMNS]
+    values = [quoted(c) if c in text_columns else quoted(c).try_cast("double").alias(c) for c in kept]
+    # The time column is a choice per file, so it is settled before files are united.
     return raw.select(
+        quoted(timestamp_column(columns)).alias("timestamp"),
         *values,
         F.col("_metadata.file_path").alias(ORIGIN),
         F.struct(
