@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sensorloom.functions.numeric import ratio
 from sensorloom.functions.tokens import WORD_PATTERN, adjacent_pairs, call_names, words
 from sensorloom.operators.ordering import with_row_index
+from sensorloom.session import materialise
 
 
 def extract_calls(df: DataFrame, text: str, pattern: str | None = None) -> DataFrame:
@@ -21,27 +22,42 @@ def extract_calls(df: DataFrame, text: str, pattern: str | None = None) -> DataF
 
 
 def tokenised(
-    df: DataFrame, doc: Sequence[str], text: str, pattern: str = WORD_PATTERN, lowercase: bool = False
+    df: DataFrame, doc: Sequence[str], text: str, pattern: str = WORD_PATTERN, lowercase: bool = False, by_document: bool = False
 ) -> DataFrame:
-    """(doc keys, tokens); documents without text are dropped."""
-    return df.filter(F.col(text).isNotNull()).select(*doc, words(F.col(text), pattern, lowercase).alias("tokens"))
+    """(doc keys, tokens); documents without text are dropped.
+
+    ``by_document`` places the texts by document first: one shuffle of the short text instead
+    of two of its terms when both counts and row norms per document follow.
+    """
+    rows = df.filter(F.col(text).isNotNull()).select(*doc, text)
+    if by_document:
+        rows = rows.repartition(*doc)
+    return rows.select(*doc, words(F.col(text), pattern, lowercase).alias("tokens"))
+
+
+def exploded_terms(tokens: DataFrame, doc: Sequence[str], column: Column) -> DataFrame:
+    """One row per token. The outer form keeps the optimizer from adding a size filter, which would tokenise twice."""
+    return tokens.select(*doc, F.explode_outer(column).alias("term")).filter(F.col("term").isNotNull())
 
 
 def vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     """Distinct terms (T3), unordered; ``with_term_ids`` numbers them."""
-    return tokens.select(F.explode(column).alias("term")).distinct()
+    return exploded_terms(tokens, [], F.array_distinct(column)).distinct()
 
 
 def with_term_ids(terms: DataFrame) -> DataFrame:
-    """Adds ``term_id``: position in the sorted vocabulary, from a range-partitioned sort."""
-    return with_row_index(terms, ["term"], "term_id")
+    """Adds ``term_id``: position in the sorted vocabulary, from a range-partitioned sort.
+
+    The terms are stored first, because finding the ranges reads them a second time.
+    """
+    return with_row_index(materialise(terms), ["term"], "term_id")
 
 
 def term_counts(
     tokens: DataFrame, doc: Sequence[str], vocab: DataFrame | None = None, column: str = "tokens"
 ) -> DataFrame:
     """(doc keys, term, n) over the given vocabulary, or over all terms (T4)."""
-    counted = tokens.select(*doc, F.explode(column).alias("term")).groupBy(*doc, "term").agg(F.count("*").alias("n"))
+    counted = exploded_terms(tokens, doc, F.col(column)).groupBy(*doc, "term").agg(F.count("*").alias("n"))
     return counted if vocab is None else counted.join(vocab.select("term"), "term", "left_semi")
 
 

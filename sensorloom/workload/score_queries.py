@@ -10,17 +10,30 @@ from sensorloom.operators.network import INTERVAL_FEATURES, LENGTH_FEATURES
 from sensorloom.plans.feature_selection import ablation_top, network_width_ablation, select_univariate
 from sensorloom.session import materialise
 from sensorloom.workload.registry import query, r, rounded
-from sensorloom.workload.time_queries import PACKET_COLUMNS, packets
+from sensorloom.workload.time_queries import PACKET_COLUMNS, network_sql, packets
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LABEL = "l_returnflag"
 CLASSES = ["A", "N", "R"]
 
 # Shared SQL: narrow form, per-class moments, decile bins.
-LONG_SQL = f"""long AS (UNPIVOT (SELECT {LABEL} AS label, {', '.join(FEATURES)} FROM lineitem)
-    ON {', '.join(FEATURES)} INTO NAME feature VALUE x),
-    m AS (SELECT feature, label, count(*)::DOUBLE AS n, sum(x) AS s, avg(x) AS mean, var_pop(x) AS v FROM long GROUP BY ALL),
+MOMENTS_SQL = """m AS (SELECT feature, label, count(*)::DOUBLE AS n, sum(x) AS s, avg(x) AS mean, var_pop(x) AS v FROM long GROUP BY ALL),
     a AS (SELECT feature, count(*)::DOUBLE AS n_all, sum(x) AS s_all, avg(x) AS mean_all, var_pop(x) AS v_all FROM long GROUP BY feature)"""
+
+
+def long_sql(source: str, features: list[str]) -> str:
+    """Narrow form of ``source`` (label and feature columns) and its moments."""
+    return f"long AS (UNPIVOT ({source}) ON {', '.join(features)} INTO NAME feature VALUE x), {MOMENTS_SQL}"
+
+
+def scaled_sql(source: str, features: list[str]) -> str:
+    """All features of ``source`` min-max-scaled."""
+    scaled = ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in features)
+    return f"SELECT label, {scaled} FROM ({source})"
+
+
+ITEMS_SQL = f"SELECT {LABEL} AS label, {', '.join(FEATURES)} FROM lineitem"
+LONG_SQL = long_sql(ITEMS_SQL, FEATURES)
 CHI_SQL = "sum((s - n / n_all * s_all) ** 2 / (n / n_all * s_all))"
 F_SQL = "(sum(n * (mean - mean_all) ** 2) / (count(*) - 1)) / (sum(n * v) / (max(n_all) - count(*)))"
 ONE_SQL = f"""one AS (SELECT feature, label,
@@ -94,14 +107,9 @@ def information_gain(t):
     return shown(scoring.information_gain(t.lineitem, LABEL, FEATURES))
 
 
-RANK_LONG = f"""sc AS (SELECT {LABEL} AS label, """ + ", ".join(
-    f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in FEATURES
-) + " FROM lineitem), " + LONG_SQL.replace(f"SELECT {LABEL} AS label, {', '.join(FEATURES)} FROM lineitem", f"SELECT label, {', '.join(FEATURES)} FROM sc")
-
-
 @query(
     "rank_features",
-    f"WITH {RANK_LONG}, {ONE_SQL}, {bins_sql()} SELECT feature, label, {SCORE_OUT} FROM one JOIN mi1 USING (feature, label)",
+    f"WITH {long_sql(scaled_sql(ITEMS_SQL, FEATURES), FEATURES)}, {ONE_SQL}, {bins_sql()} SELECT feature, label, {SCORE_OUT} FROM one JOIN mi1 USING (feature, label)",
 )
 def rank_features(t):
     """F8: scale, drop constant columns, score; the whole ranking job of one source."""
@@ -249,19 +257,51 @@ def scores_in_reference_order(t):
     return rounded(ranking.in_order_of(s, listed, ["pos", "feature"]).select("feature", "label", "chi2"), 4, ["chi2"])
 
 
-@query("information_neighbours")
+NEIGHBOURS_SQL = f"""WITH l AS (SELECT 'value' AS feature, event_type AS label, round(value * 100) AS x, event_id FROM events
+      UNION ALL SELECT 'user_id', event_type, user_id::DOUBLE, event_id FROM events),
+    g AS (SELECT *, count(*) OVER (PARTITION BY feature, label) AS nc, list_sort(list_filter([{', '.join(
+        f"x - lag(x, {i}) OVER w, lead(x, {i}) OVER w - x" for i in (1, 2, 3))}], lambda d: d IS NOT NULL))[3] AS rad
+      FROM l WINDOW w AS (PARTITION BY feature, label ORDER BY x, event_id)),
+    a AS (SELECT feature, x, rad, nc, count(*) AS c FROM g GROUP BY ALL), b AS (SELECT feature, x, count(*) AS c FROM l GROUP BY ALL),
+    m AS (SELECT a.feature, a.x, a.rad, a.nc, any_value(a.c) AS c, sum(b.c)::BIGINT AS m FROM a JOIN b
+      ON a.feature = b.feature AND (abs(b.x - a.x) < a.rad OR b.x = a.x) GROUP BY ALL),
+    psi AS (SELECT i, coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.5772156649015329::DOUBLE AS p
+      FROM (SELECT unnest(generate_series(1, (SELECT count(*) FROM events))) AS i)),
+    s AS (SELECT feature, sum(c) AS n, sum(c * (SELECT p FROM psi WHERE i = 3)) - sum(c * p1.p) - sum(c * p2.p) AS t
+      FROM m JOIN psi p1 ON p1.i = nc JOIN psi p2 ON p2.i = m GROUP BY feature)
+    SELECT feature, {r('greatest(psi.p + t / n, 0)', 9)} AS mutual_info_classif FROM s JOIN psi ON psi.i = n"""
+
+
+@query("information_neighbours", NEIGHBOURS_SQL)
 def information_neighbours(t):
-    """F4, second form: nearest-neighbour estimate over the whole events table (tested against brute force)."""
-    rows = t.events.select("event_type", "value", F.col("user_id").cast("double").alias("user_id"))
+    """F4, second form: nearest-neighbour estimate over the whole events table."""
+    cents = F.round(F.col("value") * 100).alias("value")
+    rows = t.events.select("event_type", cents, F.col("user_id").cast("double").alias("user_id"))
     return rounded(neighbour_information(rows, "event_type", ["value", "user_id"]), 9, ["mutual_info_classif"])
 
 
-@query("network_width_ablation")
+ABLATION_FEATURES = ["TcpPacketCount", "(OLD) AverageLength", "MeanInterPacketInterval"]
+ABLATION_WIDTHS = [7200, 14400, 28800]
+
+
+def ablation_sql() -> str:
+    """The ranking SQL over the network SQL, once per width."""
+    names = ["TcpPacketCount", '"(OLD) AverageLength"', "MeanInterPacketInterval"]
+    parts = []
+    for width in ABLATION_WIDTHS:
+        table = network_sql(width * 1_000_000, "lo", "event_type", False, None)
+        known = f"SELECT event_type AS label, {', '.join(names)} FROM ({table}) WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)}"
+        parts.append(
+            f"SELECT {width}::INT AS width_s, * FROM (WITH {long_sql(scaled_sql(known, names), names)}, {ONE_SQL}, {bins_sql()}"
+            f" SELECT feature, label, {SCORE_OUT} FROM one JOIN mi1 USING (feature, label))"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("network_width_ablation", ablation_sql())
 def network_width_ablation_(t):
     """the network ranking at several window widths in one query."""
-    names = ["TcpPacketCount", "(OLD) AverageLength", "MeanInterPacketInterval"]
-    scores = network_width_ablation(packets(t), "ts", "event_type", [7200, 14400, 28800], PACKET_COLUMNS, names)
-    return shown(scores)
+    return shown(network_width_ablation(packets(t), "ts", "event_type", ABLATION_WIDTHS, PACKET_COLUMNS, ABLATION_FEATURES))
 
 
 @query("network_ablation_top")

@@ -26,8 +26,8 @@ TOK_SQL = f"""tok AS (SELECT doc_id, lang, {words_sql('lower(text)')} AS tokens
     tfidf AS (SELECT doc_id, term, n, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w)"""
 
 
-def tokens(t, *extra):
-    return text.tokenised(t.documents, ["doc_id", *extra], "text", ASCII_WORD_PATTERN, lowercase=True)
+def tokens(t, *extra, by_document=False):
+    return text.tokenised(t.documents, ["doc_id", *extra], "text", ASCII_WORD_PATTERN, lowercase=True, by_document=by_document)
 
 
 @query(
@@ -52,13 +52,13 @@ def vocabulary(t):
 @query("vocabulary_by_language", f"WITH {TOK_SQL} SELECT DISTINCT lang, unnest(tokens) AS term FROM tok")
 def vocabulary_by_language(t):
     """T3 per group: the vocabularies before they are united."""
-    return tokens(t, "lang").select("lang", F.explode("tokens").alias("term")).distinct()
+    return tokens(t, "lang").select("lang", F.explode_outer(F.array_distinct("tokens")).alias("term")).filter("term IS NOT NULL").distinct()
 
 
 @query("bag_of_words", f"WITH {TOK_SQL} SELECT * FROM cnt")
 def bag_of_words(t):
     """T4: term counts of every document."""
-    return text.term_counts(tokens(t), ["doc_id"])
+    return text.term_counts(tokens(t, by_document=True), ["doc_id"])
 
 
 @query(
@@ -69,19 +69,19 @@ def bag_of_words(t):
 def bag_of_words_fixed_vocabulary(t):
     """T4 over a given vocabulary: the terms of the benchmark texts."""
     vocab = text.vocabulary(text.tokenised(t.benchmark, ["item_id"], "text", ASCII_WORD_PATTERN, lowercase=True))
-    return text.term_counts(tokens(t), ["doc_id"], vocab)
+    return text.term_counts(tokens(t, by_document=True), ["doc_id"], vocab)
 
 
 @query("tfidf", f"WITH {TOK_SQL} SELECT doc_id, term, n, {r('tfidf')} AS tfidf FROM tfidf")
 def tfidf(t):
     """T5: smooth IDF, rows scaled to length 1."""
-    return rounded(text.tfidf(tokens(t), ["doc_id"]), 6, ["tfidf"])
+    return rounded(text.tfidf(tokens(t, by_document=True), ["doc_id"]), 6, ["tfidf"])
 
 
 @query("top_idf", f"WITH {TOK_SQL} SELECT term, df, {r('idf')} AS idf FROM idf ORDER BY idf.idf DESC, term LIMIT 10")
 def top_idf(t):
     """K7: terms of the highest IDF."""
-    rows = tokens(t)
+    rows = tokens(t, by_document=True)
     return rounded(text.top_idf(text.term_counts(rows, ["doc_id"]), rows.agg(F.count("*")).scalar(), 10), 6, ["idf"])
 
 
@@ -90,7 +90,7 @@ CONV_SQL = f"""tok AS (SELECT conv_id, turn, {words_sql('lower(text)')} AS t FRO
 
 
 def turns(t):
-    return text.tokenised(t.conversations, ["conv_id", "turn"], "text", ASCII_WORD_PATTERN, lowercase=True)
+    return text.tokenised(t.conversations, ["conv_id", "turn"], "text", ASCII_WORD_PATTERN, lowercase=True, by_document=True)
 
 
 PAIRS_SQL = f"""WITH {CONV_SQL}, g AS (SELECT conv_id, turn, a AS term FROM pos UNION ALL SELECT conv_id, turn, a || ' ' || b FROM pos WHERE b IS NOT NULL__EXTRA__)
@@ -130,7 +130,7 @@ def two_gram_tfidf(t):
 )
 def rows_minmax(t):
     """Row-wise min-max over stored values into [1, 5]."""
-    return rounded(text.minmax_rows(text.term_counts(tokens(t), ["doc_id"]), ["doc_id"], "n", 1.0, 5.0), 6, ["scaled"])
+    return rounded(text.minmax_rows(text.term_counts(tokens(t, by_document=True), ["doc_id"]), ["doc_id"], "n", 1.0, 5.0), 6, ["scaled"])
 
 
 @query(
@@ -142,7 +142,7 @@ def rows_minmax(t):
 def term_extremes(t):
     """Extremes of the stored values per vocabulary term, 0 when unused."""
     vocab = text.vocabulary(text.tokenised(t.benchmark, ["item_id"], "text", ASCII_WORD_PATTERN, lowercase=True))
-    return text.term_extremes(text.term_counts(tokens(t), ["doc_id"]), "n", vocab)
+    return text.term_extremes(text.term_counts(tokens(t, by_document=True), ["doc_id"]), "n", vocab)
 
 
 @query(
@@ -152,7 +152,7 @@ def term_extremes(t):
 )
 def low_variance_terms(t):
     """Variance over all documents with the zeros that are not stored."""
-    rows = tokens(t)
+    rows = tokens(t, by_document=True)
     table = text.constant_terms(text.term_counts(rows, ["doc_id"]), "n", rows.agg(F.count("*")).scalar(), 0.0014)
     return rounded(table, 9, ["variance"])
 

@@ -190,7 +190,7 @@ def packet_source(tied: bool) -> str:
         FROM (SELECT *, regexp_extract(props, '([0-9]+)', 1)::INT AS k FROM events))"""
 
 
-def network_sql(width: int, origin: str, label: str | None, tied: bool) -> str:
+def network_sql(width: int, origin: str, label: str | None, tied: bool, digits: int | None = 3) -> str:
     part = f"PARTITION BY {label + ', ' if label else ''}win_us ORDER BY us, event_id"
     steps = f""",
     d1 AS (SELECT *, (us - lag(us) OVER ({part})) / 1e6 AS dt FROM rows_),
@@ -213,7 +213,7 @@ def network_sql(width: int, origin: str, label: str | None, tied: bool) -> str:
         "AverageBandwidth": "avg(bw)", "VarianceBandwidth": "var_samp(bw)", "MinBandwidth": "min(bw)", "MaxBandwidth": "max(bw)",
     }
     body = "true AS hit, " + ", ".join(f"{e} AS {n}" for n, e in features.items())
-    outs = ", ".join(f"CASE WHEN hit THEN {r(n, 3)} ELSE 0.0::DOUBLE END AS {n}" for n in features)
+    outs = ", ".join(f"CASE WHEN hit THEN {r(n, digits) if digits else n} ELSE 0.0::DOUBLE END AS {n}" for n in features)
     sql = grid_sql(width, origin, body, outs, label, packet_source(tied), extra=steps)
     return sql.replace("FROM rows_ GROUP BY", "FROM d3 GROUP BY")
 
