@@ -13,6 +13,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorloom.functions.timeparts import bucket_of, instant_micros, micros_of, timestamp_of, width_micros
+from sensorloom.operators.lookup import join_lookup
+from sensorloom.session import materialise
 
 # Windows emitted per generated row of the grid; keeps every sequence array small.
 GRID_CHUNK = 4096
@@ -44,8 +46,17 @@ def _per_series(origin: Origin) -> bool:
     return origin in ("start", "start_day")
 
 
+def stored_span(df: DataFrame, ts: str, series: Sequence[str], origin: Origin) -> DataFrame | None:
+    """The written span table when windows hang on each series' own start, else None.
+
+    Callers that need windows and grid make it once and pass it to both.
+    """
+    return materialise(series_span(df, ts, series)) if _per_series(origin) else None
+
+
 def assign_windows(
-    df: DataFrame, ts: str, width: str | int | float, series: Sequence[str] = (), origin: Origin = "epoch"
+    df: DataFrame, ts: str, width: str | int | float, series: Sequence[str] = (), origin: Origin = "epoch",
+    span: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``ts_us`` and ``win_us``. Rows without a timestamp are dropped.
 
@@ -57,16 +68,17 @@ def assign_windows(
     if not _per_series(origin):
         anchor = _fixed_origin(df, ts, origin, None)
         return rows.withColumn("win_us", bucket_of(F.col("ts_us"), anchor, width_us))
-    span = series_span(df, ts, series).drop("hi_us")
+    span = (stored_span(df, ts, series, origin) if span is None else span).drop("hi_us")
     if series:
-        rows = rows.join(span, list(series))
+        rows = join_lookup(rows, span, series, stored=True)
         anchor = _fixed_origin(df, ts, origin, F.col("lo_us"))
         return rows.withColumn("win_us", bucket_of(F.col("ts_us"), anchor, width_us)).drop("lo_us")
     return rows.withColumn("win_us", bucket_of(F.col("ts_us"), _fixed_origin(df, ts, origin, span.scalar()), width_us))
 
 
 def window_grid(
-    df: DataFrame, ts: str, width: str | int | float, series: Sequence[str] = (), origin: Origin = "epoch"
+    df: DataFrame, ts: str, width: str | int | float, series: Sequence[str] = (), origin: Origin = "epoch",
+    span: DataFrame | None = None,
 ) -> DataFrame:
     """Every window from the first to the last one of each series.
 
@@ -74,7 +86,7 @@ def window_grid(
     series is spread over rows instead of one huge array.
     """
     width_us = width_micros(width)
-    span = series_span(df, ts, series)
+    span = series_span(df, ts, series) if span is None else span
     anchor = _fixed_origin(df, ts, origin, F.col("lo_us"))
     chunk_us = width_us * GRID_CHUNK
     bounds = span.filter(F.col("lo_us").isNotNull()).select(
@@ -132,11 +144,12 @@ def window_agg(
     keep_gaps: bool = True,
 ) -> DataFrame:
     """Any aggregates per (series, window), optionally with the empty windows."""
-    windowed = assign_windows(df, ts, width, series, origin)
+    span = stored_span(df, ts, series, origin)
+    windowed = assign_windows(df, ts, width, series, origin, span)
     aggregated = windowed.groupBy(*series, "win_us").agg(*aggs)
     if not keep_gaps:
         return aggregated
-    return fill_gaps(window_grid(df, ts, width, series, origin), aggregated, series, fills or {})
+    return fill_gaps(window_grid(df, ts, width, series, origin, span), aggregated, series, fills or {})
 
 
 def window_mean(

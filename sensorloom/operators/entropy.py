@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sensorloom.operators.buckets import Origin, assign_windows, fill_gaps, window_agg, window_grid
+from sensorloom.operators.buckets import Origin, assign_windows, stored_span, window_agg, window_grid
 from sensorloom.operators.text import tfidf_from_counts
 
 # Entropy limits of the two features.
@@ -56,14 +56,15 @@ def filetype_profile(
     Every window between a label's first and last row is a document, also an empty one;
     that is the document count of the IDF.
     """
-    windowed = assign_windows(df, ts, width, [label], origin)
+    span = stored_span(df, ts, [label], origin)
+    windowed = assign_windows(df, ts, width, [label], origin, span)
     kind = file_type(F.col(path)) if kind is None else kind
     counts = (
         windowed.filter(F.col(entropy) >= threshold)
         .groupBy(label, "win_us", kind.alias("term"))
         .agg(F.count("*").alias("n"))
     )
-    documents = window_grid(df, ts, width, [label], origin)
+    documents = window_grid(df, ts, width, [label], origin, span)
     return tfidf_from_counts(counts, [label, "win_us"], documents.agg(F.count("*")).scalar())
 
 

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sensorloom.operators.lookup import join_lookup
+
 
 def in_both(left: DataFrame, right: DataFrame, on: str = "feature") -> DataFrame:
     """Rows of ``left`` whose feature the other table knows."""
@@ -69,4 +71,4 @@ def source_of_features(features: DataFrame, registry: DataFrame, fold: Mapping[s
 
 def tag_with_catalog(rows: DataFrame, catalog: DataFrame, path: str = "file_path") -> DataFrame:
     """Label, device and source of the file a row came from."""
-    return rows.join(catalog.select(path, "label", "device", "data_source"), path)
+    return join_lookup(rows, catalog.select(path, "label", "device", "data_source"), [path])

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.numeric import digamma
 from sensorloom.operators.cleaning import quoted
+from sensorloom.operators.lookup import join_lookup
 from sensorloom.operators.quantiles import melt
 from sensorloom.session import materialise
 
@@ -30,7 +31,7 @@ def _slice_of(x: Column, splits: Column, slices: int) -> Column:
 
 
 def _sliced(points: DataFrame, column: str, splits: DataFrame, slices: int) -> DataFrame:
-    return points.join(splits, "feature").withColumn("slice", _slice_of(F.col(column), F.col("splits"), slices)).drop("splits")
+    return join_lookup(points, splits, ["feature"], stored=True).withColumn("slice", _slice_of(F.col(column), F.col("splits"), slices)).drop("splits")
 
 
 def neighbour_information(
@@ -44,13 +45,13 @@ def neighbour_information(
         .groupBy("feature", F.col("_label").alias("label"), "x")
         .agg(F.count("*").alias("c"))
     )
-    classes = combined.groupBy("feature", "label").agg(F.sum("c").alias("n_class")).filter("n_class > 1")
+    classes = materialise(combined.groupBy("feature", "label").agg(F.sum("c").alias("n_class")).filter("n_class > 1"))
     # Split points only balance the work, but all steps must agree on them: they are written once.
     probs = [i / slices for i in range(1, slices)]
     splits = materialise(
         combined.groupBy("feature").agg(F.percentile_approx("x", [float(p) for p in probs], 1000).alias("splits"))
     )
-    points = materialise(_sliced(combined.join(classes, ["feature", "label"]), "x", splits, slices))
+    points = materialise(_sliced(join_lookup(combined, classes, ["feature", "label"], stored=True), "x", splits, slices))
 
     # 1. Rows that neighbouring slices need: the k lowest and k highest of each (feature, label, slice).
     inner = ["feature", "label", "slice"]
@@ -92,9 +93,7 @@ def neighbour_information(
     gathered = F.filter(F.flatten(F.array_compact(F.array(copies, *sides))), lambda d: d["at"].isNotNull())
     wanted = F.least(F.lit(k).cast("long"), F.col("n_class") - 1)
     radii = (
-        lined.withColumn("_near", F.array_sort(gathered))
-        .filter("own")
-        .join(classes, ["feature", "label"])
+        join_lookup(lined.withColumn("_near", F.array_sort(gathered)).filter("own"), classes, ["feature", "label"], stored=True)
         .withColumn("k_used", wanted)
         .withColumn("_kth", F.element_at("_near", wanted.cast("int")))
         .withColumn("radius", F.col("_kth.gap"))
@@ -138,11 +137,8 @@ def neighbour_information(
     sweep = Window.partitionBy("feature", "slice").orderBy("at", "rank").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    counted = (
-        events.withColumn("upto", F.sum("w").over(sweep))
-        .filter(F.col("sign").isNotNull())
-        .join(offsets, ["feature", "slice"])
-    )
+    ends = events.withColumn("upto", F.sum("w").over(sweep)).filter(F.col("sign").isNotNull())
+    counted = join_lookup(ends, offsets, ["feature", "slice"])
     inside = counted.groupBy("feature", "label", "x").agg(
         F.sum(F.col("sign") * (F.col("upto") + F.col("offset"))).alias("m"),
         F.max("c").alias("c"), F.max("k_used").alias("k_used"), F.max("n_class").alias("n_class"),

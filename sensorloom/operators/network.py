@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorloom.functions.timeparts import width_micros
-from sensorloom.operators.buckets import Origin, assign_windows, fill_gaps, window_grid
+from sensorloom.operators.buckets import Origin, assign_windows, fill_gaps, stored_span, window_grid
 
 SLICES = 64
 
@@ -213,7 +213,8 @@ def network_features(
         "dest_ip": "DestIP", "length": "Length", "seq": "row_seq",
     } | (columns or {})
     keys = [*series, "win_us"]
-    windowed = assign_windows(df, ts, width, series, origin)
+    span = stored_span(df, ts, series, origin)
+    windowed = assign_windows(df, ts, width, series, origin, span)
     packets = windowed.select(
         *keys, "ts_us",
         *[F.col(f"`{src}`").alias(dst) for dst, src in names.items() if dst != "length"],
@@ -226,7 +227,7 @@ def network_features(
         .select(*keys, *[F.col(f"`{c}`") for c in LENGTH_FEATURES + INTERVAL_FEATURES])
     )
     zeros = {c: 0 for c in LENGTH_FEATURES + INTERVAL_FEATURES}
-    return fill_gaps(window_grid(df, ts, width, series, origin), features, series, zeros)
+    return fill_gaps(window_grid(df, ts, width, series, origin, span), features, series, zeros)
 
 
 def basic_network_features(
@@ -245,7 +246,8 @@ def basic_network_features(
         "dest_ip": "DestIP", "length": "Length",
     } | (columns or {})
     keys = [*series, "win_us"]
-    windowed = assign_windows(df, ts, width, series, origin)
+    span = stored_span(df, ts, series, origin)
+    windowed = assign_windows(df, ts, width, series, origin, span)
     packets = windowed.select(
         *keys,
         *[F.col(f"`{names[c]}`").alias(c) for c in ("protocol", "source_port", "dest_port", "dest_ip")],
@@ -263,7 +265,7 @@ def basic_network_features(
         *keys, *renamed.values(), "TcpPacketCount", "UdpPacketCount"
     )
     counted = ["PacketCount", "TotalLength", "DifferentSourcePorts", "DifferentDestPorts", "TcpPacketCount", "UdpPacketCount"]
-    return fill_gaps(window_grid(df, ts, width, series, origin), features, series, {c: 0 for c in counted})
+    return fill_gaps(window_grid(df, ts, width, series, origin, span), features, series, {c: 0 for c in counted})
 
 
 def exclude_addresses(df: DataFrame, addresses: Sequence[str], source: str = "SourceIP", dest: str = "DestIP") -> DataFrame:

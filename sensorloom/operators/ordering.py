@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sensorloom.operators.lookup import join_lookup
 from sensorloom.session import materialise
 
 _ROW_BITS = 33  # rows of a partition are numbered in the low 33 bits of a generated id
@@ -14,8 +15,8 @@ _ROW_BITS = 33  # rows of a partition are numbered in the low 33 bits of a gener
 def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
     """Adds the 0-based position in the total order of ``order`` (must identify a row).
 
-    Range partitions are sorted independently; a checkpoint fixes rows and partitions, and
-    the rows per partition (one row each) give the offsets.
+    Range partitions are sorted independently; writing the rows fixes them with their partition,
+    and the rows per partition (one row each) give the offsets.
     """
     placed = materialise(
         df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_rid", F.monotonically_increasing_id())
@@ -26,12 +27,8 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_index")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     local = F.col("_rid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1).cast("long"))
-    return (
-        placed.withColumn("_part", part)
-        .join(offsets, "_part")
-        .withColumn(name, (F.col("_offset") + local).cast("long"))
-        .drop("_part", "_rid", "_offset")
-    )
+    indexed = join_lookup(placed.withColumn("_part", part), offsets, ["_part"])
+    return indexed.withColumn(name, (F.col("_offset") + local).cast("long")).drop("_part", "_rid", "_offset")
 
 
 def contiguous_shard(index: Column, n: Column, k: int) -> Column:

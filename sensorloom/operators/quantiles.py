@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from sensorloom.operators.lookup import join_lookup
+
 SKETCH_ACCURACY = 10_000
 
 
@@ -29,7 +31,7 @@ def _ranked(
     sketch = f"percentile_approx(x, array({', '.join(f'{e!r}D' for e in ends)}), {accuracy})"
     brackets = rows.groupBy(*keys).agg(F.expr(sketch).alias("b"), F.expr("count(*)").alias("n"))
     if keys:
-        tagged = rows.join(brackets, list(keys))
+        tagged = join_lookup(rows, brackets, keys)
     else:
         whole = brackets.select(F.struct("b", "n")).scalar()
         tagged = rows.withColumn("_s", whole).selectExpr(*by, "x", "_s.b AS b", "_s.n AS n")

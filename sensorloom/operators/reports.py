@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorloom.functions.numeric import ratio
 from sensorloom.operators.cleaning import quoted
+from sensorloom.operators.lookup import join_lookup
 from sensorloom.operators.quantiles import feature_quantiles, melt
+from sensorloom.session import materialise
 
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -68,7 +70,8 @@ def box_summary(df: DataFrame, features: Sequence[str], ids: Sequence[str] = ())
         F.col("q3").alias("q75"), F.col("q4").alias("hi"),
     )
     reach = (F.col("q75") - F.col("q25")) * F.lit(1.5)
-    rows = melt(df, ids, features).join(box, keys)
+    box = materialise(box)
+    rows = join_lookup(melt(df, ids, features), box, keys, stored=True)
     inside = F.col("x").between(F.col("q25") - reach, F.col("q75") + reach)
     whiskers = rows.groupBy(*keys).agg(
         F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorloom.operators.cleaning import drop_iqr_outliers, escaped, quoted
+from sensorloom.operators.lookup import join_lookup
 
 
 def unit_scaled(x: Column, lo: Column, hi: Column) -> Column:
@@ -53,7 +54,7 @@ def minmax_by_group(df: DataFrame, group: Sequence[str], columns: Sequence[str])
         ends += [F.min(quoted(c).cast("double")).alias(f"_lo{i}"), F.max(quoted(c).cast("double")).alias(f"_hi{i}")]
     limits = df.groupBy(*group).agg(*ends)
     position = {c: i for i, c in enumerate(columns)}
-    joined = df.join(limits, list(group))
+    joined = join_lookup(df, limits, group)
     return joined.select(
         *[
             unit_scaled(quoted(c).cast("double"), F.col(f"_lo{position[c]}"), F.col(f"_hi{position[c]}")).alias(c)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.functions.numeric import hash_order, hash_unit
 from sensorloom.operators.cleaning import quoted
+from sensorloom.operators.lookup import join_lookup
 from sensorloom.operators.ordering import contiguous_shard, with_row_index
 
 HASH_BUCKETS = 10_000
@@ -32,7 +33,7 @@ def device_shards(df: DataFrame, device: str, k: int, seed: int) -> DataFrame:
     indexed = with_row_index(devices, ["_h", device], "_index")
     total = indexed.agg(F.count("*")).scalar()
     table = indexed.select(device, contiguous_shard(F.col("_index"), total, k).alias("shard"))
-    return df.join(table, device)
+    return join_lookup(df, table, [device])
 
 
 def half_device_shards(df: DataFrame, device: str, key: Sequence[str], seed: int) -> DataFrame:
@@ -45,7 +46,7 @@ def half_device_shards(df: DataFrame, device: str, key: Sequence[str], seed: int
     table = with_row_index(ordered, ["_h", device, "half"], "shard").select(
         device, "half", F.col("shard").cast("int").alias("shard")
     )
-    return halves.join(table, [device, "half"])
+    return join_lookup(halves, table, [device, "half"])
 
 
 def dirichlet_shares(labels: Sequence, k: int, alpha: float, seed: int) -> dict:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sensorloom.operators.lookup import join_lookup
+
 # Accepted timestamp columns, the first one present is used.
 TIMESTAMP_COLUMNS = ("timestamp", "time", "Time")
 
@@ -39,7 +41,7 @@ def normalise_timestamps(df: DataFrame, file_cols: Sequence[str], now_epoch: flo
     units = kept.groupBy(*file_cols).agg((F.max("raw_ts") > now).alias("_is_ms"))
     seconds = F.when(F.col("_is_ms"), F.floor(F.col("raw_ts") / 1000).cast("double")).otherwise(F.col("raw_ts"))
     return (
-        kept.join(units, list(file_cols))
+        join_lookup(kept, units, file_cols)
         .withColumn("ts", F.timestamp_micros(F.round(seconds * 1_000_000).cast("long")))
         .drop("raw_ts", "_is_ms")
     )

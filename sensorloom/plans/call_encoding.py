@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from sensorloom.operators.lookup import join_lookup
 from sensorloom.operators.text import extract_calls, pair_tokens, term_counts, tfidf_from_counts, vocabulary
 from sensorloom.sources.archives import read_archives
 
@@ -14,7 +15,7 @@ def call_documents(archives: DataFrame) -> DataFrame:
     """(file_path, entry, timestamp, calls, label, device): one document per log."""
     texts = read_archives(archives).filter(F.col("content").isNotNull())
     calls = extract_calls(texts, "content").drop("content", "error")
-    return calls.join(archives.select("file_path", "file_name", "label", "device"), "file_path")
+    return join_lookup(calls, archives.select("file_path", "file_name", "label", "device"), ["file_path"])
 
 
 def encode_documents(

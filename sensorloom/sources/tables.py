@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from sensorloom.operators.cleaning import quoted
 from sensorloom.operators.fusion import union_sources
+from sensorloom.operators.lookup import join_lookup
 from sensorloom.operators.timestamps import TIMESTAMP_COLUMNS, timestamp_column
 from sensorloom.sources.catalog import header_inventory
 
@@ -36,7 +37,7 @@ def read_source(spark: SparkSession, catalog: DataFrame, text_columns: Sequence[
     attributes = catalog.select(F.col("file_path").alias(ORIGIN), "label", "device", "data_source")
     # The metadata column writes file:///x, the listing file:/x.
     attributes = attributes.withColumn(ORIGIN, _plain(ORIGIN))
-    return union_sources(tables).withColumn(ORIGIN, _plain(ORIGIN)).join(attributes, ORIGIN)
+    return join_lookup(union_sources(tables).withColumn(ORIGIN, _plain(ORIGIN)), attributes, [ORIGIN])
 
 
 def _plain(column: str):

@@ -216,3 +216,21 @@ def test_recursive_elimination_keeps_the_informative_feature(spark):
     weights = models.class_weights(models.fit_linear(models.assembled(df, ["good", "noise1"]), max_iter=15), df, ["good", "noise1"])
     assert ranking.top_weights(weights, 1, "abs").collect()[0]["feature"] == "good"
     assert math.isclose(weights.count(), 4)
+
+
+def test_lookup_beyond_the_broadcast_limit_gives_the_same_rows(spark, monkeypatch):
+    from sensorloom.operators import lookup
+
+    rows = spark.range(1000).withColumn("k", F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 7))
+    table = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    small = lookup.join_lookup(rows, table, ["k"])
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 1)
+    salted = lookup.join_lookup(rows, table, ["k"])
+    assert salted.columns == small.columns and salted.exceptAll(small).isEmpty() and salted.count() == small.count()
+
+
+def test_strict_numbers_raise_and_lenient_ones_become_null(spark):
+    df = spark.createDataFrame([("1.5", "x"), ("oops", "y")], "v string, keep string")
+    assert [r["v"] for r in cleaning.to_numeric(df, ["keep"], lenient=True).collect()] == [1.5, None]
+    with pytest.raises(Exception):
+        cleaning.to_numeric(df, ["keep"]).collect()
