@@ -23,7 +23,7 @@ def join_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], stored:
     small = table if stored else materialise(table)
     if small.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), list(keys))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     # The salt only spreads the rows: every copy of the table holds the same values.
     spread = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS).cast("long")))
     return spread.join(copies, [*keys, "_salt"]).drop("_salt")
