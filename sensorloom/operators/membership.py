@@ -44,6 +44,11 @@ def mapped(column: Column, mapping: Mapping, strict: bool = True) -> Column:
     return F.when(found.isNull() & column.isNotNull(), F.raise_error(message).cast(kind)).otherwise(found)
 
 
+def with_family(df: DataFrame, families: Mapping[str, str], device: str = "device") -> DataFrame:
+    """Adds ``family`` from a device -> hardware family map (P12); an unlisted device gives null."""
+    return df.withColumn("family", mapped(F.col(device), families, strict=False))
+
+
 def encode_labels(df: DataFrame, labels: Sequence[str], column: str = "label") -> DataFrame:
     """Label text -> 0-based code in lexicographic order (F14); an unknown label raises."""
     codes = {name: i for i, name in enumerate(sorted(labels))}

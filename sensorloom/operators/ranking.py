@@ -106,7 +106,7 @@ def preview(df: DataFrame, n: int, seed: int | None = None, order: Sequence[str]
     return df.orderBy(*order).limit(n) if order else df.limit(n)
 
 
-def in_order_of(scores: DataFrame, reference: DataFrame, order: Sequence[str]) -> DataFrame:
+def in_order_of(scores: DataFrame, listed: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows of ``scores`` for the features of another table, in that table's order."""
-    best = reference.groupBy("feature").agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_o"))
+    best = listed.groupBy("feature").agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_o"))
     return scores.join(best, "feature").orderBy("_o").drop("_o")

@@ -1,4 +1,4 @@
-"""Names of sources, labels and devices, and the registry of source columns."""
+"""Names of sources and labels, and the registry of source columns."""
 
 from __future__ import annotations
 
@@ -38,18 +38,6 @@ SOURCE_ALIASES = {
     "RES": "RES_data",
 }
 
-# Device name -> hardware family.
-DEVICE_FAMILY = {
-    "Heqing_device1": "rp4",
-    "Heqing_device2": "rp4",
-    "Jing_device1": "rp3",
-    "Jing_device2": "rp3",
-    "Xi_sensor_1": "rp3",
-    "Xi_sensor_2": "rp3",
-    "Zien_device1": "rp3",
-    "Zien_device2": "rp3",
-}
-
 # Columns of the narrow sources. The performance-counter sources (FLS_data,
 # KERN_data, RES_data) have hundreds of event names that depend on kernel and board; they are
 # a parameter, usually learned from file headers with ``registry_from_headers``.

@@ -247,10 +247,10 @@ def wide_to_long(t):
 
 
 @query(
-    "scores_in_reference_order",
+    "scores_in_listed_order",
     f"WITH {SCORES_SQL} SELECT feature, label, {r('chi2', 4)} AS chi2 FROM scores WHERE feature IN ('l_tax', 'l_quantity')",
 )
-def scores_in_reference_order(t):
+def scores_in_listed_order(t):
     """Scores of the features another table lists, in its order."""
     s = label_scores(t)
     listed = s.filter(F.col("feature").isin("l_tax", "l_quantity")).withColumn("pos", F.col("label"))

@@ -304,8 +304,7 @@ def label_aliases(t):
 def device_family(t):
     """Device to family through a literal map; unknown devices stay null."""
     rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    family = membership.mapped(F.col("n_regionkey"), {0: "rp3", 1: "rp3", 2: "rp4"}, strict=False)
-    return rows.select("s_suppkey", family.alias("family"))
+    return membership.with_family(rows, {0: "rp3", 1: "rp3", 2: "rp4"}, "n_regionkey").select("s_suppkey", "family")
 
 
 @query(

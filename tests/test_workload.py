@@ -9,8 +9,6 @@ WITHOUT_SQL = {
     "network_ablation_top", "linear_classifier", "multilayer_classifier", "linear_class_weights", "weight_based_selection",
     "recursive_elimination", "pca_explained_variance", "pca_projection", "cross_device_evaluation", "width_comparison",
 }
-# Fit models or store a sequence of stages while the plan is built; their plans are covered by the others.
-EAGER = WITHOUT_SQL
 SF = "/root/testdata/sf0.001"
 
 
