@@ -40,7 +40,8 @@ def neighbour_information(
     """(feature, mutual_info_classif); classes with a single point are left out."""
     k = neighbours
     long = melt(df.withColumn("_label", quoted(label)), ["_label"], features)
-    combined = (
+    # Distinct values with their counts; class sizes, split points and points all start from them.
+    combined = materialise(
         long.filter(F.col("x").isNotNull())
         .groupBy("feature", F.col("_label").alias("label"), "x")
         .agg(F.count("*").alias("c"))

@@ -12,6 +12,7 @@ from sensorloom.operators.entropy import high_entropy_files
 from sensorloom.operators.fusion import attach_calls, attach_labels, first_per_key, fuse, label_side, pivot_terms
 from sensorloom.operators.network import network_features
 from sensorloom.schema import SourceRegistry
+from sensorloom.session import materialise
 
 TAGS = ["label", "device", "data_source"]
 KEYS = ["device", "win_us"]
@@ -62,7 +63,8 @@ def merge_device(
             continue
         if name == "entropy_data" and "entropy_file_count" not in selected:
             continue
-        frames[name] = window_source(rows, name, selected, width, origin, ts)
+        # Stored once: both the label side and the fused values read the window table.
+        frames[name] = materialise(window_source(rows, name, selected, width, origin, ts))
     labels = label_side(frames, KEYS)
     single = {
         name: first_per_key(frame, KEYS, ["origin_path"]).drop("label", "data_source", "origin_path")
