@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql_or_is_known_to_have_none():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    names = {n for n in entry.queries() if n != "pipeline" and not re.match(r"op\d+_", n)}  # those have their own tests
+    assert names - set(entry.oracle_sql()) == WITHOUT_SQL
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
