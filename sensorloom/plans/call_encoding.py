@@ -11,10 +11,15 @@ from sensorloom.operators.text import extract_calls, pair_tokens, term_counts, t
 from sensorloom.sources.archives import read_archives
 
 
-def call_documents(archives: DataFrame) -> DataFrame:
-    """(file_path, entry, timestamp, calls, label, device): one document per log."""
-    texts = read_archives(archives).filter(F.col("content").isNotNull())
-    calls = extract_calls(texts, "content").drop("content", "error")
+def call_documents(archives: DataFrame, keep_errors: bool = False) -> DataFrame:
+    """(file_path, entry, timestamp, calls, label, device): one document per log.
+
+    ``keep_errors`` adds the column ``error`` and the rows of unreadable archives and entries.
+    """
+    texts = read_archives(archives)
+    if not keep_errors:
+        texts = texts.filter(F.col("content").isNotNull()).drop("error")
+    calls = extract_calls(texts, "content").drop("content")
     return join_lookup(calls, archives.select("file_path", "file_name", "label", "device"), ["file_path"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -93,14 +94,16 @@ class SourceRegistry:
             raise ValueError(f"unknown source {name!r}")
         return canonical
 
-    def wanted(self, source: str, selected: Iterable[str]) -> bool:
+    def wanted(self, source: str, selected: Iterable[str], columns: Iterable[str] = ()) -> bool:
         """Whether a scan of the source is worthwhile for the selected features.
 
-        Sources whose features are engineered or vocabulary-driven are always read.
+        Sources whose features are engineered or vocabulary-driven are always read. ``columns`` are
+        those of the table at hand, for a source or variant that is not registered.
         """
         if source in ("SYS_data", "entropy_data", "network_data"):
             return True
-        return bool(self.columns[source] & set(selected))
+        names = set(columns).union(*(c for s, c in self.columns.items() if s == source or source_of_variant(s) == source))
+        return bool(names & set(selected))
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """(feature, data_source, ord): the registry as a table for joins."""
@@ -111,14 +114,29 @@ class SourceRegistry:
 def registry_from_headers(headers: DataFrame) -> SourceRegistry:
     """Learns the column sets from (data_source, columns ARRAY<STRING>), one row per distinct header.
 
-    Two different headers of one source become the source and its second variant.
+    All headers of a source are kept: the most complete one under the source's own name, the others
+    as variants (the first of them under the name that ``SOURCE_ORDER`` lists, if it lists one).
     """
     rows = headers.select("data_source", F.array_sort(F.array_distinct("columns")).alias("columns")).distinct().collect()
+    found: dict[str, set[frozenset]] = {}
+    for row in rows:
+        found.setdefault(row["data_source"], set()).add(frozenset(c.strip() for c in row["columns"]) - NON_FEATURE_COLUMNS)
     learned: dict[str, frozenset] = {}
-    for row in sorted(rows, key=lambda r: (r["data_source"], r["columns"])):
-        names = frozenset(c.strip() for c in row["columns"]) - NON_FEATURE_COLUMNS
-        name = row["data_source"]
-        if name in learned and learned[name] != names:
-            name = f"{name}_rp4"
-        learned.setdefault(name, names)
+    for source, sets in found.items():
+        ordered = sorted(sets, key=lambda names: (-len(names), sorted(names)))
+        for number, names in enumerate(ordered):
+            learned[variant_name(source, number)] = names
     return SourceRegistry(learned)
+
+
+def variant_name(source: str, number: int) -> str:
+    """Name of the n-th header variant of a source; 0 is the source itself."""
+    if number == 0:
+        return source
+    second = f"{source}_rp4"
+    return second if number == 1 and second in SOURCE_ORDER else f"{source}_v{number + 1}"
+
+
+def source_of_variant(name: str) -> str:
+    """The source that a registered name belongs to."""
+    return re.sub(r"(?<=_data)_(?:rp4|v\d+)$", "", name)

@@ -29,11 +29,16 @@ def build_session(app: str = "sensorloom", cpus: int | str = "*", shuffle_partit
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder named by the cluster; only a session without one (tests) gets its own."""
+    """Keep the folder named by the cluster; only a local session without one (tests) gets its own.
+
+    On a cluster a folder of one machine would lose tables with their executor, so that is refused.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="run-checkpoint-", dir="/tmp"))
 
 

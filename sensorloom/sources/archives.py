@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.session import materialise
+from sensorloom.sources.files import open_file
 
 # Entries read by one open of an archive.
 ENTRY_RANGE = 64
@@ -23,18 +24,6 @@ ENTRIES_SCHEMA = "file_path string, entry string, entry_no int, entry_bytes long
 TEXT_SCHEMA = "file_path string, entry string, content string, error string"
 
 
-def _open(path: str):
-    """Random-access handle for a local or remote path."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        path = "file://" + path
-    if path.startswith("file:/") and not path.startswith("file:///"):
-        path = "file://" + path[len("file:"):]
-    filesystem, inner = fs.FileSystem.from_uri(path)
-    return filesystem.open_input_file(inner)
-
-
 def _is_log(name: str) -> bool:
     return name.endswith(".log") and not ("__MACOSX" in name and "SYS/._" in name)
 
@@ -44,7 +33,7 @@ def _list_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in batch["file_path"]:
             rows = []
             try:
-                with _open(path) as handle, zipfile.ZipFile(handle) as archive:
+                with open_file(path) as handle, zipfile.ZipFile(handle) as archive:
                     rows = [(path, i.filename, n, i.file_size, None) for n, i in enumerate(archive.infolist())
                             if _is_log(i.filename)]
             except Exception as problem:  # an unreadable archive is a row of its own
@@ -55,7 +44,7 @@ def _list_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _read_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, group in batch.groupby("file_path", sort=False):
-            with _open(path) as handle, zipfile.ZipFile(handle) as archive:
+            with open_file(path) as handle, zipfile.ZipFile(handle) as archive:
                 for entry in group["entry"]:
                     try:
                         row = (path, entry, archive.read(entry).decode("utf-8"), None)
@@ -76,7 +65,7 @@ def archive_entries(archives: DataFrame) -> DataFrame:
 
 
 def archive_timestamps(archives: DataFrame) -> DataFrame:
-    """(file_path, timestamp): the stem of every log entry; unreadable archives give no row."""
+    """(file_path, timestamp): the stem of every log entry; unreadable archives give no row, ``archive_entries`` names them."""
     entries = archive_entries(archives).filter(F.col("entry").isNotNull())
     return entries.select("file_path", entry_stem("entry").alias("timestamp"))
 
@@ -87,13 +76,16 @@ def entry_stem(column: str):
 
 
 def read_archives(archives: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """(file_path, entry, timestamp, content, error), one row per log entry.
+    """(file_path, entry, content, error, timestamp), one row per log entry.
 
-    The entry list is stored, its sizes give the number of tasks.
+    An unreadable archive is one row without entry, an unreadable entry one without content; both
+    have an error. The entry list is stored, its sizes give the number of tasks.
     """
-    entries = materialise(archive_entries(archives).filter(F.col("entry").isNotNull()))
+    listed = materialise(archive_entries(archives))
+    broken = listed.filter(F.col("entry").isNull()).select("file_path", "entry", F.lit(None).cast("string").alias("content"), "error")
+    entries = listed.filter(F.col("entry").isNotNull())
     total = entries.agg(F.sum("entry_bytes")).first()[0] or 0
     tasks = max(archives.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
     placed = entries.withColumn("_range", F.floor(F.col("entry_no") / F.lit(ENTRY_RANGE))).repartition(tasks, "file_path", "_range")
     ordered = placed.sortWithinPartitions("file_path", "entry_no").select("file_path", "entry")
-    return ordered.mapInPandas(_read_entries, TEXT_SCHEMA).withColumn("timestamp", entry_stem("entry"))
+    return ordered.mapInPandas(_read_entries, TEXT_SCHEMA).unionByName(broken).withColumn("timestamp", entry_stem("entry"))

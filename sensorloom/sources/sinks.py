@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sensorloom.session import materialise
 
@@ -27,18 +27,25 @@ def extract_pending(
     spark: SparkSession, catalog: DataFrame, target: str, manifest: str,
     extract: Callable[[DataFrame], DataFrame], partition_by: Sequence[str] = ("device", "label", "file_name"),
 ) -> int:
-    """Extracts files that are not done and records them (S10); returns how many.
+    """Extracts files that are not done and records them (S10); returns how many were read without error.
 
     Partitions end at the file and are overwritten one by one, and the manifest is written
-    after the data: a run that died half-way is repeated without doubling rows.
+    after the data: a run that died half-way is repeated without doubling rows. If the extracted rows
+    have a column ``error`` (and ``file_path``), rows with an error are not written, and their files
+    are not recorded, so that the next run tries them again.
     """
     todo = materialise(pending(spark, catalog, manifest))
-    n = todo.count()
-    if n:
-        writer = extract(todo).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*partition_by).parquet(target)
-        todo.select("file_path").write.mode("append").parquet(manifest)
-    return n
+    if todo.isEmpty():
+        return 0
+    rows, done = extract(todo), todo.select("file_path")
+    if "error" in rows.columns:
+        rows = materialise(rows)
+        done = done.join(rows.filter(F.col("error").isNotNull()).select("file_path").distinct(), "file_path", "left_anti")
+        rows = rows.filter(F.col("error").isNull()).drop("error")
+    done = materialise(done)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(target)
+    done.write.mode("append").parquet(manifest)
+    return done.count()
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", fmt: str = "parquet") -> None:

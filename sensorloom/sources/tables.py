@@ -11,7 +11,8 @@ from sensorloom.operators.cleaning import quoted
 from sensorloom.operators.fusion import union_sources
 from sensorloom.operators.lookup import join_lookup
 from sensorloom.operators.timestamps import TIMESTAMP_COLUMNS, timestamp_column
-from sensorloom.sources.catalog import header_inventory
+from sensorloom.session import materialise
+from sensorloom.sources.catalog import header_inventory, plain_path
 
 TEXT_COLUMNS = {"Protocol", "SourceIP", "DestIP", "file_path", "action"}
 # File the row came from; entropy records have a ``file_path`` of their own.
@@ -24,36 +25,32 @@ def read_source(spark: SparkSession, catalog: DataFrame, text_columns: Sequence[
     Files are grouped by header, so a different column order is read correctly; every group is
     one multi-path scan with all columns as text, numbers are cast leniently. Adds the file's
     label, device and source, and ``row_seq`` (order within the file). The paths of the files
-    come to the driver, which lists them for the scan in any case.
+    come to the driver, which lists them for the scan in any case; of the headers only their numbers.
     """
     other = catalog.filter(F.col("filetype") != "csv").limit(1).collect()
     if other:
         raise ValueError(f"only csv files can be read here: {other[0]['file_path']}")
     paths = [r["file_path"] for r in catalog.select("file_path").collect()]
-    groups: dict[tuple, list[str]] = {}
-    for row in header_inventory(spark, paths).select("file_path", "columns").collect():
-        groups.setdefault(tuple(row["columns"]), []).append(row["file_path"])
-    tables = [_scan(spark, columns, files, text_columns) for columns, files in sorted(groups.items())]
+    headers = materialise(header_inventory(spark, paths).select("file_path", "columns", F.xxhash64("columns").alias("no")))
+    groups: dict[int, list[str]] = {}
+    for row in headers.select("file_path", "no").collect():
+        groups.setdefault(row["no"], []).append(row["file_path"])
+    distinct = headers.groupBy("no").agg(F.first("columns").alias("columns")).orderBy("columns").collect()
+    tables = [_scan(spark, row["columns"], groups[row["no"]], text_columns) for row in distinct]
     attributes = catalog.select(F.col("file_path").alias(ORIGIN), "label", "device", "data_source")
-    # The metadata column writes file:///x, the listing file:/x.
-    attributes = attributes.withColumn(ORIGIN, _plain(ORIGIN))
-    return join_lookup(union_sources(tables).withColumn(ORIGIN, _plain(ORIGIN)), attributes, [ORIGIN])
-
-
-def _plain(column: str):
-    return F.regexp_replace(column, r"^file:/+", "file:/")
+    return join_lookup(union_sources(tables), attributes.withColumn(ORIGIN, F.regexp_replace(ORIGIN, r"^file:/+", "file:/")), [ORIGIN], how="left")
 
 
 def _scan(spark: SparkSession, columns: Sequence[str], files: Sequence[str], text_columns: Sequence[str]) -> DataFrame:
     schema = StructType([StructField(c, StringType()) for c in columns])
     raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(list(files))
     kept = [c for c in columns if c != "index" and c not in TIMESTAMP_COLUMNS]
-    values = [quoted(c) if c in text_columns else quoted(c).try_cast("double").alias(c) for c in kept]
+    values = [quoted(c) if c in text_columns else F.nanvl(quoted(c).try_cast("double"), F.lit(None)).alias(c) for c in kept]  # text "nan" means no value
     # The time column is a choice per file, so it is settled before files are united.
     return raw.select(
         quoted(timestamp_column(columns)).alias("timestamp"),
         *values,
-        F.col("_metadata.file_path").alias(ORIGIN),
+        plain_path("_metadata.file_path").alias(ORIGIN),
         F.struct(
             F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
             F.monotonically_increasing_id().alias("i"),

@@ -89,7 +89,8 @@ def test_headers_and_registry(spark, files):
 def test_archives(spark, files, monkeypatch):
     zips = files.filter("filetype = 'zip'")
     rows = archives.read_archives(zips).collect()
-    assert len(rows) == 151 and sum(r["content"] is None for r in rows) == 1
+    assert len(rows) == 152 and sum(r["content"] is None for r in rows) == 2
+    assert [r["entry"] for r in rows if r["error"] and r["entry"] is None] == [None]  # the unreadable archive
     assert archives.archive_timestamps(zips).count() == 151
     entries = archives.archive_entries(zips)
     assert entries.filter("error is not null").count() == 1
@@ -121,6 +122,64 @@ def test_extraction_runs_once(spark, files, tmp_path):
     assert spark.read.parquet(target).count() == 150
 
 
+def test_unreadable_archives_are_tried_again(spark, files, tmp_path):
+    zips, target, manifest = files.filter("filetype = 'zip'"), str(tmp_path / "calls"), str(tmp_path / "done")
+    n = zips.count()
+
+    def extract(todo):
+        return call_documents(todo, keep_errors=True)
+
+    # One archive cannot be opened, the other holds an unreadable entry: what can be read is there, neither counts as done.
+    assert sinks.extract_pending(spark, zips, target, manifest, extract) == 0
+    assert sinks.pending(spark, zips, manifest).count() == n and spark.read.parquet(target).count() == 150
+
+
+def test_paths_with_blanks_and_files_without_a_dot(spark, tmp_path):
+    folder = tmp_path / "a b%20c+d" / "0_raw_collected_data" / "Lab" / "dev1" / "1_normal" / "KERN_data"
+    folder.mkdir(parents=True)
+    (folder / "k.csv").write_text("timestamp,cpu,x y\n1700000000,1,nan\n1700000001,3,4\n")
+    (folder / "README").write_text("no data")
+    listed = catalog.build_catalog(catalog.list_files(spark, str(tmp_path)))
+    rows = tables.read_source(spark, listed).collect()
+    assert sorted((r["label"], r["device"], r["cpu"], r["x y"]) for r in rows) == [("1_normal", "Lab_dev1", 1.0, None), ("1_normal", "Lab_dev1", 3.0, 4.0)]
+
+
+def test_a_source_with_default_registry_is_merged(spark, tmp_path):
+    folder = tmp_path / "0_raw_collected_data" / "Lab" / "dev1" / "1_normal" / "KERN_data"
+    folder.mkdir(parents=True)
+    (folder / "k.csv").write_text("timestamp,cpu,irq\n1700000000,1,2\n1700000001,3,4\n")
+    listed = catalog.build_catalog(catalog.list_files(spark, str(tmp_path)))
+    rows = tables.read_source(spark, listed).withColumn("ts", F.timestamp_seconds(F.col("timestamp").cast("long")))
+    merged = merge_device({"KERN_data": rows}, ["cpu"], "10s").collect()
+    assert [(r["cpu"], r["label"]) for r in merged] == [(2.0, "1_normal")]
+
+
+def test_all_header_variants_are_learned(spark):
+    rows = [("RES_data", ["a", "b"]), ("RES_data", ["a", "c"]), ("RES_data", ["a", "d", "e"]), ("KERN_data", ["k"]), ("KERN_data", ["k", "l"])]
+    learned = registry_from_headers(spark.createDataFrame(rows, "data_source string, columns array<string>"))
+    assert {learned.classify(c) for _, c in rows} == {"RES_data", "RES_data_rp4", "RES_data_v3", "KERN_data", "KERN_data_v2"}
+    assert learned.wanted("RES_data", ["c"]) and not learned.wanted("RES_data", ["k"])
+
+
+def test_a_local_folder_is_refused_on_a_cluster(spark, monkeypatch):
+    from sensorloom import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
+
+
 def test_device_merge_from_files(spark, files):
     documents = call_documents(files.filter("filetype = 'zip'")).withColumn("ts", F.timestamp_seconds(F.col("timestamp").cast("long")))
     calls = encode_documents(documents, ["device", "timestamp", "ts"]).withColumnRenamed("timestamp", "doc").withColumnRenamed("tfidf", "value")
