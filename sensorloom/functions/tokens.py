@@ -7,8 +7,6 @@ from pyspark.sql import Column, functions as F
 # The call pattern of the tracer's log lines and the word pattern of the bag-of-words step.
 CALL_PATTERN = r"(?U)(?<=\s)(\w+)(?=\(arg0)"
 WORD_PATTERN = r"(?U)\b\w\w+\b"
-# ASCII variant with the same meaning on plain system-call names.
-ASCII_WORD_PATTERN = r"[A-Za-z0-9_]{2,}"
 
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:

@@ -2,28 +2,41 @@
 
 The planner cannot know that such a table is small: its size estimate follows the data it was
 aggregated from, and a shuffle join would bring all rows of a key (a series, a feature, a file)
-into one task. The table is therefore stored and counted. Up to ``BROADCAST_ROWS`` rows it is
-broadcast, beyond that the join is salted.
+into one task. The table is therefore stored and measured. Up to ``BROADCAST_BYTES`` it is broadcast,
+beyond that the join is salted. Tables of terms are always salted: they grow with the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorloom.session import materialise
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 SALTS = 64
+TERM_SALTS = 16
 
 
-def join_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], stored: bool = False) -> DataFrame:
-    """Inner join on the keys; ``stored`` says that the table is already a written one."""
+def text_bytes(table: DataFrame) -> int:
+    """Size of all rows as text, arrays included: an upper bound of what a broadcast holds, but for object headers."""
+    return table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+
+
+def join_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], stored: bool = False, how: str = "inner") -> DataFrame:
+    """Join on the keys ("inner" or "left"); ``stored`` says that the table is already a written one."""
     small = table if stored else materialise(table)
-    if small.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(small), list(keys))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    if text_bytes(small) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), list(keys), how)
+    return salted_join(rows, small, keys, F.monotonically_increasing_id(), SALTS, how)
+
+
+def salted_join(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Column, salts: int = TERM_SALTS, how: str = "inner"
+) -> DataFrame:
+    """Join in which the rows of a key go to up to ``salts`` tasks, by ``spread``; each gets a copy of the key's entry."""
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     # The salt only spreads the rows: every copy of the table holds the same values.
-    spread = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS).cast("long")))
-    return spread.join(copies, [*keys, "_salt"]).drop("_salt")
+    placed = rows.withColumn("_salt", F.pmod(spread, F.lit(salts).cast("long")))
+    return placed.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.operators.buckets import Origin, assign_windows
+from sensorloom.operators.lookup import salted_join
 
 # Admission of a (service, syscall) pair to the vocabulary.
 MIN_PAIR_CALLS = 5
@@ -34,30 +35,35 @@ def exploded_calls(processes: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def process_rollup(
-    logs: DataFrame, ts: str, width: str | int | float, series: Sequence[str] = (), origin: Origin = "epoch"
+    logs: DataFrame, ts: str, width: str | int | float, series: Sequence[str] = (), origin: Origin = "epoch",
+    log_key: Sequence[str] = (),
 ) -> DataFrame:
-    """Per (series, window, pid): cpu sum and maximum, occurrences, events, last service name."""
+    """Per (series, window, pid): cpu sum and maximum, occurrences, events, last service name.
+
+    ``log_key`` orders logs of the same time, so that the last name is defined.
+    """
     windowed = assign_windows(logs, ts, width, series, origin)
-    rows = exploded_processes(windowed, [*series, "win_us", "ts_us"])
+    rows = exploded_processes(windowed, [*series, "win_us", "ts_us", *log_key])
     return rows.groupBy(*series, "win_us", "pid").agg(
         F.sum("cpu_usage").alias("cpu_usage"),
         F.max("cpu_usage").alias("max_cpu_usage"),
         F.count("*").alias("occurances"),
         F.sum("events").alias("events"),
-        F.max_by("service_name", F.struct("ts_us", "proc_ord")).alias("service_name"),
+        F.max_by("service_name", F.struct("ts_us", *log_key, "proc_ord")).alias("service_name"),
     )
 
 
 def process_call_sequence(
-    logs: DataFrame, ts: str, width: str | int | float, series: Sequence[str] = (), origin: Origin = "epoch"
+    logs: DataFrame, ts: str, width: str | int | float, series: Sequence[str] = (), origin: Origin = "epoch",
+    log_key: Sequence[str] = (),
 ) -> DataFrame:
     """The system calls of each (series, window, pid) as ordered rows.
 
-    The order columns (ts_us, proc_ord, call_ord) stand for the position in one joined
+    The order columns (ts_us, log key, proc_ord, call_ord) stand for the position in one joined
     string, so no process's calls have to fit in one cell.
     """
     windowed = assign_windows(logs, ts, width, series, origin)
-    keep = [*series, "win_us", "ts_us"]
+    keep = [*series, "win_us", "ts_us", *log_key]
     processes = exploded_processes(windowed, keep)
     return exploded_calls(processes, [*keep, "pid", "proc_ord"])
 
@@ -96,7 +102,9 @@ def process_term_counts(logs: DataFrame, doc: Sequence[str], vocab: DataFrame |
         ).alias("t"),
     )
     counted = terms.groupBy(*doc, F.col("t.term").alias("term")).agg(F.sum("t.n").alias("n")).filter("n > 0")
-    return counted if vocab is None else counted.join(vocab.select("term"), "term", "left_semi")
+    if vocab is None:
+        return counted
+    return salted_join(counted, vocab.select("term").distinct(), ["term"], F.xxhash64(*doc), how="left_semi")
 
 
 def process_documents(logs: DataFrame, doc: Sequence[str]) -> DataFrame:

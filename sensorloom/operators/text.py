@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.numeric import ratio
 from sensorloom.functions.tokens import WORD_PATTERN, adjacent_pairs, call_names, words
+from sensorloom.operators.lookup import salted_join
 from sensorloom.operators.ordering import with_row_index
 from sensorloom.session import materialise
 
@@ -58,7 +59,9 @@ def term_counts(
 ) -> DataFrame:
     """(doc keys, term, n) over the given vocabulary, or over all terms (T4)."""
     counted = exploded_terms(tokens, doc, F.col(column)).groupBy(*doc, "term").agg(F.count("*").alias("n"))
-    return counted if vocab is None else counted.join(vocab.select("term"), "term", "left_semi")
+    if vocab is None:
+        return counted
+    return salted_join(counted, vocab.select("term").distinct(), ["term"], F.xxhash64(*doc), how="left_semi")
 
 
 def pair_tokens(tokens: DataFrame, ordered_only: bool = False, keep_single: bool = True) -> DataFrame:
@@ -82,11 +85,11 @@ def idf_table(counts: DataFrame, n_docs: Column) -> DataFrame:
 def tfidf_from_counts(counts: DataFrame, doc: Sequence[str], n_docs: Column) -> DataFrame:
     """(doc keys, term, n, tfidf): n * idf, scaled to length 1 per document (T5).
 
-    The window is over one document's distinct terms.
+    The window is over one document's distinct terms. The join is salted by document, because a term
+    of every document would bring a row of each of them to one task.
     """
-    weighted = counts.join(idf_table(counts, n_docs).select("term", "idf"), "term").withColumn(
-        "w", F.col("n") * F.col("idf")
-    )
+    idf = idf_table(counts, n_docs).select("term", "idf")
+    weighted = salted_join(counts, idf, ["term"], F.xxhash64(*doc)).withColumn("w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*doc)))
     return weighted.select(*doc, "term", "n", ratio(F.col("w"), norm).alias("tfidf"))
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.functions.tokens import ASCII_WORD_PATTERN
 from sensorloom.operators import processes, text
 from sensorloom.plans.call_encoding import encode_documents
 from sensorloom.sources.logs import parse_summaries
 from sensorloom.workload.registry import query, r, rounded
 
 DAY = 86_400_000_000
-WORDS_SQL = "regexp_extract_all({c}, '[A-Za-z0-9_]{{2,}}')"
+# Letters, marks, digits and connectors, as the operators' own word pattern.
+WORDS_SQL = r"regexp_extract_all({c}, '[\p{{L}}\p{{M}}\p{{Nl}}\p{{Nd}}\p{{Pc}}]{{2,}}')"
 
 
 def words_sql(column: str) -> str:
@@ -27,7 +27,7 @@ TOK_SQL = f"""tok AS (SELECT doc_id, lang, {words_sql('lower(text)')} AS tokens
 
 
 def tokens(t, *extra, by_document=False):
-    return text.tokenised(t.documents, ["doc_id", *extra], "text", ASCII_WORD_PATTERN, lowercase=True, by_document=by_document)
+    return text.tokenised(t.documents, ["doc_id", *extra], "text", lowercase=True, by_document=by_document)
 
 
 @query(
@@ -68,7 +68,7 @@ def bag_of_words(t):
 )
 def bag_of_words_fixed_vocabulary(t):
     """T4 over a given vocabulary: the terms of the benchmark texts."""
-    vocab = text.vocabulary(text.tokenised(t.benchmark, ["item_id"], "text", ASCII_WORD_PATTERN, lowercase=True))
+    vocab = text.vocabulary(text.tokenised(t.benchmark, ["item_id"], "text", lowercase=True))
     return text.term_counts(tokens(t, by_document=True), ["doc_id"], vocab)
 
 
@@ -90,7 +90,7 @@ CONV_SQL = f"""tok AS (SELECT conv_id, turn, {words_sql('lower(text)')} AS t FRO
 
 
 def turns(t):
-    return text.tokenised(t.conversations, ["conv_id", "turn"], "text", ASCII_WORD_PATTERN, lowercase=True, by_document=True)
+    return text.tokenised(t.conversations, ["conv_id", "turn"], "text", lowercase=True, by_document=True)
 
 
 PAIRS_SQL = f"""WITH {CONV_SQL}, g AS (SELECT conv_id, turn, a AS term FROM pos UNION ALL SELECT conv_id, turn, a || ' ' || b FROM pos WHERE b IS NOT NULL__EXTRA__)
@@ -141,7 +141,7 @@ def rows_minmax(t):
 )
 def term_extremes(t):
     """Extremes of the stored values per vocabulary term, 0 when unused."""
-    vocab = text.vocabulary(text.tokenised(t.benchmark, ["item_id"], "text", ASCII_WORD_PATTERN, lowercase=True))
+    vocab = text.vocabulary(text.tokenised(t.benchmark, ["item_id"], "text", lowercase=True))
     return text.term_extremes(text.term_counts(tokens(t, by_document=True), ["doc_id"]), "n", vocab)
 
 
@@ -186,28 +186,35 @@ PROC_SQL = f"""p AS (SELECT o_orderkey, o_orderdate, epoch_us(o_orderdate) - epo
 @query(
     "process_rollup",
     f"""WITH {PROC_SQL} SELECT win_us, pid, {r('sum(cpu)', 4)} AS cpu_usage, {r('max(cpu)', 4)} AS max_cpu_usage, count(*) AS occurances,
-    sum(events)::BIGINT AS events FROM p GROUP BY ALL""",
+    sum(events)::BIGINT AS events, arg_max(service_name, (ts_us, o_orderkey, proc_ord)) AS service_name FROM p GROUP BY ALL""",
 )
 def process_rollup(t):
-    """Per window and process id."""
-    table = processes.process_rollup(order_logs(t), "ts", "30d")
-    return rounded(table.drop("service_name"), 4, ["cpu_usage", "max_cpu_usage"])
+    """Per window and process id; logs of one time are ordered by their key."""
+    table = processes.process_rollup(order_logs(t), "ts", "30d", log_key=["o_orderkey"])
+    return rounded(table, 4, ["cpu_usage", "max_cpu_usage"])
 
 
 @query(
     "process_call_sequence",
-    f"WITH {PROC_SQL} SELECT win_us, ts_us, pid, proc_ord::INT AS proc_ord, call_ord, syscall, calls FROM s",
+    f"WITH {PROC_SQL} SELECT win_us, ts_us, o_orderkey, pid, proc_ord::INT AS proc_ord, call_ord, syscall, calls FROM s",
 )
 def process_call_sequence(t):
     """The system calls of every process in order, as rows."""
-    return processes.process_call_sequence(order_logs(t), "ts", "30d")
+    return processes.process_call_sequence(order_logs(t), "ts", "30d", log_key=["o_orderkey"])
 
 
-@query("process_windows_nested", f"WITH {PROC_SQL} SELECT win_us, count(DISTINCT pid) AS n_processes FROM p GROUP BY 1")
+@query(
+    "process_windows_nested",
+    f"""WITH {PROC_SQL}, x AS (SELECT win_us, pid, arg_max(service_name, (ts_us, o_orderkey, proc_ord)) AS service_name, count(*) AS n, sum(events)::BIGINT AS events
+      FROM p GROUP BY ALL)
+    SELECT win_us, count(*) AS n_processes, string_agg(pid || ':' || service_name || ':' || n || ':' || events, ',' ORDER BY pid) AS processes FROM x GROUP BY 1""",
+)
 def process_windows_nested(t):
-    """Re-nested rollup, shown by its size."""
-    nested = processes.nested_rollup(processes.process_rollup(order_logs(t), "ts", "30d"))
-    return nested.select("win_us", F.size("processes").cast("long").alias("n_processes"))
+    """Re-nested rollup with the contents of its entries."""
+    nested = processes.nested_rollup(processes.process_rollup(order_logs(t), "ts", "30d", log_key=["o_orderkey"]))
+    entry = "concat_ws(':', x.pid, x.service_name, x.occurances, x.events)"
+    return nested.select(
+        "win_us", F.size("processes").cast("long").alias("n_processes"), F.expr(f"array_join(transform(processes, x -> {entry}), ',')").alias("processes"))
 
 
 @query(

@@ -224,7 +224,7 @@ def test_lookup_beyond_the_broadcast_limit_gives_the_same_rows(spark, monkeypatc
     rows = spark.range(1000).withColumn("k", F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 7))
     table = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     small = lookup.join_lookup(rows, table, ["k"])
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1)
     salted = lookup.join_lookup(rows, table, ["k"])
     assert salted.columns == small.columns and salted.exceptAll(small).isEmpty() and salted.count() == small.count()
 
