@@ -72,8 +72,9 @@ def drop_any_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: rows, rows with any null, rows with only nulls, and nulls per column."""
-    flags = [quoted(c).isNull() for c in columns]
+    """One row: rows, rows with any null, rows with only nulls, and nulls per column (P14); NaN counts as null."""
+    floats = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")}
+    flags = [quoted(c).isNull() | F.isnan(quoted(c)) if c in floats else quoted(c).isNull() for c in columns]
     any_null, all_null = flags[0], flags[0]
     for f in flags[1:]:
         any_null, all_null = any_null | f, all_null & f
@@ -81,7 +82,7 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count("*").alias("n_rows"),
         F.count_if(any_null).alias("n_any_null"),
         F.count_if(all_null).alias("n_all_null"),
-        *[F.count_if(quoted(c).isNull()).alias(f"null_{c}") for c in columns],
+        *[F.count_if(flag).alias(f"null_{c}") for c, flag in zip(columns, flags)],
     )
 
 
@@ -93,7 +94,7 @@ def iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float = 1.5, ids:
 
 
 def drop_iqr_outliers(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -> DataFrame:
-    """Drops a row if any column lies outside its whiskers; nulls never count.
+    """Drops a row if any column lies outside its whiskers; null and NaN never count.
 
     The limits (one pair per column) reach the filter as a scalar subquery.
     """
@@ -105,7 +106,8 @@ def drop_iqr_outliers(df: DataFrame, columns: Sequence[str], factor: float = 1.5
     keep = F.lit(True)
     for c in columns:
         pair = F.col("_limits")[F.lit(c)]
-        keep = keep & F.coalesce(quoted(c).between(pair["lo"], pair["hi"]), F.lit(True))
+        x = F.nanvl(quoted(c).cast("double"), F.lit(None))
+        keep = keep & F.coalesce(x.between(pair["lo"], pair["hi"]), F.lit(True))
     return rows.filter(keep).drop("_limits")
 
 

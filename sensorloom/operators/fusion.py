@@ -55,9 +55,3 @@ def attach_labels(fused: DataFrame, labels: DataFrame, keys: Sequence[str], fano
 def attach_calls(fused: DataFrame, calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer join with window means of encoded system calls."""
     return fused.join(calls, list(keys), "full")
-
-
-def pivot_terms(matrix: DataFrame, keys: Sequence[str], terms: Sequence[str], value: str = "value") -> DataFrame:
-    """Bounded list of terms from long to wide; values must be unique per (keys, term)."""
-    wide = matrix.filter(F.col("term").isin(*terms)).groupBy(*keys).pivot("term", list(terms)).agg(F.first(value))
-    return wide

@@ -75,5 +75,5 @@ def source_of_features(features: DataFrame, registry: DataFrame, fold: Mapping[s
 
 
 def tag_with_catalog(rows: DataFrame, catalog: DataFrame, path: str = "file_path") -> DataFrame:
-    """Label, device and source of the file a row came from."""
-    return join_lookup(rows, catalog.select(path, "label", "device", "data_source"), [path])
+    """Label, device and source of the file a row came from (J9); null for a file outside the catalog."""
+    return join_lookup(rows, catalog.select(path, "label", "device", "data_source"), [path], how="left")

@@ -76,7 +76,7 @@ def select_by_weights(
 
 
 def eliminate_recursively(
-    df: DataFrame, features: Sequence[str], keep: int = 30, step: int = 10, label: str = "label", max_iter: int = 50
+    df: DataFrame, features: Sequence[str], keep: int = 30, step: int = 10, label: str = "label", max_iter: int = MAX_EPOCHS
 ) -> tuple[list[str], list[tuple[int, str]]]:
     """Recursive elimination (F11): refit, drop the ``step`` features of the smallest squared weights.
 
@@ -124,8 +124,10 @@ def cross_device_evaluation(
 
     Each variant scales its own rows, splits 80/20 by row hash and reports macro metrics.
     """
-    names = [r["feature"] for r in in_both(selected, selected).collect()]
-    shared = sorted(f for f in names if f in features and f in target.columns)
+    spark = source.sparkSession
+    # The feature list of the other table decides, as it may lack some columns.
+    there = spark.createDataFrame([(c,) for c in target.columns if c in features], "feature string")
+    shared = sorted(r["feature"] for r in in_both(selected.select("feature").distinct(), there).collect())
     variants = {
         "source": source, "target": target, "both": source.unionByName(target, allowMissingColumns=True),
     }

@@ -100,8 +100,12 @@ def quantile_bin_counts(
 
 
 def melt(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """(ids..., feature, x) in double; the shared narrow form of all per-feature statistics."""
-    return df.unpivot(list(ids), [F.col(f"`{f}`").cast("double").alias(f) for f in features], "feature", "x")
+    """(ids..., feature, x) in double; the shared narrow form of all per-feature statistics.
+
+    Null and NaN both mean "no value" and give no row.
+    """
+    narrow = df.unpivot(list(ids), [F.col(f"`{f}`").cast("double").alias(f) for f in features], "feature", "x")
+    return narrow.filter("x IS NOT NULL AND NOT isnan(x)")
 
 
 def feature_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float], ids: Sequence[str] = ()) -> DataFrame:

@@ -130,8 +130,17 @@ def quality_report(df: DataFrame, expected: dict[str, int]) -> DataFrame:
 
 
 def confusion(df: DataFrame, label: str, prediction: str, classes: Sequence) -> DataFrame:
-    """(label, prediction, n) with all cells, also empty ones (M6)."""
-    counts = df.groupBy(quoted(label).alias("label"), quoted(prediction).alias("prediction")).agg(F.count("*").alias("n"))
+    """(label, prediction, n) with all cells, also empty ones (M6).
+
+    A label or prediction outside ``classes`` raises: leaving its rows out would falsify every metric.
+    """
+    known = df.select(*[
+        F.when(quoted(c).isin(list(classes)), quoted(c)).otherwise(
+            F.raise_error(F.concat(F.lit(f"{c} is not one of the classes: "), F.coalesce(quoted(c).cast("string"), F.lit("null"))))
+            .cast(df.schema[c].dataType)).alias(c)
+        for c in dict.fromkeys((label, prediction))
+    ])
+    counts = known.groupBy(quoted(label).alias("label"), quoted(prediction).alias("prediction")).agg(F.count("*").alias("n"))
     values = F.array(*[F.lit(c) for c in classes])
     one = df.sparkSession.range(1)
     grid = one.select(F.explode(values).alias("label")).withColumn("prediction", F.explode(values))

@@ -65,11 +65,13 @@ def label_skewed_shards(
 ) -> DataFrame:
     """Adds ``shard`` by the row's hash position within its label's cumulative shares.
 
-    The share matrix has labels x shards numbers and is part of the expression.
+    The share matrix has labels x shards numbers and is part of the expression. A label without
+    shares raises.
     """
     k = len(next(iter(shares.values())))
     position = hash_unit(_key(key), seed, 1_000_000).cast("double") / F.lit(1_000_000.0)
-    assigned = F.lit(None).cast("int")
+    message = F.concat(F.lit("label without shares: "), F.coalesce(quoted(label).cast("string"), F.lit("null")))
+    assigned = F.raise_error(message).cast("int")
     for value, parts in shares.items():
         cut, chosen = 0.0, F.lit(0)
         for part in parts[: k - 1]:

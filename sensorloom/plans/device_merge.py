@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.operators.buckets import Origin, series_span, window_mean
+from sensorloom.operators.buckets import Origin, assign_windows, fill_gaps, series_span, stored_span, window_grid, window_mean
 from sensorloom.operators.cleaning import keep_selected, to_numeric
 from sensorloom.operators.entropy import high_entropy_files
-from sensorloom.operators.fusion import attach_calls, attach_labels, first_per_key, fuse, label_side, pivot_terms
+from sensorloom.operators.fusion import attach_calls, attach_labels, first_per_key, fuse, label_side
 from sensorloom.operators.network import network_features
 from sensorloom.schema import SourceRegistry
 from sensorloom.session import materialise
@@ -40,6 +40,7 @@ def merge_device(
     width: str,
     registry: SourceRegistry | None = None,
     calls: DataFrame | None = None,
+    call_documents: DataFrame | None = None,
     fanout: bool = False,
     origin: Origin | None = None,
     ts: str = "ts",
@@ -47,7 +48,8 @@ def merge_device(
     """All sources of all devices on a common window grid.
 
     The origin is the first timestamp of all sources. Sources without a selected feature are
-    not scanned. ``calls`` is the encoded system-call table (device, ts, term, value).
+    not scanned. ``calls`` is the encoded system-call table (device, doc, ts, term, value),
+    ``call_documents`` (device, doc, ts) the list of all its documents.
     """
     registry = registry or SourceRegistry()
     if origin is None:
@@ -59,7 +61,7 @@ def merge_device(
         origin = (starts.agg(F.min("lo_us")).first()[0]) / 1_000_000
     frames = {}
     for name, rows in sources.items():
-        if not registry.wanted(name, selected):
+        if not registry.wanted(name, selected, rows.columns):
             continue
         if name == "entropy_data" and "entropy_file_count" not in selected:
             continue
@@ -73,17 +75,27 @@ def merge_device(
     merged = attach_labels(fuse(single, KEYS), labels, KEYS, fanout)
     if calls is not None:
         terms = sorted(set(selected) - set(merged.columns))
-        merged = attach_calls(merged, call_means(calls, terms, width, origin, ts), KEYS)
+        merged = attach_calls(merged, call_means(calls, terms, width, origin, ts, documents=call_documents), KEYS)
     return merged
 
 
 def call_means(
-    calls: DataFrame, terms: Sequence[str], width: str, origin: Origin, ts: str = "ts", doc: Sequence[str] = ("device", "doc")
+    calls: DataFrame, terms: Sequence[str], width: str, origin: Origin, ts: str = "ts", doc: Sequence[str] = ("device", "doc"),
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """Window means of encoded documents, wide over the selected terms.
 
-    A document without a term counts as 0, so the mean is the sum over the window's
-    documents divided by their number.
+    A document without a term counts as 0, so the mean is the sum over the window's documents divided
+    by their number. ``documents`` (doc keys, ts) lists all of them, also those without any encoded
+    term; by default those of ``calls``.
     """
-    wide = pivot_terms(calls, [*doc, ts], terms).fillna(0.0, subset=list(terms))
-    return window_mean(wide, ts, width, terms, [doc[0]], origin)
+    series = [doc[0]]
+    listed = (calls if documents is None else documents).select(*doc, ts).distinct()
+    span = stored_span(listed, ts, series, origin)
+    counted = assign_windows(listed, ts, width, series, origin, span).groupBy(*series, "win_us").agg(F.count("*").alias("_docs"))
+    names = {t: f"_sum{i}" for i, t in enumerate(terms)}
+    sums = assign_windows(calls.filter(F.col("term").isin(list(terms))), ts, width, series, origin, span).groupBy(*series, "win_us").agg(
+        *[F.sum(F.when(F.col("term") == t, F.col("value"))).alias(n) for t, n in names.items()])
+    means = counted.join(sums, [*series, "win_us"], "left").select(
+        *series, "win_us", *[(F.coalesce(n, F.lit(0.0)) / F.col("_docs")).alias(t) for t, n in names.items()])
+    return fill_gaps(window_grid(listed, ts, width, series, origin, span), means, series, {})

@@ -10,12 +10,12 @@ from sensorloom.plans.training_set import compare_widths
 from sensorloom.workload.registry import query, rounded
 
 METRICS = ["accuracy", "precision", "recall", "f1"]
-N_DIMS = 16
+N_DIMS = 64
 FEATURES = [f"f{i + 1}" for i in range(N_DIMS)]
 
 
 def wide(t):
-    """The first dimensions as named features with label and row key."""
+    """All dimensions as named features with label and row key."""
     columns = [F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)]
     return t.embeddings.select("vec_id", "label", *columns)
 
@@ -32,7 +32,7 @@ def vectors(t):
 def linear_classifier(t):
     """M1, M2, M4, M5: split, fit the linear classifier, macro metrics on the test rows."""
     rows = vectors(t)
-    model = models.fit_linear(rows.filter("split = 'train'"), max_iter=30)
+    model = models.fit_linear(rows.filter("split = 'train'"))
     return rounded(models.evaluate(model, rows.filter("split = 'test'"), classes(t)), 6, METRICS)
 
 
@@ -41,7 +41,7 @@ def multilayer_classifier(t):
     """M3: two hidden layers of 30 units."""
     rows = models.assembled(hash_split(wide(t), ["vec_id"]), FEATURES)
     labels = classes(t)
-    model = models.fit_mlp(rows.filter("split = 'train'"), N_DIMS, max(labels) + 1, max_iter=30)
+    model = models.fit_mlp(rows.filter("split = 'train'"), N_DIMS, max(labels) + 1)
     return rounded(models.evaluate(model, rows.filter("split = 'test'"), labels), 6, METRICS)
 
 
@@ -49,19 +49,19 @@ def multilayer_classifier(t):
 def linear_class_weights(t):
     """M9: weight table of the fitted linear classifier."""
     rows = models.assembled(wide(t), FEATURES)
-    return rounded(models.class_weights(models.fit_linear(rows, max_iter=30), rows, FEATURES), 6, ["weight"])
+    return rounded(models.class_weights(models.fit_linear(rows), rows, FEATURES), 6, ["weight"])
 
 
 @query("weight_based_selection")
 def weight_based_selection(t):
     """Fitted weights, the four largest per class, union."""
-    return models.select_by_weights(wide(t), FEATURES, max_iter=30)
+    return models.select_by_weights(wide(t), FEATURES)
 
 
 @query("recursive_elimination")
 def recursive_elimination(t):
     """rounds in which features were dropped; the kept ones have no round."""
-    kept, dropped = models.eliminate_recursively(wide(t), FEATURES, keep=6, step=5, max_iter=15)
+    kept, dropped = models.eliminate_recursively(wide(t), FEATURES, keep=30, step=10)
     rows = [(f, turn) for turn, f in dropped] + [(f, None) for f in kept]
     return t.spark.createDataFrame(rows, "feature string, dropped_in int")
 
@@ -85,8 +85,8 @@ def cross_device_evaluation(t):
     """Features chosen on one half of the rows, evaluated on it, on the other and on both."""
     rows = hash_split(wide(t), ["vec_id"], 0.5, 7)
     source, target = rows.filter("split = 'train'").drop("split"), rows.filter("split = 'test'").drop("split")
-    selected = models.select_by_weights(source, FEATURES, max_iter=15)
-    out = models.cross_device_evaluation(source, target, selected, FEATURES, ["vec_id"], classes(t), max_iter=15)
+    selected = models.select_by_weights(source, FEATURES)
+    out = models.cross_device_evaluation(source, target, selected, FEATURES, ["vec_id"], classes(t))
     return rounded(out, 6, METRICS)
 
 
@@ -95,4 +95,4 @@ def width_comparison(t):
     """M8: the same training at several feature resolutions; the width is a column."""
     base = wide(t)
     tables = {w: base.withColumns({f: F.round(F.col(f) * w) / w for f in FEATURES}) for w in (10, 30, 60)}
-    return rounded(compare_widths(tables, FEATURES, ["vec_id"], classes(t), max_iter=15), 6, METRICS)
+    return rounded(compare_widths(tables, FEATURES, ["vec_id"], classes(t)), 6, METRICS)

@@ -95,6 +95,22 @@ def feature_scores(t):
     return shown(scoring.feature_scores(t.lineitem, LABEL, FEATURES))
 
 
+GAP_ITEMS_SQL = f"""SELECT {LABEL} AS label, CASE WHEN l_partkey % 5 <> 0 THEN l_quantity END AS l_quantity,
+    CASE WHEN l_suppkey % 3 <> 0 THEN l_extendedprice END AS l_extendedprice, l_discount, l_tax FROM lineitem"""
+
+
+@query(
+    "feature_scores_with_gaps",
+    f"WITH {long_sql(GAP_ITEMS_SQL, FEATURES)}, {bins_sql()}, c AS (SELECT feature, {CHI_SQL} AS chi2, {F_SQL} AS f_classif FROM m JOIN a USING (feature) GROUP BY feature)"
+    f" SELECT feature, {SCORE_OUT} FROM c JOIN mi USING (feature)",
+)
+def feature_scores_with_gaps(t):
+    """F2-F4 on columns with nulls and NaN: missing values count nowhere."""
+    rows = t.lineitem.withColumn("l_quantity", F.expr("IF(l_partkey % 5 <> 0, l_quantity, IF(l_partkey % 2 = 0, NULL, double('NaN')))"))
+    rows = rows.withColumn("l_extendedprice", F.expr("IF(l_suppkey % 3 <> 0, l_extendedprice, double('NaN'))"))
+    return shown(scoring.feature_scores(rows, LABEL, FEATURES))
+
+
 @query("feature_scores_by_label", f"WITH {SCORES_SQL} SELECT feature, label, {SCORE_OUT} FROM scores")
 def feature_scores_by_label(t):
     """every label against the rest."""
@@ -139,10 +155,10 @@ TOP_SQL = """sl AS (UNPIVOT scores ON chi2, f_classif, mutual_info_classif INTO
     top AS (SELECT *, row_number() OVER (PARTITION BY label, score_type ORDER BY score DESC NULLS LAST, feature) AS rank FROM sl QUALIFY rank <= 2)"""
 
 
-@query("top_features_per_label", f"WITH {SCORES_SQL}, {TOP_SQL} SELECT label, feature, score_type, rank::INT AS rank FROM top")
+@query("top_features_per_label", f"WITH {SCORES_SQL}, {TOP_SQL} SELECT label, feature, score_type, rank::INT AS rank, {r('score', 4)} AS score FROM top")
 def top_features_per_label(t):
     """K3: best features per label and score."""
-    return ranking.top_per_label(label_scores(t), 2).drop("score")
+    return rounded(ranking.top_per_label(label_scores(t), 2), 4, ["score"])
 
 
 @query("best_feature", f"WITH {SCORES_SQL} SELECT feature, label FROM scores ORDER BY chi2 DESC, feature LIMIT 1")

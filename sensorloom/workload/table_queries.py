@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.operators import cleaning, fusion, membership, ordering, ranking, reports, scaling, shards
+from sensorloom.operators import cleaning, fusion, membership, ordering, ranking, reports, scaling, shards, text
 from sensorloom.operators.buckets import window_agg, window_mean
 from sensorloom.operators.entropy import file_type
 from sensorloom.plans.device_merge import merge_device
@@ -12,6 +12,7 @@ from sensorloom.plans.training_set import clean_training_set
 from sensorloom.schema import SourceRegistry
 from sensorloom.sources import catalog, tables
 from sensorloom.workload.registry import query, r, rounded
+from sensorloom.workload.text_queries import words_sql
 
 DAY = 86_400_000_000
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -90,10 +91,10 @@ def catalog_one_source(t):
 @query(
     "catalog_tagged_rows",
     f"""WITH c AS ({CUSTOMER_FILES_SQL}) SELECT o_orderkey, label, device, data_source
-    FROM orders JOIN c ON o_custkey = filesize_bytes""",
+    FROM orders LEFT JOIN c ON o_custkey = filesize_bytes""",
 )
 def catalog_tagged_rows(t):
-    """Rows get label, device and source of the file they came from."""
+    """Rows get label, device and source of the file they came from; rows of unknown files stay."""
     files = catalog.build_catalog(customer_files(t))
     keyed = files.withColumn("file", F.col("filesize_bytes"))
     rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("file"))
@@ -177,6 +178,40 @@ def iqr_filter(t):
     return cleaning.drop_iqr_outliers(t.events.select("event_id", "value", "user_id"), ["value", "user_id"])
 
 
+def scaled_sql(source: str, keys: list[str], cols: list[str]) -> str:
+    ends = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in cols)
+    outs = ", ".join(r(f"coalesce(({c} - lo_{c}) / nullif(hi_{c} - lo_{c}, 0), CASE WHEN {c} IS NOT NULL THEN 0 END)", 9) + f" AS {c}" for c in cols)
+    return f"SELECT {', '.join(keys)}, {outs} FROM {source}, (SELECT {ends} FROM {source})"
+
+
+# Every seventh value is missing, as null or as NaN.
+GAPS_SQL = """gap AS (SELECT event_id, event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS value, user_id::DOUBLE AS user_id FROM events)"""
+
+
+def gappy_events(t):
+    value = F.when(F.col("event_id") % 14 == 0, F.lit(None)).when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return t.events.select("event_id", "event_type", value.alias("value"), F.col("user_id").cast("double").alias("user_id"))
+
+
+@query(
+    "iqr_filter_with_gaps",
+    f"""WITH {GAPS_SQL}, q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b, quantile_cont(user_id, 0.25) AS c,
+      quantile_cont(user_id, 0.75) AS d FROM gap)
+    SELECT event_id, value, user_id FROM gap, q WHERE coalesce(value BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a), true)
+      AND user_id BETWEEN c - 1.5 * (d - c) AND d + 1.5 * (d - c)""",
+)
+def iqr_filter_with_gaps(t):
+    """A row without a value stays, whether null or NaN."""
+    kept = cleaning.drop_iqr_outliers(gappy_events(t).drop("event_type"), ["value", "user_id"])
+    return cleaning.nan_to_null(kept, ["value"])
+
+
+@query("minmax_with_gaps", f"WITH {GAPS_SQL} {scaled_sql('gap', ['event_id'], ['value', 'user_id'])}")
+def minmax_with_gaps(t):
+    """gaps stay gaps and do not set the limits."""
+    return rounded(scaling.minmax_columns(gappy_events(t).drop("event_type"), ["value", "user_id"]), 9, ["value", "user_id"])
+
+
 @query(
     "iqr_bounds_by_label",
     "WITH u AS (UNPIVOT (SELECT l_returnflag, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)"
@@ -188,12 +223,6 @@ def iqr_bounds_by_label(t):
     return rounded(cleaning.iqr_bounds(t.lineitem, MEASURES, ids=["l_returnflag"]), 6, ["lo", "hi"])
 
 
-def scaled_sql(source: str, keys: list[str], cols: list[str]) -> str:
-    ends = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in cols)
-    outs = ", ".join(r(f"coalesce(({c} - lo_{c}) / nullif(hi_{c} - lo_{c}, 0), CASE WHEN {c} IS NOT NULL THEN 0 END)", 9) + f" AS {c}" for c in cols)
-    return f"SELECT {', '.join(keys)}, {outs} FROM {source}, (SELECT {ends} FROM {source})"
-
-
 @query("minmax_scaled", f"WITH x AS (SELECT *, 7.0 AS same FROM lineitem) {scaled_sql('x', ['l_orderkey', 'l_linenumber'], MEASURES + ['same'])}")
 def minmax_scaled(t):
     """columns to [0, 1], a constant column to 0, keys carried."""
@@ -441,6 +470,34 @@ def device_merge(t):
     return rounded(merged, 6, ["read_ops"])
 
 
+CALL_TERMS = ["de", "of", "que"]
+
+
+@query(
+    "device_merge_with_calls",
+    f"""WITH {MERGE_SQL}, d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'dev_a' ELSE 'dev_b' END AS device,
+      epoch_us(TIMESTAMP '2024-01-01') + doc_id * {7 * 60_000_000} AS us, {words_sql('lower(text)')} AS tokens FROM documents),
+    dw AS (SELECT *, us - ((us - o) % {6 * 3_600_000_000} + {6 * 3_600_000_000}) % {6 * 3_600_000_000} AS win_us FROM d, st),
+    cm AS (SELECT device, win_us, {', '.join(f"avg(len(list_filter(tokens, lambda x: x = '{w}')))::DOUBLE AS {w}" for w in CALL_TERMS)} FROM dw GROUP BY ALL),
+    cs AS (SELECT device, min(win_us) AS a, max(win_us) AS b FROM dw GROUP BY 1),
+    cg AS (SELECT device, unnest(generate_series(a, b, {6 * 3_600_000_000}::BIGINT)) AS win_us FROM cs),
+    c AS (SELECT device, win_us, {', '.join(CALL_TERMS)} FROM cg LEFT JOIN cm USING (device, win_us)),
+    m AS (SELECT device, win_us, read_ops, entropy_file_count, label FROM one JOIN (SELECT DISTINCT device, win_us, label FROM full_) USING (device, win_us))
+    SELECT device, win_us, {r('read_ops')} AS read_ops, entropy_file_count, label, {', '.join(r(w) + f' AS {w}' for w in CALL_TERMS)}
+    FROM m FULL JOIN c USING (device, win_us)""",
+)
+def device_merge_with_calls(t):
+    """The fusion job with term counts of documents as calls; documents without a selected term count as 0."""
+    docs = t.documents.filter("text IS NOT NULL").select(
+        F.expr("IF(doc_id % 2 = 0, 'dev_a', 'dev_b')").alias("device"), F.col("doc_id").alias("doc"),
+        F.expr("timestampadd(MINUTE, CAST(doc_id * 7 AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00')").alias("ts"), "text")
+    counts = text.term_counts(text.tokenised(docs, ["device", "doc", "ts"], "text", lowercase=True), ["device", "doc", "ts"])
+    merged = merge_device(
+        merge_sources(t), ["read_ops", "entropy_file_count", *CALL_TERMS], "6h", SourceRegistry(),
+        calls=counts.withColumn("value", F.col("n").cast("double")), call_documents=docs.drop("text"))
+    return rounded(merged, 6, ["read_ops", *CALL_TERMS])
+
+
 @query("customers_with_orders", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def customers_with_orders(t):
     """Membership as a semi join."""
@@ -523,7 +580,7 @@ def first_order_per_customer(t):
 
 def part_features(t):
     registry = t.part.groupBy(F.col("p_name").alias("feature"), F.col("p_brand").alias("data_source")).agg(F.min("p_partkey").alias("ord"))
-    registry = registry.filter("ord < 100000 and data_source <> 'Brand#1'")
+    registry = registry.filter("data_source <> 'Brand#1'")
     plain = t.part.select(F.col("p_name").alias("feature"))
     suffixed = t.part.select(F.concat("p_name", F.lit("_KERN_data")).alias("feature"))
     foreign = t.part.select(F.concat("p_type", F.lit(" call")).alias("feature"))
