@@ -2,7 +2,7 @@
 
 Estimator of Ross (2014): per point, the distance to its k-th neighbour of the same
 class gives a radius, and the points of all classes within it are counted. Equal values
-are combined first. The feature's line is cut at checkpointed split points into slices;
+are combined first. The feature's line is cut at stored split points, as many as its values need, into slices;
 each slice is sorted on its own, receives the k nearest rows of the slices next to it,
 and counts become global through the number of points in the slices before.
 No jitter is added, so the result is deterministic.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sensorloom.functions.numeric import digamma
 from sensorloom.operators.cleaning import quoted
@@ -20,26 +20,41 @@ from sensorloom.operators.lookup import join_lookup
 from sensorloom.operators.quantiles import melt
 from sensorloom.session import materialise
 
-SLICES = 64
+LEAST_SLICES = 16
+SLICE_ROWS = 100_000  # distinct values of a feature and class that one task should sort
 
 
-def _slice_of(x: Column, splits: Column, slices: int) -> Column:
-    index = F.lit(0)
-    for i in range(slices - 1):
-        index = index + F.when(x > splits[i], 1).otherwise(0)
-    return index
-
-
-def _sliced(points: DataFrame, column: str, splits: DataFrame, slices: int) -> DataFrame:
-    return join_lookup(points, splits, ["feature"], stored=True).withColumn("slice", _slice_of(F.col(column), F.col("splits"), slices)).drop("splits")
+def _sliced(points: DataFrame, column: str, splits: DataFrame) -> DataFrame:
+    """Adds the slice: the number of split points below the value."""
+    placed = join_lookup(points, splits, ["feature"], stored=True)
+    return placed.withColumn("slice", F.expr(f"size(filter(splits, s -> `{column}` > s))")).drop("splits")
 
 
 def neighbour_information(
-    df: DataFrame, label: str, features: Sequence[str], neighbours: int = 3, slices: int = SLICES
+    df: DataFrame, label: str, features: Sequence[str], neighbours: int = 3, slices: int | None = None
 ) -> DataFrame:
     """(feature, mutual_info_classif); classes with a single point are left out."""
-    k = neighbours
     long = melt(df.withColumn("_label", quoted(label)), ["_label"], features)
+    return _information(long.select(F.struct("feature").alias("feature"), "_label", "x"), neighbours, slices).select("feature.feature", "mutual_info_classif")
+
+
+def neighbour_information_by_label(
+    df: DataFrame, label: str, features: Sequence[str], neighbours: int = 3, slices: int | None = None
+) -> DataFrame:
+    """(feature, label, mutual_info_classif) of every label against all others.
+
+    Every point is a point of each label's own two-class problem; the labels are few.
+    """
+    labels = [r[0] for r in df.select(quoted(label)).distinct().collect() if r[0] is not None]
+    long = melt(df.withColumn("_label", quoted(label)), ["_label"], features).filter(F.col("_label").isNotNull())
+    against = long.withColumn("one", F.explode(F.array(*[F.lit(x) for x in labels])))
+    return _information(
+        against.select(F.struct("feature", "one").alias("feature"), (F.col("_label") == F.col("one")).alias("_label"), "x"), neighbours, slices
+    ).select("feature.feature", F.col("feature.one").alias("label"), "mutual_info_classif")
+
+
+def _information(long: DataFrame, k: int, slices: int | None) -> DataFrame:
+    """(feature, mutual_info_classif) from (feature, _label, x); the feature is any key."""
     # Distinct values with their counts; class sizes, split points and points all start from them.
     combined = materialise(
         long.filter(F.col("x").isNotNull())
@@ -47,12 +62,15 @@ def neighbour_information(
         .agg(F.count("*").alias("c"))
     )
     classes = materialise(combined.groupBy("feature", "label").agg(F.sum("c").alias("n_class")).filter("n_class > 1"))
+    if slices is None:
+        largest = combined.groupBy("feature").count().agg(F.max("count")).first()[0] or 1
+        slices = max(LEAST_SLICES, -(-largest // SLICE_ROWS))
     # Split points only balance the work, but all steps must agree on them: they are written once.
     probs = [i / slices for i in range(1, slices)]
     splits = materialise(
-        combined.groupBy("feature").agg(F.percentile_approx("x", [float(p) for p in probs], 1000).alias("splits"))
+        combined.groupBy("feature").agg(F.percentile_approx("x", [float(p) for p in probs], max(1000, 20 * slices)).alias("splits"))
     )
-    points = materialise(_sliced(join_lookup(combined, classes, ["feature", "label"], stored=True), "x", splits, slices))
+    points = materialise(_sliced(join_lookup(combined, classes, ["feature", "label"], stored=True), "x", splits))
 
     # 1. Rows that neighbouring slices need: the k lowest and k highest of each (feature, label, slice).
     inner = ["feature", "label", "slice"]
@@ -129,7 +147,7 @@ def neighbour_information(
             )
         ).alias("q"),
     ).select(*carried, F.col("q.at").alias("at"), F.col("q.rank").alias("rank"), F.col("q.sign").alias("sign"))
-    placed = _sliced(queries, "at", splits, slices)
+    placed = _sliced(queries, "at", splits)
     # Sorted by (position, rank): rank 0 comes before the points at the same position, rank 2 after them.
     events = placed.withColumn("w", F.lit(0).cast("long")).unionByName(
         points.select("feature", "slice", F.col("x").alias("at"), F.lit(1).alias("rank"), F.col("c").alias("w")),

@@ -4,6 +4,10 @@ The built-in exact percentile keeps one value->count map per group in one task.
 sketch first brackets every wanted rank; then all rows are combined to (values inside a
 bracket, one row per zone between brackets), and running counts over that short table
 give the exact order statistics.
+
+The short table grows with the data, so no task counts through all of it: a bracket is cut into
+``CELLS`` equal stretches of values, running counts inside a cell start from the sum of the cells
+before it, and the table of cells has a fixed number of rows per key.
 """
 
 from __future__ import annotations
@@ -13,8 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.operators.lookup import join_lookup
+from sensorloom.session import materialise
 
 SKETCH_ACCURACY = 10_000
+CELLS = 256
 
 
 def _ranked(
@@ -23,7 +29,9 @@ def _ranked(
     """Short table (keys, by, v, mn, mx, c, n, start, upto): rows in value order with their rank range.
 
     ``v`` is set for a value inside a bracket; other rows stand for a whole zone between two
-    brackets and for its smallest and largest value only.
+    brackets and for its smallest and largest value only. Zones and cells are disjoint stretches of
+    values: a value counts for the first bracket that holds it, and brackets do not overtake each
+    other. Zones are numbered from -1 downwards, cells from 0 upwards.
     """
     rows = long.select(*keys, *by, F.col(value).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
     margin, m = 2.0 / accuracy, len(probs)
@@ -37,25 +45,30 @@ def _ranked(
         tagged = rows.withColumn("_s", whole).selectExpr(*by, "x", "_s.b AS b", "_s.n AS n")
     inside = " OR ".join(f"x BETWEEN b[{i}] AND b[{m + i}]" for i in range(m))
     zone = " + ".join(f"IF(x > b[{m + i}], 1, 0)" for i in range(m))
-    short = (
-        tagged.select(*keys, *by, "n", "x", F.expr(f"IF({inside}, x, NULL) AS v"), F.expr(f"IF({inside}, NULL, {zone}) AS z"))
-        .groupBy(*keys, *by, "v", "z")
-        .agg(F.expr("count(*) AS c"), F.expr("min(x) AS mn"), F.expr("max(x) AS mx"), F.expr("max(n) AS n"))
-    )
+    cell = " ".join(
+        f"WHEN x BETWEEN b[{i}] AND b[{m + i}] THEN {i * CELLS} + coalesce(CAST(least(floor(try_divide(x - b[{i}], b[{m + i}] - b[{i}]) * {CELLS}), {CELLS - 1}) AS INT), 0)"
+        for i in range(m))
+    short = materialise(
+        tagged.select(*keys, *by, "n", "x", F.expr(f"IF({inside}, x, NULL) AS v"), F.expr(f"CASE {cell} ELSE -1 - ({zone}) END AS cell"))
+        .groupBy(*keys, *by, "v", "cell")
+        .agg(F.expr("count(*) AS c"), F.expr("min(x) AS mn"), F.expr("max(x) AS mx"), F.expr("max(n) AS n")))
     part = ", ".join(f"`{k}`" for k in keys) or "0"
+    cells = short.groupBy(*keys, "cell").agg(F.expr("min(mn) AS low"), F.expr("sum(c) AS in_cell"))
+    before = F.expr(f"coalesce(sum(in_cell) OVER (PARTITION BY {part} ORDER BY low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
+    rows = join_lookup(short, cells.select(*keys, "cell", before), [*keys, "cell"])
     if not by:
-        upto = F.expr(f"sum(c) OVER (PARTITION BY {part} ORDER BY mn)")
-        return short.withColumn("upto", upto).withColumn("start", F.expr("upto - c"))
+        upto = F.expr(f"before + sum(c) OVER (PARTITION BY {part}, cell ORDER BY mn)")
+        return rows.withColumn("upto", upto).withColumn("start", F.expr("upto - c")).drop("before", "cell")
     # Rows of one zone overlap across ``by``; only the zone as a whole has a rank range.
-    cell = f"OVER (PARTITION BY {part}, v, z)"
-    zoned = short.select(
-        *keys, *by, "v", "z", "c", "n", F.expr(f"sum(c) {cell} AS zc"), F.expr(f"min(mn) {cell} AS mn"), F.expr(f"max(mx) {cell} AS mx")
+    whole = f"OVER (PARTITION BY {part}, cell, v)"
+    zoned = rows.select(
+        *keys, *by, "v", "cell", "c", "n", "before", F.expr(f"sum(c) {whole} AS zc"), F.expr(f"min(mn) {whole} AS mn"), F.expr(f"max(mx) {whole} AS mx")
     )
-    upto = F.expr(f"sum(c) OVER (PARTITION BY {part} ORDER BY mn RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    return zoned.withColumn("upto", upto).withColumn("start", F.expr("upto - zc"))
+    upto = F.expr(f"before + sum(c) OVER (PARTITION BY {part}, cell ORDER BY mn RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    return zoned.withColumn("upto", upto).withColumn("start", F.expr("upto - zc")).drop("before", "cell")
 
 
-def _edge(p: float, window: str = "") -> str:
+def _edge(p: float) -> str:
     """Interpolated quantile: the order statistics at the two neighbouring ranks.
 
     A zone row stands for many values, only its two ends are known; the brackets contain
@@ -66,11 +79,11 @@ def _edge(p: float, window: str = "") -> str:
     def at(rank: str) -> str:
         return (
             f"max(CASE WHEN {rank} < start OR {rank} >= upto THEN NULL WHEN v IS NOT NULL THEN v WHEN {rank} = start THEN mn "
-            f"WHEN {rank} = upto - 1 THEN mx ELSE raise_error('quantile rank outside its bracket') END) {window}"
+            f"WHEN {rank} = upto - 1 THEN mx ELSE raise_error('quantile rank outside its bracket') END)"
         )
 
     low = f"floor({position})"
-    share = f"max({position} - {low}) {window}"
+    share = f"max({position} - {low})"
     lo, hi = at(low), at(f"least({low} + 1, n - 1)")
     return f"({lo} + ({hi} - {lo}) * {share})"
 
@@ -89,12 +102,12 @@ def quantile_bin_counts(
     """(keys..., by..., bin, n): rows per quantile bin, bin = number of inner edges below the value.
 
     All rows of a zone lie between the same two edges, so the short table already holds the
-    counts and the data is not read again for them.
+    counts and the data is not read again for them. The edges are one row per key.
     """
     probs = [i / bins for i in range(1, bins)]
     ranked = _ranked(long, keys, value, probs, accuracy, by)
-    window = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)})"
-    with_edges = ranked.withColumn("edges", F.expr(f"array({', '.join(_edge(p, window) for p in probs)})"))
+    edges = ranked.groupBy(*keys).agg(F.expr(f"array({', '.join(_edge(p) for p in probs)}) AS edges"))
+    with_edges = join_lookup(ranked, edges, keys)
     index = " + ".join(f"IF(mn > edges[{i}], 1, 0)" for i in range(len(probs)))
     return with_edges.groupBy(*keys, *by, F.expr(f"{index} AS bin")).agg(F.expr("sum(c) AS n"))
 

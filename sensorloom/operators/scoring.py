@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.numeric import ratio
 from sensorloom.operators.cleaning import drop_iqr_outliers, quoted
-from sensorloom.operators.neighbors import neighbour_information
+from sensorloom.operators.neighbors import neighbour_information, neighbour_information_by_label
 from sensorloom.operators.quantiles import melt, quantile_bin_counts
 
 SCORES = ["chi2", "f_classif", "mutual_info_classif"]
@@ -134,10 +134,21 @@ def feature_scores(
     return chi2_scores(moments).join(f_scores(moments), "feature").join(information, "feature")
 
 
-def feature_scores_by_label(df: DataFrame, label: str, features: Sequence[str], bins: int = 10) -> DataFrame:
+def information_by_label(
+    df: DataFrame, label: str, features: Sequence[str], bins: int = 10, method: str = "binned", neighbours: int = 3
+) -> DataFrame:
+    """(feature, label, mutual_info_classif) against the rest, from quantile bins or from nearest neighbours ("knn")."""
+    if method == "knn":
+        return neighbour_information_by_label(df, label, features, neighbours)
+    return one_vs_rest_information(bin_counts(df, label, features, bins))
+
+
+def feature_scores_by_label(
+    df: DataFrame, label: str, features: Sequence[str], bins: int = 10, method: str = "binned", neighbours: int = 3
+) -> DataFrame:
     """(feature, label, chi2, f_classif, mutual_info_classif), each label against the rest."""
     moments = class_moments(df, label, features)
-    information = one_vs_rest_information(bin_counts(df, label, features, bins))
+    information = information_by_label(df, label, features, bins, method, neighbours)
     return one_vs_rest_scores(moments).join(information, ["feature", "label"])
 
 
@@ -167,10 +178,12 @@ def rank_features(
     scale: bool = True,
     drop_outliers: bool = False,
     bins: int = 10,
+    method: str = "binned",
+    neighbours: int = 3,
 ) -> DataFrame:
     """One source's ranking job (F8): outlier filter, min-max scaling, constant columns dropped, every label scored.
 
-    Scaling is applied to the moments; quantile bins do not change under it.
+    Scaling is applied to the moments; quantile bins and neighbours do not change under it.
     """
     rows = drop_iqr_outliers(df, features) if drop_outliers else df
     moments = class_moments(rows, label, features)
@@ -179,5 +192,5 @@ def rank_features(
     else:
         spread = F.max("hi").over(Window.partitionBy("feature")) - F.min("lo").over(Window.partitionBy("feature"))
         moments = moments.withColumn("_spread", spread).filter("_spread > 0").drop("_spread")
-    information = one_vs_rest_information(bin_counts(rows, label, features, bins))
+    information = information_by_label(rows, label, features, bins, method, neighbours)
     return one_vs_rest_scores(moments).join(information, ["feature", "label"])

@@ -296,6 +296,22 @@ def information_neighbours(t):
     return rounded(neighbour_information(rows, "event_type", ["value", "user_id"]), 9, ["mutual_info_classif"])
 
 
+LABEL_NEIGHBOURS_SQL = NEIGHBOURS_SQL.replace("WITH l AS (", "WITH l0 AS (", 1).replace(
+    "UNION ALL SELECT 'user_id', event_type, user_id::DOUBLE, event_id FROM events),",
+    """UNION ALL SELECT 'user_id', event_type, user_id::DOUBLE, event_id FROM events),
+    l AS (SELECT l0.feature || '@' || k.one AS feature, (l0.label = k.one)::VARCHAR AS label, x, event_id FROM l0, (SELECT DISTINCT event_type AS one FROM events) k),""", 1,
+).replace("SELECT feature, round", "SELECT split_part(feature, '@', 1) AS feature, split_part(feature, '@', 2) AS label, round", 1)
+
+
+@query("feature_scores_by_label_knn", LABEL_NEIGHBOURS_SQL.replace("SELECT feature, (round", "SELECT split_part(feature, '@', 1) AS feature, split_part(feature, '@', 2) AS label, (round"))
+def feature_scores_by_label_knn(t):
+    """F5, second form: every label against the rest by nearest neighbours."""
+    cents = F.round(F.col("value") * 100).alias("value")
+    rows = t.events.select("event_type", cents, F.col("user_id").cast("double").alias("user_id"))
+    scores = scoring.feature_scores_by_label(rows, "event_type", ["value", "user_id"], method="knn")
+    return rounded(scores.select("feature", "label", "mutual_info_classif"), 9, ["mutual_info_classif"])
+
+
 ABLATION_FEATURES = ["TcpPacketCount", "(OLD) AverageLength", "MeanInterPacketInterval"]
 ABLATION_WIDTHS = [7200, 14400, 28800]
 
