@@ -8,7 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
-from sensorloom.functions.numeric import hash_order
+from sensorloom.functions.numeric import hash_order, hash_unit
+from sensorloom.operators.ordering import with_row_index
 from sensorloom.operators.quantiles import feature_quantiles
 
 
@@ -136,9 +137,27 @@ def suffix_shared_columns(frames: Mapping[str, DataFrame], keys: Sequence[str])
     }
 
 
-def shuffled(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
-    """Seeded full shuffle as a distributed sort on a hash of the row key (P25)."""
-    return df.orderBy(hash_order(F.concat_ws("|", *[quoted(k) for k in key]), seed), *[quoted(k) for k in key])
+def shuffled(df: DataFrame, key: Sequence[str], seed: int, position: str | None = None) -> DataFrame:
+    """Seeded full shuffle as a distributed sort on a hash of the row key (P25).
+
+    ``position`` adds the row's place in the new order, for keys that identify a row.
+    """
+    order = hash_order(F.concat_ws("|", *[quoted(k) for k in key]), seed)
+    if position is None:
+        return df.orderBy(order, *[quoted(k) for k in key])
+    return with_row_index(df.withColumn("_hash", order), ["_hash", *key], position).drop("_hash")
+
+
+def sampled(df: DataFrame, key: Sequence[str], share: float, seed: int) -> DataFrame:
+    """A fraction of the rows by a hash of the row key: the same rows under any partitioning (P25)."""
+    limit = int(round(share * 1_000_000))
+    return df.filter(hash_unit(F.concat_ws("|", *[quoted(k) for k in key]), seed, 1_000_000) < limit)
+
+
+def sliced(df: DataFrame, order: Sequence[str], start: int, stop: int) -> DataFrame:
+    """Rows at the positions start .. stop - 1 of an order (K9)."""
+    placed = with_row_index(df, order, "_position")
+    return placed.filter((F.col("_position") >= start) & (F.col("_position") < stop)).drop("_position")
 
 
 def top_category_codes(df: DataFrame, column: str, k: int = 5) -> DataFrame:

@@ -17,12 +17,13 @@ from sensorloom.schema import LABELS
 def clean_training_set(
     fused: DataFrame, selected: Sequence[str], labels: Sequence[str] = tuple(LABELS), label: str = "label",
     key: Sequence[str] = (), dropna_scope: str = "all", seed: int | None = None, strict: bool = False,
+    position: str | None = None,
 ) -> DataFrame:
     """dropna -> select -> encode label -> numeric -> scale -> shuffle.
 
     ``dropna_scope="all"`` drops on every column before the selection, ``"selected"`` only on
     the kept ones. ``strict`` requires all selected features to be present. ``key`` columns are
-    carried for splits and the seeded shuffle.
+    carried for splits and the seeded shuffle, whose order ``position`` makes a column.
     """
     present = sorted(set(selected) & set(fused.columns))
     missing = sorted(set(selected) - set(fused.columns))
@@ -32,7 +33,7 @@ def clean_training_set(
     rows = drop_any_null(rows.select(*[quoted(k) for k in key], *[quoted(c) for c in present], label))
     encoded = encode_labels(rows, labels, label)
     scaled = minmax_columns(to_numeric(encoded, key), present)
-    return shuffled(scaled, list(key) or present, seed) if seed is not None else scaled
+    return shuffled(scaled, list(key) or present, seed, position) if seed is not None else scaled
 
 
 def compare_widths(

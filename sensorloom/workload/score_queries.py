@@ -27,8 +27,8 @@ def long_sql(source: str, features: list[str]) -> str:
 
 
 def scaled_sql(source: str, features: list[str]) -> str:
-    """All features of ``source`` min-max-scaled."""
-    scaled = ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in features)
+    """All features of ``source`` min-max-scaled; a constant one is null and so gives no row of the narrow form."""
+    scaled = ", ".join(f"({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0) AS {c}" for c in features)
     return f"SELECT label, {scaled} FROM ({source})"
 
 
@@ -161,10 +161,10 @@ def top_features_per_label(t):
     return rounded(ranking.top_per_label(label_scores(t), 2), 4, ["score"])
 
 
-@query("best_feature", f"WITH {SCORES_SQL} SELECT feature, label FROM scores ORDER BY chi2 DESC, feature LIMIT 1")
+@query("best_feature", f"WITH {SCORES_SQL} SELECT feature, label, {SCORE_OUT} FROM scores ORDER BY scores.chi2 DESC, feature LIMIT 1")
 def best_feature(t):
     """K4."""
-    return ranking.best_feature(label_scores(t), "chi2").select("feature", "label")
+    return shown(ranking.best_feature(label_scores(t), "chi2"))
 
 
 SCORE_TABLE_SQL = """tagged AS (SELECT *, 'SYS_x' || CASE WHEN feature = 'l_tax' THEN '2' ELSE '1' END AS data_source, label = 'N' AS is_robust FROM scores
@@ -300,7 +300,7 @@ LABEL_NEIGHBOURS_SQL = NEIGHBOURS_SQL.replace("WITH l AS (", "WITH l0 AS (", 1).
     "UNION ALL SELECT 'user_id', event_type, user_id::DOUBLE, event_id FROM events),",
     """UNION ALL SELECT 'user_id', event_type, user_id::DOUBLE, event_id FROM events),
     l AS (SELECT l0.feature || '@' || k.one AS feature, (l0.label = k.one)::VARCHAR AS label, x, event_id FROM l0, (SELECT DISTINCT event_type AS one FROM events) k),""", 1,
-).replace("SELECT feature, round", "SELECT split_part(feature, '@', 1) AS feature, split_part(feature, '@', 2) AS label, round", 1)
+)
 
 
 @query("feature_scores_by_label_knn", LABEL_NEIGHBOURS_SQL.replace("SELECT feature, (round", "SELECT split_part(feature, '@', 1) AS feature, split_part(feature, '@', 2) AS label, (round"))
@@ -316,31 +316,42 @@ ABLATION_FEATURES = ["TcpPacketCount", "(OLD) AverageLength", "MeanInterPacketIn
 ABLATION_WIDTHS = [7200, 14400, 28800]
 
 
-def ablation_sql() -> str:
+def ablation_sql(widths: list[int], features: list[str], out: str) -> str:
     """The ranking SQL over the network SQL, once per width."""
-    names = ["TcpPacketCount", '"(OLD) AverageLength"', "MeanInterPacketInterval"]
+    names = [f'"{c}"' for c in features]
     parts = []
-    for width in ABLATION_WIDTHS:
+    for width in widths:
         table = network_sql(width * 1_000_000, "lo", "event_type", False, None)
         known = f"SELECT event_type AS label, {', '.join(names)} FROM ({table}) WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)}"
         parts.append(
             f"SELECT {width}::INT AS width_s, * FROM (WITH {long_sql(scaled_sql(known, names), names)}, {ONE_SQL}, {bins_sql()}"
-            f" SELECT feature, label, {SCORE_OUT} FROM one JOIN mi1 USING (feature, label))"
+            f" SELECT feature, label, {out} FROM one JOIN mi1 USING (feature, label))"
         )
     return " UNION ALL ".join(parts)
 
 
-@query("network_width_ablation", ablation_sql())
+@query("network_width_ablation", ablation_sql(ABLATION_WIDTHS, ABLATION_FEATURES, SCORE_OUT))
 def network_width_ablation_(t):
     """the network ranking at several window widths in one query."""
     return shown(network_width_ablation(packets(t), "ts", "event_type", ABLATION_WIDTHS, PACKET_COLUMNS, ABLATION_FEATURES))
 
 
-@query("network_ablation_top")
+TOP_WIDTHS = [14400, 43200]
+
+
+@query(
+    "network_ablation_top",
+    f"""WITH ab AS ({ablation_sql(TOP_WIDTHS, LENGTH_FEATURES + INTERVAL_FEATURES, ', '.join(scoring.SCORES))}),
+    named AS (SELECT label, feature || '@' || width_s AS feature, {', '.join(scoring.SCORES)} FROM ab),
+    u AS (UNPIVOT named ON {', '.join(scoring.SCORES)} INTO NAME score_type VALUE score)
+    SELECT label, feature, score_type, row_number() OVER (PARTITION BY label, score_type ORDER BY round(score, 9) DESC NULLS LAST, feature)::INT AS rank,
+    {r('score', 4)} AS score FROM u QUALIFY rank <= 10""",
+)
 def network_ablation_top(t):
     """Best features per width, label and score, all 23 features."""
-    scores = network_width_ablation(packets(t), "ts", "event_type", [14400, 43200], PACKET_COLUMNS, LENGTH_FEATURES + INTERVAL_FEATURES)
-    return rounded(ablation_top(scores, 10), 6, ["score"])
+    scores = network_width_ablation(packets(t), "ts", "event_type", TOP_WIDTHS, PACKET_COLUMNS, LENGTH_FEATURES + INTERVAL_FEATURES)
+    # Equal features (for example a count under two names) differ in the last bits; they are ties.
+    return rounded(ablation_top(scores.withColumns({c: F.round(c, 9) for c in scoring.SCORES}), 10), 4, ["score"])
 
 
 # --- weights: per-class means of the embedding dimensions stand in for a linear layer -------
@@ -358,11 +369,11 @@ def weights(t):
 
 @query(
     "weights_ranked",
-    f"WITH {WEIGHTS_SQL} SELECT class_id, feature, row_number() OVER (PARTITION BY class_id ORDER BY abs(weight) DESC, feature)::INT AS rank FROM w",
+    f"WITH {WEIGHTS_SQL} SELECT class_id, feature, row_number() OVER (PARTITION BY class_id ORDER BY abs(weight) DESC, feature)::INT AS rank, {r('weight')} AS weight FROM w",
 )
 def weights_ranked(t):
     """Features by absolute weight within each class."""
-    return ranking.ranked_weights(weights(t)).drop("weight")
+    return rounded(ranking.ranked_weights(weights(t)), 6, ["weight"])
 
 
 @query(
@@ -384,10 +395,10 @@ def weights_mean_scaled(t):
     return rounded(ranking.mean_scaled_weights(weights(t)), 6, ["mean_weight"])
 
 
-@query("weights_top_mean", f"WITH {MEAN_WEIGHT_SQL} SELECT feature FROM sw GROUP BY feature ORDER BY avg(s) DESC, feature LIMIT 10")
+@query("weights_top_mean", f"WITH {MEAN_WEIGHT_SQL} SELECT feature, {r('avg(s)')} AS mean_weight FROM sw GROUP BY feature ORDER BY avg(s) DESC, feature LIMIT 10")
 def weights_top_mean(t):
     """K6."""
-    return ranking.top_mean_weights(weights(t), 10).select("feature")
+    return rounded(ranking.top_mean_weights(weights(t), 10), 6, ["mean_weight"])
 
 
 @query(

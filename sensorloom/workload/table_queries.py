@@ -367,8 +367,23 @@ def first_rows(t):
 )
 def seeded_shuffle(t):
     """P25: full shuffle as an order by a seeded hash; the position shows it."""
-    keyed = t.customer.select("c_custkey", cleaning.hash_order(F.col("c_custkey"), 7).alias("h"))
-    return ordering.with_row_index(keyed, ["h", "c_custkey"], "position").drop("h")
+    return cleaning.shuffled(t.customer.select("c_custkey"), ["c_custkey"], 7, "position")
+
+
+@query(
+    "hash_sample",
+    """SELECT l_orderkey, l_linenumber FROM lineitem
+    WHERE ('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|5'), 1, 8))::BIGINT % 1000000 < 250000""",
+)
+def hash_sample(t):
+    """P25: a fixed quarter of the rows, chosen by a hash of the key."""
+    return cleaning.sampled(t.lineitem.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 0.25, 5)
+
+
+@query("rows_by_position", "SELECT event_id, value FROM events ORDER BY ts, event_id LIMIT 50 OFFSET 100")
+def rows_by_position(t):
+    """K9: a slice of an order by position."""
+    return cleaning.sliced(t.events.select("event_id", "value", "ts"), ["ts", "event_id"], 100, 150).drop("ts")
 
 
 # --- joins and sets ---------------------------------------------------------------------
@@ -695,10 +710,11 @@ def shard_label_counts(t):
     f"""WITH x AS (SELECT {', '.join(ITEM_KEYS)}, l_quantity, l_tax, l_returnflag FROM lineitem WHERE l_discount > 0),
     e AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_tax) AS c, max(l_tax) AS d FROM x)
     SELECT {', '.join(ITEM_KEYS)}, {r('(l_quantity - a) / (b - a)', 9)} AS l_quantity, {r('(l_tax - c) / (d - c)', 9)} AS l_tax,
-    (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)::INT AS label FROM x, e""",
+    (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)::INT AS label,
+    row_number() OVER (ORDER BY md5({" || '|' || ".join(ITEM_KEYS)} || '|7'), {', '.join(ITEM_KEYS)}) - 1 AS position FROM x, e""",
 )
 def clean_training_set_(t):
     """nulls dropped on all columns, selected features scaled, labels coded, rows shuffled."""
     fused = t.lineitem.select(*ITEM_KEYS, "l_quantity", "l_tax", F.expr("nullif(l_discount, 0D)").alias("l_discount"), F.col("l_returnflag").alias("label"))
-    table = clean_training_set(fused, ["l_quantity", "l_tax", "absent"], ["A", "N", "R"], key=ITEM_KEYS, seed=7)
+    table = clean_training_set(fused, ["l_quantity", "l_tax", "absent"], ["A", "N", "R"], key=ITEM_KEYS, seed=7, position="position")
     return rounded(table, 9, ["l_quantity", "l_tax"])

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 WITHOUT_SQL = {
-    "network_ablation_top", "linear_classifier", "multilayer_classifier", "linear_class_weights", "weight_based_selection",
+    "linear_classifier", "multilayer_classifier", "linear_class_weights", "weight_based_selection",
     "recursive_elimination", "pca_explained_variance", "pca_projection", "cross_device_evaluation", "width_comparison",
 }
 SF = "/root/testdata/sf0.001"
