@@ -19,6 +19,7 @@ import itertools
 import re
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from sensorloom.llm.batches import TwoGenerations, map_texts
@@ -45,7 +46,9 @@ class Pieces:
         self.byte_ids = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.texts = [None if i in special else p.replace(BLANK, " ") for i, p in enumerate(names)]
+        self.id_texts = [str(i) for i in range(size)]
         self.end = self.library.eos_id()
+        self.build_pairs(size)
         self.probe = self.library.encode("\n")  # what precedes a segment in a check
         self.pattern = self.segment_pattern()
         self.segments = TwoGenerations(self.encode_segments, CACHE)
@@ -64,6 +67,70 @@ class Pieces:
             f"{BLANK}*(?:[{LETTERS}]+(?=[{STOPS}{BLANK}\n]|\\Z)|[{STOPS}]+(?=[{LETTERS}{BLANK}\n]|\\Z)|[^{BLANK}\n]+)|\n|{BLANK}+"
         )
 
+    def build_pairs(self, size: int) -> None:
+        """Sorted (left id, right id) pairs that form a piece, with its rank and id; ids of single characters."""
+        self.size = size
+        joined = sorted(
+            (self.ids[p[:k]] * size + self.ids[p[k:]], self.rank[p], i)
+            for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
+        # A last entry that no pair equals ends the search.
+        self.pair_keys = np.array([*(k for k, _, _ in joined), np.iinfo(np.int64).max], np.int64)
+        self.pair_ranks = np.array([*(r for _, r, _ in joined), np.inf])
+        self.pair_ids = np.array([*(i for _, _, i in joined), -1], np.int64)
+        self.character_ids = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.character_ids[ord(p)] = i
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (infinite if they form no piece) and id of what the symbols form."""
+        keys = left * self.size + right
+        place = np.searchsorted(self.pair_keys, keys)
+        hit = self.pair_keys[place] == keys
+        return np.where(hit, self.pair_ranks[place], np.inf), self.pair_ids[place]
+
+    def merge_all(self, segments: list[str]) -> list[list[int]]:
+        """Ids of many segments: those of one length advance together, each by its best pair."""
+        out: list = [None] * len(segments)
+        by_length: dict[int, list[int]] = {}
+        for k, s in enumerate(segments):
+            by_length.setdefault(len(s), []).append(k)
+        for length, rows in by_length.items():
+            if length > SCAN_LIMIT or len(rows) < 8:
+                for k in rows:
+                    out[k] = self.merge(segments[k])
+                continue
+            codes = np.frombuffer("".join([segments[k] for k in rows]).encode("utf-32-le"), np.uint32).reshape(len(rows), length)
+            symbols = self.character_ids[codes].astype(np.int64)
+            # A character that is no piece may be bytes or part of a longer piece.
+            known = (symbols >= 0).all(axis=1)
+            names = np.array(rows)
+            for k in names[~known].tolist():
+                out[k] = self.merge(segments[k])
+            symbols, names = symbols[known], names[known]
+            agenda, made = self.ranks(symbols[:, :-1], symbols[:, 1:])
+            while len(names):
+                if agenda.shape[1]:
+                    at = agenda.argmin(axis=1)  # the leftmost of the best
+                    line = np.arange(len(names))
+                    going = agenda[line, at] < np.inf
+                else:
+                    going = np.zeros(len(names), bool)
+                for k, ids in zip(names[~going].tolist(), symbols[~going].tolist()):
+                    out[k] = ids
+                if not going.any():
+                    break
+                symbols, agenda, made, names, at = symbols[going], agenda[going], made[going], names[going], at[going]
+                line = np.arange(len(names))
+                symbols[line, at] = made[line, at]
+                symbols, agenda, made = without(symbols, at + 1), without(agenda, at), without(made, at)
+                if agenda.shape[1]:
+                    for pair in (at - 1, at):
+                        here = (pair >= 0) & (pair < agenda.shape[1])
+                        x, y = line[here], pair[here]
+                        agenda[x, y], made[x, y] = self.ranks(symbols[x, y], symbols[x, y + 1])
+        return out
+
     def merge(self, segment: str) -> list[int]:
         """Ids of a segment."""
         rank = self.rank
@@ -131,13 +198,13 @@ class Pieces:
 
     def encode_segments(self, segments: list[str]) -> list[tuple[str, int, str] | None]:
         """(ids as text, their number, decoded text) per segment; None where the library differs."""
-        own = list(map(self.merge, segments))
+        own = self.merge_all(segments)
         skip = len(self.probe)
         checked = self.library.encode(["\n" + s for s in segments], num_threads=1)
         texts = list(map(self.text_of, own))
         decoded = self.library.decode([self.probe + ids for ids in own])
         return [
-            (" ".join(map(str, ids)) + " ", len(ids), text) if ids == seen[skip:] and "\n" + text == back else None
+            (" ".join([self.id_texts[i] for i in ids]) + " ", len(ids), text) if ids == seen[skip:] and "\n" + text == back else None
             for ids, seen, text, back in zip(own, checked, texts, decoded)
         ]
 
@@ -165,6 +232,13 @@ class Pieces:
         return ids, counts, decoded, differing
 
 
+def without(table: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The table less one element of every row."""
+    keep = np.ones(table.shape, bool)
+    keep[np.arange(len(table)), column] = False
+    return table[keep].reshape(len(table), table.shape[1] - 1)
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
