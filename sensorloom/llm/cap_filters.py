@@ -41,6 +41,7 @@ LEAST_FILTERS = 5  # of each code, nearest ones if the limit gives fewer
 FILTERS_PER_VECTOR = 8  # directions of a code for each vector of the largest label
 SMALLEST_CODE, LARGEST_CODE = 32, 4096
 BLOCK = 512
+SLACK = 1e-9  # for rounding, where sums are bounded by parts
 
 
 @lru_cache(maxsize=64)
@@ -67,8 +68,8 @@ def decode(unit: np.ndarray, words: int, number: int, seed: int) -> list[np.ndar
     for i in range(n):
         sums = a[i, :LEAST_FILTERS, None] + b[i, None, :LEAST_FILTERS]  # the nearest few lie among these
         reach = min(limit, np.sort(sums, axis=None)[-LEAST_FILTERS])
-        in_a = int(np.searchsorted(-a[i], b[i, 0] - reach, side="right"))
-        in_b = int(np.searchsorted(-b[i], a[i, 0] - reach, side="right"))
+        in_a = int(np.searchsorted(-a[i], b[i, 0] - reach + SLACK, side="right"))
+        in_b = int(np.searchsorted(-b[i], a[i, 0] - reach + SLACK, side="right"))
         x, y = np.nonzero(a[i, :in_a, None] + b[i, None, :in_b] >= reach)
         out.append(number * words * words + order_a[i, x].astype(np.int64) * words + order_b[i, y])
     return out

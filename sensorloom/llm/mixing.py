@@ -71,7 +71,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
         h, m, k = half[todo], mask[todo], key[todo]
         left, right = out[todo] >> h, out[todo] & m
         for turn in range(4):
-            mix = (right + k + np.uint64(turn + 1) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0xBF58476D1CE4E5B9)
+            mix = (right + k + np.uint64((turn + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
             mix = (mix ^ (mix >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
             left, right = right, left ^ ((mix ^ (mix >> np.uint64(29))) & m)
         out[todo] = (left << h) | right
