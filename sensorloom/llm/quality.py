@@ -19,13 +19,13 @@ SYMBOLS = b"#*$%&|<>"
 # Largest accepted share of a text's word characters inside repeated n-grams of a length.
 GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.30
-LINE_CHAR_LIMIT = 0.20
+LINE_BYTE_LIMIT = 0.20
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, "
-    "dup_line_chars long, line_chars long, gram_chars array<long>"
+    "dup_line_bytes long, line_bytes long, gram_chars array<long>"
 )
 
 
@@ -44,12 +44,9 @@ def covered(grams: np.ndarray, n: int, n_words: int) -> np.ndarray | None:
     return np.cumsum(steps[:-1]) > 0
 
 
-def repetition(words: list[bytes], lengths: list[int], n_chars: np.ndarray | None = None) -> tuple[int, list[int]]:
+def repetition(word_hashes: np.ndarray, chars: np.ndarray, lengths: list[int]) -> tuple[int, list[int]]:
     """Words inside repeated n-grams of the first length, characters inside those of every length."""
-    repeated, chars = 0, [0] * len(lengths)
-    if len(words) <= min(lengths):
-        return repeated, chars
-    word_hashes = W.hashes(words)
+    repeated, inside = 0, [0] * len(lengths)
     grams = word_hashes
     for n in range(2, max(lengths) + 1):
         if len(grams) < 2:
@@ -57,57 +54,48 @@ def repetition(words: list[bytes], lengths: list[int], n_chars: np.ndarray | Non
         grams = W.rolled(word_hashes, grams, n)
         if n not in lengths:
             continue
-        mask = covered(grams, n, len(words))
+        mask = covered(grams, n, len(word_hashes))
         if mask is None:  # longer n-grams cannot repeat either
             break
-        if n_chars is None:
-            n_chars = code_points(words)
         k = lengths.index(n)
-        chars[k] = int(n_chars[mask].sum())
+        inside[k] = int(chars[mask].sum())
         if k == 0:
             repeated = int(mask.sum())
-    return repeated, chars
+    return repeated, inside
 
 
-def code_points(words: list[bytes]) -> np.ndarray:
-    """Characters per word: its bytes that start a character."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    starts = np.concatenate(([0], np.cumsum((flat & 0xC0) != 0x80)))
-    ends = np.cumsum(sizes)
-    return starts[ends] - starts[ends - sizes]
-
-
-def n_code_points(text: bytes) -> int:
-    return len(text.decode("utf-8", "surrogatepass"))
+def repeated_lines(text: bytes) -> tuple[int, int, int, int]:
+    """Lines with a word, those equal to an earlier one, and the bytes of both."""
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    again = again_bytes = 0
+    if len(set(lines)) < len(lines):
+        seen: set[bytes] = set()
+        for line in lines:
+            if line in seen:
+                again += 1
+                again_bytes += len(line)
+            else:
+                seen.add(line)
+    return len(lines), again, again_bytes, sum(map(len, lines))
 
 
 def measures(texts: list[bytes], lengths: list[int]) -> list[list]:
+    words = W.Words(texts)
+    # Characters are the bytes that do not continue one.
+    upto = np.concatenate(([0], np.cumsum((words.flat & 0xC0) != 0x80)))
+    chars = upto[words.ends] - upto[words.starts]
     rows = []
-    for text in texts:
-        words = text.split()  # at ASCII white space only
-        # White space is one byte and one character each.
-        chars = n_code_points(text) - (len(text) - sum(map(len, words)))
+    for text, first, last in zip(texts, words.upto[:-1].tolist(), words.upto[1:].tolist()):
+        repeated, gram_chars = repetition(words.hashes[first:last], chars[first:last], lengths)
+        n_lines, again, again_bytes, line_bytes = repeated_lines(text)
         symbols = len(text) - len(text.translate(None, SYMBOLS))
-        lines = [x for x in text.split(b"\n") if x.strip()]
-        dup_lines = dup_chars = 0
-        distinct = set(lines)
-        if len(distinct) < len(lines):
-            seen: set[bytes] = set()
-            for line in lines:
-                if line in seen:
-                    dup_lines += 1
-                    dup_chars += len(line)
-                else:
-                    seen.add(line)
-        repeated, gram_chars = repetition(words, lengths)
-        rows.append((len(words), chars, symbols, dup_lines, repeated, len(lines), dup_chars, sum(map(len, lines)), gram_chars))
+        rows.append((last - first, int(chars[first:last].sum()), symbols, again, repeated, n_lines, again_bytes, line_bytes, gram_chars))
     return [list(x) for x in zip(*rows)]
 
 
 def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                   gram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT,
-                  line_char_limit: float = LINE_CHAR_LIMIT, min_words: int = MIN_WORDS,
+                  line_byte_limit: float = LINE_BYTE_LIMIT, min_words: int = MIN_WORDS,
                   max_repeat_percent: int = MAX_REPEAT_PERCENT, keep: list[str] | None = None) -> DataFrame:
     """Measures and verdict per row: the id, the columns of ``keep``, counts, shares, base_failed, kept.
 
@@ -127,5 +115,5 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     return out.selectExpr(
         "*", f"NOT base_failed AND n_dup_lines <= {line_limit}D * n_lines "
-        f"AND dup_line_chars <= {line_char_limit}D * line_chars AND {within} AS kept",
+        f"AND dup_line_bytes <= {line_byte_limit}D * line_bytes AND {within} AS kept",
     )

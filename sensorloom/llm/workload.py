@@ -86,7 +86,7 @@ r AS (SELECT row, sum(n) AS lines, sum(n - 1) AS dup_lines, sum(n * strlen(line)
 m AS (SELECT row, doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
 a AS (SELECT m.*, coalesce(dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(c5.covered, 0) AS n_repeat_words,
-    coalesce(dup_lines, 0) <= {quality.LINE_LIMIT}::DOUBLE * coalesce(lines, 0) AND coalesce(dup_chars, 0) <= {quality.LINE_CHAR_LIMIT}::DOUBLE * coalesce(r.chars, 0)
+    coalesce(dup_lines, 0) <= {quality.LINE_LIMIT}::DOUBLE * coalesce(lines, 0) AND coalesce(dup_chars, 0) <= {quality.LINE_BYTE_LIMIT}::DOUBLE * coalesce(r.chars, 0)
     AND {within} AS good FROM m LEFT JOIN r USING (row) {joins}),
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM b"""

@@ -12,7 +12,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 from sensorloom.llm import cap_filters, mixing, spans, weighted_minhash, words  # noqa: E402
-from sensorloom.llm.components import components  # noqa: E402
+from sensorloom.llm.components import components, joined_components  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -43,6 +43,14 @@ def test_components_of_paths_and_stars(spark):
     assert got == groups_of([x for x in links if x[0] != x[1]], {n for x in links if x[0] != x[1] for n in x})
 
 
+def test_more_links_join_components(spark):
+    first, more = [(1, 2), (3, 4), (5, 6), (20, 21)], [(2, 4), (7, 6), (30, 31)]
+    groups = components(spark.createDataFrame(first, "u long, v long"))
+    got = {r["node"]: r["component"] for r in joined_components(groups, spark.createDataFrame(more, "u long, v long")).collect()}
+    assert got == groups_of(first + more, {n for x in first + more for n in x})
+    assert joined_components(groups, spark.createDataFrame([], "u long, v long")).count() == 8
+
+
 # --- embeddings ---
 
 def test_embeddings_equal_brute_force(spark, monkeypatch):
@@ -168,7 +176,8 @@ def near_corpus(seed=4):
 
 def test_near_texts_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(weighted_minhash, "STAR_CELL", 8)
-    monkeypatch.setattr(weighted_minhash, "BLOCK", 8)
+    monkeypatch.setattr(weighted_minhash, "TEXT_BLOCK", 8)
+    monkeypatch.setattr(weighted_minhash, "SAMPLE_BLOCK", 16)
     texts = near_corpus()
     weights = plain_weights(texts)
     links = [(i, j) for i in range(len(texts)) for j in range(i) if plain_similarity(weights[i], weights[j]) >= 0.8 or texts[i] and texts[i] == texts[j]]
@@ -200,6 +209,17 @@ def test_samples_estimate_the_similarity():
     assert abs(np.mean(equal) - np.mean(expected)) < 0.03
 
 
+def test_a_cover_touches_every_candidate():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        near = rng.random((12, 12)) < 0.15
+        near |= near.T
+        np.fill_diagonal(near, False)
+        pairs = weighted_minhash.cover(near)
+        assert all(near[x, y] for x, y in pairs)
+        assert {x for p in pairs for x in p} == set(np.flatnonzero(near.any(1)).tolist())
+
+
 def test_frequent_shingles_are_counted_exactly(spark):
     texts = near_corpus()
     total, frequent = weighted_minhash.document_frequencies(weighted_minhash.texts_of(docs(spark, texts).repartition(4), "doc_id", "text"))
