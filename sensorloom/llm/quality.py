@@ -16,10 +16,11 @@ from sensorloom.llm import words as W
 from sensorloom.llm.batches import map_texts
 
 SYMBOLS = b"#*$%&|<>"
-# Largest accepted share of a text's word characters inside repeated n-grams of a length.
-GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-LINE_LIMIT = 0.30
-LINE_BYTE_LIMIT = 0.20
+# Largest accepted share of a text's word characters inside repeated n-grams of a length. They are above
+# the usual ones, because a short clean text may hold one shared passage twice.
+GRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+LINE_LIMIT = 0.50
+LINE_BYTE_LIMIT = 0.30
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
