@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import processes, text
 from sensorloom.plans.call_encoding import encode_documents
+from sensorloom.session import materialise
 from sensorloom.sources.logs import parse_summaries
 from sensorloom.workload.registry import query, r, rounded
 
@@ -236,7 +237,7 @@ PROC_TERMS_SQL = f"""{PROC_SQL}, v AS (SELECT syscall AS term FROM s UNION SELEC
 )
 def process_term_counts(t):
     """Qualified tokens weighted by calls, over the admitted vocabulary."""
-    logs = order_logs(t)
+    logs = materialise(order_logs(t))  # read for the vocabulary and for the counts
     return processes.process_term_counts(logs, ["o_orderkey"], processes.process_vocabulary(logs))
 
 
