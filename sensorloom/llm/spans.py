@@ -33,8 +33,10 @@ def taken_texts(docs: DataFrame, placed: DataFrame, taken: DataFrame, id_column:
     passes = taken.withColumn("turn", F.explode(F.expr("sequence(1, CAST(times AS INT))"))).groupBy(
         "doc_id", "text_hash", "source_no", "start", "turn").agg(
         F.expr("array_join(transform(array_sort(collect_list(struct(first_word, n_words))), x -> concat(x.first_word, ':', x.n_words)), ',')").alias("stretches"))
-    # The stretches of a repeated row take the same text: one copy of the text is enough for all of them.
-    texts = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text_column}`"))).dropDuplicates([id_column, "_hash"])
+    texts = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text_column}`")))
+    if not placed.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        # The stretches of a repeated row take the same text: one copy of the text is enough for all of them.
+        texts = texts.dropDuplicates([id_column, "_hash"])
     passes = passes.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_taken_hash"), "stretches")
     joined = texts.join(passes, (F.col("_hash") == F.col("_taken_hash")) & F.col(f"`{id_column}`").eqNullSafe(F.col("_doc")))
     others = [c for c in docs.columns if c != text_column]
