@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Folders of the tables that ``materialise`` has written.
+STORED: list[str] = []
+
+
 def build_session(app: str = "sensorloom", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session used by tests and the bench. A cluster brings its own session."""
     spark = (
@@ -53,4 +57,15 @@ def materialise(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes the tables that this process has stored; to be called when their results have been used. Returns how many."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while STORED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(STORED.pop())
+        dropped += bool(path.getFileSystem(hadoop).delete(path, True))
+    return dropped

@@ -27,6 +27,17 @@ def read_logs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def from_quasi_json(text: Column, schema: str) -> Column:
+    """Nested values from the text of a literal that is JSON but for single quotes, True, False and None (2.9).
+
+    Text that cannot be read gives null fields. The three words are replaced only where a value stands.
+    """
+    value = r"(?<=[:,\[]\s{0,4})%s(?=\s*[,\]}])"
+    for word, plain in (("None", "null"), ("True", "true"), ("False", "false")):
+        text = F.regexp_replace(text, value % word, plain)
+    return F.from_json(text, schema, {"allowSingleQuotes": "true"})
+
+
 def _process(paragraph: Column) -> Column:
     head = F.substring_index(paragraph, RULE, 1)
     body = F.when(F.instr(paragraph, RULE) > 0, F.substr(paragraph, F.instr(paragraph, RULE) + F.lit(len(RULE)))).otherwise("")

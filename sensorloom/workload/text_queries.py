@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators import processes, text
 from sensorloom.plans.call_encoding import encode_documents
 from sensorloom.session import materialise
-from sensorloom.sources.logs import parse_summaries
+from sensorloom.sources.logs import from_quasi_json, parse_summaries
 from sensorloom.workload.registry import query, r, rounded
 
 DAY = 86_400_000_000
@@ -257,8 +257,9 @@ def process_documents_tfidf(t):
 def summary_logs(t):
     """Trace summaries as text, one per order."""
     line = F.concat(
-        F.lit("   "), F.concat("l_returnflag", "l_linestatus"), F.lit("  "), F.col("l_quantity").cast("long"), F.lit("  1.5  0.25  "),
-        F.col("l_linenumber"), F.lit("  9.75      3.25%\n"),
+        F.lit("   "), F.concat("l_returnflag", "l_linestatus"), F.lit("  "), F.col("l_quantity").cast("long"), F.lit("  "),
+        F.col("l_suppkey"), F.lit(".5  "), F.col("l_linenumber"), F.lit(".25  "), F.col("l_linenumber"), F.lit("  "), F.col("l_partkey"),
+        F.lit(".75      "), F.col("l_linenumber"), F.lit(".125%\n"),
     )
     block = F.concat(
         F.lit("\n svc"), F.col("l_suppkey"), F.lit(" ("), F.col("l_partkey"), F.lit("), "), F.col("l_quantity").cast("long"),
@@ -273,7 +274,8 @@ def summary_logs(t):
 @query(
     "trace_summaries",
     """SELECT l_orderkey, l_orderkey || '.25' AS uptime, 'svc' || l_suppkey AS service_name, l_partkey::VARCHAR AS pid, l_quantity::BIGINT AS events,
-    l_linenumber + 0.5::DOUBLE AS cpu_usage, l_returnflag || l_linestatus AS syscall, l_quantity::BIGINT AS calls, l_linenumber::DOUBLE AS avg, c AS call_ord
+    l_linenumber + 0.5::DOUBLE AS cpu_usage, l_returnflag || l_linestatus AS syscall, l_quantity::BIGINT AS calls, l_suppkey + 0.5::DOUBLE AS total,
+    l_linenumber + 0.25::DOUBLE AS min, l_linenumber::DOUBLE AS avg, l_partkey + 0.75::DOUBLE AS max, l_linenumber + 0.125::DOUBLE AS stddev, c AS call_ord
     FROM lineitem, (SELECT unnest([0, 1])::INT AS c)""",
 )
 def trace_summaries(t):
@@ -284,5 +286,19 @@ def trace_summaries(t):
     )
     return rows.select(
         "l_orderkey", "uptime", "service_name", "pid", "events", "cpu_usage", F.col("s.syscall").alias("syscall"),
-        F.col("s.calls").alias("calls"), F.col("s.avg").alias("avg"), "call_ord",
+        *[F.col(f"s.{c}").alias(c) for c in ("calls", "total", "min", "avg", "max", "stddev")], "call_ord",
     )
+
+
+@query(
+    "quasi_json_rows",
+    """SELECT event_id, event_type AS name, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k, user_id % 2 = 0 AS even,
+    CASE WHEN user_id % 3 > 0 THEN value END AS value FROM events""",
+)
+def quasi_json_rows(t):
+    """2.9i: nested values from the text of a literal with single quotes, True, False and None."""
+    written = F.format_string(
+        "{'name': '%s', 'counts': [{'k': %s}], 'even': %s, 'value': %s}", "event_type", F.get_json_object("props", "$.k"),
+        F.expr("IF(user_id % 2 = 0, 'True', 'False')"), F.expr("IF(user_id % 3 > 0, CAST(value AS STRING), 'None')"))
+    parsed = t.events.select("event_id", from_quasi_json(written, "name string, counts array<struct<k bigint>>, even boolean, value double").alias("p"))
+    return parsed.select("event_id", "p.name", F.col("p.counts")[0]["k"].alias("k"), "p.even", "p.value")

@@ -161,6 +161,18 @@ def test_all_header_variants_are_learned(spark):
     assert learned.wanted("RES_data", ["c"]) and not learned.wanted("RES_data", ["k"])
 
 
+def test_stored_tables_are_dropped(spark):
+    import os
+
+    from sensorloom import session
+
+    session.drop_tables(spark)
+    table = session.materialise(spark.range(5))
+    folder = session.STORED[0].removeprefix("file:")
+    assert table.count() == 5 and os.path.isdir(folder)
+    assert session.drop_tables(spark) == 1 and not os.path.exists(folder) and not session.STORED
+
+
 def test_a_local_folder_is_refused_on_a_cluster(spark, monkeypatch):
     from sensorloom import session
 
