@@ -51,6 +51,7 @@ class Pieces:
         self.build_pairs(size)
         self.probe = self.library.encode("\n")  # what precedes a segment in a check
         self.pattern = self.segment_pattern()
+        self.some_differ = False
         self.segments = TwoGenerations(self.encode_segments, CACHE)
 
     def segment_pattern(self) -> re.Pattern:
@@ -203,10 +204,12 @@ class Pieces:
         checked = self.library.encode(["\n" + s for s in segments], num_threads=1)
         texts = list(map(self.text_of, own))
         decoded = self.library.decode([self.probe + ids for ids in own])
-        return [
+        out = [
             (" ".join([self.id_texts[i] for i in ids]) + " ", len(ids), text) if ids == seen[skip:] and "\n" + text == back else None
             for ids, seen, text, back in zip(own, checked, texts, decoded)
         ]
+        self.some_differ = self.some_differ or None in out
+        return out
 
     def encode(self, texts: list[bytes]) -> tuple[list[str], list[int], list[str], list[int]]:
         """Ids joined by blanks, number of ids (both with the end id), decoded texts, differing segments."""
@@ -217,17 +220,18 @@ class Pieces:
         ids, counts, decoded, differing = [], [], [], []
         for raw, segments in zip(texts, cut):
             found = list(map(find, segments))
-            wrong = found.count(None)
-            if wrong:
+            wrong = sum(f is None for f in found) if self.some_differ else 0
+            if wrong or not found:
                 text = raw.decode("utf-8")
                 own = [*self.library.encode(text), self.end]
                 ids.append(" ".join(map(str, own)))
                 counts.append(len(own))
                 decoded.append(self.library.decode(own))
             else:
-                ids.append("".join([f[0] for f in found]) + str(self.end))
-                counts.append(sum([f[1] for f in found]) + 1)
-                decoded.append("".join([f[2] for f in found])[1:])
+                parts, numbers, pieces = zip(*found)
+                ids.append("".join(parts) + str(self.end))
+                counts.append(sum(numbers) + 1)
+                decoded.append("".join(pieces)[1:])
             differing.append(wrong)
         return ids, counts, decoded, differing
 
