@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch: rows here are whole texts or vectors, and a batch exists several times."""
+    if not 0 < int(spark.conf.get(ROWS_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(ROWS_SETTING, str(BATCH_ROWS))
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -31,6 +39,7 @@ def map_texts(df: DataFrame, keep: Sequence[tuple[str, str | Column]], text: str
     cannot clash. A null text is an empty one. ``compute`` gets the UTF-8 texts of a slice and
     returns one list or array per name of the DDL string ``columns``. ``binary``: the column holds bytes.
     """
+    bound_batches(df.sparkSession)
     content = F.col(f"`{text}`") if isinstance(text, str) else text
     content = content if binary else F.encode(F.coalesce(content, F.lit("")), "UTF-8")
     source = df.select(

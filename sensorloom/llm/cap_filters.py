@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from sensorloom.llm.batches import bound_batches
 from sensorloom.llm.components import components
 from sensorloom.llm.groups import Union, whole_groups
 from sensorloom.session import materialise
@@ -202,6 +203,7 @@ def links_in_cells(cells: DataFrame, threshold: float) -> DataFrame:
 def near_embeddings(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
                     threshold: float = THRESHOLD, seed: int = 11) -> DataFrame:
     """id, n_links, component_id, kept per row; rows link inside a label with a cosine of at least the threshold."""
+    bound_batches(df.sparkSession)
     rows = materialise(valid_vectors(df, id_column, vector_column, label_column))
     nodes = materialise(
         rows.filter("unit IS NOT NULL").groupBy("label", "h")

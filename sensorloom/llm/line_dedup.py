@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sensorloom.llm.batches import map_texts, slices
+from sensorloom.llm.batches import bound_batches, map_texts, slices
 from sensorloom.session import materialise
 
 MIN_DOCS = 10
@@ -39,6 +39,7 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
 
 def line_rows(docs: DataFrame, id_column: str, text_column: str, min_chars: int) -> DataFrame:
     """h1, h2, doc, text_hash, pos per line that has a key."""
+    bound_batches(docs.sparkSession)
     source = docs.select(
         F.col(f"`{id_column}`").alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))).alias("text_hash"),
         F.encode(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), "UTF-8").alias("text"))
