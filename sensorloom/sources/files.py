@@ -13,3 +13,15 @@ def open_file(path: str):
         return fs.LocalFileSystem().open_input_file(path)  # a plain path may hold blanks and percent signs
     filesystem, inner = fs.FileSystem.from_uri(path)
     return filesystem.open_input_file(inner)
+
+
+def write_file(path: str, content: bytes) -> None:
+    """Writes a whole file, with its folder, to the file system of the path."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[len("file:"):].lstrip("/")
+    filesystem, inner = (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
+    filesystem.create_dir(inner.rpartition("/")[0], recursive=True)
+    with filesystem.open_output_stream(inner) as out:
+        out.write(content)

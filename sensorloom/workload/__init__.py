@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["time_queries", "table_queries", "score_queries", "text_queries", "report_queries", "model_queries"]
+MODULES = ["time_queries", "table_queries", "score_queries", "text_queries", "report_queries", "model_queries", "source_queries"]
 
 
 def load_all() -> None:
