@@ -4,8 +4,10 @@ A page is read once into blocks of text, each with its path of block-level tags
 Navigation, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles
 are left out by their element or by the words of their class, id or role. For every remaining path
 two ratios are built: characters per block and punctuation marks per block. Both are smoothed over
-the neighbouring blocks of the page, multiplied, and averaged per path; paths below a share of the
-spread of all paths are dropped. Headings stay if they share a parent with a kept path.
+the neighbouring blocks of the page, multiplied, and averaged per path; paths from a share of the
+spread of all paths upwards find the content root: the article or main element that holds most of their
+text, otherwise the lowest element around all of them. Below the root every block stays, except blocks of
+a low path that are mostly links. Elsewhere only the found paths stay, with headings that share a parent.
 
 Defined cases: a null or empty page, or one without content, gives an empty text; unclosed elements
 end with their parent; an unfinished tag at the end of a page is dropped; equal rows give equal rows.
@@ -17,6 +19,8 @@ import html
 import re
 from collections import defaultdict
 from math import exp, sqrt
+from os.path import commonprefix
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -55,6 +59,9 @@ SCOPES = frozenset("ul ol dl table article section div main body html td th asid
 PUNCTUATION = re.compile(r"[^\w\s]")
 WIDTH = 1.0
 SHARE_OF_SPREAD = 0.25
+#: From this share of link characters on, neighbouring blocks of a low path are a menu.
+LINK_SHARE = 0.5
+HREF = re.compile(r"\bhref\s*=", re.I)
 
 
 def named_otherwise(attrs: str) -> bool:
@@ -71,30 +78,53 @@ def named_otherwise(attrs: str) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """(path of block-level tags, text) of every non-empty block in page order."""
-    out: list[tuple[tuple[str, ...], str]] = []
-    stack: list[tuple[str, bool]] = []  # block-level element, left out
+class Block(NamedTuple):
+    path: tuple[str, ...]  # block-level tags
+    elements: tuple[int, ...]  # the same as numbers of elements of the page
+    text: str
+    linked: int  # characters in links
+
+
+def plain(text: str) -> str:
+    return WHITE.sub(" ", html.unescape(text)).strip()
+
+
+def blocks_of(page: str) -> list[Block]:
+    """Every non-empty block in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, bool, int]] = []  # block-level element, left out, number
     held: list[str] = []
-    hidden = 0
+    hidden = linked = number = 0
+    link = -1  # depth of the open link
+
+    def hold(text: str) -> None:
+        nonlocal linked
+        if not hidden and not inline_hidden:
+            held.append(text)
+            if link >= 0:
+                linked += len(plain(text))
 
     def flush() -> None:
+        nonlocal linked
         if held:
-            text = WHITE.sub(" ", html.unescape("".join(held))).strip()
+            text = plain("".join(held))
             if text:
-                out.append((tuple(t for t, _ in stack), text))
+                out.append(Block(tuple(t for t, _, _ in stack), tuple(i for _, _, i in stack), text, linked))
             held.clear()
+        linked = 0
 
     def close_down_to(depth: int) -> None:
-        nonlocal hidden
+        nonlocal hidden, link
         while len(stack) > depth:
             hidden -= stack.pop()[1]
+        if link > depth:
+            link = -1
 
     inline_hidden: list[str] = []
     at = 0
     for m in TOKEN.finditer(page):
-        if m.start() > at and not hidden and not inline_hidden:
-            held.append(page[at:m.start()])
+        if m.start() > at:
+            hold(page[at:m.start()])
         at = m.end()
         tag = m.group("tag")
         if tag is None:
@@ -106,6 +136,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
         if tag in INLINE:
             if tag in VOID:
                 continue
+            if tag == "a":
+                link = len(stack) if not m.group("end") and HREF.search(m.group("attrs")) else -1
             if m.group("end"):
                 if inline_hidden and tag == inline_hidden[-1]:
                     inline_hidden.pop()
@@ -130,14 +162,15 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
                     close_down_to(depth)
                 elif stack[depth][0] in SCOPES:
                     break
-        in_article = any(t in ("article", "main") for t, _ in stack)
+        in_article = any(t in ("article", "main") for t, _, _ in stack)
         drop = tag in LEFT_OUT or tag == "header" and not in_article
         if not drop and tag not in ("html", "body", "article", "main") and m.group("attrs"):
             drop = named_otherwise(m.group("attrs"))
-        stack.append((tag, drop))
+        number += 1
+        stack.append((tag, drop, number))
         hidden += drop
-    if at < len(page) and not hidden and not inline_hidden:
-        held.append(page[at:])
+    if at < len(page):
+        hold(page[at:])
     flush()
     return out
 
@@ -153,27 +186,63 @@ def smoothed(values: list[float], width: float = WIDTH) -> list[float]:
     return out
 
 
-def main_text(page: str, share_of_spread: float = SHARE_OF_SPREAD) -> str:
-    blocks = blocks_of(page)
-    if not blocks:
-        return ""
+def found_paths(blocks: list[Block], share_of_spread: float) -> set[tuple[str, ...]]:
+    """The paths whose ratios reach the share of the spread."""
     chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text in blocks:
-        chars[path] += len(text)
-        marks[path] += len(PUNCTUATION.findall(text))
-        count[path] += 1
+    for b in blocks:
+        chars[b.path] += len(b.text)
+        marks[b.path] += len(PUNCTUATION.findall(b.text))
+        count[b.path] += 1
     # Ratio of the block's path in page order, smoothed, fused, and averaged over the blocks of a path.
-    by_chars = smoothed([chars[p] / count[p] for p, _ in blocks])
-    by_marks = smoothed([(marks[p] + 1) / count[p] for p, _ in blocks])
+    by_chars = smoothed([chars[b.path] / count[b.path] for b in blocks])
+    by_marks = smoothed([(marks[b.path] + 1) / count[b.path] for b in blocks])
     fused = defaultdict(float)
-    for (path, _), a, b in zip(blocks, by_chars, by_marks):
-        fused[path] += a * b / count[path]
+    for block, x, y in zip(blocks, by_chars, by_marks):
+        fused[block.path] += x * y / count[block.path]
     scores = list(fused.values())
     mean = sum(scores) / len(scores)
     limit = share_of_spread * sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    kept = {p for p, s in fused.items() if s >= limit}
+    return {p for p, s in fused.items() if s >= limit}
+
+
+def article_of(block: Block) -> int | None:
+    """Number of the outermost article around the block, without one of the outermost main."""
+    for tag in ("article", "main"):
+        if tag in block.path:
+            return block.elements[block.path.index(tag)]
+    return None
+
+
+def content_roots(found: list[Block]) -> set[int] | None:
+    """Numbers of the elements that hold the content, None for the whole page."""
+    articles = {article_of(b) for b in found} - {None}
+    size = sum(len(b.text) if article_of(b) else -len(b.text) for b in found)
+    if articles and size >= 0:
+        return articles
+    around = commonprefix([b.elements[:-1] for b in found])
+    return {around[-1]} if around else None
+
+
+def main_text(page: str, share_of_spread: float = SHARE_OF_SPREAD) -> str:
+    blocks = blocks_of(page)
+    if not blocks:
+        return ""
+    kept = found_paths(blocks, share_of_spread)
     parents = {p[:k] for p in kept for k in range(len(p))}
-    return "\n".join(t for p, t in blocks if p in kept or p and p[-1] in HEADINGS and p[:-1] in parents)
+    roots = content_roots([b for b in blocks if b.path in kept])
+    # Characters and link characters of neighbours with the same tag.
+    size, linked = defaultdict(int), defaultdict(int)
+    for b in blocks:
+        size[b.elements[:-1], b.path[-1:]] += len(b.text)
+        linked[b.elements[:-1], b.path[-1:]] += b.linked
+
+    def stays(b: Block) -> bool:
+        if b.path in kept or b.path and b.path[-1] in HEADINGS and b.path[:-1] in parents:
+            return True
+        beside = b.elements[:-1], b.path[-1:]
+        return (roots is None or not roots.isdisjoint(b.elements)) and linked[beside] < LINK_SHARE * size[beside]
+
+    return "\n".join(b.text for b in blocks if stays(b))
 
 
 def extract_text(pages: DataFrame, id_columns: tuple[str, ...] = ("page_id", "url"), html_column: str = "html") -> DataFrame:

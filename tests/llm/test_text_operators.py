@@ -160,6 +160,31 @@ def test_main_text():
     assert html_text.main_text("<nav>only a menu</nav>") == ""
 
 
+PARAGRAPHS = "".join(f"<p>Paragraph {i}, {'many words of running text, ' * 14}and its end.</p>" for i in range(10))
+LOW_PARTS = {
+    "list": ("<ul>" + "".join(f"<li>short item number {i}</li>" for i in range(6)) + "</ul>", [f"short item number {i}" for i in range(6)]),
+    "table": ("<table><tr><th>Year<th>Sum<tr><td>2023<td>12</table>", ["Year", "Sum", "2023", "12"]),
+    "quote": ("<blockquote><p>Less is more</p></blockquote>", ["Less is more"]),
+    "caption": ("<figure><img src=x><figcaption>A plain caption</figcaption></figure>", ["A plain caption"]),
+}
+
+
+@pytest.mark.parametrize("part", LOW_PARTS)
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_low_paths_of_the_content_stay(part, around):
+    inner, lines = LOW_PARTS[part]
+    page = f"<html><body><div><ul><li>Elsewhere</ul></div><{around}><h1>Title</h1>{PARAGRAPHS}{inner}</{around}></body></html>"
+    found = html_text.main_text(page).split("\n")
+    assert found[0] == "Title" and found[11:] == lines
+
+
+def test_links_below_the_content_root_are_dropped():
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(6)) + "</ul>"
+    mixed = "<ol><li>see <a href=/x>this</a> for the details</li></ol>"
+    found = html_text.main_text(f"<body><article><h1>Title</h1>{PARAGRAPHS}{menu}{mixed}</article></body>").split("\n")
+    assert found[11:] == ["see this for the details"]
+
+
 def test_pages_keep_their_keys(spark):
     frame = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None)], "page_id long, url string, html string")
     rows = html_text.extract_text(frame).orderBy("page_id").collect()
