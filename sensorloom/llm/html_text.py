@@ -2,7 +2,8 @@
 
 A page is read once into blocks of text, each with its path of block-level tags from the root.
 Navigation, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles
-are left out by their element or by the words of their class, id or role. For every remaining path
+are left out by their element or by the words of their class, id or role, but a form or a named element
+around the article or most of the page's text is not. For every remaining path
 two ratios are built: characters per block and punctuation marks per block. Both are smoothed over
 the neighbouring blocks of the page, multiplied, and averaged per path; paths from a share of the
 spread of all paths upwards find the content root: the article or main element that holds most of their
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame
 from sensorloom.llm.batches import map_texts
 
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|canvas|audio|video|title"
+#: Rest of a start tag that ends with a slash outside an unquoted value.
+SELF_CLOSED = r"(?:\s*/>|\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"'])/>)"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:{SELF_CLOSED}|.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -43,11 +46,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LEFT_OUT = frozenset("nav footer aside form button dialog menu head".split())
 #: Words of class, id and role values that name something other than the article.
 NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|header|masthead"
+    r"ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|header|masthead"
     r"|menu|modal|nav|navbar|navigation|newsletter|notices?|alert|pagination|pager|popup|promo\w*|recommended|related|replies|respond"
-    r"|search|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|tags?|toolbar|widgets?|complementary|contentinfo|disclaimer|legal)(?:$|[\s_-])",
+    r"|search|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|tags?|toolbar|widgets?|complementary|contentinfo|disclaimer|legal",
     re.I,
 )
+#: Words of parts that stand beside an article and never around it.
+BESIDE = re.compile(r"ads?|advert\w*|adsense|banner|comments?|commentlist|cookies?|consent|disqus|gdpr|popup|promo\w*|replies|respond|sponsor\w*")
+#: Words of place or form, which leave the meaning of a name to its other words.
+OF_LAYOUT = frozenset(
+    "area bar block bottom box btn button buttons container form global group inner item items left link links list main outer primary right"
+    " row secondary section site slot top unit wrap wrapper".split()
+)
+#: Words that say what an element has or lacks, not what it is.
+OF_STATE = frozenset("has have no not with without is hide show".split())
+#: Above this share of a page's text a form or named element is content; comments or sidebars can outgrow an article.
+MOST, NEARLY_ALL = 0.5, 0.9
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag that ends an open element of the second set.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"},
@@ -64,18 +78,35 @@ LINK_SHARE = 0.5
 HREF = re.compile(r"\bhref\s*=", re.I)
 
 
-def named_otherwise(attrs: str) -> bool:
-    """The attributes say that the element is hidden or not content."""
+SEEN, FORM, NAMED, APART, HIDDEN = range(5)
+
+
+def names(token: str) -> int:
+    """Whether a class, id or role names something other than the article: a word, alone or the last of a
+    compound ("cookie-notice"), or with words of layout only ("comment-list")."""
+    parts = [x for x in re.split(r"[_-]+", token.lower()) if x]
+    other = [x for x in parts if NOT_CONTENT.fullmatch(x)]
+    if not other or not OF_STATE.isdisjoint(parts):
+        return SEEN
+    rest = [x for x in parts if x not in other and x not in OF_LAYOUT]
+    if rest and (other[-1] != parts[-1] or parts[-1] == "header"):
+        return SEEN
+    return APART if any(map(BESIDE.fullmatch, parts)) else NAMED
+
+
+def named_otherwise(attrs: str) -> int:
+    """What the attributes say of the element: SEEN, NAMED as not content, APART from any, or HIDDEN."""
+    found = SEEN
     for name, a, b, c in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return HIDDEN
         if name == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return True
-        elif value and NOT_CONTENT.search(value):
-            return True
-    return False
+                return HIDDEN
+        elif value and name in ("class", "id", "role") and NOT_CONTENT.search(value):
+            found = max(found, *map(names, value.split()), SEEN)
+    return found
 
 
 class Block(NamedTuple):
@@ -83,6 +114,7 @@ class Block(NamedTuple):
     elements: tuple[int, ...]  # the same as numbers of elements of the page
     text: str
     linked: int  # characters in links
+    doubtful: tuple[tuple[int, int], ...]  # numbers of forms and named elements around it, what their names say
 
 
 def plain(text: str) -> str:
@@ -90,9 +122,9 @@ def plain(text: str) -> str:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Every non-empty block in page order."""
+    """Every non-empty block in page order, those of forms and named elements only where these hold the content."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # block-level element, left out, number
+    stack: list[tuple[str, int, int]] = []  # block-level element, what its name says, number
     held: list[str] = []
     hidden = linked = number = 0
     link = -1  # depth of the open link
@@ -109,21 +141,27 @@ def blocks_of(page: str) -> list[Block]:
         if held:
             text = plain("".join(held))
             if text:
-                out.append(Block(tuple(t for t, _, _ in stack), tuple(i for _, _, i in stack), text, linked))
+                doubtful = tuple((i, said) for _, said, i in stack if said)
+                out.append(Block(tuple(t for t, _, _ in stack), tuple(i for _, _, i in stack), text, linked, doubtful))
             held.clear()
         linked = 0
 
     def close_down_to(depth: int) -> None:
         nonlocal hidden, link
         while len(stack) > depth:
-            hidden -= stack.pop()[1]
+            hidden -= stack.pop()[1] == HIDDEN
         if link > depth:
             link = -1
 
+    def leave_head(content: bool) -> None:
+        if content and stack and stack[-1][0] == "head":
+            close_down_to(len(stack) - 1)
+
     inline_hidden: list[str] = []
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
+            leave_head(page[at:m.start()].strip() != "")
             hold(page[at:m.start()])
         at = m.end()
         tag = m.group("tag")
@@ -133,6 +171,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "br":
             flush()
             continue
+        leave_head(tag not in VOID and not m.group("end"))
         if tag in INLINE:
             if tag in VOID:
                 continue
@@ -152,7 +191,7 @@ def blocks_of(page: str) -> list[Block]:
                     close_down_to(depth)
                     break
             continue
-        if tag in VOID:
+        if tag in VOID or tag == "head" and any(t != "html" for t, _, _ in stack):
             continue
         closes = CLOSES.get(tag)
         if closes or tag in ENDS_PARAGRAPH:
@@ -163,16 +202,42 @@ def blocks_of(page: str) -> list[Block]:
                 elif stack[depth][0] in SCOPES:
                     break
         in_article = any(t in ("article", "main") for t, _, _ in stack)
-        drop = tag in LEFT_OUT or tag == "header" and not in_article
-        if not drop and tag not in ("html", "body", "article", "main") and m.group("attrs"):
-            drop = named_otherwise(m.group("attrs"))
+        said = HIDDEN if tag in LEFT_OUT and tag != "form" or tag == "header" and not in_article else SEEN
+        if said != HIDDEN and tag not in ("html", "body", "article", "main") and m.group("attrs"):
+            said = named_otherwise(m.group("attrs"))
+        if tag == "form":
+            said = max(said, FORM)
         number += 1
-        stack.append((tag, drop, number))
-        hidden += drop
+        stack.append((tag, said, number))
+        hidden += said == HIDDEN
     if at < len(page):
         hold(page[at:])
     flush()
-    return out
+    return without_doubtful(out)
+
+
+def without_doubtful(blocks: list[Block]) -> list[Block]:
+    """Leaves out the blocks in forms and named elements, except in those that hold a main element, the
+    page's only articles, or most of its text."""
+    if not any(b.doubtful for b in blocks):
+        return blocks
+    size: dict[int, int] = defaultdict(int)
+    holds: dict[int, set[str]] = defaultdict(set)
+    for b in blocks:
+        for i, _ in b.doubtful:
+            size[i] += len(b.text)
+            holds[i].update(b.path[b.elements.index(i) + 1:])
+    whole = sum(len(b.text) for b in blocks)
+    elsewhere = any(not b.doubtful and ("article" in b.path or "main" in b.path) for b in blocks)
+
+    share = {FORM: MOST, NAMED: NEARLY_ALL if elsewhere else MOST, APART: 1 if elsewhere else NEARLY_ALL}
+
+    def content(element: int, said: int) -> bool:
+        if "main" in holds[element] or size[element] > share[said] * whole:
+            return True
+        return said != APART and not elsewhere and "article" in holds[element]
+
+    return [b for b in blocks if all(content(*x) for x in b.doubtful)]
 
 
 def smoothed(values: list[float], width: float = WIDTH) -> list[float]:

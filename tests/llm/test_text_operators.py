@@ -178,6 +178,43 @@ def test_low_paths_of_the_content_stay(part, around):
     assert found[0] == "Title" and found[11:] == lines
 
 
+INNER = f"<h1>Title</h1>{PARAGRAPHS}"
+FOOT = "<footer>Imprint</footer>"
+WHOLE_PAGES = {
+    "open head": f"<html><head><title>T</title><meta charset=utf-8><body>{INNER}{FOOT}</body></html>",
+    "open head without body": f"<html><head><title>T</title>{INNER}{FOOT}</html>",
+    "one form": f"<body><form action=x>{INNER}</form>{FOOT}</body>",
+    "form around article": f"<body><form action=x><div>Log in</div><article>{INNER}</article></form>{FOOT}</body>",
+    "sidebar class": f"<body><div class='content has-sidebar'>{INNER}</div><div class=sidebar>Side, with words.</div></body>",
+    "header class": f"<body><div class=no-header>{INNER}</div><div class='site-footer'>Foot, with words.</div></body>",
+    "nav class": f"<body><div class='with-nav'>{INNER}</div>{FOOT}</body>",
+    "topic class": f"<body><div class='legal-news'>{INNER}</div>{FOOT}</body>",
+    "named wrapper": f"<body><div id=share><article>{INNER}</article></div>{FOOT}</body>",
+    "svg": f"<body><div><svg width='1'/></div>{INNER}<svg><title>t</title></svg>{FOOT}</body>",
+    "math": f"<body><math/>{INNER}{FOOT}</body>",
+}
+
+
+@pytest.mark.parametrize("name", WHOLE_PAGES)
+def test_no_page_is_lost_as_a_whole(name):
+    found = html_text.main_text(WHOLE_PAGES[name]).split("\n")
+    assert found[-11:][0] == "Title" and len(found) in (11, 12) and found[-1].startswith("Paragraph 9")
+
+
+@pytest.mark.parametrize("other", [
+    "<div class='comment-list'>I agree, totally.</div>", "<form>Search, please.</form>", "<div class='related'><article>More, here.</article></div>",
+    "<div id='cookie-notice'>We use cookies, ok?</div>", "<div class='post-share'>Tell, all.</div>", "<div class='site__header'>Name, and claim.</div>",
+])
+def test_named_parts_stay_out(other):
+    page = f"<html><head><title>T</title></head><body><article>{INNER}</article>{other}</body></html>"
+    assert len(html_text.main_text(page).split("\n")) == 11
+
+
+def test_an_advert_longer_than_the_article_stays_out():
+    page = "<body><div class='ad'>Buy this, and that, and more of it, now.</div><article><h1>Title</h1><p>Short, so.</article></body>"
+    assert html_text.main_text(page) == "Title\nShort, so."
+
+
 def test_links_below_the_content_root_are_dropped():
     menu = "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(6)) + "</ul>"
     mixed = "<ol><li>see <a href=/x>this</a> for the details</li></ol>"
