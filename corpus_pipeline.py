@@ -22,8 +22,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality.quality_rules(docs, keep=["text", "lang", "source", "n_chars"]).filter("kept").select(*COLUMNS)
+    """Documents that pass the quality rules, the usual limits for repeated passages included."""
+    return quality.quality_rules(docs, keep=["text", "lang", "source", "n_chars"]).filter("passes").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Operator 6, quality rules: how much of a text lies inside repeated n-grams and lines.
 
 For several n, a rolling hash gives all n-grams of a text; the hashes that occur twice mark their
-windows, and the characters of the marked words are counted. Lines are treated in the same way.
+windows, and the characters of the marked words are counted, once for all windows and once for those
+that repeat an earlier one. Lines are treated in the same way.
 
 Defined cases: a null or empty text has no words, all counts are 0 and it fails the base rule; equal
 rows give equal rows; windows never cross texts; an empty table gives an empty result.
@@ -19,6 +20,8 @@ SYMBOLS = b"#*$%&|<>"
 # Largest accepted share of a text's word characters inside repeated n-grams of a length. They are above
 # the usual ones, because a short clean text may hold one shared passage twice.
 GRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+# The usual limits, for the windows that repeat an earlier one: a passage that stands twice counts once.
+LATER_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.50
 LINE_BYTE_LIMIT = 0.30
 MIN_WORDS = 10
@@ -26,12 +29,21 @@ MAX_REPEAT_PERCENT = 20
 
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, "
-    "dup_line_bytes long, line_bytes long, gram_chars array<long>"
+    "dup_line_bytes long, line_bytes long, gram_chars array<long>, later_chars array<long>"
 )
 
 
-def covered(grams: np.ndarray, n: int, n_words: int) -> np.ndarray | None:
-    """Marks the words inside n-grams that occur at least twice; None if there are none."""
+def marked(starts: np.ndarray, n: int, n_words: int) -> np.ndarray:
+    """Marks the words inside the n-grams of the given starts."""
+    steps = np.zeros(n_words + 1, np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, starts + n, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def covered(grams: np.ndarray, n: int, n_words: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Marks the words inside n-grams that occur at least twice, and inside their second and later
+    occurrences; None if there are none."""
     order = np.sort(grams)
     twice = order[1:][order[1:] == order[:-1]]
     if not len(twice):
@@ -39,15 +51,14 @@ def covered(grams: np.ndarray, n: int, n_words: int) -> np.ndarray | None:
     places = np.searchsorted(twice, grams)
     places[places == len(twice)] = 0
     starts = np.flatnonzero(twice[places] == grams)
-    steps = np.zeros(n_words + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + n, -1)
-    return np.cumsum(steps[:-1]) > 0
+    first = np.unique(grams[starts], return_index=True)[1]
+    return marked(starts, n, n_words), marked(np.delete(starts, first), n, n_words)
 
 
-def repetition(word_hashes: np.ndarray, chars: np.ndarray, lengths: list[int]) -> tuple[int, list[int]]:
-    """Words inside repeated n-grams of the first length, characters inside those of every length."""
-    repeated, inside = 0, [0] * len(lengths)
+def repetition(word_hashes: np.ndarray, chars: np.ndarray, lengths: list[int]) -> tuple[int, list[int], list[int]]:
+    """Words inside repeated n-grams of the first length, characters inside those of every length, and
+    inside their second and later occurrences."""
+    repeated, inside, later = 0, [0] * len(lengths), [0] * len(lengths)
     grams = word_hashes
     for n in range(2, max(lengths) + 1):
         if len(grams) < 2:
@@ -55,14 +66,16 @@ def repetition(word_hashes: np.ndarray, chars: np.ndarray, lengths: list[int]) -
         grams = W.rolled(word_hashes, grams, n)
         if n not in lengths:
             continue
-        mask = covered(grams, n, len(word_hashes))
-        if mask is None:  # longer n-grams cannot repeat either
+        masks = covered(grams, n, len(word_hashes))
+        if masks is None:  # longer n-grams cannot repeat either
             break
+        mask, again = masks
         k = lengths.index(n)
         inside[k] = int(chars[mask].sum())
+        later[k] = int(chars[again].sum())
         if k == 0:
             repeated = int(mask.sum())
-    return repeated, inside
+    return repeated, inside, later
 
 
 def repeated_lines(text: bytes) -> tuple[int, int, int, int]:
@@ -87,10 +100,10 @@ def measures(texts: list[bytes], lengths: list[int]) -> list[list]:
     chars = upto[words.ends] - upto[words.starts]
     rows = []
     for text, first, last in zip(texts, words.upto[:-1].tolist(), words.upto[1:].tolist()):
-        repeated, gram_chars = repetition(words.hashes[first:last], chars[first:last], lengths)
+        repeated, gram_chars, later_chars = repetition(words.hashes[first:last], chars[first:last], lengths)
         n_lines, again, again_bytes, line_bytes = repeated_lines(text)
         symbols = len(text) - len(text.translate(None, SYMBOLS))
-        rows.append((last - first, int(chars[first:last].sum()), symbols, again, repeated, n_lines, again_bytes, line_bytes, gram_chars))
+        rows.append((last - first, int(chars[first:last].sum()), symbols, again, repeated, n_lines, again_bytes, line_bytes, gram_chars, later_chars))
     return [list(x) for x in zip(*rows)]
 
 
@@ -98,11 +111,12 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                   gram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT,
                   line_byte_limit: float = LINE_BYTE_LIMIT, min_words: int = MIN_WORDS,
                   max_repeat_percent: int = MAX_REPEAT_PERCENT, keep: list[str] | None = None) -> DataFrame:
-    """Measures and verdict per row: the id, the columns of ``keep``, counts, shares, base_failed, kept.
+    """Measures and verdicts per row: the id, the columns of ``keep``, counts, shares, base_failed, kept, passes.
 
     A text is kept if it has ``min_words`` words, at most ``max_repeat_percent`` percent of them in
     repeated 5-word windows, at most the given share of characters in repeated n-grams of each
-    length, and at most the given shares of repeated lines and of their bytes.
+    length, and at most the given shares of repeated lines and of their bytes. It passes if it is kept
+    and second and later occurrences hold at most the usual shares (``LATER_LIMITS``) of its characters.
     """
     limits = gram_limits or GRAM_LIMITS
     lengths = sorted(limits)
@@ -114,7 +128,9 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     out = out.selectExpr(
         "*", f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words AS base_failed",
     )
-    return out.selectExpr(
+    usual = " AND ".join(f"later_chars[{i}] <= {LATER_LIMITS[n]}D * word_chars" for i, n in enumerate(lengths) if n in LATER_LIMITS)
+    out = out.selectExpr(
         "*", f"NOT base_failed AND n_dup_lines <= {line_limit}D * n_lines "
         f"AND dup_line_bytes <= {line_byte_limit}D * line_bytes AND {within} AS kept",
     )
+    return out.selectExpr("*", f"kept AND {usual} AS passes")

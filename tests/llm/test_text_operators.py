@@ -83,6 +83,37 @@ def test_clean_prose_is_kept(spark):
     assert quality.quality_rules(spark.createDataFrame(rows_of([text]), SCHEMA)).first()["kept"]
 
 
+def later_shares(text):
+    words = text.split()
+    out = []
+    for n in range(5, 11):
+        seen, inside = set(), set()
+        for i in range(len(words) - n + 1):
+            gram = tuple(words[i:i + n])
+            if gram in seen:
+                inside.update(range(i, i + n))
+            seen.add(gram)
+        out.append(sum(len(words[i]) for i in inside))
+    return out
+
+
+def test_a_text_that_passes_the_base_can_fail_the_method(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"same{i:02}" for i in range(12))
+    body = [" ".join(f"w{k}x{i:03}" for i in range(60)) for k in range(4)]
+    thrice = f"{body[0]} {passage} {body[1]} {passage} {body[2]} {passage}"
+    twice = f"{body[0]} {passage} {body[1]} {passage} {body[2]}"
+    four = f"{passage} {body[0]} {passage} {body[1]} {passage} {body[2]} {passage} {body[3]}"
+    docs = spark.createDataFrame(rows_of([thrice, twice, four]), SCHEMA)
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    for i, text in enumerate([thrice, twice, four]):
+        assert got[i]["later_chars"] == later_shares(text) and not got[i]["base_failed"]
+    assert [got[i]["passes"] for i in range(3)] == [False, True, False]
+    full = docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "char_length(text) AS n_chars")
+    assert [r["doc_id"] for r in corpus_pipeline.quality_stage(spark, full, "").collect()] == [1]
+
+
 # --- tokens ---
 
 TEXTS = ["Hello, it's we'll  two  spaces\n\n\nend ", "<|endoftext|>a <|endoftext|>", "日本語 naïve ½ 12,5", "՘ x", "", " ", "\u0085a ", "x" * 300, "a'S 's"]
