@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sensorloom.llm import cap_filters, html_text, line_dedup, mixing, pieces, quality, revisits, shards, token_counts, weighted_minhash
+from sensorloom.llm import cap_filters, centroids, html_text, line_dedup, mixing, pieces, quality, revisits, shards, token_counts, weighted_minhash
 from sensorloom.workload.registry import query
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -161,6 +161,36 @@ def op10(t):
     return weighted_minhash.near_texts(t.documents).select("doc_id", "class_id", "kept")
 
 
+def clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds one after another, all distances measured."""
+    parts = [f"""
+v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT row, vec_id, e, list_transform(e, lambda x: floor(64 * x)::BIGINT) AS x FROM v
+    WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, x FROM (
+    SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, e, x FROM ok ORDER BY h, e LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (SELECT row, min(d * {k} + c) AS m FROM (
+    SELECT ok.row, c, list_sum(list_transform(list_zip(ok.x, c{i}.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM ok, c{i}) GROUP BY row)""")
+        if i < rounds:
+            parts.append(f"""
+s{i} AS (SELECT m % {k} AS c, i, sum(x[i]) AS s, count(*) AS n FROM a{i} JOIN ok USING (row), (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
+m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return f"""
+WITH {",".join(parts)},
+f AS (SELECT row, m % {k} AS cluster, m // {k} AS distance FROM a{rounds})
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+    (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM f JOIN ok USING (row) JOIN c{rounds} ON c = cluster"""
+
+
+@query("op11_centroid_clusters", clusters_sql())
+def op11(t):
+    return centroids.centroid_clusters(t.embeddings).drop("n_measured")
+
+
 @query("pipeline")
 def pipeline(t):
     import corpus_pipeline
