@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sensorloom.llm import cap_filters, centroids, html_text, line_dedup, mixing, pieces, quality, revisits, shards, token_counts, weighted_minhash
+from sensorloom.llm import cap_filters, centroids, html_text, line_dedup, mixing, pieces, quality, repairs, revisits, shards, token_counts, weighted_minhash
 from sensorloom.workload.registry import query
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -191,6 +191,82 @@ def op11(t):
     return centroids.centroid_clusters(t.embeddings).drop("n_measured")
 
 
+def damaged(conversations):
+    """Conversation rows with faults that a checksum of conversation and turn decides; lost rows are marked ``absent``."""
+    name = lambda c: f"coalesce(CAST({c} AS STRING), ' ')"
+    rows = conversations.selectExpr(
+        "conv_id", "turn", "coalesce(role, ' ') AS role", "coalesce(text, ' ') AS text",
+        f"crc32(CAST(concat({name('conv_id')}, ':', {name('turn')}) AS BINARY)) % 20 AS fault")
+    return rows.selectExpr(
+        "conv_id", "turn", "IF(fault = 4, 'user', role) AS role",
+        "CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text",
+        "fault = 0 AS absent", "explode(IF(fault = 3, array(0, 1), array(0))) AS copy")
+
+
+def repair_sql() -> str:
+    """The checksum bit by bit, the search row by row with the best (cost, edits) of each state."""
+    plus = lambda x, cost, edits: f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'e': {x}.e || {edits}}} END"
+    reach = lambda p: {
+        "z": f"{p}.z", "s": f"{p}.s",
+        "u": f"least({p}.u, {plus(p + '.z', 5, chr(39) + 'I' + chr(39))}, {plus(p + '.s', 5, chr(39) + 'I' + chr(39))}, {plus(p + '.a', 5, chr(39) + 'I' + chr(39))})",
+        "a": f"least({p}.a, {plus(p + '.u', 5, chr(39) + 'I' + chr(39))}, {plus(p + '.z', 10, chr(39) + 'II' + chr(39))}, {plus(p + '.s', 10, chr(39) + 'II' + chr(39))})",
+    }
+    to = lambda x, cost, edit, cond="true": f"CASE WHEN {cond} AND {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'e': {x}.e || '{edit}'}} END"
+    keep = lambda x, i: to(x, "extra", "K", f"NOT forced AND initial = '{i}'")
+    tag = lambda x: to(x, "1 + extra", "R", "NOT forced")
+    opened = ", ".join(f"{v} AS {k}" for k, v in reach("w").items())
+    tie = "sha256(CASE WHEN conv_id IS NULL THEN '-' ELSE '=' || length(conv_id::VARCHAR) || ':' || conv_id END || ':' || length(role) || ':' || role || text)"
+    closed = "least(w.z, w.a, " + plus("w.u", 5, "'I'") + ", " + plus("w.s", 10, "'II'") + ")"
+    return rf"""
+WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(k) + 1), lambda i:
+    list_transform(range(8), lambda j: (ascii(k[i]) >> j) & 1)))), lambda crc, bit:
+    xor(crc >> 1, CASE WHEN xor(crc, bit) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295::BIGINT) % 20 AS fault FROM b),
+r AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM h WHERE fault <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, {tie}, copy) AS pos, role[1] AS initial,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS rest FROM r),
+m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM n),
+f AS MATERIALIZED (SELECT *, rest = '' AS blank, rest <> '' AND again AS dup, rest <> '' AND NOT again AND right(rest, 1) NOT IN ('.', '!', '?') AS cut,
+    rest = '' OR again AS forced, CASE WHEN rest <> '' AND NOT again AND right(rest, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS extra FROM m),
+walk(conv_id, pos, z, s, u, a) AS (
+    SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0, 'e': ''}}, NULL::STRUCT(c INTEGER, e VARCHAR), NULL::STRUCT(c INTEGER, e VARCHAR), NULL::STRUCT(c INTEGER, e VARCHAR) FROM f
+    UNION ALL
+    SELECT conv_id, pos, {to("z", 2, "D")}, least({to("s", 2, "D")}, {keep("z", "s")}),
+        least({to("u", 2, "D")}, {keep("z", "u")}, {keep("s", "u")}, {keep("a", "u")}, {tag("z")}, {tag("s")}, {tag("a")}),
+        least({to("a", 2, "D")}, {keep("u", "a")}, {tag("u")})
+    FROM (SELECT f.conv_id, f.pos, f.initial, f.forced, f.extra, {opened} FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1)),
+best AS MATERIALIZED (SELECT w.conv_id, {closed} AS x FROM walk w JOIN (SELECT conv_id, max(pos) AS pos FROM f GROUP BY conv_id) t
+    ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.pos),
+e AS (SELECT conv_id, unnest(string_split(x.e, '')) AS edit, generate_subscripts(string_split(x.e, ''), 1) AS idx FROM best WHERE x.e <> ''),
+g AS (SELECT *, sum((edit <> 'I')::INT) OVER w AS pos, sum((edit <> 'D')::INT) OVER w AS place FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY idx)),
+j AS (SELECT g.*, f.role, f.text, max((edit = 'K' AND place = 1 AND f.initial = 's')::INT) OVER (PARTITION BY g.conv_id) AS led
+    FROM g LEFT JOIN f ON edit <> 'I' AND f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.pos = g.pos),
+o AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+    || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY idx) AS whole FROM j WHERE edit <> 'D' GROUP BY conv_id),
+q AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(dup::INT) AS duplicate,
+    sum(cut::INT) AS truncated, sum((pair NOT IN ('su', 'ua', 'au'))::INT) AS illegal FROM f GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(x.c, 0)::BIGINT AS cost, coalesce(x.e, '') AS audit,
+    sha256(coalesce(whole, '')) AS repaired_sha256
+FROM c LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op12_conversation_repair", repair_sql())
+def op12(t):
+    edits, summary = repairs.repair_conversations(damaged(t.conversations), absent="absent")
+    found = repairs.repair_digests(edits).withColumnRenamed("conv", "name")
+    joined = summary.join(found, summary["conv"].eqNullSafe(found["name"]), "left")
+    return joined.select(
+        F.col("conv").alias("conv_id"), *repairs.SUMMARY, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @query("pipeline")
 def pipeline(t):
     import corpus_pipeline
