@@ -2,7 +2,7 @@
 
 The normalised text is cut where no piece of the vocabulary reaches across: before a run of blanks,
 around newlines, and between Latin letters and stops, as far as the vocabulary proves it. Each
-distinct segment is encoded once per cache generation: its characters are the first symbols, the
+distinct segment is encoded once for a cache of bounded bytes: its characters are the first symbols, the
 adjacent pairs that form a piece are the agenda, and the pair with the best score (the leftmost among
 equals) is joined until none is left. Every segment is compared with the sentencepiece library when
 it enters the cache, in batches; a segment that differs sends its texts to the library and is counted
@@ -20,12 +20,13 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sensorloom.llm.batches import TwoGenerations, map_texts
+from sensorloom.llm.batches import BoundedCache, keep_only, map_texts
 
 BLANK = "▁"
-CACHE = 400_000
+CACHE_BYTES = 64 << 20
 SCAN_LIMIT = 40
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 STOPS = ".,|"
@@ -51,8 +52,8 @@ class Pieces:
         self.build_pairs(size)
         self.probe = self.library.encode("\n")  # what precedes a segment in a check
         self.pattern = self.segment_pattern()
-        self.some_differ = False
-        self.segments = TwoGenerations(self.encode_segments, CACHE)
+        self.all_plain = True  # every cached segment decodes to itself
+        self.segments = BoundedCache(self.encode_segments, CACHE_BYTES)
 
     def segment_pattern(self) -> re.Pattern:
         """Cuts that no piece crosses; raises if the vocabulary does not allow even those at blanks."""
@@ -197,43 +198,45 @@ class Pieces:
                 out += text.encode("utf-8")
         return out.decode("utf-8", "replace")
 
-    def encode_segments(self, segments: list[str]) -> list[tuple[str, int, str] | None]:
-        """(ids as text, their number, decoded text) per segment; None where the library differs."""
+    def encode_segments(self, segments: list[str]) -> list[str | tuple[str, str] | None]:
+        """Ids of each segment as text, with the decoded text where that is not the segment itself; None where the library differs."""
         own = self.merge_all(segments)
         skip = len(self.probe)
         checked = self.library.encode(["\n" + s for s in segments], num_threads=1)
         texts = list(map(self.text_of, own))
         decoded = self.library.decode([self.probe + ids for ids in own])
-        out = [
-            (" ".join([self.id_texts[i] for i in ids]) + " ", len(ids), text) if ids == seen[skip:] and "\n" + text == back else None
-            for ids, seen, text, back in zip(own, checked, texts, decoded)
-        ]
-        self.some_differ = self.some_differ or None in out
+        out: list[str | tuple[str, str] | None] = []
+        for segment, ids, seen, text, back in zip(segments, own, checked, texts, decoded):
+            if ids != seen[skip:] or "\n" + text != back:
+                out.append(None)
+                continue
+            named = " ".join([self.id_texts[i] for i in ids]) + " "
+            out.append(named if text == segment.replace(BLANK, " ") else (named, text))
+        self.all_plain = self.all_plain and all(type(x) is str for x in out)
         return out
 
     def encode(self, texts: list[bytes]) -> tuple[list[str], list[int], list[str], list[int]]:
         """Ids joined by blanks, number of ids (both with the end id), decoded texts, differing segments."""
         cut = [self.pattern.findall(BLANK + t.decode("utf-8").replace(" ", BLANK)) if t else [] for t in texts]
-        # A text may hold more distinct segments than the cache: fill text by text then.
         self.segments.fill(set(itertools.chain.from_iterable(cut)))
         find = self.segments.__getitem__
-        ids, counts, decoded, differing = [], [], [], []
+        ids, decoded, differing = [], [], []
         for raw, segments in zip(texts, cut):
             found = list(map(find, segments))
-            wrong = sum(f is None for f in found) if self.some_differ else 0
+            wrong = 0 if self.all_plain else sum(f is None for f in found)
             if wrong or not found:
                 text = raw.decode("utf-8")
                 own = [*self.library.encode(text), self.end]
                 ids.append(" ".join(map(str, own)))
-                counts.append(len(own))
                 decoded.append(self.library.decode(own))
+            elif self.all_plain:
+                ids.append("".join(found) + str(self.end))
+                decoded.append("".join(segments).replace(BLANK, " ")[1:])
             else:
-                parts, numbers, pieces = zip(*found)
-                ids.append("".join(parts) + str(self.end))
-                counts.append(sum(numbers) + 1)
-                decoded.append("".join(pieces)[1:])
+                ids.append("".join([f if type(f) is str else f[0] for f in found]) + str(self.end))
+                decoded.append("".join([s.replace(BLANK, " ") if type(f) is str else f[1] for s, f in zip(segments, found)])[1:])
             differing.append(wrong)
-        return ids, counts, decoded, differing
+        return ids, [x.count(" ") + 1 for x in ids], decoded, differing
 
 
 def without(table: np.ndarray, column: np.ndarray) -> np.ndarray:
@@ -252,16 +255,24 @@ def sha256(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
-def encode_pieces(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", digest: bool = False) -> DataFrame:
-    """id, n_tokens, ids, decoded, n_segments_differing; with ``digest`` SHA-256 of ids and decoded text instead of both."""
+def encode_pieces(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", digest: bool = False,
+                  with_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids, decoded, n_segments_differing; with ``digest`` SHA-256 of ids and decoded text instead of both.
+
+    ``with_ids`` adds ``token_ids``, the ids as numbers.
+    """
     columns = "n_tokens long, ids string, decoded string, n_segments_differing long"
     if digest:
         columns = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_segments_differing long"
 
+    columns += ", token_ids array<int>" if with_ids else ""
+
     def compute(texts: list[bytes]) -> list[list]:
+        keep_only("pieces", pieces.cache_clear)
         ids, counts, decoded, differing = pieces(model).encode(texts)
+        numbers = [pa.array([np.fromstring(x, np.int32, sep=" ") for x in ids], pa.list_(pa.int32()))] if with_ids else []
         if digest:
             ids, decoded = list(map(sha256, ids)), list(map(sha256, decoded))
-        return [counts, ids, decoded, differing]
+        return [counts, ids, decoded, differing, *numbers]
 
     return map_texts(docs, [(id_column, id_column)], text_column, compute, columns)

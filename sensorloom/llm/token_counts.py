@@ -3,12 +3,12 @@
 The pre-tokeniser cuts a text into pre-tokens that are encoded independently. Offline, every
 vocabulary string is encoded alone: those that give exactly one token (their own) form the whole
 tokens, and a pre-token among them counts 1 without any merge. Only other pre-tokens are merged, each
-distinct one once per cache generation.
+distinct one once for a cache of bounded bytes.
 
 The pre-tokeniser's pattern names Unicode classes, and regular expression libraries follow
 different Unicode versions. Texts whose characters all lie in ``AGREED`` are cut here, with classes
 spelled out from the character database; a test compares every character of these ranges with the
-library. Any other text is encoded whole by the library.
+library. Any other text is cut by the library's own pre-tokeniser, and counted in the same way.
 
 Defined cases: a null or empty text has no bytes and no tokens. Strings of special tokens inside a
 text count as the library counts them by default, one token each.
@@ -23,11 +23,11 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from sensorloom.llm.batches import TwoGenerations, map_texts
+from sensorloom.llm.batches import BoundedCache, keep_only, map_texts
 
 # Latin, Greek, Cyrillic and general punctuation, as ranges of code points.
 AGREED = ((0x0000, 0x052F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF))
-CACHE = 400_000
+CACHE_BYTES = 64 << 20
 PIECE_OF_LONG_TEXT = 200_000
 
 
@@ -66,16 +66,20 @@ class Counter:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.whole = self.whole_tokens()
-        self.rest = TwoGenerations(self.merge, CACHE)
+        self.rest = BoundedCache(self.merge, CACHE_BYTES)
 
     def whole_tokens(self) -> dict[str, int]:
         """Vocabulary strings that are one pre-token and that the library encodes as one token."""
         ids = self.library.get_vocab_size(with_added_tokens=False)
         strings = [s for s in self.library.decode_batch([[i] for i in range(ids)], skip_special_tokens=False) if s and "�" not in s]
-        strings = [s for s in dict.fromkeys(strings) if not self.outside.search(s) and self.pattern.fullmatch(s) and s not in self.special]
+        strings = [s for s in dict.fromkeys(strings) if s not in self.special and len(self.library_cuts(s)) == 1]
         encoded = self.library.encode_batch(strings, add_special_tokens=False)
         return {s: 1 for s, e in zip(strings, encoded) if len(e.ids) == 1}
 
+    def library_cuts(self, text: str) -> list[str]:
+        """Pre-tokens by the library's own pre-tokeniser."""
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def merge(self, pre_tokens: list[str]) -> list[int]:
         """Tokens of each pre-token, merged by the library's ranks."""
         encoded = self.library.encode(pre_tokens, is_pretokenized=True, add_special_tokens=False)
@@ -85,6 +89,10 @@ class Counter:
         return counts
 
     def pre_tokens(self, text: str):
+        """Lists of pre-tokens; by the library's own cuts if the text holds characters beyond the agreed ones."""
+        if self.outside.search(text):
+            yield self.library_cuts(text)
+            return
         if len(text) <= PIECE_OF_LONG_TEXT:
             yield self.pattern.findall(text)
             return
@@ -98,9 +106,6 @@ class Counter:
         held = 0
         for i, raw in enumerate(texts):
             text = raw.decode("utf-8")
-            if self.outside.search(text):
-                totals[i] = len(self.library.encode(text, add_special_tokens=False).ids)
-                continue
             parts = [text]
             if self.cut_special and any(s in text for s in self.special):
                 parts = self.cut_special.split(text)
@@ -137,6 +142,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", te
     """id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) per row, for a tokenizers .json file."""
 
     def compute(texts: list[bytes]) -> list[list]:
+        keep_only("token counts", counter.cache_clear)
         counts = counter(vocabulary).count(texts)
         return [[len(t) for t in texts], counts, [n > limit for n in counts]]
 

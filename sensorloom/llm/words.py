@@ -12,7 +12,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: A random number for each byte value.
 BYTES = np.random.default_rng(20240501).integers(0, 1 << 64, 256, np.uint64)
-STRIDE = 1 << 20
+STRIDE = 1 << 18
 
 
 class Powers:
