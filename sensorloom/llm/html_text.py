@@ -1,14 +1,21 @@
 """Operator 8, main text of web pages by tag-path ratios.
 
-A page is read once into blocks of text, each with its path of block-level tags from the root.
-Navigation, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles
-are left out by their element or by the words of their class, id or role, but a form or a named element
-around the article or most of the page's text is not. For every remaining path
-two ratios are built: characters per block and punctuation marks per block. Both are smoothed over
-the neighbouring blocks of the page, multiplied, and averaged per path; paths from a share of the
-spread of all paths upwards find the content root: the article or main element that holds most of their
-text, otherwise the lowest element around all of them. Below the root every block stays, except blocks of
-a low path that are mostly links. Elsewhere only the found paths stay, with headings that share a parent.
+A page is read once into blocks of text, each with the path of block-level tags from the root; paths and elements are
+numbers in a tree with parent numbers, so time grows with the length of a page, not with its depth. Every path has ratios:
+characters per block, punctuation marks per block, and the share of characters outside links. The first two are
+smoothed over the neighbouring blocks of the page, and each counts as the geometric mean of its plain and smoothed form, so that a
+single line beside a long paragraph does not borrow all of its weight. Their product, averaged over the blocks of a path,
+times the share outside links, is the score of the path.
+
+Names only weigh: an element whose class, id or role is that of a menu, notice, advert or comment, or a form, makes paths of
+its own below it, and their score is multiplied by a small factor. Where a whole page stands in such an
+element all of its paths have the factor, and nothing changes.
+
+Paths that reach a share of the spread of all scores are content. They give the content root: the article or main element that
+holds most of their text, otherwise the lowest element around all of them. Below the root, low paths stay with their parent (lists,
+tables, captions of an article) unless they are weighed down or mostly links, or stand in a bare container beside content that
+lies directly in the page; elsewhere only content paths stay,
+with headings that share a parent. Elements that are never the article (nav, footer, aside, scripts and the like) are left out.
 
 Defined cases: a null or empty page, or one without content, gives an empty text; unclosed elements
 end with their parent; an unfinished tag at the end of a page is dropped; equal rows give equal rows.
@@ -18,9 +25,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from math import exp, sqrt
-from os.path import commonprefix
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -60,8 +66,6 @@ OF_LAYOUT = frozenset(
 )
 #: Words that say what an element has or lacks, not what it is.
 OF_STATE = frozenset("has have no not with without is hide show".split())
-#: Above this share of a page's text a form or named element is content; comments or sidebars can outgrow an article.
-MOST, NEARLY_ALL = 0.5, 0.9
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag that ends an open element of the second set.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"},
@@ -70,6 +74,7 @@ ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
 SCOPES = frozenset("ul ol dl table article section div main body html td th aside nav footer header form".split())
+WHOLE, CONTAINERS = frozenset(("", "html", "body")), frozenset(("div", "section"))
 PUNCTUATION = re.compile(r"[^\w\s]")
 WIDTH = 1.0
 SHARE_OF_SPREAD = 0.25
@@ -79,6 +84,8 @@ HREF = re.compile(r"\bhref\s*=", re.I)
 
 
 SEEN, FORM, NAMED, APART, HIDDEN = range(5)
+#: What a path's score is multiplied by below a form, a named element, and one that never holds an article.
+WEIGHTS = (1.0, 0.2, 0.05, 0.005)
 
 
 def names(token: str) -> int:
@@ -110,134 +117,144 @@ def named_otherwise(attrs: str) -> int:
 
 
 class Block(NamedTuple):
-    path: tuple[str, ...]  # block-level tags
-    elements: tuple[int, ...]  # the same as numbers of elements of the page
+    path: int  # number of the path
+    element: int  # number of the element that holds it
     text: str
     linked: int  # characters in links
-    doubtful: tuple[tuple[int, int], ...]  # numbers of forms and named elements around it, what their names say
 
 
 def plain(text: str) -> str:
     return WHITE.sub(" ", html.unescape(text)).strip()
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Every non-empty block in page order, those of forms and named elements only where these hold the content."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # block-level element, what its name says, number
-    held: list[str] = []
-    hidden = linked = number = 0
-    link = -1  # depth of the open link
-
-    def hold(text: str) -> None:
-        nonlocal linked
-        if not hidden and not inline_hidden:
-            held.append(text)
-            if link >= 0:
-                linked += len(plain(text))
-
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            text = plain("".join(held))
-            if text:
-                doubtful = tuple((i, said) for _, said, i in stack if said)
-                out.append(Block(tuple(t for t, _, _ in stack), tuple(i for _, _, i in stack), text, linked, doubtful))
-            held.clear()
-        linked = 0
-
-    def close_down_to(depth: int) -> None:
-        nonlocal hidden, link
-        while len(stack) > depth:
-            hidden -= stack.pop()[1] == HIDDEN
-        if link > depth:
-            link = -1
-
-    def leave_head(content: bool) -> None:
-        if content and stack and stack[-1][0] == "head":
-            close_down_to(len(stack) - 1)
-
-    inline_hidden: list[str] = []
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            leave_head(page[at:m.start()].strip() != "")
-            hold(page[at:m.start()])
-        at = m.end()
-        tag = m.group("tag")
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            flush()
-            continue
-        leave_head(tag not in VOID and not m.group("end"))
-        if tag in INLINE:
-            if tag in VOID:
+class Page:
+    """Blocks of a page in order, with the trees of its elements and paths; element 0 and path 0 are the page itself.
+
+    A parent has a smaller number than its children.
+    """
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        # Per element: parent, tag, path, what names around it say, outermost article and main element.
+        self.parent, self.tags, self.path_of, self.said = [0], [""], [0], [SEEN]
+        self.article, self.main = [0], [0]
+        # Per path: parent, tag, what names around it say.
+        self.path_parent, self.path_tags, self.path_said = [0], [""], [SEEN]
+        self.numbers: dict[tuple[int, str, int], int] = {}
+        self.read(page)
+
+    def open_element(self, parent: int, tag: str, said: int) -> int:
+        around = max(said, self.said[parent])
+        number = len(self.parent)
+        key = (self.path_of[parent], tag, around)
+        if key not in self.numbers:
+            self.numbers[key] = len(self.path_parent)
+            self.path_parent.append(key[0])
+            self.path_tags.append(tag)
+            self.path_said.append(around)
+        self.parent.append(parent)
+        self.tags.append(tag)
+        self.path_of.append(self.numbers[key])
+        self.said.append(around)
+        self.article.append(self.article[parent] or (number if tag == "article" else 0))
+        self.main.append(self.main[parent] or (number if tag == "main" else 0))
+        return number
+
+    def read(self, page: str) -> None:
+        stack: list[tuple[str, int, int]] = [("", SEEN, 0)]  # open block-level elements: tag, whether hidden, number
+        is_open: Counter[str] = Counter()
+        held: list[str] = []
+        hidden = linked = 0
+        link = -1  # depth of the open link
+        inline_hidden: list[str] = []
+
+        def hold(text: str) -> None:
+            nonlocal linked
+            if not hidden and not inline_hidden:
+                held.append(text)
+                if link >= 0:
+                    linked += len(plain(text))
+
+        def flush() -> None:
+            nonlocal linked
+            if held:
+                text = plain("".join(held))
+                if text:
+                    element = stack[-1][2]
+                    self.blocks.append(Block(self.path_of[element], element, text, linked))
+                held.clear()
+            linked = 0
+
+        def close_down_to(depth: int) -> None:
+            nonlocal hidden, link
+            while len(stack) > depth:
+                tag, said, _ = stack.pop()
+                is_open[tag] -= 1
+                hidden -= said == HIDDEN
+            if link > depth:
+                link = -1
+
+        def leave_head(content: bool) -> None:
+            if content and stack[-1][0] == "head":
+                close_down_to(len(stack) - 1)
+
+        at = 0
+        for m in TOKEN.finditer(page):
+            if m.start() > at:
+                leave_head(page[at:m.start()].strip() != "")
+                hold(page[at:m.start()])
+            at = m.end()
+            tag = m.group("tag")
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if tag == "br":
+                flush()
                 continue
-            if tag == "a":
-                link = len(stack) if not m.group("end") and HREF.search(m.group("attrs")) else -1
+            leave_head(tag not in VOID and not m.group("end"))
+            if tag in INLINE:
+                if tag in VOID:
+                    continue
+                if tag == "a":
+                    link = len(stack) if not m.group("end") and HREF.search(m.group("attrs")) else -1
+                if m.group("end"):
+                    if inline_hidden and tag == inline_hidden[-1]:
+                        inline_hidden.pop()
+                elif inline_hidden and tag == inline_hidden[-1] or not inline_hidden and m.group("attrs") and named_otherwise(m.group("attrs")) == HIDDEN:
+                    inline_hidden.append(tag)
+                continue
+            flush()
+            inline_hidden.clear()
             if m.group("end"):
-                if inline_hidden and tag == inline_hidden[-1]:
-                    inline_hidden.pop()
-            elif inline_hidden and tag == inline_hidden[-1] or not inline_hidden and m.group("attrs") and named_otherwise(m.group("attrs")):
-                inline_hidden.append(tag)
-            continue
-        flush()
-        inline_hidden.clear()
-        if m.group("end"):
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close_down_to(depth)
-                    break
-            continue
-        if tag in VOID or tag == "head" and any(t != "html" for t, _, _ in stack):
-            continue
-        closes = CLOSES.get(tag)
-        if closes or tag in ENDS_PARAGRAPH:
-            closes = closes or {"p"}
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in closes:
+                if is_open[tag]:
+                    depth = len(stack) - 1
+                    while stack[depth][0] != tag:
+                        depth -= 1
                     close_down_to(depth)
-                elif stack[depth][0] in SCOPES:
-                    break
-        in_article = any(t in ("article", "main") for t, _, _ in stack)
-        said = HIDDEN if tag in LEFT_OUT and tag != "form" or tag == "header" and not in_article else SEEN
-        if said != HIDDEN and tag not in ("html", "body", "article", "main") and m.group("attrs"):
-            said = named_otherwise(m.group("attrs"))
-        if tag == "form":
-            said = max(said, FORM)
-        number += 1
-        stack.append((tag, said, number))
-        hidden += said == HIDDEN
-    if at < len(page):
-        hold(page[at:])
-    flush()
-    return without_doubtful(out)
-
-
-def without_doubtful(blocks: list[Block]) -> list[Block]:
-    """Leaves out the blocks in forms and named elements, except in those that hold a main element, the
-    page's only articles, or most of its text."""
-    if not any(b.doubtful for b in blocks):
-        return blocks
-    size: dict[int, int] = defaultdict(int)
-    holds: dict[int, set[str]] = defaultdict(set)
-    for b in blocks:
-        for i, _ in b.doubtful:
-            size[i] += len(b.text)
-            holds[i].update(b.path[b.elements.index(i) + 1:])
-    whole = sum(len(b.text) for b in blocks)
-    elsewhere = any(not b.doubtful and ("article" in b.path or "main" in b.path) for b in blocks)
-
-    share = {FORM: MOST, NAMED: NEARLY_ALL if elsewhere else MOST, APART: 1 if elsewhere else NEARLY_ALL}
-
-    def content(element: int, said: int) -> bool:
-        if "main" in holds[element] or size[element] > share[said] * whole:
-            return True
-        return said != APART and not elsewhere and "article" in holds[element]
-
-    return [b for b in blocks if all(content(*x) for x in b.doubtful)]
+                continue
+            if tag in VOID or tag == "head" and any(t not in ("", "html") for t, _, _ in stack):
+                continue
+            closes = CLOSES.get(tag) or ({"p"} if tag in ENDS_PARAGRAPH else ())
+            if any(is_open[t] for t in closes):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth][0] in closes:
+                        close_down_to(depth)
+                    elif stack[depth][0] in SCOPES:
+                        break
+            parent = stack[-1][2]
+            in_article = self.article[parent] or self.main[parent]
+            said = HIDDEN if tag in LEFT_OUT and tag != "form" or tag == "header" and not in_article else SEEN
+            if said != HIDDEN and tag not in ("html", "body", "article", "main") and m.group("attrs"):
+                said = named_otherwise(m.group("attrs"))
+            if tag == "form":
+                said = max(said, FORM)
+            is_open[tag] += 1
+            # Inside a hidden element nothing is seen, whatever it is called.
+            stack.append((tag, said, self.open_element(parent, tag, SEEN if said == HIDDEN else said)))
+            hidden += said == HIDDEN
+        if at < len(page):
+            hold(page[at:])
+        flush()
 
 
 def smoothed(values: list[float], width: float = WIDTH) -> list[float]:
@@ -251,63 +268,84 @@ def smoothed(values: list[float], width: float = WIDTH) -> list[float]:
     return out
 
 
-def found_paths(blocks: list[Block], share_of_spread: float) -> set[tuple[str, ...]]:
-    """The paths whose ratios reach the share of the spread."""
-    chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
+def path_scores(page: Page) -> dict[int, float]:
+    """Score of every path that has blocks."""
+    blocks = page.blocks
+    chars, marks, links, count = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
     for b in blocks:
         chars[b.path] += len(b.text)
         marks[b.path] += len(PUNCTUATION.findall(b.text))
+        links[b.path] += min(b.linked, len(b.text))
         count[b.path] += 1
-    # Ratio of the block's path in page order, smoothed, fused, and averaged over the blocks of a path.
-    by_chars = smoothed([chars[b.path] / count[b.path] for b in blocks])
-    by_marks = smoothed([(marks[b.path] + 1) / count[b.path] for b in blocks])
-    fused = defaultdict(float)
-    for block, x, y in zip(blocks, by_chars, by_marks):
-        fused[block.path] += x * y / count[block.path]
-    scores = list(fused.values())
-    mean = sum(scores) / len(scores)
-    limit = share_of_spread * sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    return {p for p, s in fused.items() if s >= limit}
-
-
-def article_of(block: Block) -> int | None:
-    """Number of the outermost article around the block, without one of the outermost main."""
-    for tag in ("article", "main"):
-        if tag in block.path:
-            return block.elements[block.path.index(tag)]
-    return None
-
-
-def content_roots(found: list[Block]) -> set[int] | None:
-    """Numbers of the elements that hold the content, None for the whole page."""
-    articles = {article_of(b) for b in found} - {None}
-    size = sum(len(b.text) if article_of(b) else -len(b.text) for b in found)
-    if articles and size >= 0:
-        return articles
-    around = commonprefix([b.elements[:-1] for b in found])
-    return {around[-1]} if around else None
-
-
-def main_text(page: str, share_of_spread: float = SHARE_OF_SPREAD) -> str:
-    blocks = blocks_of(page)
-    if not blocks:
+    # Ratio of the block's path in page order.
+    by_chars, by_marks = [chars[b.path] / count[b.path] for b in blocks], [(marks[b.path] + 1) / count[b.path] for b in blocks]
+    fused: dict[int, float] = defaultdict(float)
+    for block, x, y, near_x, near_y in zip(blocks, by_chars, by_marks, smoothed(by_chars), smoothed(by_marks)):
+        fused[block.path] += sqrt(x * near_x) * sqrt(y * near_y) / count[block.path]
+    return {p: s * (1 - links[p] / chars[p]) * WEIGHTS[page.path_said[p]] for p, s in fused.items()}
+
+
+def found_paths(scores: dict[int, float], share_of_spread: float) -> set[int]:
+    """The paths whose score reaches the share of the spread."""
+    mean = sum(scores.values()) / len(scores)
+    limit = share_of_spread * sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores))
+    return {p for p, s in scores.items() if s >= limit}
+
+
+def content_roots(page: Page, found: list[Block]) -> set[int]:
+    """Elements that hold the content: articles (or main elements), or the lowest element around all found blocks."""
+    of = [page.article[b.element] or page.main[b.element] for b in found]
+    inside = sum(len(b.text) if a else -len(b.text) for a, b in zip(of, found))
+    if any(of) and inside >= 0:
+        return set(of) - {0}
+    below = [0] * len(page.parent)  # found blocks below each element, those directly in it apart
+    for b in found:
+        below[page.parent[b.element]] += 1
+    lowest = 0
+    for i in range(len(below) - 1, 0, -1):
+        if below[i] == len(found):
+            lowest = i
+            break
+        below[page.parent[i]] += below[i]
+    return {lowest}
+
+
+def main_text(html_page: str, share_of_spread: float = SHARE_OF_SPREAD) -> str:
+    page = Page(html_page)
+    if not page.blocks:
         return ""
-    kept = found_paths(blocks, share_of_spread)
-    parents = {p[:k] for p in kept for k in range(len(p))}
-    roots = content_roots([b for b in blocks if b.path in kept])
+    kept = found_paths(path_scores(page), share_of_spread)
+    parents: set[int] = set()
+    for p in kept:
+        while p and page.path_parent[p] not in parents:
+            p = page.path_parent[p]
+            parents.add(p)
+    roots = content_roots(page, [b for b in page.blocks if b.path in kept])
+    holds = [False] * len(page.parent)  # whether a content path has blocks below the element
+    for b in page.blocks:
+        holds[b.element] = holds[b.element] or b.path in kept
+    for i in range(len(holds) - 1, 0, -1):
+        holds[page.parent[i]] = holds[page.parent[i]] or holds[i]
+    # Whether an element is below a root, and what names say of it there. Directly below the page, a container without content is no part of it.
+    inside = [i in roots for i in range(len(page.parent))]
+    root_said, whole_page = list(page.said), not roots.isdisjoint(i for i, t in enumerate(page.tags) if t in WHOLE)
+    for i in range(1, len(inside)):
+        if inside[page.parent[i]]:
+            inside[i], root_said[i] = not whole_page or holds[i] or page.tags[i] not in CONTAINERS, root_said[page.parent[i]]
     # Characters and link characters of neighbours with the same tag.
     size, linked = defaultdict(int), defaultdict(int)
-    for b in blocks:
-        size[b.elements[:-1], b.path[-1:]] += len(b.text)
-        linked[b.elements[:-1], b.path[-1:]] += b.linked
+    for b in page.blocks:
+        size[page.parent[b.element], page.tags[b.element]] += len(b.text)
+        linked[page.parent[b.element], page.tags[b.element]] += b.linked
 
     def stays(b: Block) -> bool:
-        if b.path in kept or b.path and b.path[-1] in HEADINGS and b.path[:-1] in parents:
+        if b.path in kept or page.path_tags[b.path] in HEADINGS and page.path_parent[b.path] in parents:
             return True
-        beside = b.elements[:-1], b.path[-1:]
-        return (roots is None or not roots.isdisjoint(b.elements)) and linked[beside] < LINK_SHARE * size[beside]
+        beside = page.parent[b.element], page.tags[b.element]
+        weighed_down = page.said[b.element] > root_said[b.element]
+        return inside[b.element] and not weighed_down and linked[beside] < LINK_SHARE * size[beside]
 
-    return "\n".join(b.text for b in blocks if stays(b))
+    return "\n".join(b.text for b in page.blocks if stays(b))
 
 
 def extract_text(pages: DataFrame, id_columns: tuple[str, ...] = ("page_id", "url"), html_column: str = "html") -> DataFrame:
