@@ -1,8 +1,9 @@
 """Operator 6, quality rules: how much of a text lies inside repeated n-grams and lines.
 
-For several n, a rolling hash gives all n-grams of a text; the hashes that occur twice mark their
-windows, and the characters of the marked words are counted, once for all windows and once for those
-that repeat an earlier one. Lines are treated in the same way.
+For n = 2 .. 10 a rolling hash gives all n-grams of a text. Short ones (2 to 4 words) are judged by the one that
+repeats most: the characters of its second and later occurrences. Longer ones (5 to 10) mark the words inside all
+windows that repeat an earlier one, whose characters are counted. Lines are treated in the same way. Second and later
+occurrences count, so a text that holds one passage twice is charged with it once.
 
 Defined cases: a null or empty text has no words, all counts are 0 and it fails the base rule; equal
 rows give equal rows; windows never cross texts; an empty table gives an empty result.
@@ -17,19 +18,20 @@ from sensorloom.llm import words as W
 from sensorloom.llm.batches import map_texts
 
 SYMBOLS = b"#*$%&|<>"
-# Largest accepted share of a text's word characters inside repeated n-grams of a length. They are above
-# the usual ones, because a short clean text may hold one shared passage twice.
-GRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
-# The usual limits, for the windows that repeat an earlier one: a passage that stands twice counts once.
-LATER_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-LINE_LIMIT = 0.50
-LINE_BYTE_LIMIT = 0.30
+# The usual limits on the share of word characters in the most repeated 2- to 4-gram, in repeated 5- to 10-grams, and
+# on the shares of repeated lines and their bytes.
+TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
+GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+LINE_LIMIT = 0.30
+LINE_BYTE_LIMIT = 0.20
+#: N-grams that are looked at one by one, most frequent first, before all are.
+TRIES = 20
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, "
-    "dup_line_bytes long, line_bytes long, gram_chars array<long>, later_chars array<long>"
+    "dup_line_bytes long, line_bytes long, top_chars array<long>, later_chars array<long>"
 )
 
 
@@ -55,15 +57,40 @@ def covered(grams: np.ndarray, n: int, n_words: int) -> tuple[np.ndarray, np.nda
     return marked(starts, n, n_words), marked(np.delete(starts, first), n, n_words)
 
 
-def repetition(word_hashes: np.ndarray, chars: np.ndarray, lengths: list[int]) -> tuple[int, list[int], list[int]]:
-    """Words inside repeated n-grams of the first length, characters inside those of every length, and
-    inside their second and later occurrences."""
-    repeated, inside, later = 0, [0] * len(lengths), [0] * len(lengths)
+def top_repeated(grams: np.ndarray, upto: np.ndarray, n: int) -> int:
+    """Characters of the second and later occurrences of the n-gram that has most of them; 0 if none repeats."""
+    ordered = np.sort(grams)
+    begins = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    again = np.diff(np.append(begins, len(ordered))) - 1
+    repeated = np.flatnonzero(again)
+    if not len(repeated):
+        return 0
+    longest, best = int((upto[n:] - upto[:-n]).max()), 0
+    for tried, k in enumerate(repeated[np.argsort(-again[repeated], kind="stable")].tolist()):
+        if again[k] * longest <= best:
+            return best
+        if tried == TRIES:
+            break
+        at = int(np.argmax(grams == ordered[begins[k]]))
+        best = max(best, int(again[k] * (upto[at + n] - upto[at])))
+    else:
+        return best
+    _, first, count = np.unique(grams, return_index=True, return_counts=True)
+    return int(((count - 1) * (upto[first + n] - upto[first])).max())
+
+
+def repetition(word_hashes: np.ndarray, chars: np.ndarray, top: list[int], lengths: list[int]) -> tuple[int, list[int], list[int]]:
+    """Words inside repeated n-grams of the first of ``lengths``; characters of the most repeated n-gram for each of
+    ``top``; characters inside second and later occurrences of n-grams for each of ``lengths``."""
+    repeated, most, later = 0, [0] * len(top), [0] * len(lengths)
+    upto = np.concatenate(([0], np.cumsum(chars)))
     grams = word_hashes
-    for n in range(2, max(lengths) + 1):
+    for n in range(2, max([*top, *lengths]) + 1):
         if len(grams) < 2:
             break
         grams = W.rolled(word_hashes, grams, n)
+        if n in top:
+            most[top.index(n)] = top_repeated(grams, upto, n)
         if n not in lengths:
             continue
         masks = covered(grams, n, len(word_hashes))
@@ -71,11 +98,10 @@ def repetition(word_hashes: np.ndarray, chars: np.ndarray, lengths: list[int]) -
             break
         mask, again = masks
         k = lengths.index(n)
-        inside[k] = int(chars[mask].sum())
         later[k] = int(chars[again].sum())
         if k == 0:
             repeated = int(mask.sum())
-    return repeated, inside, later
+    return repeated, most, later
 
 
 def repeated_lines(text: bytes) -> tuple[int, int, int, int]:
@@ -93,44 +119,45 @@ def repeated_lines(text: bytes) -> tuple[int, int, int, int]:
     return len(lines), again, again_bytes, sum(map(len, lines))
 
 
-def measures(texts: list[bytes], lengths: list[int]) -> list[list]:
+def measures(texts: list[bytes], top: list[int], lengths: list[int]) -> list[list]:
     words = W.Words(texts)
     # Characters are the bytes that do not continue one.
     upto = np.concatenate(([0], np.cumsum((words.flat & 0xC0) != 0x80)))
     chars = upto[words.ends] - upto[words.starts]
     rows = []
     for text, first, last in zip(texts, words.upto[:-1].tolist(), words.upto[1:].tolist()):
-        repeated, gram_chars, later_chars = repetition(words.hashes[first:last], chars[first:last], lengths)
+        repeated, most, later = repetition(words.hashes[first:last], chars[first:last], top, lengths)
         n_lines, again, again_bytes, line_bytes = repeated_lines(text)
         symbols = len(text) - len(text.translate(None, SYMBOLS))
-        rows.append((last - first, int(chars[first:last].sum()), symbols, again, repeated, n_lines, again_bytes, line_bytes, gram_chars, later_chars))
+        rows.append((last - first, int(chars[first:last].sum()), symbols, again, repeated, n_lines, again_bytes, line_bytes, most, later))
     return [list(x) for x in zip(*rows)]
 
 
-def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", top_limits: dict[int, float] | None = None,
                   gram_limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT,
                   line_byte_limit: float = LINE_BYTE_LIMIT, min_words: int = MIN_WORDS,
                   max_repeat_percent: int = MAX_REPEAT_PERCENT, keep: list[str] | None = None) -> DataFrame:
-    """Measures and verdicts per row: the id, the columns of ``keep``, counts, shares, base_failed, kept, passes.
+    """Measures and the verdict per row: the id, the columns of ``keep``, counts, base_failed, kept.
 
-    A text is kept if it has ``min_words`` words, at most ``max_repeat_percent`` percent of them in
-    repeated 5-word windows, at most the given share of characters in repeated n-grams of each
-    length, and at most the given shares of repeated lines and of their bytes. It passes if it is kept
-    and second and later occurrences hold at most the usual shares (``LATER_LIMITS``) of its characters.
+    A text fails the base rule with fewer than ``min_words`` words or more than ``max_repeat_percent`` percent of them in
+    repeated 5-word windows. It is kept if it passes the base rule and second and later occurrences hold at most the given shares: of its
+    characters for each length of n-gram, of its lines, and of their bytes.
     """
-    limits = gram_limits or GRAM_LIMITS
-    lengths = sorted(limits)
-    if lengths[0] != 5:
-        raise ValueError("the shortest n-gram has five words")
+    tops, limits = top_limits or TOP_LIMITS, gram_limits or GRAM_LIMITS
+    short, lengths = sorted(tops), sorted(limits)
+    if lengths[0] != 5 or short and short[-1] >= 5:
+        raise ValueError("n-grams of five words are the shortest that are marked, those of fewer words are judged by the most repeated one")
     kept = [(id_column, id_column), *((c, c) for c in keep or [])]
-    out = map_texts(docs, kept, text_column, lambda texts: measures(texts, lengths), COLUMNS)
-    within = " AND ".join(f"gram_chars[{i}] <= {limits[n]}D * word_chars" for i, n in enumerate(lengths))
-    out = out.selectExpr(
-        "*", f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words AS base_failed",
-    )
-    usual = " AND ".join(f"later_chars[{i}] <= {LATER_LIMITS[n]}D * word_chars" for i, n in enumerate(lengths) if n in LATER_LIMITS)
-    out = out.selectExpr(
-        "*", f"NOT base_failed AND n_dup_lines <= {line_limit}D * n_lines "
-        f"AND dup_line_bytes <= {line_byte_limit}D * line_bytes AND {within} AS kept",
-    )
-    return out.selectExpr("*", f"kept AND {usual} AS passes")
+    out = map_texts(docs, kept, text_column, lambda texts: measures(texts, short, lengths), COLUMNS)
+    out = out.selectExpr("*", f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_percent} * n_words AS base_failed")
+    return out.selectExpr("*", f"NOT base_failed AND {' AND '.join(rules(tops, limits, line_limit, line_byte_limit).values())} AS kept")
+
+
+def rules(tops: dict[int, float], limits: dict[int, float], line_limit: float, line_byte_limit: float) -> dict[str, str]:
+    """Name and condition of every rule beside the base rule."""
+    return {
+        "repeated lines": f"n_dup_lines <= {line_limit}D * n_lines",
+        "bytes of repeated lines": f"dup_line_bytes <= {line_byte_limit}D * line_bytes",
+        **{f"most repeated {n}-gram": f"top_chars[{i}] <= {tops[n]}D * word_chars" for i, n in enumerate(sorted(tops))},
+        **{f"repeated {n}-grams": f"later_chars[{i}] <= {limits[n]}D * word_chars" for i, n in enumerate(sorted(limits))},
+    }
