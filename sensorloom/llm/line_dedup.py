@@ -7,8 +7,11 @@ or ends with the partition leaves a summary; summaries of one hash are added up
 rows that were left open. What comes back to the documents is one compressed bitmap per document, not
 text.
 
+Rows are documents. Rows with the same id and text share one bitmap, so they go through as one row that counts
+as many times as it stands in the table.
+
 Defined cases: a null or empty text is one empty line; lines whose key is shorter than ``min_chars``
-stay; rows with the same id and text are one document; a null id is an id like any other.
+stay; of rows with the same id and text, ``keep_first`` keeps or drops the lines alike; a null id is an id like any other.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from sensorloom.llm.batches import bound_batches, map_texts, slices
 from sensorloom.session import materialise
 
 MIN_DOCS = 10
-LINE_COLUMNS = "h1 long, h2 long, doc {id}, text_hash long, pos int"
+LINE_COLUMNS = "h1 long, h2 long, doc {id}, text_hash long, copies long, pos int"
 
 
 def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -38,11 +41,17 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
 
 
 def line_rows(docs: DataFrame, id_column: str, text_column: str, min_chars: int) -> DataFrame:
-    """h1, h2, doc, text_hash, pos per line that has a key."""
+    """h1, h2, doc, text_hash, copies, pos per line that has a key."""
     bound_batches(docs.sparkSession)
     source = docs.select(
         F.col(f"`{id_column}`").alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))).alias("text_hash"),
         F.encode(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), "UTF-8").alias("text"))
+    counted = source.groupBy("doc", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    if counted.filter("copies > 1").isEmpty():
+        source = source.withColumn("copies", F.lit(1).cast("long"))
+    else:
+        # Combined before the shuffle, so that a row that makes up much of the table is one row per task.
+        source = source.groupBy("doc", "text_hash").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,8 +67,8 @@ def line_rows(docs: DataFrame, id_column: str, text_column: str, min_chars: int)
                 halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32())],
-                    ["h1", "h2", "doc", "text_hash", "pos"])
+                    [pa.array(halves[:, 0]), pa.array(halves[:, 1]), *(batch.column(c).take(at) for c in (0, 1, 3)), pa.array(places, pa.int32())],
+                    ["h1", "h2", "doc", "text_hash", "copies", "pos"])
 
     return source.mapInArrow(run, LINE_COLUMNS.format(id=source.schema["doc"].dataType.simpleString()))
 
@@ -128,8 +137,9 @@ class Runs:
         """Documents in rows of one run, less one if the first has been counted."""
         if not len(table):
             return 0
-        count = int(self.changes(table, ["doc", "text_hash"]).sum()) + 1
-        return count - (self.flushed > 0 and self.doc_of(table, 0) == self.last_doc)
+        new = self.changes(table, ["doc", "text_hash"])
+        new[0] = not self.flushed or self.doc_of(table, 0) != self.last_doc
+        return int(table.column("copies").to_numpy()[new].sum())
 
     def decide_first(self, first: pa.Table, docs: int, edge: bool) -> Iterator[pa.Table]:
         if edge:
@@ -153,7 +163,7 @@ class Runs:
         new_run[0] = True
         run = np.cumsum(new_run) - 1
         new_doc = self.changes(table, ["doc", "text_hash"]) | new_run
-        docs = np.bincount(run, weights=new_doc).astype(np.int64)
+        docs = np.bincount(run, weights=new_doc * table.column("copies").to_numpy()).astype(np.int64)
         gone = docs[run] >= self.min_docs
         if self.keep_first:
             gone &= ~new_run
@@ -199,7 +209,8 @@ def dropped_lines(lines: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool =
     A key in at least ``min_docs`` documents loses its lines: all of them, or all but the first by
     document and position with ``keep_first`` (``min_docs=1`` then removes every later repetition).
     """
-    ordered = lines.repartitionByRange("h1", "h2", "doc", "text_hash").sortWithinPartitions("h1", "h2", "doc", "text_hash", "pos")
+    # Stored, because finding the ranges reads the lines a second time.
+    ordered = materialise(lines).repartitionByRange("h1", "h2", "doc", "text_hash").sortWithinPartitions("h1", "h2", "doc", "text_hash", "pos")
     seen = materialise(stream_runs(ordered, min_docs, keep_first))
     whole = materialise(
         seen.filter("kind = 2").groupBy("h1", "h2")
