@@ -31,6 +31,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns of a row, nulls told from values: rows with the same hash are interchangeable."""
+    parts = []
+    for name, kind in docs.dtypes:
+        value = F.col(f"`{name}`")
+        parts += [F.to_json(F.struct(value)) if "map<" in kind or "variant" in kind else value, value.isNull()]
+    return F.xxhash64(*parts)
+
+
 def n_words(text: str) -> Column:
     return F.expr(f"CAST(regexp_count(coalesce(`{text}`, ''), r'{WORD}') AS LONG)")
 
@@ -80,7 +89,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 
 def place(docs: DataFrame) -> DataFrame:
-    """Adds ``start``, the position of a row's first word in its source's stream; needs source_no, size, order_key."""
+    """Adds ``start``, the position of a row's first word in its source's stream; needs source_no, size, order_key, row_hash."""
     n_rows = docs.count()
     buckets = max(1, -(-n_rows // ROWS_PER_BUCKET))
     rows = docs.withColumn("bucket", F.pmod(F.xxhash64("order_key"), F.lit(buckets)).cast("long"))
@@ -88,7 +97,7 @@ def place(docs: DataFrame) -> DataFrame:
     before = materialise(sums.withColumn("before", F.coalesce(
         F.sum("in_bucket").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).drop("in_bucket"))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("order_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_no", "bucket").orderBy("order_key", "size", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.join(before, ["source_no", "bucket"])
         .withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -148,15 +157,15 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 slots_per_shard: int = SLOTS_PER_SHARD, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, slots).
 
-    documents: doc_id, text_hash, source, source_no, size, source_size, target, start - one row per input row.
-    pieces: source_no, start, doc_id, text_hash, size, block, first_word, n_words, times - the stretches of a
+    documents: doc_id, text_hash, row_hash, source, source_no, size, source_size, target, start - one row per input row.
+    pieces: source_no, start, doc_id, row_hash, size, block, first_word, n_words, times - the stretches of a
     document that lie in taken blocks, and how often each is taken (once or twice).
     slots: shard, source_no, slot, block - the mix itself.
     """
     spark = docs.sparkSession
     sized = materialise(docs.select(
         F.col(f"`{id_column}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_column}`")).alias("text_hash"),
-        F.col(f"`{source_column}`").alias("source"), n_words(text_column).alias("size")))
+        row_hash(docs).alias("row_hash"), F.col(f"`{source_column}`").alias("source"), n_words(text_column).alias("size")))
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_factor))
     rows = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).select(
         sized["*"], "source_no", "source_size", "target")
@@ -164,7 +173,7 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     slots = slot_blocks(draw_slots(spark, sources, block_words, slots_per_shard, seed), seed)
     taken = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     stretches = placed.filter("size > 0").select(
-        "source_no", "start", "doc_id", "text_hash", "size",
+        "source_no", "start", "doc_id", "row_hash", "size",
         F.explode(F.expr(f"sequence(start DIV {block_words}, (start + size - 1) DIV {block_words})")).alias("block"))
     stretches = (
         stretches.withColumn("first_word", F.greatest(F.lit(0), F.col("block") * block_words - F.col("start")))
