@@ -42,6 +42,8 @@ LEAST_FILTERS = 5  # of each code, nearest ones if the limit gives fewer
 FILTERS_PER_VECTOR = 8  # directions of a code for each vector of the largest label
 SMALLEST_CODE, LARGEST_CODE = 32, 4096
 BLOCK = 512
+TOP_WORDS = 96  # of a block, listed at first
+SUMS = 1 << 21  # sums of word scores held at once
 SLACK = 1e-9  # for rounding, where sums are bounded by parts
 
 
@@ -55,24 +57,78 @@ def code(dims: int, words: int, number: int, seed: int) -> tuple[np.ndarray, np.
     return rotation, first, second
 
 
-def decode(unit: np.ndarray, words: int, number: int, seed: int) -> list[np.ndarray]:
-    """Filters of one code per vector: all beyond the limit, the nearest ``LEAST_FILTERS`` at least."""
+def strongest(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores of every row in descending order, with their places."""
+    if k < scores.shape[1]:
+        places = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        order = np.argsort(-np.take_along_axis(scores, places, 1), axis=1)
+        places = np.take_along_axis(places, order, 1)
+    else:
+        places = np.argsort(-scores, axis=1)
+    return np.take_along_axis(scores, places, 1), places
+
+
+def decode(unit: np.ndarray, words: int, number: int, seed: int, top: int = TOP_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) pairs of one code, rows ascending: all filters beyond the limit, the nearest ``LEAST_FILTERS`` at least.
+
+    The best ``top`` words of each block are listed; rows for which they do not suffice are listed again from all words.
+    """
     n, dims = unit.shape
     rotation, first, second = code(dims, words, number, seed)
     turned = unit @ rotation
     half = dims - dims // 2
-    a, b = turned[:, :half] @ first.T, turned[:, half:] @ second.T
     limit = NormalDist().inv_cdf(1 - min(0.5, MEAN_FILTERS / words**2)) / np.sqrt(dims) * np.sqrt(2)
-    order_a, order_b = np.argsort(-a, axis=1), np.argsort(-b, axis=1)
-    a, b = np.take_along_axis(a, order_a, 1), np.take_along_axis(b, order_b, 1)
-    out = []
-    for i in range(n):
-        sums = a[i, :LEAST_FILTERS, None] + b[i, None, :LEAST_FILTERS]  # the nearest few lie among these
-        reach = min(limit, np.sort(sums, axis=None)[-LEAST_FILTERS])
-        in_a = int(np.searchsorted(-a[i], b[i, 0] - reach + SLACK, side="right"))
-        in_b = int(np.searchsorted(-b[i], a[i, 0] - reach + SLACK, side="right"))
-        x, y = np.nonzero(a[i, :in_a, None] + b[i, None, :in_b] >= reach)
-        out.append(number * words * words + order_a[i, x].astype(np.int64) * words + order_b[i, y])
+    a, order_a = strongest(turned[:, :half] @ first.T, top)
+    b, order_b = strongest(turned[:, half:] @ second.T, top)
+    least = min(LEAST_FILTERS, a.shape[1])
+    sums = (a[:, :least, None] + b[:, None, :least]).reshape(n, -1)  # the nearest few lie among these
+    reach = np.minimum(limit, np.partition(sums, -LEAST_FILTERS, axis=1)[:, -LEAST_FILTERS])[:, None]
+    in_a, in_b = (a >= reach - b[:, :1] - SLACK).sum(1), (b >= reach - a[:, :1] - SLACK).sum(1)
+    open_rows = np.flatnonzero(np.maximum(in_a, in_b) >= a.shape[1]) if a.shape[1] < words else np.empty(0, np.int64)
+    rows, filters = [], []
+    done = np.setdiff1d(np.arange(n), open_rows)
+    at = 0
+    while at < len(done):
+        # As many rows at once as keep the table of sums small.
+        step = 1024
+        while step > 1 and step * in_a[done[at:at + step]].max() * in_b[done[at:at + step]].max() > SUMS:
+            step //= 2
+        part = done[at:at + step]
+        wide, deep = in_a[part].max(), in_b[part].max()
+        i, x, y = np.nonzero(a[part, :wide, None] + b[part, None, :deep] >= reach[part, :, None])
+        i = part[i]
+        rows.append(i)
+        filters.append(number * words * words + order_a[i, x].astype(np.int64) * words + order_b[i, y])
+        at += step
+    if len(open_rows):
+        i, found = decode(unit[open_rows], words, number, seed, words)
+        rows.append(open_rows[i])
+        filters.append(found)
+    rows, filters = np.concatenate(rows), np.concatenate(filters)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], filters[order]
+
+
+def unit_vectors(column: pa.Array, usable: np.ndarray) -> dict[int, np.ndarray]:
+    """Row -> unit vector, for the usable rows whose vectors have finite components and are not zero.
+
+    Sums run along a row in one fixed order, so equal vectors have equal units in every batch.
+    """
+    out: dict[int, np.ndarray] = {}
+    lengths = np.diff(column.offsets.to_numpy())
+    holes = column.values.is_null().to_numpy(zero_copy_only=False)
+    values = column.values.fill_null(np.nan).to_numpy(zero_copy_only=False) if holes.any() else column.values.to_numpy()
+    starts = column.offsets.to_numpy()[:-1]
+    for length in np.unique(lengths[usable]):
+        rows = usable[lengths[usable] == length]
+        if not length:
+            continue
+        block = values[starts[rows, None] + np.arange(length)]
+        largest = np.abs(block).max(axis=1)
+        good = np.isfinite(block).all(axis=1) & (largest > 0)
+        block = block[good] / largest[good, None]
+        block /= np.sqrt((block * block).sum(axis=1))[:, None]
+        out.update(zip(rows[good].tolist(), block))
     return out
 
 
@@ -84,19 +140,14 @@ def valid_vectors(df: DataFrame, id_column: str, vector_column: str, label_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, units = [], []
-            ids, labels = batch.column(0), batch.column(1)
-            for i, vector in enumerate(batch.column(2)):
-                unit = digest = None
-                if vector.is_valid and ids[i].is_valid and labels[i].is_valid and len(vector) and vector.values.null_count == 0:
-                    values = vector.values.to_numpy()
-                    largest = np.abs(values).max()
-                    if np.isfinite(values).all() and largest > 0:
-                        values = values / largest
-                        unit = (values / np.sqrt(values @ values)).tobytes()
-                        digest = xxhash.xxh3_128_digest(labels[i].as_py().encode() + b"\0" + unit)
-                hashes.append(digest)
-                units.append(unit)
+            ids, labels, vectors = batch.column(0), batch.column(1), batch.column(2)
+            known = [c.is_valid().to_numpy(zero_copy_only=False) for c in (ids, labels, vectors)]
+            names = labels.to_pylist()
+            hashes: list = [None] * len(ids)
+            units: list = [None] * len(ids)
+            for i, unit in unit_vectors(vectors, np.flatnonzero(known[0] & known[1] & known[2])).items():
+                units[i] = unit.tobytes()
+                hashes[i] = xxhash.xxh3_128_digest(names[i].encode() + b"\0" + units[i])
             yield pa.RecordBatch.from_arrays([ids, labels, pa.array(hashes, pa.binary()), pa.array(units, pa.binary())], ["id", "label", "h", "unit"])
 
     return source.mapInArrow(run, "id long, label string, h binary, unit binary")
@@ -108,23 +159,24 @@ def with_filters(nodes: DataFrame, words: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = batch.column(batch.schema.get_field_index("unit")).to_pylist()
-            lists: list = [None] * len(units)
-            by_size: dict[int, list[int]] = {}
-            for i, unit in enumerate(units):
-                by_size.setdefault(len(unit) // 8, []).append(i)
-            for dims, rows in by_size.items():
+            sizes = np.array([len(u) // 8 for u in units])
+            at, filters = [], []
+            for dims in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == dims)
+                block = np.frombuffer(b"".join(units[i] for i in rows.tolist())).reshape(len(rows), dims)
                 if dims < 2:  # one component: the sign is the direction
-                    for i in rows:
-                        lists[i] = [int(np.frombuffer(units[i])[0] > 0)]
+                    at.append(rows)
+                    filters.append((block[:, 0] > 0).astype(np.int64))
                     continue
-                for at in range(0, len(rows), 1024):
-                    part = rows[at:at + 1024]
-                    block = np.frombuffer(b"".join(units[i] for i in part)).reshape(len(part), dims)
-                    found = [decode(block, words, c, seed) for c in range(CODES)]
-                    for k, i in enumerate(part):
-                        # Vectors of another length have other filters.
-                        lists[i] = np.sort(np.concatenate([f[k] for f in found])) + dims * CODES * LARGEST_CODE**2
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names, "filters"])
+                for c in range(CODES):
+                    i, found = decode(block, words, c, seed)
+                    at.append(rows[i])
+                    filters.append(found + dims * CODES * LARGEST_CODE**2)  # vectors of another length have other filters
+            rows, flat = np.concatenate(at), np.concatenate(filters)
+            order = np.lexsort((flat, rows))
+            offsets = np.searchsorted(rows[order], np.arange(len(units) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[order]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "filters"])
 
     return nodes.mapInArrow(run, "id long, h binary, label string, copies long, unit binary, filters array<long>")
 
@@ -202,7 +254,12 @@ def links_in_cells(cells: DataFrame, threshold: float) -> DataFrame:
 
 def near_embeddings(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
                     threshold: float = THRESHOLD, seed: int = 11) -> DataFrame:
-    """id, n_links, component_id, kept per row; rows link inside a label with a cosine of at least the threshold."""
+    """id, n_links, component_id, kept per row; rows link inside a label with a cosine of at least the threshold.
+
+    The codes are made for a threshold of 0.98 or more; below it pairs would be missed, so a lower one raises an error.
+    """
+    if threshold < THRESHOLD:
+        raise ValueError(f"the filters are made for a cosine of {THRESHOLD} or more")
     bound_batches(df.sparkSession)
     rows = materialise(valid_vectors(df, id_column, vector_column, label_column))
     nodes = materialise(
