@@ -65,20 +65,28 @@ def op5(t):
 
 
 def quality_sql() -> str:
-    """Repeated n-grams by window hashes of word lists, the other counts by patterns."""
+    """N-grams as joined word lists, the other counts by patterns; the limits are written out here once more."""
     word = r"[^\x20\x09-\x0D]+"
+    top = {2: 0.20, 3: 0.18, 4: 0.16}
+    later = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+    grams = lambda n: f"SELECT row, pos, array_to_string(words[pos:pos + {n - 1}], ' ') AS gram FROM u WHERE pos + {n - 1} <= n_words"
+    tops = "\n".join(
+        f"""t{n} AS (SELECT row, max((k - 1) * (length(gram) - {n - 1})) AS chars FROM (SELECT row, gram, count(*) AS k FROM ({grams(n)}) GROUP BY ALL) GROUP BY row),"""
+        for n in top)
     windows = "\n".join(
-        f"""w{n} AS (SELECT row, pos, count(*) OVER (PARTITION BY row, gram) > 1 AS twice
-    FROM (SELECT row, pos, array_to_string(words[pos:pos + {n - 1}], ' ') AS gram FROM u WHERE pos + {n - 1} <= n_words)),
-c{n} AS (SELECT row, sum(chars) AS chars, count(*) AS covered FROM (
-    SELECT u.row, u.chars, max(twice) OVER (PARTITION BY u.row ORDER BY u.pos ROWS {n - 1} PRECEDING) AS hit
-    FROM u LEFT JOIN w{n} USING (row, pos)) WHERE hit GROUP BY row),""" for n in quality.GRAM_LIMITS)
-    joins = " ".join(f"LEFT JOIN c{n} USING (row)" for n in quality.GRAM_LIMITS)
-    within = " AND ".join(f"coalesce(c{n}.chars, 0) <= {x}::DOUBLE * word_chars" for n, x in quality.GRAM_LIMITS.items())
+        f"""w{n} AS (SELECT row, pos, row_number() OVER (PARTITION BY row, gram ORDER BY pos) > 1 AS again, count(*) OVER (PARTITION BY row, gram) > 1 AS twice
+    FROM ({grams(n)})),
+m{n} AS (SELECT u.row, u.chars, max(again) OVER w AS again, max(twice) OVER w AS twice FROM u LEFT JOIN w{n} USING (row, pos)
+    WINDOW w AS (PARTITION BY u.row ORDER BY u.pos ROWS {n - 1} PRECEDING)),
+c{n} AS (SELECT row, coalesce(sum(chars) FILTER (again), 0) AS chars, count(*) FILTER (twice) AS covered FROM m{n} GROUP BY row),""" for n in later)
+    joins = " ".join([f"LEFT JOIN c{n} USING (row)" for n in later] + [f"LEFT JOIN t{n} USING (row)" for n in top])
+    within = " AND ".join([f"coalesce(c{n}.chars, 0) <= {x}::DOUBLE * word_chars" for n, x in later.items()]
+                          + [f"coalesce(t{n}.chars, 0) <= {x}::DOUBLE * word_chars" for n, x in top.items()])
     return rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '{word}') AS words FROM documents),
 u AS MATERIALIZED (SELECT row, words, len(words) AS n_words, unnest(words) AS word, generate_subscripts(words, 1) AS pos, length(word) AS chars FROM d),
+{tops}
 {windows}
 l AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d),
 g AS (SELECT row, line, count(*) AS n FROM l WHERE regexp_matches(line, '{word}') GROUP BY row, line),
@@ -86,9 +94,9 @@ r AS (SELECT row, sum(n) AS lines, sum(n - 1) AS dup_lines, sum(n * strlen(line)
 m AS (SELECT row, doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
 a AS (SELECT m.*, coalesce(dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(c5.covered, 0) AS n_repeat_words,
-    coalesce(dup_lines, 0) <= {quality.LINE_LIMIT}::DOUBLE * coalesce(lines, 0) AND coalesce(dup_chars, 0) <= {quality.LINE_BYTE_LIMIT}::DOUBLE * coalesce(r.chars, 0)
+    coalesce(dup_lines, 0) <= 0.30::DOUBLE * coalesce(lines, 0) AND coalesce(dup_chars, 0) <= 0.20::DOUBLE * coalesce(r.chars, 0)
     AND {within} AS good FROM m LEFT JOIN r USING (row) {joins}),
-b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM a)
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept FROM b"""
 
 

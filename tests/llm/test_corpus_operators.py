@@ -72,19 +72,25 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert got == {i: (number[i], group_of[i], group_of[i] == i) for i in range(len(unit))}
 
 
-def test_close_vectors_share_a_filter():
+def listed(vectors, *code, **options):
+    rows, filters = cap_filters.decode(vectors, *code, **options)
+    assert (np.diff(rows) >= 0).all()
+    return np.split(filters, np.searchsorted(rows, np.arange(1, len(vectors))))
+
+
+@pytest.mark.parametrize("size,n", [(64, 1500), (256, 1500), (1024, 1000), (4096, 400)])
+def test_close_vectors_share_a_filter(size, n):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(1500, 64))
+    x = rng.normal(size=(n, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
     y = 0.98 * x + math.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    for size in (64, 256):
-        shared = np.zeros(len(x), bool)
-        for number in range(cap_filters.CODES):
-            for k, (a, b) in enumerate(zip(cap_filters.decode(x, size, number, 1), cap_filters.decode(y, size, number, 1))):
-                shared[k] |= bool(len(np.intersect1d(a, b)))
-        assert shared.mean() >= 0.999
+    shared = np.zeros(len(x), bool)
+    for number in range(cap_filters.CODES):
+        for k, (a, b) in enumerate(zip(listed(x, size, number, 1), listed(y, size, number, 1))):
+            shared[k] |= bool(len(np.intersect1d(a, b)))
+    assert shared.mean() >= 0.999
 
 
 def test_filters_are_all_beyond_the_limit():
@@ -93,9 +99,17 @@ def test_filters_are_all_beyond_the_limit():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rotation, first, second = cap_filters.code(10, 32, 0, 1)
     sums = ((x @ rotation)[:, :5] @ first.T)[:, :, None] + ((x @ rotation)[:, 5:] @ second.T)[:, None, :]
-    for row, found in zip(sums.reshape(20, -1), cap_filters.decode(x, 32, 0, 1)):
-        assert len(found) >= cap_filters.LEAST_FILTERS
-        assert set(found) == set(np.flatnonzero(row >= row[found].min()))
+    for top in (32, 6, 3):  # few words at first: the rest are listed again from all
+        for row, found in zip(sums.reshape(20, -1), listed(x, 32, 0, 1, top=top)):
+            assert len(found) >= cap_filters.LEAST_FILTERS
+            assert set(found) == set(np.flatnonzero(row >= row[found].min()))
+
+
+def test_lower_thresholds_are_refused(spark):
+    with pytest.raises(ValueError):
+        cap_filters.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<double>, label int"), threshold=0.9)
+    with pytest.raises(ValueError):
+        weighted_minhash.near_texts(spark.createDataFrame([], DOCS), threshold=0.6)
 
 
 # --- words ---
@@ -306,8 +320,48 @@ def test_cut_texts():
     assert spans.cut(text, [(4, 2), (0, 1), (1, 1)]) == b"a  b\ne f"
 
 
+def test_rows_of_one_id_and_text_in_two_sources_stay_apart(spark):
+    text = " ".join(f"w{i}" for i in range(600))
+    rows = [(1, text, "en", "A", 7), (1, text, "de", "B", 8), (1, text, "de", "B", 8), (2, text + " more", "fr", "C", None)]
+    frame = spark.createDataFrame(rows, DOCS)
+    placed, taken, _ = mixing.mix_sources(frame, block_words=32)
+    out = spans.taken_texts(frame, placed, taken).collect()
+    wanted = defaultdict(int)
+    for r in taken.collect():
+        wanted[r["source_no"]] += r["n_words"] * r["times"]
+    got = defaultdict(int)
+    for r in out:
+        assert (r["doc_id"], r["lang"], r["source"], r["n_chars"]) in {(1, "en", "A", 7), (1, "de", "B", 8), (2, "fr", "C", None)}
+        got["ABC".index(r["source"])] += len(WORD.findall(r["text"]))
+    assert got == wanted and set(got) == {0, 1, 2}
+
+
+def test_hash_of_rows_tells_nulls_and_all_columns_apart(spark):
+    frame = spark.createDataFrame([("a", None, None), (None, "a", None), ("a", "", None), ("a", None, {"k": "v"}), ("a", None, None)], "x string, y string, m map<string,string>")
+    assert frame.select(mixing.row_hash(frame).alias("h")).distinct().count() == 4
+
+
 # --- pipeline ---
 
+@pytest.mark.parametrize("name", ["empty", "edge"])
+def test_stages_take_empty_tables_and_odd_rows(spark, name):
+    import corpus_pipeline
+
+    text = " ".join(f"v{i}" for i in range(50))
+    rows = [] if name == "empty" else [
+        (1, text, "en", None, 1), (1, text, "en", None, 1), (None, text + " x", None, "s", None), (2, None, None, None, None), (3, "", "en", "s", 0),
+        (4, " ".join(f"long{i}" for i in range(60_000)), "en", "s", 5), (5, "\n\n", "en", "t", 2)]
+    frame = spark.createDataFrame(rows, DOCS)
+    out = frame
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = spark.createDataFrame(stage(spark, out, "").collect(), stage(spark, out, "").schema)
+        assert out.count() == 0 if name == "empty" else out.count() >= 2
+        assert number == 4 or out.columns == frame.columns
+    if name == "edge":
+        assert max(r["n_tokens"] for r in out.collect()) > 60_000
+
+
+
 def test_pipeline_equals_its_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -319,7 +373,7 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     frame = spark.read.parquet(os.path.join(tmp_path, "documents.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "source_mix", "piece_encoding"]
     clean = corpus_pipeline.quality_stage(spark, frame, "")
-    assert {r["doc_id"] for r in clean.collect()} == set(range(42))
+    assert {r["doc_id"] for r in clean.collect()} == set(range(42))  # the same verdict as the query's
     lines = corpus_pipeline.line_stage(spark, clean, "")
     texts_now = {r["doc_id"]: r["text"] for r in lines.collect()}
     assert texts_now[3] == texts[3].split("\n")[0] and texts_now[30] == texts[30]
@@ -332,4 +386,5 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     for r in rows:
         assert not Counter(WORD.findall(r["text"])) - Counter(WORD.findall(texts_now[r["doc_id"]]))
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() == len(rows) and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+    assert out.count() == len(rows) and {"doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"} <= set(out.columns)
+    assert all(len(r["token_ids"]) == r["n_tokens"] for r in out.collect())
