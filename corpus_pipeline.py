@@ -22,8 +22,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, the usual limits for repeated passages included."""
-    return quality.quality_rules(docs, keep=["text", "lang", "source", "n_chars"]).filter("passes").select(*COLUMNS)
+    """Documents that the quality rules keep."""
+    return quality.quality_rules(docs, keep=["text", "lang", "source", "n_chars"]).filter("kept").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Numbers of tokens and digests of ids and decoded texts."""
-    return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    """Token ids, their number, and digests of ids and decoded texts."""
+    return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True, with_ids=True)
 
 
 STAGES = [
