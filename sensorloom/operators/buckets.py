@@ -54,6 +54,14 @@ def stored_span(df: DataFrame, ts: str, series: Sequence[str], origin: Origin) -
     return materialise(series_span(df, ts, series)) if _per_series(origin) else None
 
 
+def anchored_span(df: DataFrame, ts: str, series: Sequence[str], origin: Origin) -> DataFrame:
+    """Stored (series..., lo_us, hi_us, anchor): the instant from which a series counts its windows; one read of the times."""
+    span = materialise(series_span(df, ts, series))
+    first = F.min("lo_us").alias("lo_us")
+    anchor = span.agg(first).scalar() if origin == "global" else _fixed_origin(df, ts, origin, F.col("lo_us"))
+    return materialise(span.withColumn("anchor", anchor))
+
+
 def assign_windows(
     df: DataFrame, ts: str, width: str | int | float, series: Sequence[str] = (), origin: Origin = "epoch",
     span: DataFrame | None = None,
@@ -88,25 +96,19 @@ def window_grid(
     width_us = width_micros(width)
     span = series_span(df, ts, series) if span is None else span
     anchor = _fixed_origin(df, ts, origin, F.col("lo_us"))
-    chunk_us = width_us * GRID_CHUNK
     bounds = span.filter(F.col("lo_us").isNotNull()).select(
         *series,
         bucket_of(F.col("lo_us"), anchor, width_us).alias("_first"),
         bucket_of(F.col("hi_us"), anchor, width_us).alias("_last"),
     )
-    chunks = bounds.select(
-        *series, "_last", F.explode(F.sequence("_first", "_last", F.lit(chunk_us).cast("long"))).alias("_chunk")
-    )
-    return chunks.select(
-        *series,
-        F.explode(
-            F.sequence(
-                F.col("_chunk"),
-                F.least(F.col("_last"), F.col("_chunk") + F.lit(chunk_us - width_us).cast("long")),
-                F.lit(width_us).cast("long"),
-            )
-        ).alias("win_us"),
-    )
+    return sequence_rows(bounds, series, "win_us", width_us)
+
+
+def sequence_rows(bounds: DataFrame, keep: Sequence[str], name: str, step: int = 1) -> DataFrame:
+    """The numbers from ``_first`` to ``_last`` of every row, in chunks so that no array is long."""
+    whole, one = F.lit(step * GRID_CHUNK).cast("long"), F.lit(step).cast("long")
+    chunks = bounds.select(*keep, "_last", F.explode(F.sequence("_first", "_last", whole)).alias("_chunk"))
+    return chunks.select(*keep, F.explode(F.sequence(F.col("_chunk"), F.least(F.col("_last"), F.col("_chunk") + whole - one), one)).alias(name))
 
 
 def fill_gaps(grid: DataFrame, aggregated: DataFrame, series: Sequence[str], fills: Mapping[str, float]) -> DataFrame:

@@ -1,25 +1,34 @@
-"""Packet-record window features.
+"""Packet-record window features (A2-A4, W3-W5) at one or several window widths.
 
-The differences between consecutive packets are needed per (series, window), and one
-window may hold a third of all packets. The work is therefore split: packets with the
-same timestamp are first combined into one row, every window is cut into ``SLICES``
-equal time slices, differences are taken inside a slice, and the slice edges (at most
-``SLICES`` rows per window) are stitched afterwards.
+The packets are read twice, whatever the number of widths: once for the span of every series, once into
+partial rows of base windows, whose width is the common divisor of all widths (``packet_parts``): one row per
+instant, length, port and address that occurs in a base window. Widths are rows from there on: a partial row is
+repeated for the wider windows that hold it, and everything is merged in one aggregation over (series, width, window).
 
-Packet lengths are taken as non-negative. Packets at equal timestamps keep the order of
-the ``seq`` column.
+One window may hold a third of all packets. Packets of an instant, a length or an address are combined before
+they are shuffled. Differences between consecutive instants are taken in slices of a base window, as many as its
+instants need; the slices of a window are stitched by their edges. Medians come from rank selection, counts of
+different values from a table that is grouped by value first, so neither meets in a task.
+
+Packet lengths are taken as non-negative. Packets at equal timestamps keep the order of the ``seq`` column.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sensorloom.functions.timeparts import width_micros
-from sensorloom.operators.buckets import Origin, assign_windows, fill_gaps, stored_span, window_grid
+from sensorloom.functions.timeparts import micros_of, width_micros
+from sensorloom.operators.buckets import Origin, anchored_span, sequence_rows
+from sensorloom.operators.lookup import join_lookup
+from sensorloom.operators.ranks import group_quantiles
+from sensorloom.session import materialise
 
-SLICES = 64
+# Instants of a base window that one slice takes, and the longest slice of a crowded one.
+SLICE_ROWS = 100_000
+SLICE_MICROS = 1_000_000
 
 # Output names of the window features.
 LENGTH_FEATURES = [
@@ -61,27 +70,84 @@ def _aliased(expressions: dict[str, str]) -> list[Column]:
     return [F.expr(e).alias(name) for name, e in expressions.items()]
 
 
-def _length_features(packets: DataFrame, keys: list[str], tcp: str, udp: str) -> DataFrame:
-    # Combined by length first: the median's value->count map then holds distinct lengths only
-    # and a crowded window is reduced before the shuffle.
-    by_length = packets.groupBy(*keys, "length").agg(
-        F.expr("count(*) AS n"),
-        F.count_if(F.col("protocol") == tcp).alias("tcp"),
-        F.count_if(F.col("protocol") == udp).alias("udp"),
-    )
-    grouped = by_length.groupBy(*keys).agg(*_aliased({
-        "n": "sum(n)",
-        "nl": "sum(IF(length IS NULL, 0L, n))",
-        "total": "coalesce(sum(length * n), 0D)",
-        "median": "percentile(length, 0.5, IF(length IS NULL, 0L, n))",
-        "lo": "min(length)",
-        "hi": "max(length)",
-        "tcp": "sum(tcp)",
-        "udp": "sum(udp)",
+def _bandwidth(length: str, seconds: str) -> str:
+    """Length over interval; infinite becomes 0, 0/0 and a missing interval stay null."""
+    return f"CASE WHEN {seconds} = 0 THEN IF({length} = 0, NULL, 0D) ELSE try_divide({length}, {seconds}) END"
+
+
+# Kinds of partial rows.
+INSTANT, LENGTH, SOURCE_PORT, DEST_PORT, DEST_IP = range(5)
+
+PACKET_NAMES = {
+    "protocol": "Protocol", "source_port": "SourcePort", "dest_port": "DestPort",
+    "dest_ip": "DestIP", "length": "Length", "seq": "row_seq",
+}
+
+
+def _whole_steps(value: str, step: str) -> str:
+    """Floor of value / step in integer arithmetic."""
+    return f"(({value} - pmod({value}, {step})) div {step})"
+
+
+def packet_parts(
+    df: DataFrame, ts: str, anchors: DataFrame, base_us: int, series: Sequence[str], names: dict[str, str], tcp: str, udp: str, instants: bool = True,
+) -> DataFrame:
+    """Stored partial rows (series, base, kind, t, x, s, n, tcp, udp, first_len, zero_bw); one read of the packets.
+
+    ``base`` numbers the base windows from the anchor of the series, ``t`` is the time since the anchor.
+    """
+    rows = df.filter(F.col(ts).isNotNull()).select(
+        *series, micros_of(F.col(ts)).alias("ts_us"),
+        *[(F.col(f"`{names[c]}`") if c in names else F.lit(None).cast("long")).alias(c) for c in ("protocol", "source_port", "dest_port", "dest_ip", "seq")],
+        F.col(f"`{names['length']}`").cast("double").alias("length"))
+    placed = join_anchor(rows, anchors, series).withColumn("t", F.expr("ts_us - anchor")).withColumn("base", F.expr(_whole_steps("t", f"{base_us}L")))
+    entries = [(INSTANT, "t", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)")] if instants else []
+    entries += [(LENGTH, "CAST(NULL AS LONG)", "length", "CAST(NULL AS STRING)")]
+    entries += [(kind, "CAST(NULL AS LONG)", "CAST(NULL AS DOUBLE)", f"CAST({c} AS STRING)")
+                for kind, c in ((SOURCE_PORT, "source_port"), (DEST_PORT, "dest_port"), (DEST_IP, "dest_ip"))]
+    structs = ", ".join(f"named_struct('kind', {k}, 't', {t}, 'x', {x}, 's', {s})" for k, t, x, s in entries)
+    long = placed.select(*series, "base", "protocol", "length", "seq", F.expr(f"inline(array({structs}))"))
+    parts = long.filter(f"kind < {SOURCE_PORT} OR s IS NOT NULL").groupBy(*series, "base", "kind", "t", "x", "s").agg(F.count_if(F.col("protocol") == tcp).alias("tcp"), F.count_if(F.col("protocol") == udp).alias("udp"), *_aliased({
+        "n": "count(*)",
+        "first_len": "min_by(length, seq)",
+        # Packets after the first one at an instant have interval 0 and bandwidth 0 (null when empty).
+        "zero_bw": "count_if(length > 0) - IF(min_by(length, seq) > 0, 1, 0)",
+    }))
+    return materialise(parts)
+
+
+def join_anchor(rows: DataFrame, anchors: DataFrame, series: Sequence[str]) -> DataFrame:
+    """Adds ``anchor``, the microsecond from which the windows of the row's series are counted."""
+    if series:
+        return join_lookup(rows, anchors.select(*series, "anchor"), series, stored=True)
+    return rows.withColumn("anchor", anchors.select("anchor").scalar())
+
+
+def at_widths(parts: DataFrame, base_us: int, widths: Sequence[int]) -> DataFrame:
+    """Every partial row once per width, with the number of the window that holds it."""
+    steps = ", ".join(f"named_struct('width_us', {w}L, 'step', {w // base_us}L)" for w in widths)
+    return parts.select("*", F.expr(f"inline(array({steps}))")).withColumn("win", F.expr(_whole_steps("base", "step"))).drop("step")
+
+
+def length_features(parts: DataFrame, keys: list[str], base_us: int, widths: Sequence[int]) -> DataFrame:
+    """Length, protocol and distinct-count features per (series, width, window)."""
+    values = materialise(at_widths(parts.filter(f"kind <> {INSTANT}"), base_us, widths).groupBy(*keys, "kind", "x", "s").agg(
+        F.sum("n").alias("n"), F.sum("tcp").alias("tcp"), F.sum("udp").alias("udp")))
+    is_length = f"kind = {LENGTH}"
+    grouped = values.groupBy(*keys).agg(*_aliased({
+        "n": f"sum(IF({is_length}, n, 0L))",
+        "nl": f"sum(IF({is_length} AND x IS NOT NULL, n, 0L))",
+        "total": "coalesce(sum(x * n), 0D)",
+        "lo": "min(x)",
+        "hi": "max(x)",
+        "tcp": f"sum(IF({is_length}, tcp, 0L))",
+        "udp": f"sum(IF({is_length}, udp, 0L))",
         # Lengths are at most a few 10^4, so the raw second moment keeps enough digits.
-        "sq": "sum(length * length * n)",
+        "sq": "sum(x * x * n)",
+        "ports": f"count_if(kind = {SOURCE_PORT})", "targets": f"count_if(kind = {DEST_PORT})", "addresses": f"count_if(kind = {DEST_IP})",
     }))
-    return grouped.select(*keys, *_aliased({
+    medians = group_quantiles(values.filter(f"{is_length} AND x IS NOT NULL"), keys, "x", [0.5], "n")
+    return grouped.join(medians.withColumnRenamed("q0", "median"), keys, "left").select(*keys, *_aliased({
         "(OLD) PacketCount": "n",
         "(OLD) TotalLength": "total",
         "(OLD) AverageLength": "try_divide(total, nl)",
@@ -89,71 +155,63 @@ def _length_features(packets: DataFrame, keys: list[str], tcp: str, udp: str) ->
         "(OLD) MinLength": "lo",
         "(OLD) MaxLength": "hi",
         "(OLD) VarianceLength": "IF(nl > 1, greatest(sq - total * try_divide(total, nl), 0D) / (nl - 1), NULL)",
+        "(OLD) DifferentSourcePorts": "ports",
+        "(OLD) DifferentDestPorts": "targets",
         "TcpPacketCount": "tcp",
         "UdpPacketCount": "udp",
         "TcpUdpProtocolRatio": f"tcp / IF(udp > 0, CAST(udp AS DOUBLE), {NO_UDP_DIVISOR}D)",
+        "DifferentDestIPs": "addresses",
     }))
 
 
-def _distinct_features(packets: DataFrame, keys: list[str]) -> DataFrame:
-    return packets.groupBy(*keys).agg(*_aliased({
-        "(OLD) DifferentSourcePorts": "count(DISTINCT source_port)",
-        "(OLD) DifferentDestPorts": "count(DISTINCT dest_port)",
-        "DifferentDestIPs": "count(DISTINCT dest_ip)",
-    }))
-
+def sliced(instants: DataFrame, series: list[str], base_us: int) -> DataFrame:
+    """Adds ``slice``: crowded base windows are cut by time, as finely as their number of instants asks."""
+    sizes = instants.groupBy(*series, "base").agg(F.count(F.lit(1)).alias("rows")).filter(f"rows > {SLICE_ROWS}")
+    length = f"least(greatest({base_us} div (rows div {SLICE_ROWS} + 1), 1L), {SLICE_MICROS}L)"
+    crowded = sizes.select(*series, "base", F.expr(length).alias("slice_us"))
+    rows = join_lookup(instants, crowded, [*series, "base"], how="left")
+    return rows.withColumn("slice", F.expr(f"coalesce((t - base * {base_us}) div slice_us, 0L)")).drop("slice_us")
 
-def _bandwidth(length: str, seconds: str) -> str:
-    """Length over interval; infinite becomes 0, 0/0 and a missing interval stay null."""
-    return f"CASE WHEN {seconds} = 0 THEN IF({length} = 0, NULL, 0D) ELSE try_divide({length}, {seconds}) END"
 
-
-def _instants(packets: DataFrame, keys: list[str], slice_us: int) -> DataFrame:
-    """One row per (window, slice, instant).
-
-    Packets after the first one at an instant have interval 0 and bandwidth 0 (null when empty).
-    """
-    sliced = packets.withColumn("slice", F.expr(f"CAST(floor((ts_us - win_us) / {slice_us}) AS INT)"))
-    return sliced.groupBy(*keys, "slice", "ts_us").agg(*_aliased({
-        "n": "count(*)",
-        "first_len": "min_by(length, seq)",
-        "zero_bw": "count_if(length > 0) - IF(min_by(length, seq) > 0, 1, 0)",
-    }))
-
-
-def _slices(instants: DataFrame, keys: list[str]) -> DataFrame:
+def slice_rows(instants: DataFrame, series: list[str]) -> DataFrame:
     """Differences inside a slice, reduced to one row per slice with its two edges."""
-    inside = _over([*keys, "slice"], "ORDER BY ts_us")
-    rows = instants.select(*keys, "slice", "ts_us", "n", "first_len", "zero_bw", *_aliased({
-        "dt": f"(ts_us - lag(ts_us) {inside}) / 1e6D",
-        "is_head": f"lag(ts_us, 3) {inside} IS NULL",
-        "is_tail": f"lead(ts_us, 3) {inside} IS NULL",
+    keys = [*series, "base", "slice"]
+    inside = _over(keys, "ORDER BY t")
+    rows = instants.select(*keys, "t", "n", "first_len", "zero_bw", *_aliased({
+        "dt": f"(t - lag(t) {inside}) / 1e6D",
+        "is_head": f"lag(t, 3) {inside} IS NULL",
+        "is_tail": f"lead(t, 3) {inside} IS NULL",
     })).withColumn("bw", F.expr(_bandwidth("first_len", "dt")))
     aggs = {
-        "first_us": "min(ts_us)",
-        "last_us": "max(ts_us)",
+        "first_us": "min(t)",
+        "last_us": "max(t)",
         "edge_len": "max(IF(dt IS NULL, first_len, NULL))",
         "packets": "sum(n)",
         "dt_zeros": "sum(n - 1)",
         "bw_zeros": "sum(zero_bw)",
         # Up to three instants of either end, each repeated for its packets (at most three).
-        "head": "flatten(collect_list(IF(is_head, array_repeat(ts_us, CAST(least(n, 3) AS INT)), NULL)))",
-        "tail": "flatten(collect_list(IF(is_tail, array_repeat(ts_us, CAST(least(n, 3) AS INT)), NULL)))",
+        "head": "flatten(collect_list(IF(is_head, array_repeat(t, CAST(least(n, 3) AS INT)), NULL)))",
+        "tail": "flatten(collect_list(IF(is_tail, array_repeat(t, CAST(least(n, 3) AS INT)), NULL)))",
     }
     for p in ("dt", "bw"):
         aggs |= {f"{p}_n": f"count({p})", f"{p}_mean": f"avg({p})", f"{p}_var": f"var_pop({p})",
                  f"{p}_lo": f"min({p})", f"{p}_hi": f"max({p})"}
-    return rows.groupBy(*keys, "slice").agg(*_aliased(aggs))
-
-
-def interval_features(packets: DataFrame, keys: list[str], width_us: int) -> DataFrame:
-    """Interval, derivative and bandwidth statistics per (series, window)."""
-    slices = _slices(_instants(packets, keys, max(1, -(-width_us // SLICES))), keys)
-    # From here on a window has at most SLICES rows.
-    whole = _over(keys)
-    stitched = slices.withColumn("dt_edge", F.expr(f"(first_us - lag(last_us) {_over(keys, 'ORDER BY slice')}) / 1e6D"))
-    stitched = stitched.withColumn("bw_edge", F.expr(_bandwidth("edge_len", "dt_edge")))
-    aggs = {"head": "array_sort(flatten(collect_list(head)))", "tail": "array_sort(flatten(collect_list(tail)))",
+    return rows.groupBy(*keys).agg(*_aliased(aggs))
+
+
+def interval_features(parts: DataFrame, keys: list[str], series: list[str], base_us: int, widths: Sequence[int]) -> DataFrame:
+    """Interval, derivative and bandwidth statistics per (series, width, window)."""
+    instants = sliced(parts.filter(f"kind = {INSTANT}"), series, base_us)
+    slices = at_widths(slice_rows(instants, series), base_us, widths)
+    # All that follows has the same partitioning: one exchange of slice rows.
+    whole, ordered = _over(keys), _over(keys, "ORDER BY first_us")
+    stitched = slices.select("*", *_aliased({
+        "dt_edge": f"(first_us - lag(last_us) {ordered}) / 1e6D",
+        # Every slice has an instant, so three slices of either end hold the three outer instants.
+        "is_head": f"lag(first_us, 3) {ordered} IS NULL",
+        "is_tail": f"lead(first_us, 3) {ordered} IS NULL",
+    })).withColumn("bw_edge", F.expr(_bandwidth("edge_len", "dt_edge")))
+    aggs = {"head": "array_sort(flatten(collect_list(IF(is_head, head, NULL))))", "tail": "array_sort(flatten(collect_list(IF(is_tail, tail, NULL))))",
             "packets": "sum(packets)"}
     centres = {}
     for p in ("dt", "bw"):
@@ -193,79 +251,75 @@ def interval_features(packets: DataFrame, keys: list[str], width_us: int) -> Dat
     }))
 
 
-def network_features(
-    df: DataFrame,
-    ts: str,
-    width: str | int | float = "40s",
-    series: Sequence[str] = (),
-    origin: Origin = "start",
-    columns: dict[str, str] | None = None,
-    tcp: str = "TCP",
-    udp: str = "UDP",
+def width_grid(anchors: DataFrame, series: list[str], widths: Sequence[int]) -> DataFrame:
+    """(series, width_us, win, win_us): every window from the first to the last packet, at every width."""
+    steps = ", ".join(f"{w}L" for w in widths)
+    bounds = anchors.filter("lo_us IS NOT NULL").select(*series, "anchor", "lo_us", "hi_us", F.expr(f"explode(array({steps})) AS width_us")).select(
+        *series, "width_us", "anchor", *_aliased({"_first": _whole_steps("(lo_us - anchor)", "width_us"), "_last": _whole_steps("(hi_us - anchor)", "width_us")}))
+    return sequence_rows(bounds, [*series, "width_us", "anchor"], "win").select(*series, "width_us", "win", F.expr("anchor + win * width_us AS win_us"))
+
+
+def _at_widths_with_gaps(
+    df: DataFrame, ts: str, widths: Sequence[str | int | float], series: Sequence[str], origin: Origin, columns: dict[str, str],
+    tcp: str, udp: str, names: Sequence[str], zeros: Sequence[str], renamed: dict[str, str],
 ) -> DataFrame:
-    """The 23 window features of a packet table; an empty window is all zeros (A2, A3).
+    """(series, width_us, win_us, names...): packets read for the span and for the partial rows, windows without a packet filled."""
+    series, micros = list(series), sorted({width_micros(w) for w in widths})
+    base_us = math.gcd(*micros)
+    anchors = anchored_span(df, ts, series, origin)
+    wanted = set(names) & set(INTERVAL_FEATURES)
+    parts = packet_parts(df, ts, anchors, base_us, series, columns, tcp, udp, bool(wanted))
+    keys = [*series, "width_us", "win"]
+    features = length_features(parts, keys, base_us, micros).withColumnsRenamed(renamed)
+    if wanted:
+        features = features.join(interval_features(parts, keys, series, base_us, micros), keys)
+    joined = width_grid(anchors, series, micros).join(features.withColumn("_hit", F.lit(True)), keys, "left")
+    kinds = dict(features.dtypes)
+    # Only windows without any packet are filled: a null computed from packets stays null.
+    values = [f"IF(_hit, `{c}`, CAST(0 AS {kinds[c]})) AS `{c}`" if c in zeros else f"`{c}`" for c in names]
+    return joined.selectExpr(*[f"`{c}`" for c in series], "width_us", "win_us", *values)
+
+
+def network_features_at_widths(
+    df: DataFrame, ts: str, widths: Sequence[str | int | float], series: Sequence[str] = (), origin: Origin = "start",
+    columns: dict[str, str] | None = None, tcp: str = "TCP", udp: str = "UDP",
+) -> DataFrame:
+    """(series, width_us, win_us, 23 features) at all widths from two reads of the packets; an empty window is all zeros.
 
-    ``columns`` maps protocol, source_port, dest_port, dest_ip, length and seq to the
-    table's names. ``series=["label"]`` gives every label its own origin.
+    ``columns`` maps protocol, source_port, dest_port, dest_ip, length and seq to the table's names. ``series=["label"]``
+    gives every label its own origin.
     """
-    names = {
-        "protocol": "Protocol", "source_port": "SourcePort", "dest_port": "DestPort",
-        "dest_ip": "DestIP", "length": "Length", "seq": "row_seq",
-    } | (columns or {})
-    keys = [*series, "win_us"]
-    span = stored_span(df, ts, series, origin)
-    windowed = assign_windows(df, ts, width, series, origin, span)
-    packets = windowed.select(
-        *keys, "ts_us",
-        *[F.col(f"`{src}`").alias(dst) for dst, src in names.items() if dst != "length"],
-        F.col(f"`{names['length']}`").cast("double").alias("length"),
-    )
-    features = (
-        _length_features(packets, keys, tcp, udp)
-        .join(_distinct_features(packets, keys), keys)
-        .join(interval_features(packets, keys, width_micros(width)), keys)
-        .select(*keys, *[F.col(f"`{c}`") for c in LENGTH_FEATURES + INTERVAL_FEATURES])
-    )
-    zeros = {c: 0 for c in LENGTH_FEATURES + INTERVAL_FEATURES}
-    return fill_gaps(window_grid(df, ts, width, series, origin, span), features, series, zeros)
+    names = LENGTH_FEATURES + INTERVAL_FEATURES
+    return _at_widths_with_gaps(df, ts, widths, series, origin, {**PACKET_NAMES, **(columns or {})}, tcp, udp, names, names, {})
+
+
+def network_features(
+    df: DataFrame, ts: str, width: str | int | float = "40s", series: Sequence[str] = (), origin: Origin = "start",
+    columns: dict[str, str] | None = None, tcp: str = "TCP", udp: str = "UDP",
+) -> DataFrame:
+    """The 23 window features of a packet table at one width (A2, A3)."""
+    return network_features_at_widths(df, ts, [width], series, origin, columns, tcp, udp).drop("width_us")
+
+
+# The older names of features that both tables have.
+BASIC_NAMES = {
+    "(OLD) PacketCount": "PacketCount", "(OLD) TotalLength": "TotalLength",
+    "(OLD) AverageLength": "AverageLength", "(OLD) MedianLength": "MedianLength",
+    "(OLD) MinLength": "MinLength", "(OLD) MaxLength": "MaxLength",
+    "(OLD) VarianceLength": "VarianceLength", "(OLD) DifferentSourcePorts": "DifferentSourcePorts",
+    "(OLD) DifferentDestPorts": "DifferentDestPorts",
+}
 
 
 def basic_network_features(
-    df: DataFrame,
-    ts: str,
-    width: str | int | float,
-    series: Sequence[str] = (),
-    origin: Origin = "start",
-    columns: dict[str, str] | None = None,
-    tcp: str = "TCP",
-    udp: str = "UDP",
+    df: DataFrame, ts: str, width: str | int | float, series: Sequence[str] = (), origin: Origin = "start",
+    columns: dict[str, str] | None = None, tcp: str = "TCP", udp: str = "UDP",
 ) -> DataFrame:
     """The 11 older features: counts and the sum are 0 in an empty window, the rest null (A4)."""
-    names = {
-        "protocol": "Protocol", "source_port": "SourcePort", "dest_port": "DestPort",
-        "dest_ip": "DestIP", "length": "Length",
-    } | (columns or {})
-    keys = [*series, "win_us"]
-    span = stored_span(df, ts, series, origin)
-    windowed = assign_windows(df, ts, width, series, origin, span)
-    packets = windowed.select(
-        *keys,
-        *[F.col(f"`{names[c]}`").alias(c) for c in ("protocol", "source_port", "dest_port", "dest_ip")],
-        F.col(f"`{names['length']}`").cast("double").alias("length"),
-    )
-    renamed = {
-        "(OLD) PacketCount": "PacketCount", "(OLD) TotalLength": "TotalLength",
-        "(OLD) AverageLength": "AverageLength", "(OLD) MedianLength": "MedianLength",
-        "(OLD) MinLength": "MinLength", "(OLD) MaxLength": "MaxLength",
-        "(OLD) VarianceLength": "VarianceLength", "(OLD) DifferentSourcePorts": "DifferentSourcePorts",
-        "(OLD) DifferentDestPorts": "DifferentDestPorts",
-    }
-    features = _length_features(packets, keys, tcp, udp).join(_distinct_features(packets, keys), keys)
-    features = features.withColumnsRenamed(renamed).select(
-        *keys, *renamed.values(), "TcpPacketCount", "UdpPacketCount"
-    )
     counted = ["PacketCount", "TotalLength", "DifferentSourcePorts", "DifferentDestPorts", "TcpPacketCount", "UdpPacketCount"]
-    return fill_gaps(window_grid(df, ts, width, series, origin, span), features, series, {c: 0 for c in counted})
+    names = [*BASIC_NAMES.values(), "TcpPacketCount", "UdpPacketCount"]
+    given = {k: v for k, v in {**PACKET_NAMES, **(columns or {})}.items() if k != "seq"}
+    return _at_widths_with_gaps(df, ts, [width], series, origin, given, tcp, udp, names, counted, BASIC_NAMES).drop("width_us")
 
 
 def exclude_addresses(df: DataFrame, addresses: Sequence[str], source: str = "SourceIP", dest: str = "DestIP") -> DataFrame:

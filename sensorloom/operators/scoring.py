@@ -19,9 +19,17 @@ from sensorloom.operators.quantiles import melt, quantile_bin_counts
 SCORES = ["chi2", "f_classif", "mutual_info_classif"]
 
 
+def labelled_values(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    """(_label, feature, x) of every value that is present."""
+    return melt(df.withColumn("_label", quoted(label)), ["_label"], features)
+
+
 def class_moments(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     """(feature, label, n, s, mean, var, lo, hi): features x labels rows."""
-    long = melt(df.withColumn("_label", quoted(label)), ["_label"], features)
+    return moments_of(labelled_values(df, label, features))
+
+
+def moments_of(long: DataFrame) -> DataFrame:
     return long.groupBy("feature", F.col("_label").alias("label")).agg(
         F.count("*").alias("n"), F.sum("x").alias("s"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"),
         F.min("x").alias("lo"), F.max("x").alias("hi"),
@@ -81,7 +89,10 @@ def bin_counts(df: DataFrame, label: str, features: Sequence[str], bins: int = 1
 
     bin = number of inner edges below the value, so equal edges simply leave bins empty.
     """
-    long = melt(df.withColumn("_label", quoted(label)), ["_label"], features)
+    return bin_counts_of(labelled_values(df, label, features), bins)
+
+
+def bin_counts_of(long: DataFrame, bins: int = 10) -> DataFrame:
     return quantile_bin_counts(long, ["feature"], "x", ["_label"], bins).withColumnRenamed("_label", "label")
 
 
@@ -186,11 +197,20 @@ def rank_features(
     Scaling is applied to the moments; quantile bins and neighbours do not change under it.
     """
     rows = drop_iqr_outliers(df, features) if drop_outliers else df
-    moments = class_moments(rows, label, features)
-    if scale:
-        moments = unit_scaled_moments(moments)
-    else:
-        spread = F.max("hi").over(Window.partitionBy("feature")) - F.min("lo").over(Window.partitionBy("feature"))
-        moments = moments.withColumn("_spread", spread).filter("_spread > 0").drop("_spread")
+    moments = varying_moments(class_moments(rows, label, features), scale)
     information = information_by_label(rows, label, features, bins, method, neighbours)
     return one_vs_rest_scores(moments).join(information, ["feature", "label"])
+
+
+def varying_moments(moments: DataFrame, scale: bool) -> DataFrame:
+    """Moments without those of constant features, of the scaled values if asked."""
+    if scale:
+        return unit_scaled_moments(moments)
+    spread = F.max("hi").over(Window.partitionBy("feature")) - F.min("lo").over(Window.partitionBy("feature"))
+    return moments.withColumn("_spread", spread).filter("_spread > 0").drop("_spread")
+
+
+def rank_values(long: DataFrame, scale: bool = True, bins: int = 10) -> DataFrame:
+    """The ranking of rows (_label, feature, x), for example with a feature for every window width."""
+    information = one_vs_rest_information(bin_counts_of(long, bins))
+    return one_vs_rest_scores(varying_moments(moments_of(long), scale)).join(information, ["feature", "label"])

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.operators.cleaning import drop_any_null, quoted
-from sensorloom.operators.network import INTERVAL_FEATURES, LENGTH_FEATURES, network_features
+from sensorloom.operators.network import INTERVAL_FEATURES, LENGTH_FEATURES, network_features_at_widths
+from sensorloom.operators.quantiles import melt
 from sensorloom.operators.ranking import filter_score_table, selected_features, top_per_label
-from sensorloom.operators.scoring import rank_features
-from sensorloom.operators.fusion import union_sources
+from sensorloom.operators.scoring import rank_values
 from sensorloom.session import materialise
 
 # Widths of the network ablation, in seconds.
@@ -32,16 +32,17 @@ def network_width_ablation(
 ) -> DataFrame:
     """(width_s, feature, label, scores): the network ranking at every window width.
 
-    The widths are a short fixed list, so they are a loop over plans; one query runs them all.
+    The packets are read for all widths at once, and a feature at a width is a feature of its own in one ranking.
     """
     names = list(features or LENGTH_FEATURES + INTERVAL_FEATURES)
-    parts = []
-    for width in widths:
-        table = network_features(packets, ts, width, [label], "start", columns, tcp, udp)
-        # The window table is small against the packets and the ranking reads it several times.
-        rows = drop_any_null(materialise(table.select(label, *[quoted(n) for n in names])))
-        parts.append(rank_features(rows, label, names).withColumn("width_s", F.lit(int(width))))
-    return union_sources(parts)
+    table = network_features_at_widths(packets, ts, widths, [label], "start", columns, tcp, udp)
+    # The window table is small against the packets and the ranking reads it several times.
+    rows = drop_any_null(materialise(table.select(label, "width_us", *[quoted(n) for n in names])))
+    long = melt(rows.withColumnRenamed(label, "_label"), ["_label", "width_us"], names)
+    named = long.select("_label", F.concat_ws("@", "feature", "width_us").alias("feature"), "x")
+    width = F.substring_index("feature", "@", -1)
+    scores = rank_values(named).withColumn("width_s", (width.cast("long") / 1_000_000).cast("int"))
+    return scores.withColumn("feature", F.expr("left(feature, length(feature) - length(substring_index(feature, '@', -1)) - 1)"))
 
 
 def ablation_top(scores: DataFrame, k: int = 10) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -124,6 +125,91 @@ def test_network_features_match_pandas_with_ties_and_a_hot_window(spark, step):
     assert seen > 1000
 
 
+def burst(rng, n):
+    """Packets of two labels; a third of them fall into two seconds of one window."""
+    us = rng.integers(0, 3_000_000_000, n)
+    us[: n // 3] = 1_000_000_000 + rng.integers(0, 2_000_000, n // 3)
+    return pd.DataFrame({
+        "us": us, "seq": np.arange(n), "label": rng.choice(["a", "b"], n, p=[0.9, 0.1]), "Length": np.where(rng.random(n) < 0.5, 40, rng.random(n) * 1500),
+        "Protocol": rng.choice(["TCP", "UDP", "ICMP"], n), "SourcePort": rng.integers(0, 500, n), "DestPort": rng.integers(0, 5, n),
+        "DestIP": rng.choice(list("xyz"), n),
+    })
+
+
+def same_features(got, pdf, width_us):
+    seen = 0
+    for label, part in pdf.groupby("label"):
+        expected = pandas_twin(part, width_us, int(part["us"].min()))
+        mine = {r["win_us"]: r for r in got if r["label"] == label and r["width_us"] == width_us}
+        assert set(mine) == set(expected)
+        for w, features in expected.items():
+            for name, value in features.items():
+                found = mine[w][name]
+                if value != value:
+                    assert found is None, (w, name, found)
+                else:
+                    assert found == pytest.approx(value, rel=1e-7, abs=1e-7), (w, name)
+                seen += 1
+    return seen
+
+
+@pytest.mark.parametrize("limit", [100_000, 20])
+def test_all_widths_from_one_ladder_match_pandas(spark, monkeypatch, limit):
+    from sensorloom.operators import ranks
+
+    if limit < 100:  # crowded windows: many slices, medians by rounds
+        monkeypatch.setattr(network, "SLICE_ROWS", limit)
+        monkeypatch.setattr(ranks, "FEW", limit)
+        monkeypatch.setattr(ranks, "CELLS", 8)
+    pdf = burst(np.random.default_rng(limit), 600)
+    df = spark.createDataFrame(pdf).withColumn("ts", F.timestamp_micros("us")).withColumnRenamed("seq", "row_seq")
+    widths = [20, 60, 960]
+    got = network.network_features_at_widths(df, "ts", widths, ["label"]).collect()
+    assert sum(same_features(got, pdf, w * 1_000_000) for w in widths) > 3000
+
+
+def test_a_crowded_base_window_is_cut_by_time(spark, monkeypatch):
+    monkeypatch.setattr(network, "SLICE_ROWS", 50)
+    rows = [(0, i * 10) for i in range(1000)] + [(1, 20_000_000 + i) for i in range(10)]
+    instants = spark.createDataFrame(rows, "base long, t long")
+    sizes = [r["count"] for r in network.sliced(instants, [], 20_000_000).groupBy("base", "slice").count().collect()]
+    assert sum(sizes) == 1010 and len(sizes) == 2  # all instants within 10 ms: the shortest slice asked for is still longer
+    spread = spark.createDataFrame([(0, i * 20_000) for i in range(1000)], "base long, t long")
+    sizes = [r["count"] for r in network.sliced(spread, [], 20_000_000).groupBy("base", "slice").count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) >= 20 and max(sizes) <= 50
+
+
+def test_packets_are_read_twice_whatever_the_number_of_widths(spark, tmp_path):
+    from sensorloom import session
+
+    pdf = burst(np.random.default_rng(3), 300)
+    spark.createDataFrame(pdf).withColumn("ts", F.timestamp_micros("us")).withColumnRenamed("seq", "row_seq").write.parquet(str(tmp_path / "packets"))
+    df, before = spark.read.parquet(str(tmp_path / "packets")), len(session.STORED)
+    tables, plans = session.materialise, []
+
+    def watched(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return tables(frame)
+
+    from sensorloom.operators import buckets as b, lookup, ranks
+    for module in (network, b, lookup, ranks):
+        module.materialise = watched
+    try:
+        out = network.network_features_at_widths(df, "ts", [10, 20, 30, 60, 120, 300, 600], ["label"])
+    finally:
+        for module in (network, b, lookup, ranks):
+            module.materialise = tables
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(len(re.findall(r"Relation \[[^\]]*row_seq#", p)) for p in plans) == 2 and len(session.STORED) > before
+
+
+def test_no_packets_give_no_windows(spark):
+    df = at(spark, [0, 1, 2], Protocol="TCP", SourcePort=1, DestPort=2, DestIP="x", Length=10.0, row_seq=1, label="a").filter("id < 0")
+    for series in ([], ["label"]):
+        assert network.network_features_at_widths(df, "ts", [20, 40], series).count() == 0
+        assert network.basic_network_features(df, "ts", 20, series).count() == 0
+
+
 def test_no_udp_divides_by_a_tenth(spark):
     df = at(spark, [0, 1, 2], Protocol="TCP", SourcePort=1, DestPort=2, DestIP="x", Length=10.0, row_seq=1)
     row = network.network_features(df, "ts", "1min", (), "epoch").collect()[0]
@@ -180,3 +266,53 @@ def test_streaming_windows_equal_batch(spark, tmp_path):
     got = {(r["label"], int(r["win_start"].replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)): r["entropy"] for r in spark.table("means").collect()}
     assert got and all(expected[k] == pytest.approx(v) for k, v in got.items()) and len(got) == len(expected)
     assert spark.table("files").count() == len(expected)
+
+
+def test_user_aggregates_do_not_depend_on_the_partitions(spark, monkeypatch):
+    from sensorloom.operators import user_aggregates
+
+    rng = np.random.default_rng(6)
+    n = 4000
+    pdf = pd.DataFrame({"s": np.where(rng.random(n) < 0.6, 50, rng.integers(0, 2000, n)).astype(float), "label": rng.choice(["a", None], n), "h": rng.integers(0, 1 << 40, n) % 997})
+    df = spark.createDataFrame(pdf).withColumn("label", F.when(F.col("label") == "a", "a").otherwise("b")).withColumn("ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")))
+    seen = []
+    for parts in (1, 64):
+        sketch = user_aggregates.SmallestHashes("h", 32, 1 << 40)
+        rows = user_aggregates.window_aggregate(df.repartition(parts), "ts", 100, sketch, ["label"], fills={"n_distinct": 0}).collect()
+        seen.append(sorted((r["label"], r["win_us"], r["n_distinct"]) for r in rows))
+    assert seen[0] == seen[1] and len(seen[0]) == 40
+    whole = pdf.assign(label=pdf["label"].fillna("b"), w=pdf["s"] // 100 * 100_000_000)
+    for (label, w), group in whole.groupby(["label", "w"]):
+        values = np.unique(group["h"])
+        expected = float(len(values)) if len(values) < 32 else 31 * (1 << 40) / (values[31] + 1)
+        assert (label, int(w), expected) in seen[0]
+    none = user_aggregates.aggregate_by_key(df.filter("s < 0"), ["label"], user_aggregates.SmallestHashes("h"))
+    assert none.count() == 0
+    nulls = df.withColumn("label", F.lit(None).cast("string")).withColumn("h", F.lit(None).cast("long"))
+    assert [tuple(r) for r in user_aggregates.aggregate_by_key(nulls, ["label"], user_aggregates.SmallestHashes("h")).collect()] == [(None, 0.0)]
+
+
+def test_streamed_intervals_equal_the_batch_and_late_packets_are_counted(spark, tmp_path):
+    from sensorloom.streaming.live_intervals import live_interval_features
+
+    rng = np.random.default_rng(2)
+    us = np.sort(rng.integers(0, 200_000_000, 300) // 500_000 * 500_000)
+    pdf = pd.DataFrame({"us": us, "row_seq": np.arange(300), "label": rng.choice(["a", "b"], 300), "Length": rng.choice([0.0, 40.0, 1500.0], 300)})
+    pdf["Protocol"], pdf["SourcePort"], pdf["DestPort"], pdf["DestIP"] = "TCP", 1, 2, "x"
+    whole = spark.createDataFrame(pdf).withColumn("ts", F.timestamp_micros("us"))
+    late = spark.createDataFrame([(int(us[120]) - 1, 900, "a", 7.0, "TCP", 1, 2, "x")], list(pdf.columns)).withColumn("ts", F.timestamp_micros("us"))
+    end = whole.limit(1).withColumn("ts", F.timestamp_micros(F.lit(900_000_000))).withColumn("label", F.lit("z"))
+    source = str(tmp_path / "packets")
+    for part in (whole.filter(f"us <= {us[150]}"), late, whole.filter(f"us > {us[150]}"), end, end):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(whole.schema).parquet(source)
+        live_interval_features(stream, "ts", "20s", ["label"], "1 minute").writeStream.format("parquet").outputMode("append").option(
+            "checkpointLocation", str(tmp_path / "offsets")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["label"], r["win_us"]): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = network.network_features(whole, "ts", "20s", ["label"], "epoch").filter("`(OLD) PacketCount` > 0").collect()
+    assert sum(r["n_late"] for r in got.values()) == 1 and set(got) == {(r["label"], r["win_us"]) for r in batch}
+    for r in batch:
+        mine = got[r["label"], r["win_us"]]
+        assert mine["n_packets"] == r["(OLD) PacketCount"]
+        for name in network.INTERVAL_FEATURES:
+            assert mine[name] == (None if r[name] is None else pytest.approx(r[name], rel=1e-9, abs=1e-9)), name
