@@ -45,6 +45,74 @@ def test_quantile_bins_match_numpy(spark, accuracy):
     assert got == expected
 
 
+def grouped_values(rng):
+    rows = [("few", float(x), 1) for x in rng.random(7)] + [("one", 3.0, 4), ("equal", 2.0, 1), ("equal", 2.0, 5)]
+    rows += [("many", float(x), int(w)) for x, w in zip(rng.normal(size=900).round(2), rng.integers(1, 4, 900))]
+    rows += [("skewed", float(10.0 ** x), 1) for x in rng.normal(size=800) * 3]
+    rows += [("ends", x, 1) for x in [-math.inf, math.inf, 0.0, *map(float, range(200))]]
+    return rows + [("few", None, 1), ("few", math.nan, 1), ("none", None, 1), ("many", 9.0, 0)]
+
+
+@pytest.mark.parametrize("few,cells", [(4096, 1024), (16, 64)])
+def test_quantiles_of_groups_match_numpy(spark, monkeypatch, few, cells):
+    from sensorloom.operators import ranks
+
+    monkeypatch.setattr(ranks, "FEW", few)
+    monkeypatch.setattr(ranks, "CELLS", cells)
+    rows = grouped_values(np.random.default_rng(12))
+    df = spark.createDataFrame(rows, "g string, v double, w int")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: [r[f"q{i}"] for i in range(5)] for r in ranks.group_quantiles(df, ["g"], "v", probs, "w").collect()}
+    assert set(got) == {"few", "one", "equal", "many", "skewed", "ends"}
+    for g, values in got.items():
+        data = np.repeat([v for k, v, _ in rows if k == g and v is not None and v == v], [w for k, v, w in rows if k == g and v is not None and v == v])
+        for p, mine in zip(probs, values):
+            expected = {0.0: data.min(), 1.0: data.max()}.get(p)
+            assert mine == pytest.approx(np.quantile(data, p) if expected is None else expected, rel=1e-12), (g, p)
+
+
+def test_a_rank_outside_its_bracket_is_selected_by_rounds(spark, monkeypatch):
+    from sensorloom.operators import quantiles
+
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=3000)
+    df = spark.createDataFrame([("a", float(x)) for x in data] + [("b", float(x)) for x in data[:500]], "g string, x double")
+    right = quantiles.bracketed
+
+    def shifted(rows, keys, probs, accuracy):
+        moved = F.expr("IF(g = 'a', transform(b, x -> x + 5), b)")
+        return right(rows, keys, probs, accuracy).withColumn("b", moved)
+
+    monkeypatch.setattr(quantiles, "bracketed", shifted)
+    got = {r["g"]: (r["q0"], r["q1"], r["n"]) for r in quantiles.exact_quantiles(df, ["g"], "x", [0.25, 0.5]).collect()}
+    for g, mine in (("a", data), ("b", data[:500])):
+        assert got[g][:2] == pytest.approx(tuple(np.quantile(mine, [0.25, 0.5]))) and got[g][2] == len(mine)
+    bins = quantiles.quantile_bin_counts(df.withColumn("l", F.lit(1)), ["g"], "x", ["l"], 4).groupBy("g").agg(F.sum("n").alias("n")).collect()
+    assert {r["g"]: r["n"] for r in bins} == {"a": 3000, "b": 500}
+
+
+def test_generated_code_of_the_brackets_is_small_enough_to_be_compiled(spark, monkeypatch):
+    import re
+
+    from sensorloom.operators import quantiles
+
+    sizes, store = [], quantiles.materialise
+
+    def watched(frame):
+        plan = frame._jdf.queryExecution().executedPlan()
+        sizes.extend(map(int, re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan))))
+        return store(frame)
+
+    monkeypatch.setattr(quantiles, "materialise", watched)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(2000).selectExpr("concat('f', id % 3) AS feature", "id * 1.5D AS x", "id % 2 AS _label")
+        assert quantiles.quantile_bin_counts(df, ["feature"], "x", ["_label"], 10).count() > 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000
+
+
 def test_iqr_filter_golden(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (3.0, 1.0), (100.0, 1.0), (None, 1.0)], "a double, b double")
     assert sorted(r["a"] or 0 for r in cleaning.drop_iqr_outliers(df, ["a", "b"]).collect()) == [0, 1, 2, 3]
@@ -218,6 +286,42 @@ def test_recursive_elimination_keeps_the_informative_feature(spark):
     assert math.isclose(weights.count(), 4)
 
 
+def test_elimination_by_bounds_equals_refits_without_the_features(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    from sensorloom.operators import models
+
+    rng = np.random.default_rng(5)
+    rows = [(*map(float, rng.normal(size=4) + np.array([1, 0.5, 0, 0.2]) * y), int(y)) for y in rng.integers(0, 3, 300)]
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, label int")
+    bounded = models.fit_without(models.assembled(df, names), 4, [1, 3], 3).coefficientMatrix.toArray()
+    plain = LogisticRegression(family="multinomial", standardization=False, maxIter=150, regParam=1e-4, tol=1e-6).fit(
+        models.assembled(df, ["a", "c"])).coefficientMatrix.toArray()
+    assert (bounded[:, [1, 3]] == 0).all()
+    centred = bounded[:, [0, 2]] - bounded[:, [0, 2]].mean(axis=0)
+    assert centred == pytest.approx(plain - plain.mean(axis=0), abs=2e-2)
+    kept, dropped = models.eliminate_recursively(df, names, keep=1, max_iter=30)
+    assert [n for n, _ in dropped] == [1, 2, 3] and kept == ["a"]
+
+
+def test_the_best_round_is_kept_and_need_not_be_the_last(spark):
+    from sensorloom.operators import models
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 6))
+    y = (x[:, 0] + rng.normal(size=120) * 1.2 > 0).astype(int)
+    rows = [(*map(float, v), int(c)) for v, c in zip(x, y)]
+    df = models.assembled(spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double, label int"), list("abcdef")).coalesce(1).cache()
+    train, held = df.filter("a > -9").limit(70).cache(), df.subtract(df.limit(70)).cache()
+    done = models.fit_best(train, held, 6, 2, max_iter=100, round_iter=5)
+    assert done.best_round < len(done.accuracies) <= 20
+    assert done.accuracies[done.best_round - 1] == max(done.accuracies) and done.best_round == 1 + done.accuracies.index(max(done.accuracies))
+    assert models.accuracy(done.model, held) == max(done.accuracies)
+    short = models.fit_best(train, held, 6, 2, hidden=(), max_iter=12, round_iter=5, patience=2)
+    assert 1 <= len(short.accuracies) <= 3 and len(short.model.weights) == 6 * 2 + 2
+
+
 def test_lookup_beyond_the_broadcast_limit_gives_the_same_rows(spark, monkeypatch):
     from sensorloom.operators import lookup
 
