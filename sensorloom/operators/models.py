@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.ml.classification import (
     LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.operators.cleaning import drop_any_null
@@ -22,6 +25,9 @@ from sensorloom.session import materialise
 # Epochs and hidden layers of the training set-up.
 MAX_EPOCHS = 150
 HIDDEN_LAYERS = (30, 30)
+PATIENCE = 5
+# Iterations between two looks at the validation rows.
+ROUND_EPOCHS = 5
 
 
 def assembled(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -53,6 +59,45 @@ def fit_mlp(
     ).fit(train)
 
 
+class Training(NamedTuple):
+    """The best model, its round (from 1) and the validation accuracy after every round."""
+
+    model: MultilayerPerceptronClassificationModel
+    best_round: int
+    accuracies: list[float]
+
+
+def accuracy(model, rows: DataFrame, label: str = "label") -> float:
+    hits = model.transform(rows).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")))
+    return hits.first()[0] or 0.0
+
+
+def fit_best(
+    train: DataFrame, validation: DataFrame, n_features: int, n_classes: int, label: str = "label", hidden: Sequence[int] = HIDDEN_LAYERS,
+    max_iter: int = MAX_EPOCHS, round_iter: int = ROUND_EPOCHS, patience: int = PATIENCE, seed: int = 133,
+) -> Training:
+    """The training protocol (M4): fit for a few iterations, look at the validation rows, go on from the last weights.
+
+    Ends after ``patience`` rounds without a better accuracy, after ``max_iter`` iterations, or when the weights stand still; the model of the
+    best round is the result, the earliest among equals. Without hidden layers it is the linear classifier. Both tables are read
+    in every round and should be stored.
+    """
+    learner = MultilayerPerceptronClassifier(
+        featuresCol="features", labelCol=label, layers=[n_features, *hidden, n_classes], maxIter=round_iter, seed=seed)
+    best, best_round, seen, weights = None, 0, [], None
+    for number in range(1, math.ceil(max_iter / round_iter) + 1):
+        model = learner.fit(train)
+        seen.append(accuracy(model, validation, label))
+        if best is None or seen[-1] > seen[best_round - 1]:
+            best, best_round = model, number
+        still = weights is not None and model.weights == weights
+        weights = model.weights
+        if number - best_round >= patience or still:
+            break
+        learner.setInitialWeights(weights)
+    return Training(best, best_round, seen)
+
+
 def class_weights(model: LogisticRegressionModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(class_id, feature, weight): classes x features numbers, read off the fitted model."""
     matrix = model.coefficientMatrix.toArray()
@@ -76,23 +121,37 @@ def select_by_weights(
 
 
 def eliminate_recursively(
-    df: DataFrame, features: Sequence[str], keep: int = 30, step: int = 10, label: str = "label", max_iter: int = MAX_EPOCHS
+    df: DataFrame, features: Sequence[str], keep: int = 30, step: int = 1, label: str = "label", max_iter: int = MAX_EPOCHS
 ) -> tuple[list[str], list[tuple[int, str]]]:
-    """Recursive elimination (F11): refit, drop the ``step`` features of the smallest squared weights.
+    """Recursive elimination (F11): refit, drop the ``step`` features of the smallest squared weights, one by default.
 
-    Returns the kept features and (round, dropped feature). The loop is over fits; every fit
-    is distributed over the rows.
+    Returns the kept features and (round, dropped feature). The feature vectors are assembled and stored once: a dropped
+    feature stays in them, and its weights are bounded by 0 from then on. The loop is over fits; every
+    fit is distributed over the rows.
     """
-    left, dropped, turn = list(features), [], 0
-    while len(left) > keep:
+    vectors = materialise(assembled(df, features).select("features", label))
+    classes = (vectors.agg(F.max(label)).first()[0] or 0) + 1
+    names, out, dropped, turn = list(features), [], [], 0
+    while len(names) - len(out) > keep:
         turn += 1
-        model = fit_linear(assembled(df, left), label, max_iter, reg=1e-4)
-        matrix = model.coefficientMatrix.toArray()
-        order = sorted(range(len(left)), key=lambda i: (float((matrix[:, i] ** 2).sum()), left[i]))
-        out = {left[i] for i in order[: min(step, len(left) - keep)]}
-        dropped += [(turn, f) for f in left if f in out]
-        left = [f for f in left if f not in out]
-    return left, dropped
+        matrix = fit_without(vectors, len(names), [names.index(f) for f in out], classes, label, max_iter).coefficientMatrix.toArray()
+        order = sorted((float((matrix[:, i] ** 2).sum()), f) for i, f in enumerate(names) if f not in out)
+        worst = {f for _, f in order[: min(step, len(names) - len(out) - keep)]}
+        dropped += [(turn, f) for f in names if f in worst]
+        out += worst
+    return [f for f in names if f not in out], dropped
+
+
+def fit_without(
+    train: DataFrame, n_features: int, out: Sequence[int], n_classes: int, label: str = "label", max_iter: int = MAX_EPOCHS, reg: float = 1e-4
+) -> LogisticRegressionModel:
+    """Multinomial linear classifier in which the features at the positions ``out`` have the weight 0."""
+    learner = LogisticRegression(featuresCol="features", labelCol=label, family="multinomial", standardization=False, maxIter=max_iter, regParam=reg, tol=1e-6)
+    if out:
+        limit = [0.0 if i in set(out) else math.inf for i in range(n_features) for _ in range(n_classes)]
+        learner.setUpperBoundsOnCoefficients(DenseMatrix(n_classes, n_features, limit))
+        learner.setLowerBoundsOnCoefficients(DenseMatrix(n_classes, n_features, [-x for x in limit]))
+    return learner.fit(train)
 
 
 def fit_pca(df: DataFrame, k: int = 10, vector: str = "features") -> tuple[PCAModel, DataFrame]:

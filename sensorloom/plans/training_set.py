@@ -12,6 +12,7 @@ from sensorloom.operators.models import MAX_EPOCHS, assembled, evaluate, fit_lin
 from sensorloom.operators.scaling import minmax_columns
 from sensorloom.operators.shards import hash_split
 from sensorloom.schema import LABELS
+from sensorloom.session import materialise
 
 
 def clean_training_set(
@@ -36,6 +37,16 @@ def clean_training_set(
     return shuffled(scaled, list(key) or present, seed, position) if seed is not None else scaled
 
 
+def windows_by_width(table: DataFrame, widths: Sequence[int], features: Sequence[str], label: str, labels: Sequence[str]) -> dict[str, DataFrame]:
+    """Window tables of ``network_features_at_widths`` as training rows, one table per width (microseconds), scaled by itself.
+
+    The windows of all widths are one stored table; a width is a filter on it.
+    """
+    rows = drop_any_null(table.select("width_us", "win_us", label, *[quoted(f) for f in features]))
+    stored = materialise(encode_labels(rows, labels, label).withColumnRenamed(label, "label"))
+    return {str(w // 1_000_000): minmax_columns(stored.filter(F.col("width_us") == w), features) for w in widths}
+
+
 def compare_widths(
     tables: Mapping[str, DataFrame], features: Sequence[str], key: Sequence[str], classes: Sequence[int],
     label: str = "label", max_iter: int = MAX_EPOCHS,
@@ -43,7 +54,7 @@ def compare_widths(
     """Macro metrics of the linear classifier per window width (M8); the width is a column."""
     out = None
     for width, rows in tables.items():
-        vectors = assembled(hash_split(rows, key), features)
+        vectors = materialise(assembled(hash_split(rows, key), features).select("features", label, "split"))
         model = fit_linear(vectors.filter("split = 'train'"), label, max_iter)
         result = evaluate(model, vectors.filter("split = 'test'"), classes, label).withColumn("width", F.lit(width))
         out = result if out is None else out.unionByName(result)
