@@ -22,15 +22,20 @@ def words(text: Column, pattern: str = WORD_PATTERN, lowercase: bool = False) ->
     return find_all(F.lower(text) if lowercase else text, pattern, 0)
 
 
+def neighbours(tokens: Column) -> Column:
+    """Array of (a, b) for every two neighbouring tokens."""
+    left = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    right = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    return F.arrays_zip(left.alias("a"), right.alias("b"))
+
+
 def adjacent_pairs(tokens: Column, ordered_only: bool = False) -> Column:
     """'a b' for every two neighbouring tokens, built inside the row (no shuffle).
 
     ``ordered_only`` keeps pairs with a < b, the only ones a vocabulary of sorted
     combinations contains.
     """
-    left = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    right = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    zipped = F.arrays_zip(left.alias("a"), right.alias("b"))
+    zipped = neighbours(tokens)
     if ordered_only:
         zipped = F.filter(zipped, lambda p: p["a"] < p["b"])
     return F.transform(zipped, lambda p: F.concat_ws(" ", p["a"], p["b"]))

@@ -3,7 +3,7 @@
 The planner cannot know that such a table is small: its size estimate follows the data it was
 aggregated from, and a shuffle join would bring all rows of a key (a series, a feature, a file)
 into one task. The table is therefore stored and measured. Up to ``BROADCAST_BYTES`` it is broadcast,
-beyond that the join is salted. Tables of terms are always salted: they grow with the corpus.
+beyond that the join is salted, a table of terms (which grows with the corpus) by document.
 """
 
 from __future__ import annotations
@@ -32,6 +32,14 @@ def join_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], stored:
     return salted_join(rows, small, keys, F.monotonically_increasing_id(), SALTS, how)
 
 
+def join_terms(rows: DataFrame, terms: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner") -> DataFrame:
+    """Join with a table that has one row per term: measured, then broadcast, or salted by ``spread``."""
+    stored = materialise(terms)
+    if text_bytes(stored) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(stored), list(keys), how)
+    return salted_join(rows, stored, keys, spread, how=how)
+
+
 def salted_join(
     rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Column, salts: int = TERM_SALTS, how: str = "inner"
 ) -> DataFrame:

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.numeric import ratio
-from sensorloom.functions.tokens import WORD_PATTERN, adjacent_pairs, call_names, words
-from sensorloom.operators.lookup import salted_join
+from sensorloom.functions.tokens import WORD_PATTERN, adjacent_pairs, call_names, neighbours, words
+from sensorloom.operators.lookup import join_lookup, join_terms
 from sensorloom.operators.ordering import with_row_index
 from sensorloom.session import materialise
 
@@ -61,7 +61,7 @@ def term_counts(
     counted = exploded_terms(tokens, doc, F.col(column)).groupBy(*doc, "term").agg(F.count("*").alias("n"))
     if vocab is None:
         return counted
-    return salted_join(counted, vocab.select("term").distinct(), ["term"], F.xxhash64(*doc), how="left_semi")
+    return join_terms(counted, vocab.select("term").distinct(), ["term"], F.xxhash64(*doc), how="left_semi")
 
 
 def pair_tokens(tokens: DataFrame, ordered_only: bool = False, keep_single: bool = True) -> DataFrame:
@@ -70,6 +70,53 @@ def pair_tokens(tokens: DataFrame, ordered_only: bool = False, keep_single: bool
     return tokens.withColumn("tokens", F.concat(F.col("tokens"), pairs) if keep_single else pairs)
 
 
+def pair_rank(first: str, second: str, n: str) -> str:
+    """Expression: position of the pair (first < second, both in 0 .. n - 1) among all pairs in their order."""
+    return f"(({first}) * (2 * ({n}) - ({first}) - 1)) div 2 + ({second}) - ({first}) - 1"
+
+
+def pair_members(rank: str, n: str) -> tuple[str, str]:
+    """Expressions for both members of the pair at a position; the inverse of ``pair_rank``."""
+    # Counted from the last pair, the pairs of the last k + 1 first members are a triangular number, exact enough for a root.
+    back = f"(({n}) * (({n}) - 1) div 2 - 1 - ({rank}))"
+    guess = f"CAST(floor((sqrt(8D * {back} + 1) - 1) / 2) AS LONG)"
+    triangle = lambda k: f"(({k}) * (({k}) + 1) div 2)"
+    # The root may be off by one.
+    k = f"CASE WHEN {triangle(guess)} > {back} THEN {guess} - 1 WHEN {triangle(f'{guess} + 1')} <= {back} THEN {guess} + 1 ELSE {guess} END"
+    first = f"(({n}) - 2 - {k})"
+    return first, f"({rank}) - ({first} * (2 * ({n}) - {first} - 1)) div 2 + {first} + 1"
+
+
+def joined_term_counts(tokens: DataFrame, doc: Sequence[str], terms: DataFrame) -> DataFrame:
+    """(doc keys, term_id, n) over single terms and all pairs a < b of the vocabulary.
+
+    ``terms`` (term, term_id) is the sorted vocabulary of n terms, stored. The joined vocabulary holds the terms and then their
+    n (n - 1) / 2 pairs in order; a pair's number follows from its two terms, so the pairs are never listed. Counted are
+    neighbouring tokens; terms outside the vocabulary and the pairs with them are left out.
+    """
+    n = terms.agg(F.count("*")).scalar()
+    ids = lambda name: terms.select(F.col("term").alias(name), F.col("term_id").alias(f"{name}_id"))
+    spread = F.xxhash64(*doc)
+    singles = join_terms(term_counts(tokens, doc).withColumnRenamed("term", "a"), ids("a"), ["a"], spread).select(*doc, F.col("a_id").alias("term_id"), "n")
+    pairs = tokens.select(*doc, F.explode_outer(neighbours(F.col("tokens"))).alias("p")).filter("p.a < p.b").groupBy(
+        *doc, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+    for side in ("a", "b"):
+        pairs = join_terms(pairs, ids(side), [side], spread)
+    numbered = pairs.withColumn("_n", n).select(*doc, F.expr(f"_n + {pair_rank('a_id', 'b_id', '_n')}").alias("term_id"), "n")
+    return singles.unionByName(numbered)
+
+
+def joined_term_names(matrix: DataFrame, terms: DataFrame) -> DataFrame:
+    """Adds ``term``: the name behind each number of the joined vocabulary."""
+    n = terms.agg(F.count("*")).scalar()
+    first, second = pair_members("term_id - _n", "_n")
+    placed = matrix.withColumn("_n", n).withColumns({
+        "_a": F.expr(f"IF(term_id < _n, term_id, {first})"), "_b": F.expr(f"IF(term_id < _n, NULL, {second})")})
+    named = lambda c, key: terms.select(F.col("term").alias(c), F.col("term_id").alias(key))
+    joined = join_lookup(join_lookup(placed, named("_left", "_a"), ["_a"]), named("_right", "_b"), ["_b"], how="left")
+    return joined.withColumn("term", F.concat_ws(" ", "_left", "_right")).drop("_n", "_a", "_b", "_left", "_right")
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     """Documents per term. Reading ``n`` keeps the plan equal to the count table's own, so its shuffle is reused."""
     return counts.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
@@ -85,11 +132,13 @@ def idf_table(counts: DataFrame, n_docs: Column) -> DataFrame:
 def tfidf_from_counts(counts: DataFrame, doc: Sequence[str], n_docs: Column) -> DataFrame:
     """(doc keys, term, n, tfidf): n * idf, scaled to length 1 per document (T5).
 
-    The window is over one document's distinct terms. The join is salted by document, because a term
-    of every document would bring a row of each of them to one task.
+    The counts are stored, because weights and documents per term both come from them. The window is over one document's
+    distinct terms. Terms join by broadcast or salted by document, because a term of every document would bring a row of
+    each of them to one task.
     """
+    counts = materialise(counts)
     idf = idf_table(counts, n_docs).select("term", "idf")
-    weighted = salted_join(counts, idf, ["term"], F.xxhash64(*doc)).withColumn("w", F.col("n") * F.col("idf"))
+    weighted = join_terms(counts, idf, ["term"], F.xxhash64(*doc)).withColumn("w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*doc)))
     return weighted.select(*doc, "term", "n", ratio(F.col("w"), norm).alias("tfidf"))
 

@@ -103,3 +103,32 @@ def test_process_terms(spark):
     assert counts == {"read": 1, "close": 1, "futex": 1, "sshd read": 12}
     rollup = {r["pid"]: r for r in processes.process_rollup(table.union(table), "ts", "20s").collect()}
     assert rollup["812"]["cpu_usage"] == 3.0 and rollup["812"]["max_cpu_usage"] == 1.5 and rollup["812"]["occurances"] == 2
+
+
+def test_pairs_have_their_place_among_all_combinations(spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    for n in (2, 3, 7, 40):
+        pairs = list(itertools.combinations(range(n), 2))
+        df = spark.createDataFrame([(i, a, b, n) for i, (a, b) in enumerate(pairs)], "rank long, a long, b long, n long")
+        first, second = text.pair_members("rank", "n")
+        wrong = df.filter(F.expr(f"{text.pair_rank('a', 'b', 'n')} <> rank OR {first} <> a OR {second} <> b"))
+        assert wrong.count() == 0
+    # A vocabulary whose pairs could never be listed.
+    n = 3_000_000_000
+    ends = [(0, 1), (0, n - 1), (1, 2), (n // 2, n // 2 + 1), (n - 3, n - 1), (n - 2, n - 1), (123_456_789, 2_987_654_321)]
+    df = spark.createDataFrame([(a, b, n) for a, b in ends], "a long, b long, n long").withColumn("rank", F.expr(text.pair_rank("a", "b", "n")))
+    first, second = text.pair_members("rank", "n")
+    assert [(r["x"], r["y"]) for r in df.select(F.expr(first).alias("x"), F.expr(second).alias("y")).collect()] == ends
+
+
+def test_joined_vocabulary(spark):
+    docs = spark.createDataFrame([(1, ["b", "c", "a", "b", "b"]), (2, ["a", "c"]), (3, []), (4, ["x"])], "d int, tokens array<string>")
+    terms = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "term string, term_id long")
+    got = sorted((r["d"], r["term_id"], r["n"]) for r in text.joined_term_counts(docs, ["d"], terms).collect())
+    # Pairs: a b = 3, a c = 4, b c = 5; "c a" and "b b" are not ascending, x is unknown.
+    assert got == [(1, 0, 1), (1, 1, 3), (1, 2, 1), (1, 3, 1), (1, 5, 1), (2, 0, 1), (2, 2, 1), (2, 4, 1)]
+    names = {r["term_id"]: r["term"] for r in text.joined_term_names(text.joined_term_counts(docs, ["d"], terms), terms).collect()}
+    assert names == {0: "a", 1: "b", 2: "c", 3: "a b", 4: "a c", 5: "b c"}
