@@ -24,7 +24,7 @@ ENTRIES_SCHEMA = "file_path string, entry string, entry_no int, entry_bytes long
 TEXT_SCHEMA = "file_path string, entry string, content string, error string"
 
 
-def _is_log(name: str) -> bool:
+def is_log(name: str) -> bool:
     return name.endswith(".log") and not ("__MACOSX" in name and "SYS/._" in name)
 
 
@@ -35,7 +35,7 @@ def _list_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 with open_file(path) as handle, zipfile.ZipFile(handle) as archive:
                     rows = [(path, i.filename, n, i.file_size, None) for n, i in enumerate(archive.infolist())
-                            if _is_log(i.filename)]
+                            if is_log(i.filename)]
             except Exception as problem:  # an unreadable archive is a row of its own
                 rows = [(path, None, None, None, str(problem))]
             yield pd.DataFrame(rows, columns=["file_path", "entry", "entry_no", "entry_bytes", "error"])

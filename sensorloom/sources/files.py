@@ -25,3 +25,18 @@ def write_file(path: str, content: bytes) -> None:
     filesystem.create_dir(inner.rpartition("/")[0], recursive=True)
     with filesystem.open_output_stream(inner) as out:
         out.write(content)
+
+
+def list_folder(folder: str) -> list[tuple[str, int]]:
+    """(path, size) of all files below a folder; paths are plain on a local system, else URIs."""
+    from pyarrow import fs
+
+    if folder.startswith("file:"):
+        folder = "/" + folder[len("file:"):].lstrip("/")
+    if "://" not in folder:
+        filesystem, inner, prefix = fs.LocalFileSystem(), folder, ""
+    else:
+        filesystem, inner = fs.FileSystem.from_uri(folder)
+        prefix = folder[: len(folder) - len(inner)] if folder.endswith(inner) else folder.split("://")[0] + "://"
+    found = filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
+    return sorted((prefix + f.path, f.size) for f in found if f.is_file)

@@ -7,7 +7,7 @@ from sensorloom.operators.timestamps import normalise_timestamps
 from sensorloom.plans.call_encoding import call_documents, call_vocabulary, encode_documents
 from sensorloom.plans.device_merge import merge_device
 from sensorloom.schema import LABELS, SourceRegistry, registry_from_headers
-from sensorloom.sources import archives, catalog, logs, sinks, tables
+from sensorloom.sources import archive_source, archives, catalog, claims, logs, sinks, tables
 
 BLOCK = "read_ops,write_ops,read_kbs,write_kbs,avgrq_sz,avg_queue,await,r_await,w_await,svctm,util"
 
@@ -230,3 +230,119 @@ def test_loose_logs_and_json(spark, tmp_path):
     assert row["timestamp"] == "1700000001" and parsed.count() == 1
     sinks.write_table(parsed.select("timestamp", "processes"), str(tmp_path / "json"), fmt="json")
     assert spark.read.json(str(tmp_path / "json")).count() == 1 and len(LABELS) == 9
+
+
+def plain_extract(todo):
+    return todo.select("file_path", F.lit(1).alias("n"))
+
+
+@pytest.fixture()
+def listing(spark):
+    return spark.createDataFrame([(f"/data/{i}.csv",) for i in range(30)], "file_path string")
+
+
+def published(spark, target):
+    rows = claims.read_extracted(spark, target)
+    return [] if rows is None else sorted(r["file_path"] for r in rows.collect())
+
+
+def test_two_runs_at_once_extract_every_file_once(spark, listing, tmp_path):
+    target, everything = str(tmp_path / "t"), [f"/data/{i}.csv" for i in range(30)]
+    a, b = (claims.Extraction(spark, listing, target, buckets=8) for _ in range(2))
+    assert a.claim() == 30 and b.claim() == 0  # all buckets are taken
+    assert claims.extract_claimed(spark, listing, target, plain_extract, buckets=8) == 0
+    a.write(plain_extract)
+    assert published(spark, target) == []  # written, not committed
+    assert len(a.commit()) == 8 and published(spark, target) == sorted(everything)
+    assert a.commit() == []  # once only
+    more = listing.union(spark.createDataFrame([("/data/new.csv",)], "file_path string"))
+    assert claims.extract_claimed(spark, more, target, plain_extract, buckets=8) == 1
+    assert published(spark, target) == sorted([*everything, "/data/new.csv"])
+
+
+@pytest.mark.parametrize("step", ["claimed", "written", "committed"])
+def test_a_lost_run_is_taken_over_and_cannot_come_back(spark, listing, tmp_path, step):
+    target, clock = str(tmp_path / "t"), [1000.0]
+    lost = claims.Extraction(spark, listing, target, buckets=4, lease_seconds=60, now=lambda: clock[0])
+    lost.claim()
+    if step != "claimed":
+        lost.write(plain_extract)
+    if step == "committed":
+        assert len(lost.commit()) == 4
+    run = lambda: claims.extract_claimed(spark, listing, target, plain_extract, buckets=4, lease_seconds=60, now=lambda: clock[0])
+    assert run() == 0
+    clock[0] += 61
+    assert run() == (0 if step == "committed" else 30)
+    if step == "claimed":
+        lost.write(plain_extract)
+    assert lost.commit() == []
+    assert published(spark, target) == sorted(f"/data/{i}.csv" for i in range(30))
+
+
+def test_the_first_of_holder_and_successor_wins(spark, tmp_path):
+    markers, clock = claims.Markers(spark, str(tmp_path / "m")), [0.0]
+    now = lambda: clock[0]
+    assert claims.claim_buckets(markers, "a", [0, 1], 10, now) == [claims.Claim(0, 1), claims.Claim(1, 1)]
+    assert claims.claim_buckets(markers, "b", [0, 1], 10, now) == []
+    assert markers.create("records/0-1", {"run": "a"})
+    clock[0] = 11
+    assert claims.claim_buckets(markers, "b", [0, 1], 10, now) == [claims.Claim(0, 2), claims.Claim(1, 2)]
+    assert not markers.create("records/1-1", {"run": "a"}) and markers.create("records/1-2", {"run": "b"})
+    assert claims.committed_folders(markers) == ["a/bucket=0", "b/bucket=1"]
+
+
+def test_files_with_errors_are_tried_again(spark, listing, tmp_path):
+    target, bad = str(tmp_path / "t"), ["/data/3.csv"]
+
+    def extract(todo):
+        return plain_extract(todo).withColumn("error", F.when(F.col("file_path").isin(bad), "broken"))
+
+    assert claims.extract_claimed(spark, listing, target, extract, buckets=4) == 29
+    bad.clear()
+    assert claims.extract_claimed(spark, listing, target, lambda todo: extract(todo).withColumn("error", F.lit(None).cast("string")), buckets=4) == 1
+    assert len(published(spark, target)) == 30
+
+
+def test_archives_as_a_data_source(spark, files, raw):
+    archive_source.register(spark)
+    read = lambda n: spark.read.format("log_archives").option("taskBytes", n).load(raw)
+    rows = read(1 << 30).collect()
+    assert sum(r["content"] is not None for r in rows) == 150 and sum(r["error"] is not None for r in rows) == 2
+    assert sorted(map(repr, read(500).collect())) == sorted(map(repr, rows)) and read(500).rdd.getNumPartitions() > 3
+    some = read(1 << 30).filter(F.col("entry").startswith("SYS/17000000") & F.col("entry").endswith("7.log") & F.col("file_path").endswith("s1.zip"))
+    assert some.count() == 10
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "StringEndsWith" not in plan.split("BatchScan")[0] and "EndsWith" not in plan.split("BatchScan")[0]
+    counted = archive_source.log_parser(lambda text: [(w,) for w in text.split("(")[:1]], "first string")
+    parsed = some.lateralJoin(counted(F.col("content").outer()))
+    assert {r["first"] for r in parsed.collect()} == {"x open"}
+
+
+def test_pushed_conditions_rule_archives_out(raw):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, StringEndsWith
+
+    reader = archive_source.ArchiveReader(raw, 1 << 30)
+    left = list(reader.pushFilters([StringEndsWith(("file_path",), "s1.zip"), EqualTo(("entry",), "SYS/1700000001.log"), GreaterThan(("entry",), "a"), EqualTo(("content",), "x")]))
+    assert [type(f) for f in left] == [GreaterThan, EqualTo]
+    shares = reader.partitions()
+    assert [s.path.rsplit("/")[-1] for s in shares] == ["s1.zip"]
+    assert [r[1] for s in shares for r in reader.rows(s)] == ["SYS/1700000001.log"]
+
+
+def test_metrics_taken_in_three_arrivals_equal_one_read(spark, tmp_path):
+    from sensorloom.operators import reports
+    from sensorloom.streaming import live_metrics
+
+    schema = "participant string, file_ts timestamp, tag string, step long, value double, ts timestamp"
+    rows = [(f"p{p}", "2024-01-0%d 00:00:00" % (1 + k), f"Test/{t}", s, float(p * 100 + s * 10 + k) if s != 2 else None, "2024-01-0%d 00:00:0%d" % (1 + k, s))
+            for k in range(3) for p in range(3) for t in ("a", "b") for s in range(4)] + [("p0", "2023-12-31 00:00:00", "Test/a", 9, 1e9, "2025-01-01 00:00:00")]
+    table = spark.createDataFrame(rows, "participant string, f string, tag string, step long, value double, t string").selectExpr(
+        "participant", "CAST(f AS TIMESTAMP) AS file_ts", "tag", "step", "value", "CAST(t AS TIMESTAMP) AS ts")
+    source, target, offsets = (str(tmp_path / x) for x in ("log", "values", "offsets"))
+    for day in (2, 3, 1):  # the oldest file comes last
+        table.filter(F.day("ts") == day).coalesce(1).write.mode("append").parquet(source)
+        assert live_metrics.take_new_metrics(spark, source, schema, target, offsets, "01/01/2024 00:00:00") >= 1
+    assert live_metrics.take_new_metrics(spark, source, schema, target, offsets, "01/01/2024 00:00:00") == 0  # nothing new
+    live = {(r["participant"], r["tag"]): r["value"] for r in live_metrics.current_values(spark, target).collect()}
+    whole = reports.last_values(tables.since(table, "file_ts", "01/01/2024 00:00:00"), ["participant", "tag"], "value", ["ts", "step"])
+    assert live == {(r["participant"], r["tag"]): r["value"] for r in whole.collect()} and len(live) == 6
