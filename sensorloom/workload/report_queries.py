@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sensorloom.operators import reports
 from sensorloom.operators.quantiles import feature_quantiles
+from sensorloom.session import STORED, ensure_checkpoint_dir
+from sensorloom.streaming.live_metrics import current_values, take_new_metrics
 from sensorloom.workload.registry import query, r, rounded
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -59,6 +63,26 @@ def experiment_rollup(t):
     return reports.experiment_rollup(metric_log(t))
 
 
+LIVE_SCHEMA = "participant long, tag string, step long, value double, ts timestamp_ntz, file_ts timestamp_ntz"
+
+
+@query(
+    "experiment_rollup_live",
+    f"""WITH {LAST_SQL} SELECT 'Test/' || tag AS tag, round_even(avg(value), 4) AS mean_value, round_even(stddev_samp(value), 2) AS std_value,
+    count(*) AS n_participants FROM last GROUP BY tag""",
+)
+def experiment_rollup_live(t):
+    """The same rollup from a file stream that takes the log in three arrivals, the oldest part last."""
+    ensure_checkpoint_dir(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/tables/live-{uuid.uuid4().hex}"
+    STORED.append(folder)
+    log = metric_log(t).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("file_ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    for part in (1, 2, 0):
+        log.filter(F.day("ts") % 3 == part).write.mode("append").parquet(f"{folder}/log")
+        take_new_metrics(t.spark, f"{folder}/log", LIVE_SCHEMA, f"{folder}/values", f"{folder}/offsets")
+    return reports.experiment_rollup(current_values(t.spark, f"{folder}/values"), order=["value"])
+
+
 @query("run_means", "SELECT event_type AS tag, round_even(avg(value), 4) AS mean_value FROM events GROUP BY 1")
 def run_means(t):
     """A17."""

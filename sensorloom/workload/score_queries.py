@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators import ranking, reports, reshape, scoring
 from sensorloom.operators.neighbors import neighbour_information
 from sensorloom.operators.network import INTERVAL_FEATURES, LENGTH_FEATURES
-from sensorloom.plans.feature_selection import ablation_top, network_width_ablation, select_univariate
+from sensorloom.plans.feature_selection import ABLATION_WIDTHS as FEATURE_WIDTHS, ablation_top, network_width_ablation, select_univariate
 from sensorloom.session import materialise
 from sensorloom.workload.registry import query, r, rounded
 from sensorloom.workload.time_queries import PACKET_COLUMNS, network_sql, packets
@@ -303,7 +303,24 @@ LABEL_NEIGHBOURS_SQL = NEIGHBOURS_SQL.replace("WITH l AS (", "WITH l0 AS (", 1).
 )
 
 
-@query("feature_scores_by_label_knn", LABEL_NEIGHBOURS_SQL.replace("SELECT feature, (round", "SELECT split_part(feature, '@', 1) AS feature, split_part(feature, '@', 2) AS label, (round"))
+KNN_SQL = LABEL_NEIGHBOURS_SQL.replace(
+    "SELECT feature, (round", "SELECT split_part(feature, '@', 1) AS feature, split_part(feature, '@', 2) AS label, (round")
+CENTS_SQL = "SELECT event_type AS label, round(value * 100) AS value, user_id::DOUBLE AS user_id FROM events"
+
+
+@query(
+    "rank_features_knn",
+    f"""SELECT o.*, k.mutual_info_classif FROM (WITH {long_sql(scaled_sql(CENTS_SQL, ["value", "user_id"]), ["value", "user_id"])}, {ONE_SQL}
+    SELECT feature, label, {r('chi2', 4)} AS chi2, {r('f_classif')} AS f_classif FROM one) o JOIN ({KNN_SQL}) k USING (feature, label)""",
+)
+def rank_features_knn(t):
+    """F8, second form: the whole ranking job with the nearest-neighbour estimate."""
+    cents = F.round(F.col("value") * 100).alias("value")
+    rows = t.events.select("event_type", cents, F.col("user_id").cast("double").alias("user_id"))
+    return shown(scoring.rank_features(rows, "event_type", ["value", "user_id"], method="knn"))
+
+
+@query("feature_scores_by_label_knn", KNN_SQL)
 def feature_scores_by_label_knn(t):
     """F5, second form: every label against the rest by nearest neighbours."""
     cents = F.round(F.col("value") * 100).alias("value")
@@ -312,8 +329,9 @@ def feature_scores_by_label_knn(t):
     return rounded(scores.select("feature", "label", "mutual_info_classif"), 9, ["mutual_info_classif"])
 
 
-ABLATION_FEATURES = ["TcpPacketCount", "(OLD) AverageLength", "MeanInterPacketInterval"]
-ABLATION_WIDTHS = [7200, 14400, 28800]
+# The seven widths of the ablation, stretched from 20 seconds to an hour as the events are that much sparser.
+ABLATION_WIDTHS = [w * 180 for w in FEATURE_WIDTHS]
+ABLATION_FEATURES = LENGTH_FEATURES + INTERVAL_FEATURES
 
 
 def ablation_sql(widths: list[int], features: list[str], out: str) -> str:
@@ -336,12 +354,9 @@ def network_width_ablation_(t):
     return shown(network_width_ablation(packets(t), "ts", "event_type", ABLATION_WIDTHS, PACKET_COLUMNS, ABLATION_FEATURES))
 
 
-TOP_WIDTHS = [14400, 43200]
-
-
 @query(
     "network_ablation_top",
-    f"""WITH ab AS ({ablation_sql(TOP_WIDTHS, LENGTH_FEATURES + INTERVAL_FEATURES, ', '.join(scoring.SCORES))}),
+    f"""WITH ab AS ({ablation_sql(ABLATION_WIDTHS, ABLATION_FEATURES, ', '.join(scoring.SCORES))}),
     named AS (SELECT label, feature || '@' || width_s AS feature, {', '.join(scoring.SCORES)} FROM ab),
     u AS (UNPIVOT named ON {', '.join(scoring.SCORES)} INTO NAME score_type VALUE score)
     SELECT label, feature, score_type, row_number() OVER (PARTITION BY label, score_type ORDER BY round(score, 9) DESC NULLS LAST, feature)::INT AS rank,
@@ -349,7 +364,7 @@ TOP_WIDTHS = [14400, 43200]
 )
 def network_ablation_top(t):
     """Best features per width, label and score, all 23 features."""
-    scores = network_width_ablation(packets(t), "ts", "event_type", TOP_WIDTHS, PACKET_COLUMNS, LENGTH_FEATURES + INTERVAL_FEATURES)
+    scores = network_width_ablation(packets(t), "ts", "event_type", ABLATION_WIDTHS, PACKET_COLUMNS)
     # Equal features (for example a count under two names) differ in the last bits; they are ties.
     return rounded(ablation_top(scores.withColumns({c: F.round(c, 9) for c in scoring.SCORES}), 10), 4, ["score"])
 

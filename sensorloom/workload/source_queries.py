@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sensorloom.operators import processes, text
-from sensorloom.sources import archives, catalog, logs, sinks, tables
+from sensorloom.schema import registry_from_headers
+from sensorloom.sources import archive_source, archives, catalog, claims, logs, sinks, tables
 from sensorloom.sources.files import write_file
 from sensorloom.workload.registry import query
 from sensorloom.workload.text_queries import PROC_SQL, TOK_SQL, order_logs, tokens
@@ -58,6 +59,20 @@ def csv_headers(t):
     return files.join(headers, "file_path").groupBy("data_source", "header").agg(F.countDistinct("label").alias("n_labels"))
 
 
+@query("file_sources", "SELECT DISTINCT event_type AS label, 'events_data' AS by_columns, 'events_data' AS by_name FROM events")
+def file_sources(t):
+    """The source of every file by the columns of its header and by the name of its folder."""
+    files = collection(t)
+    paths = [r["file_path"] for r in files.select("file_path").collect()]
+    headers = files.join(catalog.header_inventory(t.spark, paths), "file_path")
+    registry = registry_from_headers(headers)
+    distinct = headers.select("columns", "data_source").distinct().collect()
+    found = t.spark.createDataFrame(
+        [(r["columns"], r["data_source"], registry.classify(r["columns"]), registry.by_name(r["data_source"])) for r in distinct],
+        "columns array<string>, data_source string, by_columns string, by_name string")
+    return headers.join(F.broadcast(found), ["columns", "data_source"]).select("label", "by_columns", "by_name").distinct()
+
+
 @query("extraction_resumed", "SELECT event_id, value, event_type AS label, 0::BIGINT AS repeated FROM events")
 def extraction_resumed(t):
     """Files are extracted once; a second run finds nothing to do."""
@@ -73,6 +88,25 @@ def extraction_resumed(t):
     return t.spark.read.parquet(f"{folder}/target").select("event_id", "value", "label", F.lit(again).cast("long").alias("repeated"))
 
 
+@query("extraction_claimed", "SELECT event_id, value, event_type AS label, 0::BIGINT AS repeated FROM events")
+def extraction_claimed(t):
+    """Two runs at once and a lost one; every file is published once."""
+    files, target = collection(t), f"{scratch(t)}/claimed"
+
+    def extract(todo):
+        rows = tables.read_source(t.spark, todo, ())
+        return rows.select(F.col("event_id").cast("long").alias("event_id"), "value", "label", F.col(tables.ORIGIN).alias("file_path"))
+
+    plain = files.withColumn("file_path", F.regexp_replace("file_path", "^file:/+", "file:/"))
+    lost = claims.Extraction(t.spark, plain, target, buckets=4, lease_seconds=0)
+    lost.claim()
+    lost.write(extract)
+    claims.extract_claimed(t.spark, plain, target, extract, buckets=4)
+    lost.commit()  # too late: its buckets have been taken over
+    again = claims.extract_claimed(t.spark, plain, target, extract, buckets=4)
+    return claims.read_extracted(t.spark, target).select("event_id", "value", "label", F.lit(again).cast("long").alias("repeated"))
+
+
 @query("vocabulary_built_once", f"WITH {TOK_SQL} SELECT DISTINCT term FROM cnt")
 def vocabulary_built_once(t):
     """Built and stored by the first call, read by the second."""
@@ -122,6 +156,22 @@ def archives_read(t):
     return archives.read_archives(write_archives(t, scratch(t))).select("timestamp", F.md5("content").alias("content_md5"))
 
 
+@query(
+    "archives_source",
+    """SELECT doc_id::VARCHAR || '.log' AS name, md5(text) AS content_md5, len(string_split(text, chr(10))) AS n_lines FROM documents
+    WHERE text IS NOT NULL AND doc_id::VARCHAR LIKE '%7'""",
+)
+def archives_source(t):
+    """S7, 2.15: archives through the data source, a condition on the entry name pushed to it, texts parsed by a user's table function."""
+    root = scratch(t)
+    write_archives(t, root)
+    archive_source.register(t.spark)
+    rows = t.spark.read.format("log_archives").option("taskBytes", 200_000).load(root).filter(F.col("entry").endswith("7.log"))
+    count_lines = archive_source.log_parser(lambda content: [(len(content.split("\n")),)], "n_lines long")
+    parsed = rows.lateralJoin(count_lines(F.col("content").outer()))
+    return parsed.select(F.regexp_extract("entry", "([^/]*)$", 1).alias("name"), F.md5("content").alias("content_md5"), "n_lines")
+
+
 @query("archive_listing", "SELECT doc_id::VARCHAR AS timestamp FROM documents WHERE text IS NOT NULL")
 def archive_listing(t):
     """Timestamps from the entry names, contents unread."""

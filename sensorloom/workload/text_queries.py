@@ -124,6 +124,27 @@ def two_gram_tfidf(t):
     return rounded(encode_documents(docs, ["conv_id", "turn"], "calls", pairs=True, ordered_pairs_only=True), 6, ["tfidf"])
 
 
+JOINED_SQL = f"""WITH {CONV_SQL}, v AS (SELECT a AS term, row_number() OVER (ORDER BY a) - 1 AS id, count(*) OVER () AS n FROM (SELECT DISTINCT a FROM pos)),
+    s AS (SELECT *, n + coalesce(sum(n - 1 - id) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v),
+    g AS (SELECT conv_id, turn, id AS term_id, a AS term FROM pos JOIN v ON a = term
+      UNION ALL SELECT conv_id, turn, x.before + y.id - x.id - 1, a || ' ' || b FROM pos JOIN s x ON a = x.term JOIN v y ON b = y.term WHERE a < b)"""
+
+
+@query("two_gram_ids", f"{JOINED_SQL} SELECT conv_id, turn, term_id::BIGINT AS term_id, count(*) AS n FROM g GROUP BY ALL")
+def two_gram_ids(t):
+    """Single terms and pairs under their numbers in the joined vocabulary of all terms and all pairs of them."""
+    docs = turns(t)
+    return text.joined_term_counts(docs, ["conv_id", "turn"], materialise(text.with_term_ids(text.vocabulary(docs))))
+
+
+@query("two_gram_names", f"{JOINED_SQL} SELECT DISTINCT term_id::BIGINT AS term_id, term FROM g")
+def two_gram_names(t):
+    """The names behind the numbers, found from the numbers alone."""
+    docs = turns(t)
+    terms = materialise(text.with_term_ids(text.vocabulary(docs)))
+    return text.joined_term_names(text.joined_term_counts(docs, ["conv_id", "turn"], terms).select("term_id").distinct(), terms)
+
+
 @query(
     "rows_minmax",
     f"""WITH {TOK_SQL} SELECT doc_id, term, n, {r('(n - min(n) OVER (PARTITION BY doc_id))::DOUBLE / nullif(max(n) OVER (PARTITION BY doc_id) - min(n) OVER (PARTITION BY doc_id), 0) * 4 + 1')} AS scaled

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorloom.operators import buckets, entropy, network, timestamps
+from sensorloom.operators.user_aggregates import SmallestHashes, window_aggregate
 from sensorloom.workload.registry import query, r, rounded
 
 HOUR = 3_600_000_000
@@ -290,6 +291,29 @@ def high_entropy_files_by_label(t):
     return entropy.high_entropy_files(t.events, "ts", "2h", ["event_type"], "epoch", "user_id", "value", 100.0)
 
 
+@query("network_features_widths", " UNION ALL ".join(
+    f"SELECT {w * HOUR}::BIGINT AS width_us, * FROM ({network_sql(w * HOUR, 'lo', 'event_type', False)})" for w in (2, 4, 6, 24)))
+def network_features_widths(t):
+    """The 23 features at four widths from one ladder of window partials."""
+    return comparable(network.network_features_at_widths(packets(t), "ts", ["2h", "4h", "6h", "1d"], ["event_type"], "start", PACKET_COLUMNS))
+
+
+SKETCH = 16
+USER_HASH_SQL = "('0x' || substr(md5(user_id::VARCHAR), 1, 13))::BIGINT"
+
+
+@query(
+    "user_aggregate_windows",
+    grid_sql(2 * HOUR, "0", f"list_sort(list_distinct(list({USER_HASH_SQL})))[1:{SKETCH}] AS h",
+             f"CASE WHEN h IS NULL THEN 0 WHEN len(h) < {SKETCH} THEN len(h) ELSE {SKETCH - 1} * 4503599627370496::DOUBLE / (h[{SKETCH}] + 1) END::DOUBLE AS n_users"),
+)
+def user_aggregate_windows(t):
+    """2.15, A5: a user's aggregate, here a sketch of different users per window, in place of the built-in count."""
+    hashed = F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 13), 16, 10).cast("long")
+    sketch = SmallestHashes("h", SKETCH, name="n_users")
+    return window_aggregate(t.events.withColumn("h", hashed), "ts", "2h", sketch, ["event_type"], "epoch", {"n_users": 0})
+
+
 def order_files(t):
     """Orders as file records: the priority digit is the extension, the lowest priority has none."""
     digit = F.substring("o_orderpriority", 1, 1)
