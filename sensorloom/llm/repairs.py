@@ -39,7 +39,7 @@ from sensorloom.llm.batches import bound_batches
 from sensorloom.operators.lookup import join_lookup
 from sensorloom.session import materialise
 
-WHITE = "\\t\\n\\u000b\\f\\r "
+WHITE = "\\u0009\\u000a\\u000b\\u000c\\u000d\\u0020"
 START, SYSTEM, USER, ASSISTANT = range(4)
 RETAG, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 # (state, cost, edits) that inserts lead to.

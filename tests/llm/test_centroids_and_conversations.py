@@ -226,7 +226,7 @@ def found_repairs(frame):
 
 def test_repairs_equal_a_plain_version(spark):
     rng = random.Random(8)
-    texts = ["Hello there.", "What?", "cut off", "", " \n", "Fine!", "x" * 200_000 + ".", "é日本", None]
+    texts = ["Hello there.", "What?", "cut off", "f", "Yes.f", "", " \n", "Fine!", "x" * 200_000 + ".", "é日本", "End.\x0c\x0b \t\r\n", "\x0c", "nbsp.\u00a0", None]
     rows = []
     for conv in [*range(60), None]:
         for _ in range(rng.randrange(1, 12)):
