@@ -56,10 +56,11 @@ def stored_span(df: DataFrame, ts: str, series: Sequence[str], origin: Origin) -
 
 def anchored_span(df: DataFrame, ts: str, series: Sequence[str], origin: Origin) -> DataFrame:
     """Stored (series..., lo_us, hi_us, anchor): the instant from which a series counts its windows; one read of the times."""
-    span = materialise(series_span(df, ts, series))
-    first = F.min("lo_us").alias("lo_us")
-    anchor = span.agg(first).scalar() if origin == "global" else _fixed_origin(df, ts, origin, F.col("lo_us"))
-    return materialise(span.withColumn("anchor", anchor))
+    span = series_span(df, ts, series)
+    if origin == "global":
+        span = materialise(span)
+        return span.withColumn("anchor", span.agg(F.min("lo_us")).scalar())
+    return materialise(span.withColumn("anchor", _fixed_origin(df, ts, origin, F.col("lo_us"))))
 
 
 def assign_windows(

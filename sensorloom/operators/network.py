@@ -146,7 +146,7 @@ def length_features(parts: DataFrame, keys: list[str], base_us: int, widths: Seq
         "sq": "sum(x * x * n)",
         "ports": f"count_if(kind = {SOURCE_PORT})", "targets": f"count_if(kind = {DEST_PORT})", "addresses": f"count_if(kind = {DEST_IP})",
     }))
-    medians = group_quantiles(values.filter(f"{is_length} AND x IS NOT NULL"), keys, "x", [0.5], "n")
+    medians = group_quantiles(values.filter(f"{is_length} AND x IS NOT NULL"), keys, "x", [0.5], "n", combined=True)
     return grouped.join(medians.withColumnRenamed("q0", "median"), keys, "left").select(*keys, *_aliased({
         "(OLD) PacketCount": "n",
         "(OLD) TotalLength": "total",
@@ -168,8 +168,10 @@ def sliced(instants: DataFrame, series: list[str], base_us: int) -> DataFrame:
     """Adds ``slice``: crowded base windows are cut by time, as finely as their number of instants asks."""
     sizes = instants.groupBy(*series, "base").agg(F.count(F.lit(1)).alias("rows")).filter(f"rows > {SLICE_ROWS}")
     length = f"least(greatest({base_us} div (rows div {SLICE_ROWS} + 1), 1L), {SLICE_MICROS}L)"
-    crowded = sizes.select(*series, "base", F.expr(length).alias("slice_us"))
-    rows = join_lookup(instants, crowded, [*series, "base"], how="left")
+    crowded = materialise(sizes.select(*series, "base", F.expr(length).alias("slice_us")))
+    if crowded.isEmpty():
+        return instants.withColumn("slice", F.lit(0).cast("long"))
+    rows = join_lookup(instants, crowded, [*series, "base"], stored=True, how="left")
     return rows.withColumn("slice", F.expr(f"coalesce((t - base * {base_us}) div slice_us, 0L)")).drop("slice_us")
 
 

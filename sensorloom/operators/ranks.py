@@ -54,15 +54,18 @@ def _refined(rows: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFram
         *keys, "q", "rank", F.expr("_upto - w AS before"), "total", "lo", "hi", "left"))
 
 
-def group_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None) -> DataFrame:
+def group_quantiles(
+    rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], weight: str | None = None, combined: bool = False,
+) -> DataFrame:
     """(keys..., q0, q1, ...): linear-interpolation quantiles per group; nulls and NaN are ignored.
 
-    ``rows`` is read several times and should be a stored table; ``weight`` is how often a value counts. A group without
-    a value has no row. Equal values of a group may stand in several rows.
+    ``weight`` is how often a value counts. A group without a value has no row. Equal values of a group may stand in several
+    rows, unless ``combined`` says that ``rows`` is a stored table with one row for each of them.
     """
     known = rows.select(*keys, F.col(value).cast("double").alias("x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")).filter(
-        "x IS NOT NULL AND NOT isnan(x) AND w > 0").groupBy(*keys, "x").agg(F.sum("w").alias("w"))
-    known = materialise(known)
+        "x IS NOT NULL AND NOT isnan(x) AND w > 0")
+    if not combined:
+        known = materialise(known.groupBy(*keys, "x").agg(F.sum("w").alias("w")))
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("left"), F.sum("w").alias("total"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     crowded = materialise(sizes.filter(f"left > {FEW}"))
     positions = F.expr(f"inline({_positions(probs)})")

@@ -24,6 +24,7 @@ from typing import NamedTuple
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sensorloom.operators.lookup import join_lookup
 from sensorloom.session import materialise
 
 BUCKETS = 64
@@ -162,7 +163,8 @@ class Extraction:
             broken = rows.filter(F.col("error").isNotNull()).select("file_path").distinct()
             done = materialise(done.join(broken, "file_path", "left_anti"))
             rows = rows.join(broken, "file_path", "left_anti").drop("error")
-        placed = rows.join(self.todo.select("file_path", F.col("_bucket").alias("bucket")), "file_path")
+        # Measured and broadcast or salted: a plain join would bring all rows of a file to one task.
+        placed = join_lookup(rows, self.todo.select("file_path", F.col("_bucket").alias("bucket")), ["file_path"])
         placed.write.partitionBy("bucket").parquet(f"{self.target}/rows/{self.run}")
         done.withColumnRenamed("_bucket", "bucket").write.partitionBy("bucket").parquet(f"{self.target}/files/{self.run}")
 
