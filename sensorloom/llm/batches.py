@@ -107,7 +107,7 @@ class BoundedCache(dict):
     before they are looked up, and afterwards every one of them is present.
     """
 
-    SLOT = 100  # bytes of a dictionary entry
+    SLOT = 60  # bytes of a dictionary entry
 
     def __init__(self, make: Callable[[list], list], limit: int):
         super().__init__()

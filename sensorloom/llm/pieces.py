@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from sensorloom.llm.batches import BoundedCache, keep_only, map_texts
 
 BLANK = "▁"
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 96 << 20
 SCAN_LIMIT = 40
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 STOPS = ".,|"
