@@ -3,8 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.operators import processes, text
+from sensorloom.operators import lookup, processes, text
 from sensorloom.plans.call_encoding import encode_documents
+from sensorloom.session import materialise
 from sensorloom.sources.logs import parse_summaries
 
 
@@ -132,3 +133,26 @@ def test_joined_vocabulary(spark):
     assert got == [(1, 0, 1), (1, 1, 3), (1, 2, 1), (1, 3, 1), (1, 5, 1), (2, 0, 1), (2, 2, 1), (2, 4, 1)]
     names = {r["term_id"]: r["term"] for r in text.joined_term_names(text.joined_term_counts(docs, ["d"], terms), terms).collect()}
     assert names == {0: "a", 1: "b", 2: "c", 3: "a b", 4: "a c", 5: "b c"}
+
+
+def widest_broadcast(df):
+    """Nodes of the plan that send a table to every task, other than the few heavy keys."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in line and "_salt" in line.split("]")[0]]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_large_tables_are_not_broadcast_with_their_copies(spark, monkeypatch, how):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(lookup, "HEAVY_ROWS", 5)
+    keys = ["many"] * 7 + ["few", "few", "unknown", None, None]
+    rows = spark.createDataFrame(list(enumerate(keys)), "i long, k string")
+    table = materialise(spark.createDataFrame([("many", 1), ("few", 2), ("unused", 3)], "k string, v int"))
+    joined = lookup.join_terms(rows, table, ["k"], F.col("i"), how=how)
+    values = {"many": 1, "few": 2}
+    kept = [(k, i) for i, k in enumerate(keys) if how == "left" or k in values]
+    expected = kept if how == "left_semi" else [(k, i, values.get(k)) for k, i in kept]
+    assert sorted(map(tuple, joined.collect()), key=lambda r: r[1]) == expected
+    assert joined.columns == (["k", "i"] if how == "left_semi" else ["k", "i", "v"])
+    assert not widest_broadcast(joined)
+    looked_up = None if how == "left_semi" else lookup.join_lookup(rows, table, ["k"], how=how)
+    assert looked_up is None or sorted(map(tuple, looked_up.collect()), key=lambda r: r[1]) == expected and not widest_broadcast(looked_up)
