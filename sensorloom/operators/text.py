@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorloom.functions.numeric import ratio
 from sensorloom.functions.tokens import WORD_PATTERN, adjacent_pairs, call_names, neighbours, words
-from sensorloom.operators.lookup import join_lookup, join_terms
+from sensorloom.operators.lookup import HEAVY_ROWS, join_lookup, join_terms
 from sensorloom.operators.ordering import with_row_index
 from sensorloom.session import materialise
 
@@ -137,8 +137,10 @@ def tfidf_from_counts(counts: DataFrame, doc: Sequence[str], n_docs: Column) ->
     each of them to one task.
     """
     counts = materialise(counts)
-    idf = idf_table(counts, n_docs).select("term", "idf")
-    weighted = join_terms(counts, idf, ["term"], F.xxhash64(*doc)).withColumn("w", F.col("n") * F.col("idf"))
+    idf = materialise(idf_table(counts, n_docs))
+    heavy = idf.filter(F.col("df") >= HEAVY_ROWS).select("term")
+    weighted = join_terms(counts, idf.select("term", "idf"), ["term"], F.xxhash64(*doc), stored=True, heavy=heavy).withColumn(
+        "w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*doc)))
     return weighted.select(*doc, "term", "n", ratio(F.col("w"), norm).alias("tfidf"))
 

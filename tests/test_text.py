@@ -156,3 +156,12 @@ def test_large_tables_are_not_broadcast_with_their_copies(spark, monkeypatch, ho
     assert not widest_broadcast(joined)
     looked_up = None if how == "left_semi" else lookup.join_lookup(rows, table, ["k"], how=how)
     assert looked_up is None or sorted(map(tuple, looked_up.collect()), key=lambda r: r[1]) == expected and not widest_broadcast(looked_up)
+
+
+def test_tfidf_through_salted_joins(spark, monkeypatch):
+    rows = docs(spark, "aa bb aa", "bb cc", "bb", None)
+    plain = sorted(map(tuple, text.tfidf(rows, ["doc"]).collect()))
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(text, "HEAVY_ROWS", 3)
+    table = text.tfidf(rows, ["doc"])
+    assert sorted(map(tuple, table.collect())) == plain and not widest_broadcast(table)
