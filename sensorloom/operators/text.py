@@ -97,11 +97,13 @@ def joined_term_counts(tokens: DataFrame, doc: Sequence[str], terms: DataFrame)
     n = terms.agg(F.count("*")).scalar()
     ids = lambda name: terms.select(F.col("term").alias(name), F.col("term_id").alias(f"{name}_id"))
     spread = F.xxhash64(*doc)
-    singles = join_terms(term_counts(tokens, doc).withColumnRenamed("term", "a"), ids("a"), ["a"], spread).select(*doc, F.col("a_id").alias("term_id"), "n")
+    # Counts are stored where a join reads them, which counts the rows of a term first if the vocabulary is large.
+    single = materialise(term_counts(tokens, doc).withColumnRenamed("term", "a"))
+    singles = join_terms(single, ids("a"), ["a"], spread, stored=True).select(*doc, F.col("a_id").alias("term_id"), "n")
     pairs = tokens.select(*doc, F.explode_outer(neighbours(F.col("tokens"))).alias("p")).filter("p.a < p.b").groupBy(
         *doc, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
     for side in ("a", "b"):
-        pairs = join_terms(pairs, ids(side), [side], spread)
+        pairs = join_terms(materialise(pairs), ids(side), [side], spread, stored=True)
     numbered = pairs.withColumn("_n", n).select(*doc, F.expr(f"_n + {pair_rank('a_id', 'b_id', '_n')}").alias("term_id"), "n")
     return singles.unionByName(numbered)
 

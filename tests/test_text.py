@@ -158,6 +158,21 @@ def test_large_tables_are_not_broadcast_with_their_copies(spark, monkeypatch, ho
     assert looked_up is None or sorted(map(tuple, looked_up.collect()), key=lambda r: r[1]) == expected and not widest_broadcast(looked_up)
 
 
+def test_names_and_ids_of_pairs_through_salted_joins(spark, monkeypatch):
+    rows = docs(spark, "bb aa bb cc", "aa bb", "aa cc")
+    terms = materialise(text.with_term_ids(text.vocabulary(rows)))
+    matrix = text.joined_term_counts(rows, ["doc"], terms)
+    plain = sorted(map(tuple, matrix.collect()))
+    names = sorted(map(tuple, text.joined_term_names(matrix.select("term_id").distinct(), terms).collect()))
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(lookup, "HEAVY_ROWS", 2)
+    again = text.joined_term_counts(rows, ["doc"], terms)
+    assert sorted(map(tuple, again.collect())) == plain and not widest_broadcast(again)
+    renamed = text.joined_term_names(again.select("term_id").distinct(), terms)
+    assert sorted(map(tuple, renamed.collect())) == names == [(0, "aa"), (1, "bb"), (2, "cc"), (3, "aa bb"), (4, "aa cc"), (5, "bb cc")]
+    assert not widest_broadcast(renamed)
+
+
 def test_tfidf_through_salted_joins(spark, monkeypatch):
     rows = docs(spark, "aa bb aa", "bb cc", "bb", None)
     plain = sorted(map(tuple, text.tfidf(rows, ["doc"]).collect()))
