@@ -115,7 +115,8 @@ def joined_term_names(matrix: DataFrame, terms: DataFrame) -> DataFrame:
     placed = matrix.withColumn("_n", n).withColumns({
         "_a": F.expr(f"IF(term_id < _n, term_id, {first})"), "_b": F.expr(f"IF(term_id < _n, NULL, {second})")})
     named = lambda c, key: terms.select(F.col("term").alias(c), F.col("term_id").alias(key))
-    joined = join_lookup(join_lookup(placed, named("_left", "_a"), ["_a"]), named("_right", "_b"), ["_b"], how="left")
+    left = materialise(join_lookup(materialise(placed), named("_left", "_a"), ["_a"], stored=True))
+    joined = join_lookup(left, named("_right", "_b"), ["_b"], stored=True, how="left")
     return joined.withColumn("term", F.concat_ws(" ", "_left", "_right")).drop("_n", "_a", "_b", "_left", "_right")
 
 
