@@ -14,7 +14,9 @@ from sensorloom.functions.numeric import ratio
 from sensorloom.functions.tokens import WORD_PATTERN, adjacent_pairs, call_names, neighbours, words
 from sensorloom.operators.lookup import HEAVY_ROWS, join_lookup, join_terms
 from sensorloom.operators.ordering import with_row_index
-from sensorloom.session import materialise
+from sensorloom.session import materialise, task_count
+
+TASK_TEXT_BYTES = 16 << 20
 
 
 def extract_calls(df: DataFrame, text: str, pattern: str | None = None) -> DataFrame:
@@ -28,11 +30,13 @@ def tokenised(
     """(doc keys, tokens); documents without text are dropped.
 
     ``by_document`` places the texts by document first: one shuffle of the short text instead
-    of two of its terms when both counts and row norms per document follow.
+    of two of its terms when both counts and row norms per document follow. The number of tasks
+    follows the measured size of the texts, so a task holds the counts of ``TASK_TEXT_BYTES`` of them.
     """
     rows = df.filter(F.col(text).isNotNull()).select(*doc, text)
     if by_document:
-        rows = rows.repartition(*doc)
+        size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        rows = rows.repartition(task_count(df.sparkSession, size, TASK_TEXT_BYTES), *doc)
     return rows.select(*doc, words(F.col(text), pattern, lowercase).alias("tokens"))
 
 

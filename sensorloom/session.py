@@ -61,6 +61,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def task_count(spark: SparkSession, amount: int, per_task: int) -> int:
+    """Tasks that read at most about ``per_task`` of ``amount`` each; a small amount is still spread over the cores.
+
+    For ``repartition``: without a number the tasks grow with the input, because the session's number of partitions does
+    not, and adaptive execution joins them up to a size that is measured before the rows are taken apart.
+    """
+    spread = min(spark.sparkContext.defaultParallelism, -(-amount * 16 // per_task))
+    return max(1, spread, -(-amount // per_task))
+
+
 def drop_tables(spark: SparkSession) -> int:
     """Deletes the tables that this process has stored; to be called when their results have been used. Returns how many."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()

@@ -180,3 +180,18 @@ def test_tfidf_through_salted_joins(spark, monkeypatch):
     monkeypatch.setattr(text, "HEAVY_ROWS", 3)
     table = text.tfidf(rows, ["doc"])
     assert sorted(map(tuple, table.collect())) == plain and not widest_broadcast(table)
+
+
+def test_tasks_follow_the_size_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(text, "TASK_TEXT_BYTES", 100)
+    sizes = {}
+    for n in (40, 160):
+        df = spark.range(n).select(F.col("id").alias("doc"), F.lit("aa bb cc dd aa ").alias("text")).unionByName(
+            spark.createDataFrame([(None, None), (0, "aa")], "doc long, text string"))
+        rows = text.tokenised(df, ["doc"], "text", by_document=True)
+        held = text.term_counts(rows, ["doc"]).withColumn("task", F.spark_partition_id())
+        sizes[n] = held.select("task").distinct().count()
+        assert {(r["term"], r["n"]) for r in held.collect()} == {("aa", 2), ("aa", 3), ("bb", 1), ("cc", 1), ("dd", 1)}
+        # Counted where the texts were placed: a document is in one task.
+        assert held.groupBy("doc").agg(F.countDistinct("task").alias("t")).filter("t > 1").isEmpty()
+    assert sizes[40] <= 8 and sizes[160] > 2 * 8
