@@ -11,11 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from sensorloom.operators.buckets import Origin, assign_windows
-from sensorloom.operators.lookup import salted_join
+from sensorloom.operators.lookup import join_terms
+from sensorloom.session import task_count
 
 # Admission of a (service, syscall) pair to the vocabulary.
 MIN_PAIR_CALLS = 5
 MIN_PAIR_CPU = 0.5
+TASK_CALLS = 1 << 18
 
 
 def exploded_processes(logs: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -90,7 +92,14 @@ def process_vocabulary(
 
 
 def process_term_counts(logs: DataFrame, doc: Sequence[str], vocab: DataFrame | None = None) -> DataFrame:
-    """(doc keys, term, n): pairs count their calls, a bare system call counts once per listing."""
+    """(doc keys, term, n): pairs count their calls, a bare system call counts once per listing.
+
+    ``logs`` is read twice. Logs are placed by document before their calls are listed, in tasks of about ``TASK_CALLS``
+    calls: their terms are then counted in place, and a task holds the counts of no more.
+    """
+    listed = F.aggregate("processes", F.lit(0).cast("long"), lambda n, p: n + F.coalesce(F.size(p["system_calls"]), F.lit(0)))
+    size = logs.agg(F.sum(listed)).first()[0] or 0
+    logs = logs.select(*doc, "processes").repartition(task_count(logs.sparkSession, size, TASK_CALLS), *doc)
     calls = exploded_calls(exploded_processes(logs, doc), [*doc, "service_name"])
     terms = calls.select(
         *doc,
@@ -104,7 +113,7 @@ def process_term_counts(logs: DataFrame, doc: Sequence[str], vocab: DataFrame |
     counted = terms.groupBy(*doc, F.col("t.term").alias("term")).agg(F.sum("t.n").alias("n")).filter("n > 0")
     if vocab is None:
         return counted
-    return salted_join(counted, vocab.select("term").distinct(), ["term"], F.xxhash64(*doc), how="left_semi")
+    return join_terms(counted, vocab.select("term").distinct(), ["term"], F.xxhash64(*doc), how="left_semi")
 
 
 def process_documents(logs: DataFrame, doc: Sequence[str]) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import processes, text
 from sensorloom.plans.call_encoding import encode_documents
-from sensorloom.session import materialise
+from sensorloom.session import materialise, task_count
 from sensorloom.sources.logs import from_quasi_json, parse_summaries
 from sensorloom.workload.registry import query, r, rounded
 
 DAY = 86_400_000_000
+ITEM_KEY = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]  # the order of an order's items
+TASK_LINES = 1 << 19
 # Letters, marks, digits and connectors, as the operators' own word pattern.
 WORDS_SQL = r"regexp_extract_all({c}, '[\p{{L}}\p{{M}}\p{{Nl}}\p{{Nd}}\p{{Pc}}]{{2,}}')"
 
@@ -182,18 +184,33 @@ def low_variance_terms(t):
 # --- processes: an order is a log, its items are the processes --------------------------------
 
 
+def order_lines(t, *columns):
+    """(l_orderkey, lines): the items of each order with their plain columns, in tasks of about ``TASK_LINES`` of them."""
+    lines = t.lineitem.select("l_orderkey", F.struct(*ITEM_KEY, *columns).alias("line"))
+    placed = lines.repartition(task_count(t.spark, t.lineitem.count(), TASK_LINES), "l_orderkey")
+    return placed.groupBy("l_orderkey").agg(F.collect_list("line").alias("lines"))
+
+
+def in_order(value):
+    """Of the items of an order, the built values in the order of the items; built after the shuffle, which moves plain columns only."""
+    built = F.transform("lines", lambda x: F.struct(*[x[c].alias(c) for c in ITEM_KEY], value(x).alias("v")))
+    return F.transform(F.array_sort(built), lambda s: s["v"])
+
+
 def order_logs(t):
     """Logs with nested processes; an order has at most a handful of items."""
-    call = F.array(
-        F.struct(F.concat("l_returnflag", "l_linestatus").alias("syscall"), F.col("l_quantity").cast("long").alias("calls")),
-        F.struct(F.concat(F.lit("ln"), "l_linenumber").alias("syscall"), F.col("l_linenumber").cast("long").alias("calls")),
-    )
-    process = F.struct(
-        F.concat(F.lit("svc"), F.col("l_suppkey") % 7).alias("service_name"), (F.col("l_suppkey") % 11).alias("pid"),
-        F.col("l_quantity").cast("long").alias("events"), (F.col("l_discount") * 10).alias("cpu_usage"), call.alias("system_calls"),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", process.alias("p"))))
-    logs = t.lineitem.groupBy("l_orderkey").agg(F.transform(ordered, lambda s: s["p"]).alias("processes"))
+
+    def process(x):
+        call = F.array(
+            F.struct(F.concat(x["l_returnflag"], x["l_linestatus"]).alias("syscall"), x["l_quantity"].cast("long").alias("calls")),
+            F.struct(F.concat(F.lit("ln"), x["l_linenumber"]).alias("syscall"), x["l_linenumber"].cast("long").alias("calls")),
+        )
+        return F.struct(
+            F.concat(F.lit("svc"), x["l_suppkey"] % 7).alias("service_name"), (x["l_suppkey"] % 11).alias("pid"),
+            x["l_quantity"].cast("long").alias("events"), (x["l_discount"] * 10).alias("cpu_usage"), call.alias("system_calls"),
+        )
+
+    logs = order_lines(t, "l_returnflag", "l_linestatus", "l_quantity", "l_discount").select("l_orderkey", in_order(process).alias("processes"))
     return logs.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.col("o_orderdate").alias("ts"), "processes")
 
 

@@ -195,3 +195,16 @@ def test_tasks_follow_the_size_of_the_texts(spark, monkeypatch):
         # Counted where the texts were placed: a document is in one task.
         assert held.groupBy("doc").agg(F.countDistinct("task").alias("t")).filter("t > 1").isEmpty()
     assert sizes[40] <= 8 and sizes[160] > 2 * 8
+
+
+def test_process_counts_in_tasks_of_bounded_calls(spark, monkeypatch):
+    monkeypatch.setattr(processes, "TASK_CALLS", 10)
+    schema = "o long, processes array<struct<service_name:string, pid:int, events:long, cpu_usage:double, system_calls:array<struct<syscall:string, calls:long>>>>"
+    log = [("s", 1, 1, 0.9, [("read", 7), ("open", 0)]), ("s", 2, 1, 0.1, None)]
+    logs = spark.createDataFrame([*[(i, log) for i in range(40)], (3, log), (None, log), (7, None)], schema)
+    counts = processes.process_term_counts(logs, ["o"], processes.process_vocabulary(logs))
+    found = {}
+    for r in counts.collect():
+        found.setdefault(r["o"], {})[r["term"]] = r["n"]
+    assert found == {o: {"read": k, "open": k, "s read": 7 * k} for o in [*range(40), None] for k in [2 if o == 3 else 1]}
+    assert counts.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 4
