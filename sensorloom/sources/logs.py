@@ -38,11 +38,11 @@ def from_quasi_json(text: Column, schema: str) -> Column:
     return F.from_json(text, schema, {"allowSingleQuotes": "true"})
 
 
-def _process(paragraph: Column) -> Column:
-    head = F.substring_index(paragraph, RULE, 1)
-    body = F.when(F.instr(paragraph, RULE) > 0, F.substr(paragraph, F.instr(paragraph, RULE) + F.lit(len(RULE)))).otherwise("")
+def _process(p: Column) -> Column:
+    """The process of a paragraph (head, body) whose head has the header."""
     # One regex pass finds the rows; their fields are separated by blanks.
-    rows = F.transform(F.regexp_extract_all(body, F.lit(ROW_PATTERN), F.lit(0)), lambda m: F.split(F.trim(F.translate(m, "\n\t", "  ")), r"\s+"))
+    rows = F.transform(
+        F.regexp_extract_all(p["body"], F.lit(ROW_PATTERN), F.lit(0)), lambda m: F.split(F.trim(F.translate(m, "\n\t", "  ")), r"\s+"))
 
     def field(r: Column, i: int) -> Column:
         c = CALL_FIELDS[i]
@@ -50,13 +50,12 @@ def _process(paragraph: Column) -> Column:
         return (text if c == "syscall" else text.cast("long" if c == "calls" else "double")).alias(c)
 
     calls = F.transform(rows, lambda r: F.struct(*[field(r, i) for i in range(len(CALL_FIELDS))]))
-    return F.struct(
-        F.regexp_extract(head, HEADER_PATTERN, 1).alias("service_name"),
-        F.regexp_extract(head, HEADER_PATTERN, 2).alias("pid"),
-        F.nullif(F.regexp_extract(head, HEADER_PATTERN, 3), F.lit("")).cast("long").alias("events"),
-        F.nullif(F.regexp_extract(head, HEADER_PATTERN, 4), F.lit("")).cast("double").alias("cpu_usage"),
-        calls.alias("system_calls"),
-    )
+    # The four fields of the header by one match: none of them can hold a line break.
+    header = F.split(F.regexp_replace(p["head"], HEADER_PATTERN + r"[\s\S]*", "$1\n$2\n$3\n$4"), "\n")
+    named = F.transform(F.array(header), lambda h: F.struct(
+        h[0].alias("service_name"), h[1].alias("pid"), h[2].cast("long").alias("events"), h[3].cast("double").alias("cpu_usage"),
+        calls.alias("system_calls")))
+    return named[0]
 
 
 def parse_summaries(logs: DataFrame, text: str = "content") -> DataFrame:
@@ -66,13 +65,14 @@ def parse_summaries(logs: DataFrame, text: str = "content") -> DataFrame:
     process header is a process; the last one without gives the uptime ('' when it has none).
     """
     tail = F.substring_index(F.col(text), SUMMARY_MARK, -1)
-    staged = logs.withColumn("_paragraphs", F.split(tail, "\n\n\n"))
-
-    def has_header(p: Column) -> Column:
-        return F.substring_index(p, RULE, 1).rlike(HEADER_PATTERN)
-
-    processes = F.transform(F.filter("_paragraphs", has_header), _process)
-    plain = F.filter("_paragraphs", lambda p: ~has_header(p))
-    last = F.substring_index(F.try_element_at(plain, F.lit(-1)), RULE, 1)
+    halves = F.transform(F.split(tail, "\n\n\n"), lambda p: F.struct(
+        F.substring_index(p, RULE, 1).alias("head"),
+        F.when(F.instr(p, RULE) > 0, F.substr(p, F.instr(p, RULE) + F.lit(len(RULE)))).otherwise("").alias("body")))
+    # Every paragraph's header is looked for once.
+    marked = F.transform(halves, lambda p: F.struct(p["head"].alias("head"), p["body"].alias("body"), p["head"].rlike(HEADER_PATTERN).alias("header")))
+    staged = logs.withColumn("_paragraphs", marked)
+    processes = F.transform(F.filter("_paragraphs", lambda p: p["header"]), _process)
+    plain = F.filter("_paragraphs", lambda p: ~p["header"])
+    last = F.try_element_at(plain, F.lit(-1))["head"]
     uptime = F.coalesce(F.regexp_extract(last, UPTIME_PATTERN, 1), F.lit(""))
     return staged.withColumns({"processes": processes, "uptime": uptime}).drop("_paragraphs")

@@ -294,17 +294,19 @@ def process_documents_tfidf(t):
 
 def summary_logs(t):
     """Trace summaries as text, one per order."""
-    line = F.concat(
-        F.lit("   "), F.concat("l_returnflag", "l_linestatus"), F.lit("  "), F.col("l_quantity").cast("long"), F.lit("  "),
-        F.col("l_suppkey"), F.lit(".5  "), F.col("l_linenumber"), F.lit(".25  "), F.col("l_linenumber"), F.lit("  "), F.col("l_partkey"),
-        F.lit(".75      "), F.col("l_linenumber"), F.lit(".125%\n"),
-    )
-    block = F.concat(
-        F.lit("\n svc"), F.col("l_suppkey"), F.lit(" ("), F.col("l_partkey"), F.lit("), "), F.col("l_quantity").cast("long"),
-        F.lit(" events, "), F.col("l_linenumber"), F.lit(".5%\n\n   syscall calls total min avg max stddev\n   ------\n"), line, line,
-    )
-    blocks = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", block.alias("b"))))
-    texts = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(blocks, lambda s: s["b"]), "\n\n\n").alias("b"))
+
+    def block(x):
+        line = F.concat(
+            F.lit("   "), F.concat(x["l_returnflag"], x["l_linestatus"]), F.lit("  "), x["l_quantity"].cast("long"), F.lit("  "),
+            x["l_suppkey"], F.lit(".5  "), x["l_linenumber"], F.lit(".25  "), x["l_linenumber"], F.lit("  "), x["l_partkey"],
+            F.lit(".75      "), x["l_linenumber"], F.lit(".125%\n"),
+        )
+        return F.concat(
+            F.lit("\n svc"), x["l_suppkey"], F.lit(" ("), x["l_partkey"], F.lit("), "), x["l_quantity"].cast("long"),
+            F.lit(" events, "), x["l_linenumber"], F.lit(".5%\n\n   syscall calls total min avg max stddev\n   ------\n"), line, line,
+        )
+
+    texts = order_lines(t, "l_returnflag", "l_linestatus", "l_quantity").select("l_orderkey", F.array_join(in_order(block), "\n\n\n").alias("b"))
     head = F.lit("junk\n Summary of events: none\n Summary of events:\n")
     return texts.select("l_orderkey", F.concat(head, F.lit("\n"), "b", F.lit("\n\n\nUPTIME:"), "l_orderkey", F.lit(".25\n")).alias("content"))
 
@@ -319,7 +321,8 @@ def summary_logs(t):
 def trace_summaries(t):
     """Summary text parsed back to processes and their system calls."""
     parsed = parse_summaries(summary_logs(t))
-    rows = parsed.select("l_orderkey", "uptime", F.explode("processes").alias("p")).select(
+    # The outer form keeps the optimizer from adding a size filter, which would parse twice; logs without processes give no rows below.
+    rows = parsed.select("l_orderkey", "uptime", F.explode_outer("processes").alias("p")).select(
         "l_orderkey", "uptime", "p.service_name", "p.pid", "p.events", "p.cpu_usage", F.posexplode("p.system_calls").alias("call_ord", "s")
     )
     return rows.select(

@@ -208,3 +208,29 @@ def test_process_counts_in_tasks_of_bounded_calls(spark, monkeypatch):
         found.setdefault(r["o"], {})[r["term"]] = r["n"]
     assert found == {o: {"read": k, "open": k, "s read": 7 * k} for o in [*range(40), None] for k in [2 if o == 3 else 1]}
     assert counts.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 4
+
+
+def test_summary_paragraphs_are_parsed_once(spark):
+    block = "\n svc a (12), 3 events, 0.5%\n\n   syscall calls\n   ------\n   read  2  1.5  0.25  1  7.75      0.125%\n"
+    texts = [f" Summary of events:\n{block}\n\n\nplain\n\n\nUPTIME:7.25\n", " Summary of events:\nUPTIME:1.5\n", "no mark", None,
+             " Summary of events:\n\n b (1), 2 events, 4.5%\n"]
+    out = parse_summaries(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")).orderBy("i")
+    rows = [(r["uptime"], None if r["processes"] is None else [(p["service_name"], p["pid"], p["events"], p["cpu_usage"], [tuple(c) for c in p["system_calls"]])
+                                                               for p in r["processes"]]) for r in out.collect()]
+    call = ("read", 2, 1.5, 0.25, 1.0, 7.75, 0.125)
+    assert rows == [("7.25", [("svc a", "12", 3, 0.5, [call])]), ("1.5", []), ("", []), ("", None), ("", [("b", "1", 2, 4.5, [])])]
+    # One match gives the header's fields: the pattern is there to look for headers and to read them, not once for each field.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("events,") <= 3
+
+
+def test_summary_query_does_not_parse_for_a_filter(spark, tmp_path):
+    from sensorloom.workload.text_queries import trace_summaries
+    from sensorloom.workload.registry import Tables
+
+    spark.sql("""SELECT 7L AS l_orderkey, 1 AS l_linenumber, 5L AS l_partkey, 3L AS l_suppkey, 2.5D AS l_extendedprice, 4D AS l_quantity,
+        0.1D AS l_discount, 'A' AS l_returnflag, 'F' AS l_linestatus""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = trace_summaries(Tables(spark, str(tmp_path)))
+    assert [(r["service_name"], r["pid"], r["syscall"], r["call_ord"]) for r in rows.orderBy("call_ord").collect()] == [("svc3", "5", "AF", 0), ("svc3", "5", "AF", 1)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "regexp_extract_all" in line]
