@@ -1,13 +1,11 @@
 """Operator 10, near-duplicate texts by improved consistent weighted sampling.
 
 A text is a weighted set of shingles of five words (lower case): weight = occurrences x inverse
-document frequency. The frequency part is ``1 + strength * ln(N / df) / ln(1 / share)``, bounded by
-``1 + strength`` for shingles in fewer than ``share`` of all documents. So only the shingles of at least
-``share`` of all documents need their exact number of documents: at most (mean shingles per
-document) / share of them, whatever the size of the corpus. They are found exactly: a shingle with
-such a share of all documents has it in some block of documents, each task names the frequent shingles
-of its blocks, and a second pass counts the named ones over all documents (a bitmap of fixed size
-tells which shingles to count; a false hit there only adds rows to the count).
+document frequency. The frequency part is ``1 + strength * ln(N / df) / ln(N)``: 1 for a shingle of all N
+documents, ``1 + strength`` for one of a single document. Callers may bound it by ``share``: ``1 + strength *
+ln(N / df) / ln(1 / share)``, and ``1 + strength`` below that share of all documents. Either way the number
+of documents of every shingle is counted exactly: texts are dealt to chunks, a chunk sends its different
+shingles to tasks by hash range, which add up the documents and send the sums back to the chunks.
 
 Each text gets 64 consistent weighted samples: sample j of a shingle of weight w falls on the same
 (shingle, level) in two texts with a probability equal to their weighted Jaccard similarity. The
@@ -28,6 +26,7 @@ the class id is the smallest id that is not null; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +38,7 @@ from sensorloom.llm import words as W
 from sensorloom.llm.batches import bound_batches, keep_only, slices
 from sensorloom.llm.components import components, joined_components
 from sensorloom.llm.groups import Union, whole_groups
-from sensorloom.session import materialise
+from sensorloom.session import materialise, task_count
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -50,7 +49,8 @@ BANDS = SAMPLES // ROWS_PER_BAND
 ENTRIES = 1 << 14
 REST_BITS = 32 - 14
 BITMAP_BITS = 1 << 24
-BLOCK_SHINGLES = 2_000_000
+CHUNK_BYTES = 8 << 20  # texts whose shingles are counted together
+RANGE_BYTES = 24 << 20  # texts for one range of shingle hashes
 LEAST_EQUAL = 39  # samples in which candidates agree
 SAMPLE_BLOCK = 1024  # texts whose samples meet in a task
 STAR_CELL = 128  # texts that meet one candidate in a task
@@ -70,93 +70,132 @@ def texts_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 # --- document frequencies -------------------------------------------------------------------------
 
-def frequent_in_blocks(texts: DataFrame) -> DataFrame:
-    """(h) shingles that a block of documents holds in at least ``SHARE`` of its documents; (null) + n documents per task."""
+def in_chunks(texts: DataFrame) -> tuple[DataFrame, int, int]:
+    """Compressed texts with their ``chunk``, about ``CHUNK_BYTES`` of text each; the numbers of chunks and of hash ranges.
 
-    def frequent(block: list[np.ndarray], docs: int) -> np.ndarray:
-        flat = np.sort(np.concatenate(block)) if block else np.empty(0, np.uint64)
-        starts = np.flatnonzero(np.concatenate((np.ones(min(len(flat), 1), bool), flat[1:] != flat[:-1])))
-        counts = np.diff(np.append(starts, len(flat)))
-        return flat[starts[counts >= SHARE * docs]]
+    Texts go through two shuffles; each of them compressed alone takes half of what the shuffle's own blocks take.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = task_count(texts.sparkSession, size, CHUNK_BYTES)
+    ranges = task_count(texts.sparkSession, size, RANGE_BYTES)
+    placed = texts.select(F.pmod(F.xxhash64("doc_key", "node"), F.lit(n)).cast("int").alias("chunk"), "doc", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = held = docs = full_docs = 0
-        block: list[np.ndarray] = []
-        full: list[np.ndarray] = []  # the last full block waits, so that a short rest can join it
         for batch in batches:
-            n += batch.num_rows
-            for shingles, _, offsets in counted(batch.column(0)):
-                block.append(shingles)
-                docs += int((np.diff(offsets) > 0).sum())
-                held += len(shingles)
-                if held >= BLOCK_SHINGLES and docs >= 4 / SHARE:
-                    if full:
-                        yield rows_of(frequent(full, full_docs), 0)
-                    full, full_docs, block, docs, held = block, docs, [], 0, 0
-        yield rows_of(frequent(full + block, full_docs + docs), n)
+            pressed = [len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(pressed, pa.binary())], batch.schema.names)
 
-    def rows_of(found: np.ndarray, n: int) -> pa.RecordBatch:
-        values = pa.array([*found.view(np.int64).tolist(), *([None] if n else [])], pa.int64())
-        return pa.RecordBatch.from_arrays([values, pa.array([0] * len(found) + ([n] if n else []), pa.int64())], ["h", "n"])
+    return placed.mapInArrow(run, placed.schema), n, ranges
 
-    return texts.select("text").mapInArrow(run, "h long, n long")
 
+def plain_texts(pressed: pa.ChunkedArray) -> pa.Array:
+    return pa.array([pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in pressed.to_pylist()], pa.binary())
 
-def document_frequencies(texts: DataFrame) -> tuple[int, dict[int, int]]:
-    """(documents, frequency of every shingle in at least ``SHARE`` of them).
 
-    What reaches the driver is bounded: a bitmap of ``BITMAP_BITS`` as words of 64 bits, and at most
-    (shingles per document) / SHARE frequencies.
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest one needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, f"u{len(blob) // n}").astype(np.int64) if n else np.empty(0, np.int64)
+
+
+def planes(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte, so that the upper bytes compress."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(blob: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def chunk_shingles(chunked: DataFrame, n: int, ranges: int) -> DataFrame:
+    """(part, chunk, hashes, counts): the different shingles of every chunk by hash range, with their documents in the chunk.
+
+    A shingle of many documents is one entry per chunk, so no range gets more of it than there are chunks.
     """
-    spark = texts.sparkSession
-    named = materialise(frequent_in_blocks(texts))
-    total = named.agg(F.sum("n")).first()[0] or 0
-    bits = named.filter("h IS NOT NULL").select(F.expr(f"shiftrightunsigned(h, {64 - BITMAP_BITS.bit_length() + 1})").alias("bit"))
-    shared = spark.sparkContext.broadcast(bitmap_of(bits))
-    shift = np.uint64(64 - BITMAP_BITS.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        held: list[np.ndarray] = []
+        for table, starts in whole_groups(batches, ["chunk"]):
+            texts, chunks = table.column("text"), table.column("chunk").to_pylist()
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(table)]):
+                sets = [shingles for shingles, _, _ in counted(plain_texts(texts.slice(start, end - start)))]
+                hashes, docs = np.unique(np.concatenate(sets), return_counts=True)
+                parts = (hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                cuts = np.flatnonzero(np.diff(parts, prepend=np.uint64(ranges)))
+                rows = [(int(parts[x]), chunks[start], planes(hashes[x:y]), packed(docs[x:y]))
+                        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(hashes)])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int32(), pa.binary(), pa.binary()])],
+                        ["part", "chunk", "hashes", "counts"])
 
-        def close() -> pa.RecordBatch:
-            found, counts = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "n"])
+    placed = chunked.select("chunk", "text").repartitionById(n, "chunk")
+    return placed.sortWithinPartitions("chunk").mapInArrow(run, "part int, chunk int, hashes binary, counts binary")
 
-        size = 0
-        for batch in batches:
-            for shingles, _, _ in counted(batch.column(0)):
-                bit = shingles >> shift
-                shingles = shingles[(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0]
-                held.append(shingles)
-                size += len(shingles)
-                if size > BLOCK_SHINGLES:
-                    yield close()
-                    held, size = [], 0
-        yield close()
-
-    counts = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    frequent = counts.filter(F.col("n") >= max(SHARE * total, 2)).toArrow()
+
+def summed(blobs: DataFrame, ranges: int, answer, schema: str) -> DataFrame:
+    """Adds up the documents of the shingles of each hash range, and gives ``answer(blobs, hashes, documents, place)`` for it.
+
+    ``place`` is where the shingles of all blobs, one blob after another, stand among the different ones of the range.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["part"]):
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(table)]):
+                group = table.slice(start, end - start)
+                held = [from_planes(x) for x in group.column("hashes").to_pylist()]
+                hashes, place = np.unique(np.concatenate(held), return_inverse=True)
+                docs = np.concatenate([unpacked(x, len(h)) for x, h in zip(group.column("counts").to_pylist(), held)])
+                yield answer(group, hashes, np.bincount(place, docs).astype(np.int64), place, [len(h) for h in held])
+
+    return blobs.repartitionById(ranges, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def chunk_frequencies(chunked: DataFrame, n: int, ranges: int) -> DataFrame:
+    """(chunk, part, dfs): the documents of every shingle of a chunk, in the order of ``chunk_shingles``."""
+
+    def answer(group, hashes, docs, place, sizes):
+        dfs = [packed(x) for x in np.split(docs[place], np.cumsum(sizes)[:-1])]
+        return pa.RecordBatch.from_arrays(
+            [group.column("chunk").combine_chunks(), group.column("part").combine_chunks(), pa.array(dfs, pa.binary()), pa.array(sizes, pa.int32())],
+            ["chunk", "part", "dfs", "n"])
+
+    return summed(chunk_shingles(chunked, n, ranges), ranges, answer, "chunk int, part int, dfs binary, n int")
+
+
+def document_frequencies(texts: DataFrame) -> tuple[int, dict[int, int]]:
+    """(documents, frequency of every shingle in at least ``SHARE`` of them).
+
+    All shingles are counted; only the frequent ones, at most (shingles per document) / SHARE, reach the driver.
+    """
+    total = texts.count()
+    least = max(SHARE * total, 2)
+
+    def answer(group, hashes, docs, place, sizes):
+        often = docs >= least
+        return pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(docs[often])], ["h", "n"])
+
+    chunked, n, ranges = in_chunks(texts)
+    frequent = summed(chunk_shingles(chunked, n, ranges), ranges, answer, "h long, n long").toArrow()
     return total, dict(zip(frequent.column("h").to_pylist(), frequent.column("n").to_pylist()))
 
 
 class Weights:
-    """Weights of shingles by the frequent ones."""
-
-    def __init__(self, total: int, frequent: dict[int, int], strength: float):
-        order = np.argsort(np.fromiter(frequent, np.int64, len(frequent)).view(np.uint64))
-        self.known = np.fromiter(frequent, np.int64, len(frequent)).view(np.uint64)[order]
-        df = np.fromiter(frequent.values(), np.float64, len(frequent))[order]
-        self.parts = 1 + strength * np.clip(np.log(max(total, 1) / np.maximum(df, 1)) / np.log(1 / SHARE), 0, 1)
-        self.most = 1 + strength
-
-    def of(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weights = np.full(len(shingles), self.most)
-        if len(self.known):
-            place = np.searchsorted(self.known, shingles)
-            place[place == len(self.known)] = 0
-            hit = self.known[place] == shingles
-            weights[hit] = self.parts[place[hit]]
+    """Weights of shingles by their numbers of documents; ``share`` bounds the frequency part, None leaves every one its own."""
+
+    def __init__(self, total: int, strength: float, share: float | None = None):
+        self.total, self.strength, self.most = max(total, 2), strength, 1 + strength
+        self.least = max((share or 0) * total, 2)
+        self.scale = math.log(1 / share if share else self.total)
+
+    def of(self, dfs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        weights = np.full(len(dfs), self.most)
+        hit = np.flatnonzero(dfs >= self.least)
+        weights[hit] = 1 + self.strength * np.clip(np.log(self.total / dfs[hit]) / self.scale, 0, 1)
         return weights * counts
 
 
@@ -241,26 +280,47 @@ def samples(shingles: np.ndarray, weights: np.ndarray, offsets: np.ndarray, comm
     return (W.mixed((best & np.uint64(0xFFFFFFFF)) + level_of.view(np.uint64) * W.BASE) >> np.uint64(48)).T.astype(np.uint16)
 
 
-def signatures(texts: DataFrame, weights, seed: int) -> DataFrame:
-    """doc, node, samples (64 x 16 bits) and bands per row; null for a text without words."""
+def signatures(texts: DataFrame, weights: Weights, seed: int) -> DataFrame:
+    """doc, node, samples (64 x 16 bits), bands and dfs (documents of each shingle) per row; null for a text without words.
+
+    The frequencies come back to the texts of a chunk: its different shingles in order are those of its ranges in order.
+    """
+    chunked, n, ranges = in_chunks(texts)
+    doc_type = texts.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("samples", tables.cache_clear)
-        by = weights.value
-        for batch in batches:
-            kept: list = []
-            bands: list = []
-            for shingles, counts, offsets in counted(batch.column(2)):
-                values = np.ascontiguousarray(samples(shingles, by.of(shingles, counts), offsets, by.most, seed))
-                for row, some in zip(values, (np.diff(offsets) > 0).tolist()):
-                    kept.append(row.tobytes() if some else None)
-                    bands.append(row.view(np.int64) if some else None)  # four samples are a band
+        for table, starts in whole_groups(batches, ["chunk"]):
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(table)]):
+                group = table.slice(start, end - start).combine_chunks()
+                known = len(group) - group.column("part").null_count
+                answers = zip(*(group.column(c).slice(0, known).to_pylist() for c in ("dfs", "n")))
+                dfs = np.concatenate([np.empty(0, np.int64), *(unpacked(*x) for x in answers)])
+                rows = group.slice(known).combine_chunks()
+                if len(rows):
+                    yield from marked(rows, dfs)
+
+    def marked(rows: pa.Table, dfs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        parts = list(counted(plain_texts(rows.column("text"))))
+        place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)[1]
+        done = at = 0
+        for shingles, counts, offsets in parts:
+            own = dfs[place[done:done + len(shingles)]]
+            done += len(shingles)
+            values = np.ascontiguousarray(samples(shingles, weights.of(own, counts), offsets, weights.most, seed))
+            some = (np.diff(offsets) > 0).tolist()
+            here = rows.slice(at, len(some))
+            at += len(some)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc", "node", "samples", "bands"])
+                [here.column("doc").combine_chunks(), here.column("node").combine_chunks(),
+                 pa.array([row.tobytes() if x else None for row, x in zip(values, some)], pa.binary()),
+                 pa.array([row.view(np.int64) if x else None for row, x in zip(values, some)], pa.list_(pa.int64())),  # four samples are a band
+                 pa.array([packed(own[x:y]) if y > x else None for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())],
+                ["doc", "node", "samples", "bands", "dfs"])
 
-    return texts.select("doc", "node", "text").mapInArrow(
-        run, f"doc {texts.schema['doc'].dataType.simpleString()}, node binary, samples binary, bands array<long>")
+    rows = chunked.unionByName(chunk_frequencies(chunked, n, ranges), allowMissingColumns=True)
+    placed = rows.repartitionById(n, "chunk").sortWithinPartitions("chunk", F.col("part").asc_nulls_last())
+    return placed.mapInArrow(run, f"doc {doc_type}, node binary, samples binary, bands array<long>, dfs binary")
 
 
 # --- candidates -----------------------------------------------------------------------------------
@@ -366,19 +426,19 @@ def in_cells(rows: DataFrame, blocks: str, block: str) -> DataFrame:
 
 # --- verification ---------------------------------------------------------------------------------
 
-def verified(cells: DataFrame, weights, threshold: float) -> DataFrame:
-    """(u, v) links found in cells of (a, b, cell, side, inner, node, grp, samples, text).
+def verified(cells: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """(u, v) links found in cells of (a, b, cell, side, inner, node, grp, samples, dfs, text).
 
     Rows of side 0 are compared with those of side 1, all rows with each other if ``inner`` is set.
     Pairs of one ``grp`` are linked already; pairs are candidates by their samples.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = weights.value
         for table, starts in whole_groups(batches, ["a", "b", "cell"]):
             sides, inner = table.column("side").to_numpy(), table.column("inner").to_numpy(zero_copy_only=False)
             nodes, groups = table.column("node").to_pylist(), table.column("grp").to_pylist()
             texts, packed = table.column("text").combine_chunks(), table.column("samples").to_pylist()
+            dfs = table.column("dfs").combine_chunks()
             found: list[tuple[bytes, bytes]] = []
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(table)]):
                 left = int((sides[start:end] == 0).sum())
@@ -396,7 +456,7 @@ def verified(cells: DataFrame, weights, threshold: float) -> DataFrame:
                 def of(k: int):
                     if sets[k] is None:
                         shingles, counts, _ = next(counted(texts.slice(start + k, 1)))
-                        held = by.of(shingles, counts)
+                        held = weights.of(unpacked(dfs[start + k].as_py(), len(shingles)), counts)
                         sets[k] = (shingles, held, float(held.sum()))
                     return sets[k]
 
@@ -413,12 +473,12 @@ def verified(cells: DataFrame, weights, threshold: float) -> DataFrame:
                 u, v = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
-    ordered = cells.select("a", "b", "cell", "side", "inner", "node", "grp", "samples", "text")
+    ordered = cells.select("a", "b", "cell", "side", "inner", "node", "grp", "samples", "dfs", "text")
     return ordered.repartition("a", "b", "cell").sortWithinPartitions("a", "b", "cell", "side").mapInArrow(run, "u binary, v binary")
 
 
 def bodies_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, samples, text of the wanted nodes, one row each.
+    """node, samples, dfs, text of the wanted nodes, one row each.
 
     A bitmap of fixed size lets most other texts pass by before the join shuffles them.
     """
@@ -433,7 +493,7 @@ def bodies_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch.select([0, 1, 2]).filter(found)
 
     likely = texts.select("node", "doc_key", "text", F.expr(bits).alias("bit")).mapInArrow(run, "node binary, doc_key long, text binary")
-    return materialise(likely.join(wanted, ["node", "doc_key"]).dropDuplicates(["node", "doc_key"]).select("node", "samples", "text"))
+    return materialise(likely.join(wanted, ["node", "doc_key"]).dropDuplicates(["node", "doc_key"]).select("node", "samples", "dfs", "text"))
 
 
 def bitmap_of(bits: DataFrame) -> np.ndarray:
@@ -445,22 +505,23 @@ def bitmap_of(bits: DataFrame) -> np.ndarray:
 
 
 def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD,
-               strength: float = STRENGTH, seed: int = 5) -> DataFrame:
+               strength: float = STRENGTH, seed: int = 5, share: float | None = SHARE) -> DataFrame:
     """doc id, node (MD5 of the text), class_id, kept per row: one row of each class is kept.
 
     The kept row is the one with the smallest id; of several such rows (repeated rows) the node with
-    the smallest hash, and ``near_duplicates_removed`` keeps one row of it.
+    the smallest hash, and ``near_duplicates_removed`` keeps one row of it. With ``share`` None every shingle
+    weighs by its own number of documents; a number bounds the frequency part as said above.
     """
     if threshold < THRESHOLD:
         raise ValueError(f"bands and samples are made for a similarity of {THRESHOLD} or more")
     spark = docs.sparkSession
     bound_batches(spark)
     texts = texts_of(docs, id_column, text_column)
-    total, frequent = document_frequencies(texts)
-    weights = spark.sparkContext.broadcast(Weights(total, frequent, strength))
+    weights = Weights(texts.count(), strength, share)
     marks = materialise(signatures(texts, weights, seed))
     # One node for each different text, with its smallest id.
-    nodes = materialise(marks.groupBy("node").agg(F.min("doc").alias("doc"), F.min("samples").alias("samples"), F.min("bands").alias("bands")))
+    nodes = materialise(marks.groupBy("node").agg(F.min("doc").alias("doc"), F.min("samples").alias("samples"), F.min("bands").alias("bands"),
+        F.min("dfs").alias("dfs")))
     entries = nodes.filter("bands IS NOT NULL").select("node", F.posexplode("bands").alias("b", "a"))
     company = materialise(
         entries.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -470,7 +531,7 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # A candidate of high degree for each text.
     star = materialise(sample_cells(members.join(held, "node").withColumn("grp", F.lit(None).cast("binary")), stars=True).distinct())
     both = star.select("node").union(star.select(F.col("centre").alias("node"))).distinct()
-    bodies = bodies_of(texts, materialise(both.join(nodes.select("node", "samples", F.xxhash64("doc").alias("doc_key")), "node")))
+    bodies = bodies_of(texts, materialise(both.join(nodes.select("node", "samples", "dfs", F.xxhash64("doc").alias("doc_key")), "node")))
     spread = materialise(star.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR_CELL).cast("int").alias("cells")))
     around = star.join(spread, "centre").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
     middle = spread.select("centre", F.col("centre").alias("node"), F.explode(F.expr("sequence(0, cells - 1)")).alias("cell"))

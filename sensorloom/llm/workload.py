@@ -166,7 +166,7 @@ def op9(t):
 
 @query("op10_weighted_near_texts")
 def op10(t):
-    return weighted_minhash.near_texts(t.documents).select("doc_id", "class_id", "kept")
+    return weighted_minhash.near_texts(t.documents, share=None).select("doc_id", "class_id", "kept")
 
 
 def clusters_sql(k: int = 16, rounds: int = 3) -> str:

@@ -234,6 +234,27 @@ def test_a_cover_touches_every_candidate():
         assert {x for p in pairs for x in p} == set(np.flatnonzero(near.any(1)).tolist())
 
 
+def test_every_shingle_weighs_by_its_own_number_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(weighted_minhash, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(weighted_minhash, "RANGE_BYTES", 30_000)
+    texts = near_corpus(seed=6)
+    sets = [Counter(words.shingle_sets([(t or "").lower().encode()], 5)[0].tolist()) for t in texts]
+    df = Counter(g for s in sets for g in s)
+    frame = weighted_minhash.texts_of(docs(spark, texts).repartition(3), "doc_id", "text")
+    marks = weighted_minhash.signatures(frame, weighted_minhash.Weights(len(texts), 0.25), 5).collect()
+    assert len(marks) == len(texts)
+    for row in marks:
+        own = sorted(sets[row["doc"]])
+        assert weighted_minhash.unpacked(row["dfs"] or b"", len(own)).tolist() == [df[g] for g in own]
+    assert len({w for w in weighted_minhash.Weights(len(texts), 0.25).of(np.arange(1, 317), np.ones(316))}) == 316
+    # The whole query against all pairs, with weights of the plain version that are bounded by no share.
+    weights = plain_weights(texts, share=1 / len(texts))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if plain_similarity(weights[i], weights[j]) >= 0.8 or texts[i] and texts[i] == texts[j]]
+    expected = groups_of(links, range(len(texts)))
+    got = {r["doc_id"]: r["class_id"] for r in weighted_minhash.near_texts(docs(spark, texts), share=None).collect()}
+    assert all(got[i] == expected[i] for i, t in enumerate(texts) if t)
+
+
 def test_frequent_shingles_are_counted_exactly(spark):
     texts = near_corpus()
     total, frequent = weighted_minhash.document_frequencies(weighted_minhash.texts_of(docs(spark, texts).repartition(4), "doc_id", "text"))
