@@ -50,7 +50,7 @@ ENTRIES = 1 << 14
 REST_BITS = 32 - 14
 BITMAP_BITS = 1 << 24
 CHUNK_BYTES = 8 << 20  # texts whose shingles are counted together
-RANGE_BYTES = 24 << 20  # texts for one range of shingle hashes
+RANGE_BYTES = 8 << 20  # texts for one range of shingle hashes
 LEAST_EQUAL = 39  # samples in which candidates agree
 SAMPLE_BLOCK = 1024  # texts whose samples meet in a task
 STAR_CELL = 128  # texts that meet one candidate in a task
